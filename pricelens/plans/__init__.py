@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REGISTRY
 
-_MODULES = ["q_market"]
+_MODULES = ["q_market", "q_clean", "q_profile"]
 
 
 def load_all() -> dict:

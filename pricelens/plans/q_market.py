@@ -121,7 +121,7 @@ FROM scores GROUP BY model, days_until_event
 
 @query("a23_probability_summary", rnd=("avg_probability", "std_probability"), sql=V.duck_with("""
 SELECT model, avg(mean_probability) AS avg_probability, stddev_samp(mean_probability) AS std_probability,
-       sum(count) AS total_samples, count(*) AS unique_days
+       CAST(sum(count) AS BIGINT) AS total_samples, count(*) AS unique_days
 FROM curve GROUP BY model
 """, scores=DUCK_SCORES, curve=_CURVE))
 def a23_probability_summary(spark, sf):

@@ -72,7 +72,11 @@ def duck_with(body: str, **ctes: str) -> str:
     """Prefix ``body`` with ``listings`` and any extra CTEs (name -> SQL)."""
     parts = [f"listings AS ({DUCK_LISTINGS})"]
     parts += [f"{k} AS ({v})" for k, v in ctes.items()]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    head = "WITH " + ",\n".join(parts)
+    b = body.lstrip()
+    if b[:5].upper() == "WITH ":
+        return head + ",\n" + b[5:]
+    return head + "\n" + body
 
 
 def clean_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
