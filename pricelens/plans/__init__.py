@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REGISTRY
 
-_MODULES = ["q_market", "q_clean", "q_profile", "q_features", "q_model"]
+_MODULES = ["q_market", "q_clean", "q_profile", "q_features", "q_model", "q_pipeline"]
 
 
 def load_all() -> dict:
