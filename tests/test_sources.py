@@ -1,0 +1,117 @@
+"""Sources and sinks (S1-S10) on files written by the tests to a fresh folder."""
+
+import datetime as dt
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from pricelens.operators import clean as C
+from pricelens.operators import market as M
+from pricelens.sources import listings as L
+from pricelens.sources import results as R
+
+RAW = [
+    {"timestamp": "10-01-22 / 07:15 PM", "zone": "GA", "section": "GA1", "row": "", "quantity": 2, "price": 55},
+    {"timestamp": "10-02-22 / 09:05 AM", "zone": "", "section": "General", "row": "3", "quantity": 0, "price": 61.5},
+]
+
+
+def write(path, name, payload, encoding="utf-8"):
+    with open(os.path.join(path, name), "wb") as f:
+        f.write(json.dumps(payload, ensure_ascii=False).encode(encoding))
+
+
+def test_json_scan_and_file_keys(spark, tmpdir_path):
+    write(tmpdir_path, "AWOLNATION221022.json", RAW)
+    write(tmpdir_path, "Empty230101.JSON", [])
+    with open(os.path.join(tmpdir_path, "notes.txt"), "w") as f:
+        f.write("ignore me")
+    df = L.read_listing_json(spark, tmpdir_path)
+    rows = df.orderBy("timestamp").collect()
+    assert len(rows) == 2
+    assert rows[0]["event_name"] == "AWOLNATION" and rows[0]["event_date"] == dt.datetime(2022, 10, 22)
+    assert rows[0]["price"] == 55.0 and rows[1]["price"] == 61.5
+    typed = C.typed_listings(df).orderBy("listing_time").collect()
+    assert typed[0]["listing_time"] == dt.datetime(2022, 10, 1, 19, 15)
+    assert typed[0]["row"] is None and typed[1]["row"] == 3.0
+    assert typed[0]["days_until_event"] == 20
+
+
+def test_latin1_fallback(spark, tmpdir_path):
+    rows = [dict(RAW[0], section="Sección")]
+    write(tmpdir_path, "Cafe230505.json", rows, encoding="latin-1")
+    with open(os.path.join(tmpdir_path, "Broken230505.json"), "w") as f:
+        f.write("[{not json")
+    df, rejects = L.read_listing_json_any_encoding(spark, tmpdir_path)
+    assert df.first()["section"] == "Sección"
+    assert [r["file"] for r in rejects.collect()] == ["Broken230505.json"]
+
+
+def test_csv_default_and_fallback_column(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "proc.csv")
+    with open(p, "w") as f:
+        f.write("timestamp,zone,section,row,quantity,price,event_date,event_name,listing_time,days_until_event,"
+                "hours_until_event,day_of_week,is_weekend_event,event_month,event_year,listing_month,EVENT_MONTH\n")
+        f.write("x,ga,ga,,2,50.0,2022-10-22,AWOL,2022-10-01 19:15:00,20,484.75,5,1,10,2022,10,10\n")
+    df = L.read_listing_csv(spark, p)
+    assert "EVENT_MONTH" not in [c.upper() for c in df.columns if c != "event_month"]
+    assert df.first()["listing_time"] == dt.datetime(2022, 10, 1, 19, 15)
+    d = L.read_or_default(spark, lambda: L.read_listing_csv(spark, os.path.join(tmpdir_path, "missing.csv")),
+                          [("default_event", 92.84, 0)], "event_name string, price double, good_price int")
+    assert d.first()["price"] == 92.84
+    fb = L.coalesce_listing_time(spark.createDataFrame([(dt.datetime(2024, 1, 1),)], "created_at timestamp_ntz"))
+    assert "listing_time" in fb.columns
+    with pytest.raises(ValueError):
+        L.coalesce_listing_time(spark.createDataFrame([(1,)], "x int"))
+
+
+def test_result_documents_round_trip(spark, tmpdir_path):
+    long = spark.createDataFrame([("rf", "test", "auc", 0.88), ("rf", "test", "f1", 0.6), ("rf", "validation", "auc", 0.8),
+                                  ("lr", "test", "auc", 0.81)], "model string, split string, metric string, value double")
+    path = os.path.join(tmpdir_path, "metrics")
+    R.write_document(R.metrics_document(long), path)
+    doc = json.loads(spark.read.text(path).first()["value"])
+    assert doc["rf"]["test"]["auc"] == 0.88
+    back = R.read_metrics(spark, path)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, long.collect()))
+    imp = spark.createDataFrame([("rf", "a", 0.7), ("rf", "b", 0.3)], "model string, feature string, importance double")
+    ip = os.path.join(tmpdir_path, "imp")
+    R.write_document(R.importance_document(imp), ip)
+    assert R.read_importances(spark, ip).count() == 2
+    curve = spark.createDataFrame([("rf", 2, 0.4, 0.1, 7), ("rf", 1, 0.3, 0.2, 5)],
+                                  "model string, days_until_event int, mean_probability double, std_probability double, count long")
+    cp = os.path.join(tmpdir_path, "prob")
+    R.write_document(R.probability_document(curve), cp)
+    doc = json.loads(spark.read.text(cp).first()["value"])
+    assert doc["rf"]["days_until_event"] == [1, 2]
+    assert [r["days_until_event"] for r in R.read_probabilities(spark, cp).orderBy("days_until_event").collect()] == [1, 2]
+
+
+def test_upsert_document(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "viz.json")
+    assert R.read_documents(spark, path).count() == 0  # absent file counts as empty
+    with open(path, "w") as f:
+        json.dump({"keep": {"a": 1}, "event_stats": {"old": 1}}, f)
+    old = R.read_documents(spark, path)
+    trends = spark.createDataFrame([(1, 50.0, 3), (2, 60.0, 4)], "days_until_event int, avg_price double, ticket_count long")
+    maps = M.trend_maps(trends)
+    new = maps.select(F.lit("event_stats").alias("key"),
+                      F.to_json(F.create_map(F.col("event_key"), F.struct("prices", "counts"))).alias("doc"))
+    up = R.upsert(old, new, "key")
+    got = {r["key"]: json.loads(r["doc"]) for r in up.collect()}
+    assert got["keep"] == {"a": 1}
+    assert got["event_stats"]["All Events"]["prices"] == {"1": 50.0, "2": 60.0}
+    text = R.documents_json(up).first()["value"]
+    assert set(json.loads(text)) == {"keep", "event_stats"}
+
+
+def test_table_sink_partitioned(spark, tmpdir_path):
+    df = spark.createDataFrame([("a", "train", 1.0), ("b", "test", 2.0)], "entity string, split string, p double")
+    out = os.path.join(tmpdir_path, "scores")
+    R.write_table(df, out, "parquet", partition_by=["split"])
+    back = spark.read.parquet(out).where("split = 'test'")
+    assert back.count() == 1
+    R.write_table(df, out + "_csv", "csv")
+    assert spark.read.option("header", True).csv(out + "_csv").count() == 2
