@@ -34,6 +34,7 @@ MIN_HISTORY = 5        # fixed value: rows of history needed by W2, W3, W15, W16
 STABILITY_START = 7    # fixed value: W21 starts at the 8th row (0-based index 7)
 DECAY_DAYS = 30.0      # fixed value: W4 decay constant
 EPS = 1e-6             # fixed value: guard added to denominators by the reference
+DEFAULT_HOT_ROWS = 1_000_000  # entities above this many rows use the split plan
 
 TS_US = "_ts_us"
 
@@ -124,21 +125,26 @@ def history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = Fa
     return _derived(out, cols)
 
 
-def _derived(df: DataFrame, cols: Cols) -> DataFrame:
+def _derived_expressions(cols: Cols, with_prev_cumulative: bool = True) -> list[Column]:
     """Features that are plain expressions of other features (W6 lag part, W13, W14, W15 ratio, W20)."""
     _, w, _ = _windows(cols)
     p = F.col(cols.price)
     prior = F.col("prior_listings_count")
-    return df.select(
-        "*",
-        F.coalesce(F.lag("cumulative_quantity").over(w), F.lit(0.0)).alias("prev_cumulative"),
+    out = []
+    if with_prev_cumulative:
+        out.append(F.coalesce(F.lag("cumulative_quantity").over(w), F.lit(0.0)).alias("prev_cumulative"))
+    return out + [
         (prior / (F.col("event_duration_so_far") + F.lit(EPS))).alias("listing_intensity"),
         (prior < MIN_HISTORY).cast("int").alias("is_early_listing"),
         (F.col(cols.days) < 7).cast("int").alias("is_last_week"),
         F.try_divide(p, F.nullif(F.col("expanding_p20"), F.lit(0.0))).alias("price_vs_expanding_p20"),
         F.when(prior == 0, F.lit(0.0)).alias("price_trend_7d"),
         F.when(prior == 0, F.lit(0.5)).alias("inventory_burn_rate"),
-    )
+    ]
+
+
+def _derived(df: DataFrame, cols: Cols) -> DataFrame:
+    return df.select("*", *_derived_expressions(cols))
 
 
 def prev_market(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
@@ -167,24 +173,28 @@ def attach_prev_market(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
 
 
 def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = False,
-                      hot_rows: int | None = None) -> DataFrame:
+                      hot_rows: int | None = DEFAULT_HOT_ROWS, chunk_days: int = 7) -> DataFrame:
     """All per-row features of the reference plus ``time_window``.
 
-    ``hot_rows``: entities with more rows than this are computed by the split
-    plan (:func:`features_split.split_history_features`); ``None`` keeps every
-    entity in the single-window plan.
+    Entities with more than ``hot_rows`` rows are computed by the split plan
+    (:func:`features_split.split_history_features`), cut into ``chunk_days``
+    pieces. Whether any entity is that large is checked first with one
+    aggregate over the entity key (a scan of the key columns only); when none
+    is, the plan is the single window stage. ``hot_rows=None`` skips the check.
     """
     base = with_time_keys(df, cols)
-    if hot_rows is None:
-        feats = history_features(base, cols, strict)
-    else:
-        from .features_split import split_history_features
+    feats = None
+    if hot_rows is not None:
         counts = base.groupBy(*_e(cols)).agg(F.count(F.lit(1)).alias("_n"))
         hot = counts.where(F.col("_n") > hot_rows).select(*_e(cols))
-        # at most total_rows / hot_rows entities: a proven bound for the broadcast
-        hot = F.broadcast(hot)
-        cold_rows = base.join(hot, _e(cols), "left_anti")
-        hot_part = base.join(hot, _e(cols), "left_semi")
-        feats = history_features(cold_rows, cols, strict).unionByName(
-            split_history_features(hot_part, cols, strict))
+        if not hot.isEmpty():
+            from .features_split import split_history_features
+            # at most total_rows / hot_rows entities: a proven bound for the broadcast
+            hot = F.broadcast(hot)
+            cold_rows = base.join(hot, _e(cols), "left_anti")
+            hot_part = base.join(hot, _e(cols), "left_semi")
+            feats = history_features(cold_rows, cols, strict).unionByName(
+                split_history_features(hot_part, cols, strict, chunk_days))
+    if feats is None:
+        feats = history_features(base, cols, strict)
     return attach_prev_market(feats, cols).drop(TS_US)

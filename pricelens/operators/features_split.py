@@ -1,0 +1,170 @@
+"""Split plan for hot entities: the same features as :func:`features.history_features`,
+computed in (entity, chunk) window partitions instead of one partition per entity.
+
+An entity with a third of all rows would otherwise be one task. Here its rows
+are cut into time chunks (default: the 7-day buckets of W17) and each chunk is
+its own window partition, with four kinds of rows:
+
+* role 0, core: the chunk's own rows (the only rows that produce output);
+* role 1, halo: every row of the ``K = ceil(7 d / chunk)`` previous chunks, so
+  the 7-day frames (W7, W8, W21) and the 48-hour lag (W1) see all they need;
+* role 2, tail: the latest ``TAIL`` rows before the chunk that the halo lacks,
+  so the last-15-rows frame (W16) is complete after sparse chunks;
+* role 3, histogram: one row per distinct earlier price with its count, so the
+  exact growing quantiles (W3, W15) run as a weighted ``percentile``.
+
+Everything that sums over all earlier rows (counts, minimum, maximum,
+quantity, price moments) is the sum of a prefix over a small per-chunk
+summary table and a running aggregate inside the chunk. Price moments use
+values shifted by the entity mean to keep the variance numerically stable.
+
+Row counts: core + halo is (1 + K) x the hot rows; tails are at most
+``TAIL`` rows per chunk; the histogram is at most (distinct prices x chunks)
+per entity. No pair of rows of one group is ever formed.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.scalars import US_PER_DAY
+from ..schema import DEFAULT_COLS, Cols
+from .features import (DECAY_DAYS, EPS, H48_US, MIN_HISTORY, STABILITY_START, TS_US, WEEK_US,
+                       _derived_expressions)
+
+TAIL = 15                 # rows of the W16 frame
+SENTINEL_US = -(1 << 60)  # order key of histogram rows: before every real row, far from overflow
+
+
+def split_history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = False,
+                           chunk_days: int = 7) -> DataFrame:
+    E = list(cols.entity)
+    tb = list(cols.tiebreak)
+    p, q, d = cols.price, cols.quantity, cols.days
+    ch = chunk_days * US_PER_DAY
+    k_halo = math.ceil(7 / chunk_days)
+    src_cols = df.columns
+
+    base = df.withColumn("_c", F.floor(F.col(TS_US) / F.lit(ch)).cast("long"))
+    # entity constants; only hot entities reach this plan, at most total_rows / hot_rows of them
+    ent = base.groupBy(*E).agg(F.min(TS_US).alias("_first"), F.max(TS_US).alias("_last"),
+                               F.max(d).alias("_maxd"), F.avg(p).alias("_K"))
+    b = base.join(F.broadcast(ent), E)
+
+    # per-chunk summary and prefix over earlier chunks (one row per chunk)
+    sh = F.col(p) - F.col("_K")
+    summ = b.groupBy(*E, "_c").agg(
+        F.count(F.lit(1)).alias("_n"), F.count(p).alias("_np"), F.sum(q).alias("_sq"),
+        F.min(p).alias("_mn"), F.max(p).alias("_mx"), F.sum(sh).alias("_s1"), F.sum(sh * sh).alias("_s2"))
+    wc = Window.partitionBy(*E).orderBy("_c")
+    pre = wc.rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select(
+        *E, "_c", F.row_number().over(wc).alias("_k"),
+        F.coalesce(F.sum("_n").over(pre), F.lit(0)).alias("_Pn"),
+        F.coalesce(F.sum("_np").over(pre), F.lit(0)).alias("_Pnp"),
+        F.coalesce(F.sum("_sq").over(pre), F.lit(0)).alias("_Psq"),
+        F.min("_mn").over(pre).alias("_Pmn"), F.max("_mx").over(pre).alias("_Pmx"),
+        F.coalesce(F.sum("_s1").over(pre), F.lit(0.0)).alias("_Ps1"),
+        F.coalesce(F.sum("_s2").over(pre), F.lit(0.0)).alias("_Ps2"))
+    kmax = summ.groupBy(*E).agg(F.max("_k").alias("_kmax"))
+    kmap = summ.select(*E, "_c", "_k")
+
+    real = [*E, "_c", TS_US, *tb, p, q]
+    core = b.withColumn("_role", F.lit(0))
+    halo = (b.select(*real, F.explode(F.sequence(F.lit(1), F.lit(k_halo))).alias("_j"))
+            .withColumn("_c", F.col("_c") + F.col("_j")).drop("_j").withColumn("_role", F.lit(1)))
+
+    # tails: latest TAIL rows of each chunk, offered to the next TAIL non-empty chunks
+    desc = [F.desc(TS_US), *[F.desc(c) for c in tb]]
+    tails = (b.select(*real)
+             .withColumn("_r", F.row_number().over(Window.partitionBy(*E, "_c").orderBy(*desc)))
+             .where(F.col("_r") <= TAIL).drop("_r")
+             .join(kmap, [*E, "_c"])
+             .select(*real, F.explode(F.sequence(F.col("_k") + 1, F.col("_k") + TAIL)).alias("_kt")))
+    tails = (tails.withColumn("_r", F.row_number().over(Window.partitionBy(*E, "_kt").orderBy(*desc)))
+             .where(F.col("_r") <= TAIL).drop("_r")
+             .join(kmap.withColumnRenamed("_k", "_kt").withColumnRenamed("_c", "_ct"), [*E, "_kt"])
+             .where(F.col("_c") < F.col("_ct") - k_halo)
+             .drop("_c", "_kt").withColumnRenamed("_ct", "_c").withColumn("_role", F.lit(2)))
+
+    # histogram of earlier prices: count of each value in chunks before the target chunk
+    h = (b.where(F.col(p).isNotNull()).groupBy(*E, "_c", p).agg(F.count(F.lit(1)).alias("_cnt"))
+         .join(kmap, [*E, "_c"]).join(kmax, E))
+    wv = Window.partitionBy(*E, p).orderBy("_k")
+    h = h.select(*E, p, "_k", "_kmax", F.sum("_cnt").over(wv.rowsBetween(Window.unboundedPreceding, 0)).alias("_hf"),
+                 F.coalesce(F.lead("_k").over(wv), F.col("_kmax")).alias("_kend"))
+    hist = (h.where(F.col("_k") < F.col("_kend"))
+            .select(*E, F.col(p).alias("_hv"), "_hf", F.explode(F.sequence(F.col("_k") + 1, F.col("_kend"))).alias("_kt"))
+            .join(kmap.withColumnRenamed("_k", "_kt"), [*E, "_kt"]).drop("_kt")
+            .withColumn(TS_US, F.lit(SENTINEL_US)).withColumn("_role", F.lit(3)))
+
+    allrows = core.unionByName(halo, allowMissingColumns=True).unionByName(tails, allowMissingColumns=True) \
+        .unionByName(hist, allowMissingColumns=True)
+    allrows = allrows.join(summ.drop("_k"), [*E, "_c"], "left")
+
+    part = Window.partitionBy(*E, "_c")
+    w = part.orderBy(F.col(TS_US), *[F.col(c) for c in tb])
+    rng = part.orderBy(F.col(TS_US))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    last15 = w.rowsBetween(-15, -1)
+    week_incl = rng.rangeBetween(-WEEK_US + 1, 0)
+    strictly_before = rng.rangeBetween(Window.unboundedPreceding, -1)
+    week_before = rng.rangeBetween(-WEEK_US, -1)
+
+    is_core = F.col("_role") == 0
+    pc = F.when(is_core, F.col(p))
+    qc = F.when(is_core, F.col(q))
+    shc = F.when(is_core, F.col(p) - F.col("_K"))
+    pv = F.when(is_core, F.col(p)).when(F.col("_role") == 3, F.col("_hv"))
+    pf = F.when(is_core, F.lit(1)).when(F.col("_role") == 3, F.col("_hf")).cast("long")
+    pr, ts = F.col(p), F.col(TS_US)
+
+    n_before = F.col("_Pnp") + F.count(pc).over(before)
+    rn = (F.col("_Pn") + F.count(F.when(is_core, F.lit(1))).over(before)).cast("int")
+    mn = F.least(F.col("_Pmn"), F.min(pc).over(before))
+    mx = F.greatest(F.col("_Pmx"), F.max(pc).over(before))
+    cumq = (F.col("_Psq") + F.coalesce(F.sum(qc).over(before), F.lit(0))).cast("double")
+    prev_p, prev_ts, prev_q = F.lag(pr).over(w), F.lag(ts).over(w), F.lag(F.col(q)).over(w)
+
+    hist_n = F.col("_Pnp") + F.count(pc).over(strictly_before)
+    s1 = F.col("_Ps1") + F.coalesce(F.sum(shc).over(strictly_before), F.lit(0.0))
+    s2 = F.col("_Ps2") + F.coalesce(F.sum(shc * shc).over(strictly_before), F.lit(0.0))
+    hist_mean = s1 / hist_n + F.col("_K")
+    hist_var = F.greatest(F.lit(0.0), (s2 - s1 * s1 / hist_n) / (hist_n - 1))
+    std7, mean7 = F.stddev_samp(pr).over(week_incl), F.avg(pr).over(week_incl)
+    stab_std, stab_mean = F.stddev_samp(pr).over(week_before), F.avg(pr).over(week_before)
+    n15 = F.count(pr).over(last15)
+
+    def ratio_or_one(h):
+        return F.when(n_before >= MIN_HISTORY, F.try_divide(pr, h)).otherwise(F.lit(1.0))
+
+    out = allrows.select(
+        "*",
+        F.coalesce(F.when(prev_ts >= ts - H48_US, F.try_divide(pr - prev_p, prev_p)), F.lit(0.0)).alias("price_change_48h"),
+        ratio_or_one(mn).alias("price_vs_event_min"),
+        ratio_or_one(F.percentile(pv, F.lit(0.5), pf).over(before)).alias("price_vs_event_median"),
+        ratio_or_one(mx).alias("price_vs_event_max"),
+        F.exp(-F.col(d) / F.lit(DECAY_DAYS)).alias("demand_pressure"),
+        F.try_divide(F.lit(1.0), (F.col(d) + 1).cast("double")).alias("urgency_factor"),
+        F.try_divide(F.col(d).cast("double"), F.col("_maxd")).alias("time_to_event_ratio"),
+        cumq.alias("cumulative_quantity"),
+        F.count(F.col(q)).over(week_incl).cast("double").alias("listing_volume_7d"),
+        F.coalesce(F.avg(F.col(q)).over(week_incl), F.lit(0.0)).alias("avg_quantity_7d"),
+        F.coalesce(std7, F.lit(0.0)).alias("price_std_7d"),
+        (std7 / F.when(mean7 == 0, F.lit(EPS)).otherwise(mean7)).alias("price_volatility"),
+        hist_n.alias("event_listing_frequency"),
+        F.when(hist_n > 0, hist_mean).otherwise(pr).alias("event_avg_price"),
+        F.when(hist_n > 1, F.sqrt(hist_var)).when(hist_n == 0, F.lit(0.0)).alias("event_price_std"),
+        rn.alias("prior_listings_count"),
+        ((ts - F.col("_first")) / F.lit(float(US_PER_DAY))).alias("days_since_first_listing"),
+        (((ts if strict else F.col("_last")) - F.col("_first")) / F.lit(float(US_PER_DAY))).alias("event_duration_so_far"),
+        F.when(n_before >= MIN_HISTORY, F.percentile(pv, F.lit(0.2), pf).over(before)).alias("expanding_p20"),
+        F.when(n15 >= MIN_HISTORY, F.stddev_samp(pr).over(last15)).alias("hist_volatility_30d"),
+        F.when((rn >= STABILITY_START) & (stab_mean != 0), stab_std / stab_mean).alias("price_stability_7d"),
+        F.when(rn > 0, cumq - F.coalesce(prev_q, F.lit(0)).cast("double")).otherwise(F.lit(0.0)).alias("prev_cumulative"),
+    ).where(is_core)
+    out = out.select(*src_cols, *[c for c in out.columns if c not in src_cols and not c.startswith("_")])
+    return out.select("*", *_derived_expressions(cols, with_prev_cumulative=False))

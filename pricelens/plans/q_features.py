@@ -134,3 +134,10 @@ _SEL_ALL = ", ".join(["entity", "event_id", "listing_time", *ALL_FEATURES])
                                                       clean=V.DUCK_CLEAN))
 def w_all_features(spark, sf):
     return features(spark, sf).select("entity", "event_id", "listing_time", *ALL_FEATURES)
+
+
+@query("w_all_features_split", rnd=ALL_RND, sql=V.duck_with(DUCK_FEATURES + f"SELECT {_SEL_ALL} FROM features",
+                                                            clean=V.DUCK_CLEAN))
+def w_all_features_split(spark, sf):
+    """Same table through the hot-entity split plan (every entity treated as hot)."""
+    return features(spark, sf, hot_rows=0).select("entity", "event_id", "listing_time", *ALL_FEATURES)

@@ -1,5 +1,6 @@
 """Registered queries: the end-to-end model table, training and scoring, and
-source/sink operators that can run on the driver's tables (S9, P4, P5, S2)."""
+operators that need it or that format, union or upsert tables
+(M1-M6, M11, M12, A2, A24, F10, F12, U1, U3, S9, P4, P5)."""
 
 from __future__ import annotations
 
@@ -42,9 +43,16 @@ def pipeline_model_table(spark, sf):
     return model_table(V.listings(spark, sf), COLS).select(*_TABLE_COLS)
 
 
+_TRAINED: dict = {}
+
+
 def _trained(spark, sf):
-    t = model_table(V.listings(spark, sf), COLS)
-    return train(t, models=ML.small_models(), key=("entity", "event_id"), checkpoint=True)
+    """Small-setting models on the model table; fitted once per session and folder."""
+    k = (id(spark), sf)
+    if k not in _TRAINED:
+        t = model_table(V.listings(spark, sf), COLS)
+        _TRAINED[k] = train(t, models=ML.small_models(), key=("entity", "event_id"), checkpoint=True)
+    return _TRAINED[k]
 
 
 @query("m6_train_and_score")
@@ -101,3 +109,65 @@ def p4_p5_localize(spark, sf):
     return out.select("o_orderkey", "wall", S.localize_status("wall", tz).alias("status"),
                       S.localize("wall", tz).alias("utc"),
                       S.to_zone(S.localize("wall", tz), tz).alias("back"))
+
+
+# A2 / F10 -------------------------------------------------------------------
+@query("a2_trend_maps")
+def a2_trend_maps(spark, sf):
+    """Day -> mean price and day -> count maps under 'All Events' (rows only; long form is A1)."""
+    from ..operators import market as M
+    return M.trend_maps(M.price_trends(V.clean_listings(spark, sf)))
+
+
+@query("f10_trend_maps_long", rnd=("avg_price",), sql=V.duck_with("""
+SELECT 'All Events' AS event_key, days_until_event, avg(price) AS avg_price, count(price) AS ticket_count
+FROM clean GROUP BY days_until_event
+""", clean=V.DUCK_CLEAN))
+def f10_trend_maps_long(spark, sf):
+    """Maps back to parallel columns: the round trip of A2 equals the long trend table."""
+    from ..operators import market as M
+    return M.trend_maps_long(M.trend_maps(M.price_trends(V.clean_listings(spark, sf))))
+
+
+# A24 / U3 / F12 ---------------------------------------------------------------
+@query("a24_importance_table")
+def a24_importance_table(spark, sf):
+    """Mean importance per feature across the trained tree models (rows only)."""
+    from ..operators import profile as P
+    fitted, _, feats = _trained(spark, sf)
+    imp = ML.importances(spark, fitted, feats).select("model", "feature", "importance")
+    return P.importance_table(imp)
+
+
+@query("u3_missing_features")
+def u3_missing_features(spark, sf):
+    """Expected model inputs absent from the model table (empty when complete; rows only)."""
+    from ..operators import clean as C
+    t = model_table(V.listings(spark, sf), COLS)
+    return C.missing_features(spark, _FC, t.columns)
+
+
+@query("f12_display_formats")
+def f12_display_formats(spark, sf):
+    """Money, percent and thousands formats of the savings grid (rows only)."""
+    from .q_model import _scenarios
+    from ..operators import savings as SV
+    s = SV.savings(_scenarios(spark, sf), variant="dashboard")
+    return s.select("c_custkey", "precision", S.fmt_money("model_cost").alias("model_cost_text"),
+                    S.fmt_percent("precision").alias("precision_text"),
+                    S.fmt_thousands("model_tickets").alias("tickets_text"))
+
+
+# U1 -------------------------------------------------------------------------
+@query("u1_union_by_name", sql="""
+SELECT c_custkey AS party_key, c_name AS name, c_nationkey AS nationkey, c_acctbal AS acctbal, c_mktsegment AS segment FROM customer
+UNION ALL
+SELECT s_suppkey, s_name, s_nationkey, s_acctbal, NULL FROM supplier
+""")
+def u1_union_by_name(spark, sf):
+    c = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("party_key"), F.col("c_name").alias("name"),
+                                              F.col("c_nationkey").alias("nationkey"), F.col("c_acctbal").alias("acctbal"),
+                                              F.col("c_mktsegment").alias("segment"))
+    s = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("party_key"), F.col("s_name").alias("name"),
+                                              F.col("s_nationkey").alias("nationkey"), F.col("s_acctbal").alias("acctbal"))
+    return c.unionByName(s, allowMissingColumns=True)
