@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.aggs import nrows, quantile
 from ..schema import DEFAULT_COLS, Cols
-from .profile import scalar_stats
+from .profile import attach_stats
 
 
 def _list(x) -> list[str]:
@@ -88,10 +88,11 @@ def reliable(df: DataFrame, n: str = "n", min_n: int = 5) -> DataFrame:
 # P13 ------------------------------------------------------------------------
 def global_outliers(df: DataFrame, col: str = "price", k: float = 1.5) -> DataFrame:
     """Rows outside [Q1 - k IQR, Q3 + k IQR] of the whole column."""
-    q = scalar_stats(df, q=quantile(col, F.array(F.lit(0.25), F.lit(0.75))))["q"]
+    d, st = attach_stats(df, "_iqr", q=quantile(col, F.array(F.lit(0.25), F.lit(0.75))))
+    q = st["q"]
     iqr = q[1] - q[0]
     v = F.col(col)
-    return df.where((v < q[0] - F.lit(k) * iqr) | (v > q[1] + F.lit(k) * iqr))
+    return d.where((v < q[0] - F.lit(k) * iqr) | (v > q[1] + F.lit(k) * iqr)).drop("_iqr")
 
 
 # P14 / P15 ------------------------------------------------------------------

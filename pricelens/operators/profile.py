@@ -5,7 +5,9 @@ Global statistics (a quantile of the whole column, min/max for bin edges)
 are computed as one-row aggregates used through scalar subqueries
 (``DataFrame.scalar``). Spark runs the subquery as its own job and inlines the
 value, so rows never gather in one task (no ``OVER ()`` window) and no join is
-needed to attach a constant to every row.
+needed to attach a constant to every row. ``attach_stats`` puts all the
+statistics of one operator into a single struct column, so the plan holds
+one subquery however often the expressions refer to it.
 """
 
 from __future__ import annotations
@@ -27,12 +29,22 @@ def _list(x) -> list[str]:
 
 
 def scalar_stats(df: DataFrame, **aggs: Column) -> dict[str, Column]:
-    """Named one-row aggregates of ``df`` as scalar-subquery columns."""
+    """Named one-row aggregates of ``df`` as scalar-subquery columns (for a single use each)."""
     row = df.agg(F.struct(*[a.alias(k) for k, a in aggs.items()]).alias("s"))
     sub = row.scalar()
     return {k: sub.getField(k) for k in aggs}
 
 
+def attach_stats(df: DataFrame, name: str, **aggs: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` plus one struct column ``name`` holding one-row aggregates of ``df``.
+
+    Returns the frame and a column per statistic (fields of ``name``); drop
+    ``name`` when done.
+    """
+    sub = df.agg(F.struct(*[a.alias(k) for k, a in aggs.items()]).alias("s")).scalar()
+    return df.withColumn(name, sub), {k: F.col(f"{name}.{k}") for k in aggs}
+
+
 # A3 / A4 -------------------------------------------------------------------
 def describe_exact(df: DataFrame, col: str, by=None) -> DataFrame:
     """count, mean, std, min, 25 %, 50 %, 75 %, max with exact quantiles."""
@@ -65,14 +77,15 @@ def mean_by(df: DataFrame, by, col: str = "price", name: str = "mean_price") ->
 # F9 / A12 --------------------------------------------------------------------
 def with_cut(df: DataFrame, col: str, bins: int, name: str = "bin") -> DataFrame:
     """Equal-width, right-closed bin number of ``col`` with its edges."""
-    st = scalar_stats(df, lo=F.min(col).cast("double"), hi=F.max(col).cast("double"))
+    d, st = attach_stats(df, "_cut", lo=F.min(col).cast("double"), hi=F.max(col).cast("double"))
     lo, hi = st["lo"], st["hi"]
     w = (hi - lo) / F.lit(float(bins))
     b = cut_right_closed(F.col(col).cast("double"), lo, hi, bins)
-    return (df.withColumn(name, b)
+    return (d.withColumn(name, b)
             .withColumn(f"{name}_lo", F.when(F.col(name) == 1, lo - (hi - lo) * F.lit(0.001))
                         .otherwise(edge(lo, w, F.col(name) - 1)))
-            .withColumn(f"{name}_hi", edge(lo, w, F.col(name))))
+            .withColumn(f"{name}_hi", edge(lo, w, F.col(name)))
+            .drop("_cut"))
 
 
 def pivot_binned(df: DataFrame, rows, col: str = "days_until_event", bins: int = 20,
@@ -89,16 +102,16 @@ def pivot_binned(df: DataFrame, rows, col: str = "days_until_event", bins: int =
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Equal-width histogram; every bin present (zero counts kept); last bin closed."""
     v = F.col(col).cast("double")
-    st = scalar_stats(df, lo=F.min(v), hi=F.max(v))
-    lo, hi = st["lo"], st["hi"]
-    counts = df.select(hist_bin(v, lo, hi, bins).alias("bin")).where("bin IS NOT NULL") \
-        .groupBy("bin").agg(nrows().alias("n"))
-    w = (hi - lo) / F.lit(float(bins))
-    grid = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    grid = grid.where(lo.isNotNull())  # empty input -> no bins
-    out = F.broadcast(grid).join(counts, "bin", "left")  # ``bins`` rows: fixed size
-    return out.select("bin", edge(lo, w, F.col("bin") - 1).alias("bin_lo"),
-                      F.when(F.col("bin") == bins, hi).otherwise(edge(lo, w, F.col("bin"))).alias("bin_hi"),
+    d, st = attach_stats(df.select(v.alias("_v")), "_h", lo=F.min("_v"), hi=F.max("_v"))
+    counts = (d.select(hist_bin(F.col("_v"), st["lo"], st["hi"], bins).alias("bin")).where("bin IS NOT NULL")
+              .groupBy("bin").agg(nrows().alias("n")))
+    # the bin grid: one stats row exploded to ``bins`` rows (fixed size), empty input gives none
+    grid = (df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).where("lo IS NOT NULL")
+            .select("lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")))
+    w = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    out = F.broadcast(grid).join(counts, "bin", "left")
+    return out.select("bin", edge(F.col("lo"), w, F.col("bin") - 1).alias("bin_lo"),
+                      F.when(F.col("bin") == bins, F.col("hi")).otherwise(edge(F.col("lo"), w, F.col("bin"))).alias("bin_hi"),
                       F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
@@ -136,11 +149,13 @@ def with_price_tier(df: DataFrame, col: str = "price", tiers: str = "median") ->
     """'low'/'high' around the median, or 'q1'..'q4' by quartile (upper edges inclusive)."""
     v = F.col(col)
     if tiers == "median":
-        m = scalar_stats(df, m=quantile(v, 0.5))["m"]
-        return df.withColumn("tier", F.when(v <= m, "low").when(v > m, "high"))
-    st = scalar_stats(df, q=quantile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))["q"]
-    return df.withColumn("tier", F.when(v <= st[0], "q1").when(v <= st[1], "q2")
-                         .when(v <= st[2], "q3").when(v > st[2], "q4"))
+        d, st = attach_stats(df, "_tier", m=quantile(v, 0.5))
+        m = st["m"]
+        return d.withColumn("tier", F.when(v <= m, "low").when(v > m, "high")).drop("_tier")
+    d, st = attach_stats(df, "_tier", q=quantile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
+    q = st["q"]
+    return d.withColumn("tier", F.when(v <= q[0], "q1").when(v <= q[1], "q2")
+                        .when(v <= q[2], "q3").when(v > q[2], "q4")).drop("_tier")
 
 
 def price_tier_trend(df: DataFrame, tiers: str = "median", day: str = "days_until_event",
@@ -185,8 +200,8 @@ def box_stats(df: DataFrame, col: str = "price", by=None, k: float = 1.5) -> Dat
         j = df.select(*keys, col).join(q, keys)  # group-level table: AQE picks broadcast or shuffle
         qcol = F.col("_q")
     else:
-        qcol = scalar_stats(df, q=qa)["q"]
-        j = df.select(col)
+        j, st = attach_stats(df.select(col), "_box", q=qa)
+        qcol = st["q"]
     q1, q2, q3 = qcol[0], qcol[1], qcol[2]
     lo_f = q1 - F.lit(k) * (q3 - q1)
     hi_f = q3 + F.lit(k) * (q3 - q1)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import epoch_micros
 from ..schema import DEFAULT_COLS, Cols
 from .clean import split_overlaps
-from .profile import scalar_stats
+from .profile import attach_stats
 
 TRAIN_END = 0.6       # fixed value: share of the time range for training
 VALIDATION_END = 0.8  # fixed value: end of the validation share
@@ -26,7 +26,7 @@ def entity_splits(df: DataFrame, cols: Cols = DEFAULT_COLS, train_end: float = T
     """(entity..., last_listing_time, split) per entity."""
     last = df.groupBy(*cols.entity).agg(F.max(cols.ts).alias("last_listing_time"))
     last = last.withColumn("_last_us", epoch_micros("last_listing_time"))
-    st = scalar_stats(last, lo=F.min("_last_us"), hi=F.max("_last_us"))
+    last, st = attach_stats(last, "_range", lo=F.min("_last_us"), hi=F.max("_last_us"))
     rng = (st["hi"] - st["lo"]).cast("double")
     x = (F.col("_last_us") - st["lo"]).cast("double")
     split = (F.when(x <= rng * F.lit(train_end), "train")
