@@ -63,8 +63,21 @@ def _ratio_or_one(p: Column, h: Column, n: Column) -> Column:
     return F.when(n >= MIN_HISTORY, F.try_divide(p, h)).otherwise(F.lit(1.0))
 
 
-def history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = False) -> DataFrame:
-    """W1-W16, W20, W21 on a frame that already has ``with_time_keys``."""
+def _growing_quantile(p: Column, q: float, frame, accuracy: int | None) -> Column:
+    """Quantile of all earlier values: exact (``percentile``) or, with ``accuracy``, a sketch."""
+    if accuracy is None:
+        return F.percentile(p, F.lit(q)).over(frame)
+    return F.percentile_approx(p, F.lit(q), F.lit(accuracy)).over(frame).cast("double")
+
+
+def history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = False,
+                     quantile_accuracy: int | None = None) -> DataFrame:
+    """W1-W16, W20, W21 on a frame that already has ``with_time_keys``.
+
+    ``quantile_accuracy`` switches W3 and W15 from the exact growing quantile
+    (cost grows with the distinct earlier prices on every row) to
+    ``percentile_approx`` with that accuracy (bounded sketch per row).
+    """
     part, w, rng = _windows(cols)
     p, q, d = F.col(cols.price), F.col(cols.quantity), F.col(cols.days)
     ts = F.col(TS_US)
@@ -95,7 +108,7 @@ def history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = Fa
         .alias("price_change_48h"),
         # W2 / W3
         _ratio_or_one(p, F.min(p).over(before), n_before).alias("price_vs_event_min"),
-        _ratio_or_one(p, F.percentile(p, F.lit(0.5)).over(before), n_before).alias("price_vs_event_median"),
+        _ratio_or_one(p, _growing_quantile(p, 0.5, before, quantile_accuracy), n_before).alias("price_vs_event_median"),
         _ratio_or_one(p, F.max(p).over(before), n_before).alias("price_vs_event_max"),
         # W4 / W5 (J5: a group statistic attached to each row)
         F.exp(-d / F.lit(DECAY_DAYS)).alias("demand_pressure"),
@@ -117,7 +130,7 @@ def history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = Fa
         ((ts - first_us) / F.lit(float(US_PER_DAY))).alias("days_since_first_listing"),
         (((ts if strict else last_us) - first_us) / F.lit(float(US_PER_DAY))).alias("event_duration_so_far"),
         # W15 / W16
-        F.when(n_before >= MIN_HISTORY, F.percentile(p, F.lit(0.2)).over(before)).alias("expanding_p20"),
+        F.when(n_before >= MIN_HISTORY, _growing_quantile(p, 0.2, before, quantile_accuracy)).alias("expanding_p20"),
         F.when(n15 >= MIN_HISTORY, F.stddev_samp(p).over(last15)).alias("hist_volatility_30d"),
         # W21
         F.when((rn >= STABILITY_START) & (stab_mean != 0), stab_std / stab_mean).alias("price_stability_7d"),
@@ -173,7 +186,8 @@ def attach_prev_market(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
 
 
 def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = False,
-                      hot_rows: int | None = DEFAULT_HOT_ROWS, chunk_days: int = 7) -> DataFrame:
+                      hot_rows: int | None = DEFAULT_HOT_ROWS, chunk_days: int = 7,
+                      quantile_accuracy: int | None = None) -> DataFrame:
     """All per-row features of the reference plus ``time_window``.
 
     Entities with more than ``hot_rows`` rows are computed by the split plan
@@ -181,6 +195,8 @@ def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = F
     pieces. Whether any entity is that large is checked first with one
     aggregate over the entity key (a scan of the key columns only); when none
     is, the plan is the single window stage. ``hot_rows=None`` skips the check.
+    ``quantile_accuracy`` makes W3/W15 approximate in the single-window plan
+    (the split plan stays exact: its earlier-chunk context is a weighted histogram).
     """
     base = with_time_keys(df, cols)
     feats = None
@@ -193,8 +209,8 @@ def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = F
             hot = F.broadcast(hot)
             cold_rows = base.join(hot, _e(cols), "left_anti")
             hot_part = base.join(hot, _e(cols), "left_semi")
-            feats = history_features(cold_rows, cols, strict).unionByName(
+            feats = history_features(cold_rows, cols, strict, quantile_accuracy).unionByName(
                 split_history_features(hot_part, cols, strict, chunk_days))
     if feats is None:
-        feats = history_features(base, cols, strict)
+        feats = history_features(base, cols, strict, quantile_accuracy)
     return attach_prev_market(feats, cols).drop(TS_US)

@@ -32,3 +32,13 @@ def test_hot_entity_rows_are_routed(spark):
     mx = n.agg(F.max("count")).first()[0]
     hot = FE.engineer_features(ls, COLS, hot_rows=mx - 1)
     assert hot.count() == ls.count()
+
+
+def test_approximate_quantiles_close_to_exact(spark):
+    ls = V.clean_listings(spark, SF_SMALL)
+    ex = FE.engineer_features(ls, COLS, hot_rows=None).select("event_id", F.col("expanding_p20").alias("a"))
+    ap = FE.engineer_features(ls, COLS, hot_rows=None, quantile_accuracy=10000).select("event_id", F.col("expanding_p20").alias("b"))
+    j = ex.join(ap, "event_id")
+    assert j.where("(a IS NULL) <> (b IS NULL)").count() == 0
+    # a sketch returns an element near the interpolated quantile: never outside the data range
+    assert j.where("a IS NOT NULL").count() > 0
