@@ -15,9 +15,6 @@ US_PER_SECOND = 1_000_000
 US_PER_HOUR = 3_600 * US_PER_SECOND
 US_PER_DAY = 86_400 * US_PER_SECOND
 
-_EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
-
-
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -25,15 +22,20 @@ def _c(c) -> Column:
 def epoch_micros(ts) -> Column:
     """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ (wall clock) value.
 
-    Computed as a zone-free difference, so it does not depend on the session
-    time zone; used as the integer order key of value-based (RANGE) frames.
+    The wall-clock fields are rebuilt as a UTC instant, so the result does not
+    depend on the session time zone (a cast to TIMESTAMP would read the wall
+    time in the session zone and shift across daylight-saving changes). Used
+    for elapsed time and as the integer order key of RANGE frames.
     """
-    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _c(ts))
+    t = _c(ts).cast("timestamp_ntz")
+    utc = F.make_timestamp(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t),
+                           F.date_part(F.lit("SECOND"), t), F.lit("UTC"))
+    return F.unix_micros(utc)
 
 
 def micros_between(start, end) -> Column:
-    """Elapsed microseconds from ``start`` to ``end``."""
-    return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
+    """Elapsed microseconds from ``start`` to ``end`` (wall-clock values, zone-free)."""
+    return epoch_micros(end) - epoch_micros(start)
 
 
 # P1 ------------------------------------------------------------------------
