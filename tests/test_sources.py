@@ -145,3 +145,21 @@ def test_elapsed_time_is_zone_free(spark):
         assert d.select(micros_between("a", "b")).first()[0] == 2 * 3600 * 10**6
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_clean_raw_listings_pipeline(spark, tmpdir_path):
+    from pricelens.plans.pipeline import clean_raw_listings
+    base = {"timestamp": "10-01-22 / 07:15 PM", "zone": "GA", "section": "GA1", "row": "", "quantity": 2, "price": 50}
+    rows = [dict(base, price=50 + i) for i in range(8)]
+    rows += [dict(base), dict(base, price=5000),                 # exact duplicate, price outlier
+             dict(base, zone="Floor General Admission", section="NMRES 2", price=52.5),
+             dict(base, zone="Balcony", price=51.5),               # zone outside the kept list
+             dict(base, section="Grnzone", price=53.5),            # dropped section
+             dict(base, quantity=0, price=54.5)]                   # invalid quantity
+    write(tmpdir_path, "Show221022.json", rows)
+    out = clean_raw_listings(L.read_listing_json(spark, tmpdir_path)).collect()
+    prices = sorted(r["price"] for r in out)
+    assert prices == [50.0, 51.0, 52.0, 52.5, 53.0, 54.0, 55.0, 56.0, 57.0]  # outlier, Balcony, Grnzone, qty 0 gone
+    assert all(r["section"] == "General Admission" for r in out)
+    assert {r["zone"] for r in out} == {"general admission"}
+    assert all(r["entity"] == "Show" for r in out)
