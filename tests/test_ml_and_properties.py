@@ -83,3 +83,24 @@ def test_label_share_at_least_20_percent(spark):
     lab = LB.with_good_deal_label(V.clean_listings(spark, SF_SMALL), COLS)
     g = lab.groupBy("entity", "time_window").agg(F.avg("is_good_deal").alias("share"), F.count(F.lit(1)).alias("n"))
     assert g.where("n >= 5 AND share < 0.2").count() == 0
+
+
+def test_run_workflow(spark, tmpdir_path):
+    import json
+    from pricelens.plans.pipeline import run_workflow
+    raw = os.path.join(tmpdir_path, "raw")
+    os.makedirs(raw)
+    base = dt.datetime(2022, 9, 1, 19, 0)
+    # last listing times at 0, 0.6, 0.8 and 1.0 of the range: one entity per split at least
+    for e, day, n in (("Alpha", "221001", 40), ("Beta", "221015", 52), ("Gamma", "221101", 56), ("Delta", "221105", 60)):
+        rows = [{"timestamp": (base + dt.timedelta(hours=7 * i)).strftime("%m-%d-%y / %I:%M %p"), "zone": "GA",
+                 "section": "GA", "row": "", "quantity": 1 + i % 3, "price": 40 + (i * 7) % 23} for i in range(n)]
+        with open(os.path.join(raw, f"{e}{day}.json"), "w") as f:
+            json.dump(rows, f)
+    paths = run_workflow(spark, raw, os.path.join(tmpdir_path, "out"), models=ML.small_models(trees=4, depth=3), select=None)
+    doc = json.loads(spark.read.text(paths["model_metrics"]).first()["value"])
+    assert "ensemble" in doc and set(doc["ensemble"]) <= {"validation", "test"}
+    meta = json.loads(spark.read.text(paths["metadata"]).first()["value"])
+    assert len(meta["feature_columns"]) == 24
+    viz = json.loads(spark.read.text(paths["visualization_data"]).first()["value"])
+    assert "All Events" in viz["event_stats"]
