@@ -6,10 +6,11 @@ table; no step gathers a whole group of rows in one task:
 
 * AUC and ROC need, for every distinct score, the positives and negatives
   ranked above it. Rows are first reduced to distinct scores; the running sums
-  are then split by score range (``SCORE_BUCKETS`` buckets): bucket totals are
-  summed over a tiny bucket table, and the running sum inside a bucket runs
-  per (group, bucket) window. The largest window partition is one bucket of
-  distinct scores.
+  are then split into ``SCORE_BUCKETS`` score ranges whose edges are
+  approximate quantiles of the distinct scores (so each range holds about the
+  same number of distinct scores however the scores pile up near 0 or 1).
+  Range totals are summed over a tiny table, and the running sum inside a
+  range runs per (group, range) window.
 * The threshold search maps each row to the last grid threshold at or below
   its score, so the grid is applied to a <= 91-row table per group instead of
   to every row.
@@ -59,13 +60,26 @@ def _div0(a, b):
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
+def with_score_bucket(d: DataFrame, col: str = "probability", buckets: int = SCORE_BUCKETS) -> DataFrame:
+    """``_b``: index of the quantile range of ``col`` (edges from one approximate-quantile job).
+
+    The edges list has at most ``buckets`` values (collected: bounded), and the
+    bucket lookup is a binary search on the JVM (``Bucketizer``).
+    """
+    from pyspark.ml.feature import Bucketizer
+    probs = [i / buckets for i in range(1, buckets)]
+    edges = d.approxQuantile(col, probs, 1.0 / (4 * buckets)) if buckets > 1 else []
+    splits = [float("-inf")] + sorted({e for e in edges if e is not None}) + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol=col, outputCol="_bd", handleInvalid="keep")
+    return b.transform(d).withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
+
+
 def _score_ranks(scores: DataFrame, by) -> DataFrame:
     """Per (group, distinct probability): n_pos, n_neg and the positives/negatives scored higher."""
     by = _g(by)
     d = scores.groupBy(*by, "probability").agg(
         F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") != 1).alias("n_neg"))
-    d = d.withColumn("_b", F.least(F.lit(SCORE_BUCKETS - 1),
-                                   F.greatest(F.lit(0), F.floor(F.col("probability") * SCORE_BUCKETS).cast("int"))))
+    d = with_score_bucket(d)
     bt = d.groupBy(*by, "_b").agg(F.sum("n_pos").alias("_bp"), F.sum("n_neg").alias("_bn"))
     above = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select(*by, "_b", F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_pos_hi_b"),
