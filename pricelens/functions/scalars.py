@@ -69,6 +69,17 @@ def parse_date_or_null(c, fmt: str | None = None) -> Column:
 
 
 # P4 / P5 -------------------------------------------------------------------
+# Zone arithmetic uses ``convert_timezone`` on wall-clock (TIMESTAMP_NTZ) values
+# with explicit source and target zones, so no result depends on the session
+# time zone.
+def _wall_to_utc(wall, tz: str) -> Column:
+    return F.convert_timezone(F.lit(tz), F.lit("UTC"), _c(wall).cast("timestamp_ntz"))
+
+
+def _utc_to_wall(utc, tz: str) -> Column:
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), _c(utc).cast("timestamp_ntz"))
+
+
 def localize(wall, tz: str) -> Column:
     """Wall time in zone ``tz`` to the UTC instant (as TIMESTAMP_NTZ in UTC).
 
@@ -76,27 +87,24 @@ def localize(wall, tz: str) -> Column:
     wall times (the skipped spring hour) also give null; ``localize_status``
     tells them apart so callers can raise or route them to a reject table.
     """
-    st = localize_status(wall, tz)
-    utc = F.to_utc_timestamp(_c(wall).cast("timestamp"), tz)
-    return F.when(st == F.lit("ok"), utc.cast("timestamp_ntz"))
+    return F.when(localize_status(wall, tz) == F.lit("ok"), _wall_to_utc(wall, tz))
 
 
 def localize_status(wall, tz: str) -> Column:
     """'ok', 'ambiguous' or 'nonexistent' for a wall time in zone ``tz``."""
-    t = _c(wall).cast("timestamp")
-    u = F.to_utc_timestamp(t, tz)
+    t = _c(wall).cast("timestamp_ntz")
+    u = _wall_to_utc(t, tz)
     one_h = F.expr("INTERVAL 1 HOUR")
-    back = F.from_utc_timestamp(u, tz)
-    amb = (F.from_utc_timestamp(u - one_h, tz) == t) | (F.from_utc_timestamp(u + one_h, tz) == t)
+    amb = (_utc_to_wall(u - one_h, tz) == t) | (_utc_to_wall(u + one_h, tz) == t)
     return (F.when(t.isNull(), F.lit(None))
-            .when(back != t, F.lit("nonexistent"))
+            .when(_utc_to_wall(u, tz) != t, F.lit("nonexistent"))
             .when(amb, F.lit("ambiguous"))
             .otherwise(F.lit("ok")))
 
 
 def to_zone(utc_ntz, tz: str) -> Column:
-    """UTC instant to wall time in ``tz``."""
-    return F.from_utc_timestamp(_c(utc_ntz).cast("timestamp"), tz).cast("timestamp_ntz")
+    """UTC instant (TIMESTAMP_NTZ in UTC) to wall time in ``tz``."""
+    return _utc_to_wall(utc_ntz, tz)
 
 
 # P6 / P7 -------------------------------------------------------------------

@@ -98,9 +98,24 @@ def s9_keyed_upsert(spark, sf):
 
 
 # P4 / P5 --------------------------------------------------------------------
-@query("p4_p5_localize")
+_NY = "'America/New_York'"
+
+
+@query("p4_p5_localize", sql=f"""
+WITH w AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL '90 minutes'
+                                   ELSE o_orderdate + INTERVAL '150 minutes' END AS wall FROM orders),
+u AS (SELECT *, timezone('UTC', timezone({_NY}, wall)) AS u FROM w),
+s AS (SELECT *, CASE WHEN wall IS NULL THEN NULL
+                     WHEN timezone({_NY}, timezone('UTC', u)) <> wall THEN 'nonexistent'
+                     WHEN timezone({_NY}, timezone('UTC', u - INTERVAL 1 HOUR)) = wall
+                       OR timezone({_NY}, timezone('UTC', u + INTERVAL 1 HOUR)) = wall THEN 'ambiguous'
+                     ELSE 'ok' END AS status FROM u)
+SELECT o_orderkey, wall, status, CASE WHEN status = 'ok' THEN u END AS utc,
+       CASE WHEN status = 'ok' THEN timezone({_NY}, timezone('UTC', u)) END AS back
+FROM s
+""")
 def p4_p5_localize(spark, sf):
-    """Order dates at 01:30 or 02:30 New York wall time: DST gaps and repeats (rows only)."""
+    """Order dates at 01:30 or 02:30 New York wall time: DST gaps and repeats."""
     o = V.table(spark, sf, "orders")
     wall = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate") + F.expr("INTERVAL '1:30' HOUR TO MINUTE")) \
         .otherwise(F.col("o_orderdate") + F.expr("INTERVAL '2:30' HOUR TO MINUTE"))
