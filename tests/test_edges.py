@@ -202,3 +202,19 @@ def test_savings_golden(spark):
 def test_reference_baseline_savings_per_ticket():
     # 100.70 - (0.6230 * 63.04 + 0.3770 * 100.70) = 23.46 (reference README figure)
     assert round(100.70 - (0.6230 * 63.04 + 0.3770 * 100.70), 2) == 23.46
+
+
+@pytest.mark.parametrize("session_tz", ["America/Los_Angeles", "Europe/Berlin", "Asia/Kolkata", "America/New_York"])
+def test_zone_functions_ignore_session_zone(spark, session_tz):
+    df = spark.createDataFrame([(dt.datetime(2022, 11, 6, 1, 30),), (dt.datetime(2022, 3, 13, 2, 30),),
+                                (dt.datetime(2022, 6, 1, 12, 0),)], "w timestamp_ntz")
+    tz = "America/New_York"
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", session_tz)
+        r = df.select(S.localize_status("w", tz).alias("s"), S.localize("w", tz).alias("u"),
+                      S.to_zone(S.localize("w", tz), tz).alias("b")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert [x["s"] for x in r] == ["ambiguous", "nonexistent", "ok"]
+    assert r[2]["u"] == dt.datetime(2022, 6, 1, 16, 0) and r[2]["b"] == dt.datetime(2022, 6, 1, 12, 0)
