@@ -63,21 +63,45 @@ def _ratio_or_one(p: Column, h: Column, n: Column) -> Column:
     return F.when(n >= MIN_HISTORY, F.try_divide(p, h)).otherwise(F.lit(1.0))
 
 
+QUANTILES = {"_q50": 0.5, "_q20": 0.2}  # W3 median and W15 20 % quantile of earlier prices
+
+
 def _growing_quantile(p: Column, q: float, frame, accuracy: int | None) -> Column:
-    """Quantile of all earlier values: exact (``percentile``) or, with ``accuracy``, a sketch."""
+    """Quantile of all earlier values as a window aggregate: exact or, with ``accuracy``, a sketch."""
     if accuracy is None:
         return F.percentile(p, F.lit(q)).over(frame)
     return F.percentile_approx(p, F.lit(q), F.lit(accuracy)).over(frame).cast("double")
 
 
+def attach_growing_quantiles(feats: DataFrame, rows: DataFrame, cols: Cols, group: list[str] | None = None,
+                             context: DataFrame | None = None) -> DataFrame:
+    """W3 and W15 from :func:`quantiles.growing_quantiles`, joined on (group, time, tie-break).
+
+    ``feats`` carries ``_n_before`` (earlier non-null prices) from the window stage.
+    """
+    from .quantiles import growing_quantiles
+    group = group or _e(cols)
+    order = [TS_US, *cols.tiebreak]
+    q = growing_quantiles(rows, group, order, cols.price, QUANTILES, context)
+    p, n = F.col(cols.price), F.col("_n_before")
+    out = feats.join(q, [*group, *order], "left")
+    return out.select(
+        *[c for c in feats.columns if c != "_n_before"],
+        _ratio_or_one(p, F.col("_q50"), n).alias("price_vs_event_median"),
+        F.when(n >= MIN_HISTORY, F.col("_q20")).alias("expanding_p20"))
+
+
 def history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = False,
-                     quantile_accuracy: int | None = None) -> DataFrame:
+                     quantile_accuracy: int | None = None, quantiles: str = "index") -> DataFrame:
     """W1-W16, W20, W21 on a frame that already has ``with_time_keys``.
 
-    ``quantile_accuracy`` switches W3 and W15 from the exact growing quantile
-    (cost grows with the distinct earlier prices on every row) to
-    ``percentile_approx`` with that accuracy (bounded sketch per row).
+    W3 and W15 (quantiles of all earlier prices) come from the growing-quantile
+    operator (``quantiles="index"``, exact, O(log^2) per row). ``"window"``
+    uses Spark's ``percentile`` over the growing frame instead (exact, but it
+    re-sorts the earlier prices on every row), and ``quantile_accuracy`` a
+    ``percentile_approx`` sketch over that frame.
     """
+    in_window = quantiles == "window" or quantile_accuracy is not None
     part, w, rng = _windows(cols)
     p, q, d = F.col(cols.price), F.col(cols.quantity), F.col(cols.days)
     ts = F.col(TS_US)
@@ -106,9 +130,10 @@ def history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = Fa
         # Latest earlier row, used when at most 48 h old
         F.coalesce(F.when(prev_ts >= ts - H48_US, F.try_divide(p - prev_p, prev_p)), F.lit(0.0))
         .alias("price_change_48h"),
-        # W2 / W3
+        # W2 / W3 (W3 here only in window mode)
         _ratio_or_one(p, F.min(p).over(before), n_before).alias("price_vs_event_min"),
-        _ratio_or_one(p, _growing_quantile(p, 0.5, before, quantile_accuracy), n_before).alias("price_vs_event_median"),
+        *([_ratio_or_one(p, _growing_quantile(p, 0.5, before, quantile_accuracy), n_before)
+           .alias("price_vs_event_median")] if in_window else [n_before.alias("_n_before")]),
         _ratio_or_one(p, F.max(p).over(before), n_before).alias("price_vs_event_max"),
         # W4 / W5 (J5: a group statistic attached to each row)
         F.exp(-d / F.lit(DECAY_DAYS)).alias("demand_pressure"),
@@ -129,12 +154,15 @@ def history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = Fa
         rn.alias("prior_listings_count"),
         ((ts - first_us) / F.lit(float(US_PER_DAY))).alias("days_since_first_listing"),
         (((ts if strict else last_us) - first_us) / F.lit(float(US_PER_DAY))).alias("event_duration_so_far"),
-        # W15 / W16
-        F.when(n_before >= MIN_HISTORY, _growing_quantile(p, 0.2, before, quantile_accuracy)).alias("expanding_p20"),
+        # W15 (window mode) / W16
+        *([F.when(n_before >= MIN_HISTORY, _growing_quantile(p, 0.2, before, quantile_accuracy))
+           .alias("expanding_p20")] if in_window else []),
         F.when(n15 >= MIN_HISTORY, F.stddev_samp(p).over(last15)).alias("hist_volatility_30d"),
         # W21
         F.when((rn >= STABILITY_START) & (stab_mean != 0), stab_std / stab_mean).alias("price_stability_7d"),
     )
+    if not in_window:
+        out = attach_growing_quantiles(out, df, cols)
     return _derived(out, cols)
 
 
@@ -187,7 +215,7 @@ def attach_prev_market(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
 
 def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = False,
                       hot_rows: int | None = DEFAULT_HOT_ROWS, chunk_days: int = 7,
-                      quantile_accuracy: int | None = None) -> DataFrame:
+                      quantile_accuracy: int | None = None, quantiles: str = "index") -> DataFrame:
     """All per-row features of the reference plus ``time_window``.
 
     Entities with more than ``hot_rows`` rows are computed by the split plan
@@ -195,8 +223,9 @@ def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = F
     pieces. Whether any entity is that large is checked first with one
     aggregate over the entity key (a scan of the key columns only); when none
     is, the plan is the single window stage. ``hot_rows=None`` skips the check.
-    ``quantile_accuracy`` makes W3/W15 approximate in the single-window plan
-    (the split plan stays exact: its earlier-chunk context is a weighted histogram).
+    ``quantiles`` / ``quantile_accuracy`` choose how W3/W15 are computed in the
+    single-window plan (see :func:`history_features`); the split plan always
+    uses the growing-quantile operator with the earlier chunks as context.
     """
     base = with_time_keys(df, cols)
     feats = None
@@ -209,8 +238,8 @@ def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = F
             hot = F.broadcast(hot)
             cold_rows = base.join(hot, _e(cols), "left_anti")
             hot_part = base.join(hot, _e(cols), "left_semi")
-            feats = history_features(cold_rows, cols, strict, quantile_accuracy).unionByName(
+            feats = history_features(cold_rows, cols, strict, quantile_accuracy, quantiles).unionByName(
                 split_history_features(hot_part, cols, strict, chunk_days))
     if feats is None:
-        feats = history_features(base, cols, strict, quantile_accuracy)
+        feats = history_features(base, cols, strict, quantile_accuracy, quantiles)
     return attach_prev_market(feats, cols).drop(TS_US)

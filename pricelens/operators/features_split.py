@@ -3,15 +3,17 @@ computed in (entity, chunk) window partitions instead of one partition per entit
 
 An entity with a third of all rows would otherwise be one task. Here its rows
 are cut into time chunks (default: the 7-day buckets of W17) and each chunk is
-its own window partition, with four kinds of rows:
+its own window partition, with three kinds of rows:
 
 * role 0, core: the chunk's own rows (the only rows that produce output);
 * role 1, halo: every row of the ``K = ceil(7 d / chunk)`` previous chunks, so
   the 7-day frames (W7, W8, W21) and the 48-hour lag (W1) see all they need;
 * role 2, tail: the latest ``TAIL`` rows before the chunk that the halo lacks,
-  so the last-15-rows frame (W16) is complete after sparse chunks;
-* role 3, histogram: one row per distinct earlier price with its count, so the
-  exact growing quantiles (W3, W15) run as a weighted ``percentile``.
+  so the last-15-rows frame (W16) is complete after sparse chunks.
+
+The exact growing quantiles (W3, W15) come from the growing-quantile operator
+run per (entity, chunk), with one context row per distinct earlier price and
+its count (the cumulative histogram of the earlier chunks).
 
 Everything that sums over all earlier rows (counts, minimum, maximum,
 quantity, price moments) is the sum of a prefix over a small per-chunk
@@ -33,10 +35,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import US_PER_DAY
 from ..schema import DEFAULT_COLS, Cols
 from .features import (DECAY_DAYS, EPS, H48_US, MIN_HISTORY, STABILITY_START, TS_US, WEEK_US,
-                       _derived_expressions)
+                       _derived_expressions, attach_growing_quantiles)
 
-TAIL = 15                 # rows of the W16 frame
-SENTINEL_US = -(1 << 60)  # order key of histogram rows: before every real row, far from overflow
+TAIL = 15  # rows of the W16 frame
 
 
 def split_history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = False,
@@ -98,11 +99,9 @@ def split_history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: boo
                  F.coalesce(F.lead("_k").over(wv), F.col("_kmax")).alias("_kend"))
     hist = (h.where(F.col("_k") < F.col("_kend"))
             .select(*E, F.col(p).alias("_hv"), "_hf", F.explode(F.sequence(F.col("_k") + 1, F.col("_kend"))).alias("_kt"))
-            .join(kmap.withColumnRenamed("_k", "_kt"), [*E, "_kt"]).drop("_kt")
-            .withColumn(TS_US, F.lit(SENTINEL_US)).withColumn("_role", F.lit(3)))
+            .join(kmap.withColumnRenamed("_k", "_kt"), [*E, "_kt"]).drop("_kt"))
 
-    allrows = core.unionByName(halo, allowMissingColumns=True).unionByName(tails, allowMissingColumns=True) \
-        .unionByName(hist, allowMissingColumns=True)
+    allrows = core.unionByName(halo, allowMissingColumns=True).unionByName(tails, allowMissingColumns=True)
     allrows = allrows.join(summ.drop("_k"), [*E, "_c"], "left")
 
     part = Window.partitionBy(*E, "_c")
@@ -118,8 +117,6 @@ def split_history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: boo
     pc = F.when(is_core, F.col(p))
     qc = F.when(is_core, F.col(q))
     shc = F.when(is_core, F.col(p) - F.col("_K"))
-    pv = F.when(is_core, F.col(p)).when(F.col("_role") == 3, F.col("_hv"))
-    pf = F.when(is_core, F.lit(1)).when(F.col("_role") == 3, F.col("_hf")).cast("long")
     pr, ts = F.col(p), F.col(TS_US)
 
     n_before = F.col("_Pnp") + F.count(pc).over(before)
@@ -145,7 +142,7 @@ def split_history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: boo
         "*",
         F.coalesce(F.when(prev_ts >= ts - H48_US, F.try_divide(pr - prev_p, prev_p)), F.lit(0.0)).alias("price_change_48h"),
         ratio_or_one(mn).alias("price_vs_event_min"),
-        ratio_or_one(F.percentile(pv, F.lit(0.5), pf).over(before)).alias("price_vs_event_median"),
+        n_before.alias("_n_before"),
         ratio_or_one(mx).alias("price_vs_event_max"),
         F.exp(-F.col(d) / F.lit(DECAY_DAYS)).alias("demand_pressure"),
         F.try_divide(F.lit(1.0), (F.col(d) + 1).cast("double")).alias("urgency_factor"),
@@ -161,10 +158,11 @@ def split_history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: boo
         rn.alias("prior_listings_count"),
         ((ts - F.col("_first")) / F.lit(float(US_PER_DAY))).alias("days_since_first_listing"),
         (((ts if strict else F.col("_last")) - F.col("_first")) / F.lit(float(US_PER_DAY))).alias("event_duration_so_far"),
-        F.when(n_before >= MIN_HISTORY, F.percentile(pv, F.lit(0.2), pf).over(before)).alias("expanding_p20"),
         F.when(n15 >= MIN_HISTORY, F.stddev_samp(pr).over(last15)).alias("hist_volatility_30d"),
         F.when((rn >= STABILITY_START) & (stab_mean != 0), stab_std / stab_mean).alias("price_stability_7d"),
         F.when(rn > 0, cumq - F.coalesce(prev_q, F.lit(0)).cast("double")).otherwise(F.lit(0.0)).alias("prev_cumulative"),
     ).where(is_core)
-    out = out.select(*src_cols, *[c for c in out.columns if c not in src_cols and not c.startswith("_")])
+    out = out.select(*src_cols, "_c", "_n_before",
+                     *[c for c in out.columns if c not in src_cols and not c.startswith("_")])
+    out = attach_growing_quantiles(out, base, cols, group=[*E, "_c"], context=hist).drop("_c")
     return out.select("*", *_derived_expressions(cols, with_prev_cumulative=False))
