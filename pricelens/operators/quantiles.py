@@ -119,6 +119,113 @@ def prefix_quantiles(values: np.ndarray, prefix: np.ndarray, qs: Sequence[float]
     return total, out
 
 
+def _row_hash(frame: pd.DataFrame) -> np.ndarray:
+    """Per-row hash of key columns (nulls hash equal), to find runs of equal keys."""
+    return pd.util.hash_pandas_object(frame, index=False).to_numpy()
+
+
+def _batch_quantiles(pdf: pd.DataFrame, group: list[str], order: list[str], names: list[str],
+                     probs: list[float]) -> pd.DataFrame:
+    """Growing quantiles for every group in ``pdf`` at once (groups complete, any order)."""
+    pdf = pdf.sort_values([*group, "_role", *order], kind="stable", ignore_index=True)
+    gchg = np.ones(len(pdf), dtype=bool)
+    if len(pdf) > 1:
+        gh = _row_hash(pdf[group])
+        gchg[1:] = gh[1:] != gh[:-1]
+    gid_all = np.cumsum(gchg) - 1
+    ng = int(gid_all[-1]) + 1 if len(pdf) else 0
+    is_core = (pdf["_role"] == 0).to_numpy()
+    core = pdf[is_core]
+    gid = gid_all[is_core]
+    cg = gid_all[~is_core]
+    cv = pdf["_hv"][~is_core].to_numpy(dtype=np.float64)
+    cc = pdf["_hf"][~is_core].to_numpy(dtype=np.int64)
+    v = core["_v"].to_numpy(dtype=np.float64)
+    nn = ~np.isnan(v)
+    # non-null values before each row, counted over the whole batch (groups are contiguous)
+    before = np.cumsum(nn) - nn
+    start = np.zeros(ng, dtype=np.int64)
+    firsts = np.ones(len(core), dtype=bool)
+    firsts[1:] = gid[1:] != gid[:-1]
+    start[gid[firsts]] = before[firsts]
+    s_g = start[gid]
+    # rows whose order key ties with the previous row share its prefix
+    tie_first = firsts.copy()
+    if len(core) > 1:
+        oh = _row_hash(core[order])
+        tie_first[1:] |= oh[1:] != oh[:-1]
+    run = np.cumsum(tie_first) - 1
+    prefix = before[tie_first][run]
+    # composite (group, value) ranks for values and context
+    pg = np.concatenate((gid[nn], cg))
+    pv = np.concatenate((v[nn], cv))
+    srt = np.lexsort((pv, pg))
+    new = np.ones(len(srt), dtype=bool)
+    new[1:] = (pg[srt][1:] != pg[srt][:-1]) | (pv[srt][1:] != pv[srt][:-1])
+    rank_sorted = np.cumsum(new) - 1
+    rank = np.empty(len(srt), dtype=np.int64)
+    rank[srt] = rank_sorted
+    sigma = int(rank_sorted[-1]) + 1 if len(srt) else 0
+    dom_v = pv[srt][new]
+    dom_g = pg[srt][new]
+    vr = rank[: int(nn.sum())]
+    cr = rank[int(nn.sum()):]
+    ctx_tot = np.zeros(ng, dtype=np.int64)
+    np.add.at(ctx_tot, cg, cc)
+    total = prefix - s_g + ctx_tot[gid]
+    out = core[group + order].copy()
+    if sigma == 0:
+        for n in names:
+            out[n] = np.nan
+        return out[tie_first]
+    bits = max(1, int(sigma).bit_length())
+    levels = _wavelet(vr.astype(np.int64), bits)
+    hc = np.zeros(sigma, dtype=np.int64)
+    np.add.at(hc, cr, cc)
+    hcum = np.cumsum(hc)
+    lo_g = np.searchsorted(dom_g, np.arange(ng), side="left")
+    hi_g = np.searchsorted(dom_g, np.arange(ng), side="right") - 1
+    glo, ghi = lo_g[gid], hi_g[gid]
+    hbase = np.where(glo > 0, hcum[np.maximum(glo - 1, 0)], 0)
+    steps = int(sigma).bit_length() + 1
+    has_ctx = len(cg) > 0
+
+    def kth(k):
+        if not has_ctx:
+            kk = k + s_g
+            lo = np.zeros(len(k), dtype=np.int64)
+            hi = prefix.astype(np.int64)
+            val = np.zeros(len(k), dtype=np.int64)
+            for b, zp, nz in levels:
+                zl, zr = zp[lo], zp[hi]
+                zeros = zr - zl
+                one = kk >= zeros
+                kk = np.where(one, kk - zeros, kk)
+                lo = np.where(one, nz + (lo - zl), zl)
+                hi = np.where(one, nz + (hi - zr), zr)
+                val |= one.astype(np.int64) << b
+            return dom_v[np.clip(val, 0, sigma - 1)]
+        lo, hi = glo.copy(), np.maximum(ghi, glo)
+        for _ in range(steps):
+            mid = (lo + hi) // 2
+            cnt = hcum[mid] - hbase + _count_le(levels, prefix, mid) - s_g
+            ok = cnt >= k + 1
+            hi = np.where(ok, mid, hi)
+            lo = np.where(ok, lo, mid + 1)
+        return dom_v[np.clip(lo, 0, sigma - 1)]
+
+    safe = np.maximum(total, 1)
+    for n, q in zip(names, probs):
+        pos = q * (safe - 1)
+        lower, higher = np.floor(pos), np.ceil(pos)
+        kl = np.minimum(lower.astype(np.int64), safe - 1)
+        kh = np.minimum(higher.astype(np.int64), safe - 1)
+        vlo, vhi = kth(kl), kth(kh)
+        val = np.where(higher == lower, vlo, (higher - pos) * vlo + (pos - lower) * vhi)
+        out[n] = np.where(total > 0, val, np.nan)
+    return out[tie_first]
+
+
 def growing_quantiles(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str,
                       qs: dict[str, float], context: DataFrame | None = None) -> DataFrame:
     """One row per distinct (group, order): quantiles of the group's values strictly before it.
@@ -126,6 +233,10 @@ def growing_quantiles(df: DataFrame, group: Sequence[str], order: Sequence[str],
     ``context`` (optional): rows (group..., ``_hv`` value, ``_hf`` count) of
     values that precede every row of their group (earlier chunks of a hot
     entity). Output columns: group, order, one double per name in ``qs``.
+
+    Rows are hash-partitioned by group and sorted inside each partition; each
+    task then streams its Arrow batches, carrying an unfinished last group to
+    the next batch, and answers every row of a batch in one vectorised pass.
     """
     group, order = list(group), list(order)
     rows = df.select(*group, *order, F.col(value).cast("double").alias("_v"),
@@ -141,22 +252,21 @@ def growing_quantiles(df: DataFrame, group: Sequence[str], order: Sequence[str],
     names = list(qs)
     probs = [qs[n] for n in names]
 
-    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        core = pdf[pdf["_role"] == 0].sort_values(order, kind="stable")
-        ctx = pdf[pdf["_role"] == 1]
-        v = core["_v"].to_numpy(dtype=np.float64)
-        notnull = ~np.isnan(v)
-        before = np.concatenate(([0], np.cumsum(notnull)[:-1])) if len(v) else np.zeros(0, dtype=np.int64)
-        # tied order keys share the prefix of the first of them
-        keys = core[order]
-        first = ~keys.duplicated(keep="first").to_numpy()
-        grp = np.cumsum(first) - 1
-        pref = before[first][grp] if len(v) else before
-        _, res = prefix_quantiles(v[notnull], pref.astype(np.int64), probs,
-                                  ctx["_hv"].to_numpy(dtype=np.float64), ctx["_hf"].to_numpy(dtype=np.int64))
-        out = core[group + order].copy()
-        for n, r in zip(names, res):
-            out[n] = r
-        return out.drop_duplicates(subset=order, keep="first")
-
-    return rows.groupBy(*group).applyInPandas(per_group, schema=out_schema)
+    def per_partition(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            gh = _row_hash(pdf[group])
+            in_last = gh == gh[-1]
+            carry = pdf[in_last]
+            done = pdf[~in_last]
+            if len(done):
+                yield _batch_quantiles(done, group, order, names, probs)
+        if carry is not None and len(carry):
+            yield _batch_quantiles(carry, group, order, names, probs)
+
+    parts = rows.repartition(*group).sortWithinPartitions(*group)
+    return parts.mapInPandas(per_partition, schema=out_schema)
