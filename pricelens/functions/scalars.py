@@ -63,9 +63,10 @@ def parse_or_null(c, fmt: str | None = None) -> Column:
 
 
 def parse_date_or_null(c, fmt: str | None = None) -> Column:
+    """Lenient date parse: text that does not parse becomes null."""
     if fmt is None:
         return _c(c).try_cast("date")
-    return F.try_to_date(_c(c), F.lit(fmt)) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(_c(c), F.lit(fmt)))
+    return F.to_date(F.try_to_timestamp(_c(c), F.lit(fmt)))
 
 
 # P4 / P5 -------------------------------------------------------------------

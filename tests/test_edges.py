@@ -1,10 +1,8 @@
 """Hand-computed edge cases."""
 
 import datetime as dt
-import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from pricelens.functions import scalars as S
 from pricelens.operators import clean as C
