@@ -1,6 +1,6 @@
 """Registered queries: the end-to-end model table, training and scoring, and
 operators that need it or that format, union or upsert tables
-(M1-M6, M11, M12, A2, A24, F10, F12, U1, U3, S9, P4, P5)."""
+(M1-M6, M11, M12, A2, A24, F10, F12, U1, U3, S4, S6-S10, P4, P5)."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from ..sources import results as R
 from . import views as V
 from .pipeline import model_table, train
 from .q_features import ALL_FEATURES, ALL_RND, DUCK_FEATURES
-from .q_model import COLS, _duck_split
+from .q_model import _AUC, _COUNTS, _METRICS, COLS, _duck_split
+from .standins import DUCK_SCORES
 from .registry import query
 
 _TABLE_COLS = ["entity", "event_id", "listing_time", "split", *ALL_FEATURES, "current_market_p20", "is_good_deal"]
@@ -186,3 +187,58 @@ def u1_union_by_name(spark, sf):
     s = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("party_key"), F.col("s_name").alias("name"),
                                               F.col("s_nationkey").alias("nationkey"), F.col("s_acctbal").alias("acctbal"))
     return c.unionByName(s, allowMissingColumns=True)
+
+
+# Sinks written under the shared checkpoint folder and read back
+def _scratch(spark, name: str) -> str:
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/roundtrip-{name}-{uuid.uuid4().hex[:8]}"
+
+
+_CSV_COLS = ["timestamp", "zone", "section", "row", "quantity", "price", "event_date", "event_name",
+             "listing_time", "days_until_event", "hours_until_event", "day_of_week", "is_weekend_event",
+             "event_month", "event_year", "listing_month", "EVENT_MONTH_DUP"]
+
+
+@query("s4_s7_csv_round_trip", sql=V.duck_with("""
+SELECT entity AS event_name, price, quantity, days_until_event, listing_time,
+       CAST(event_date AS TIMESTAMP) AS event_date
+FROM listings
+"""))
+def s4_s7_csv_round_trip(spark, sf):
+    """Listings written as the processed CSV (S7) and read back with its schema."""
+    from ..sources import listings as L
+    ls = V.listings(spark, sf)
+    out = ls.select(F.date_format("listing_time", S.LISTING_TIME_FORMAT).alias("timestamp"), "zone",
+                    F.lit(None).cast("string").alias("section"), F.lit(None).cast("double").alias("row"),
+                    "quantity", "price", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"),
+                    F.col("entity").alias("event_name"),
+                    F.date_format("listing_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("listing_time"),
+                    "days_until_event", "hours_until_event", "day_of_week", "is_weekend_event", "event_month",
+                    "event_year", "listing_month", F.col("event_month").cast("string").alias("EVENT_MONTH_DUP"))
+    path = _scratch(spark, "csv")
+    R.write_table(out, path, "csv")
+    back = L.read_listing_csv(spark, path)
+    return back.select("event_name", "price", "quantity", "days_until_event", "listing_time", "event_date")
+
+
+@query("s6_listing_time_fallback", sql="SELECT event_id, ts AS listing_time FROM events")
+def s6_listing_time_fallback(spark, sf):
+    """A table with ``created_at`` only gets ``listing_time`` from it."""
+    from ..sources.listings import coalesce_listing_time
+    ev = V.table(spark, sf, "events").select("event_id", F.col("ts").alias("created_at"))
+    return coalesce_listing_time(ev).select("event_id", "listing_time")
+
+
+@query("s8_s10_metrics_document", rnd=("value",), sql=V.duck_with("""
+UNPIVOT (""" + _METRICS + """)
+ON accuracy, precision, recall, f1, auc INTO NAME metric VALUE value
+""", scores=DUCK_SCORES, counts=_COUNTS, auc=_AUC))
+def s8_s10_metrics_document(spark, sf):
+    """Metrics of the stand-in scores written as the nested JSON document (S8) and scanned back."""
+    from ..operators import evaluate as EV
+    from .standins import scores_standin
+    path = _scratch(spark, "metrics")
+    R.write_document(R.metrics_document(EV.metrics_long(EV.metrics(scores_standin(spark, sf)))), path)
+    return R.read_metrics(spark, path)
