@@ -242,3 +242,14 @@ def s8_s10_metrics_document(spark, sf):
     path = _scratch(spark, "metrics")
     R.write_document(R.metrics_document(EV.metrics_long(EV.metrics(scores_standin(spark, sf)))), path)
     return R.read_metrics(spark, path)
+
+
+@query("m15_save_and_reload")
+def m15_save_and_reload(spark, sf):
+    """The chosen model saved with its parameter document (M15) and loaded back; its scores (rows only)."""
+    fitted, _, feats = _trained(spark, sf)
+    path = _scratch(spark, "model")
+    ML.save_model(fitted, "random_forest", path, feats)
+    back = ML.load_model(path, "random_forest")
+    t = model_table(V.listings(spark, sf), COLS)
+    return ML.score(back, t, "random_forest", ("entity", "event_id"))
