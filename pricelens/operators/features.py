@@ -73,24 +73,23 @@ def _growing_quantile(p: Column, q: float, frame, accuracy: int | None) -> Colum
     return F.percentile_approx(p, F.lit(q), F.lit(accuracy)).over(frame).cast("double")
 
 
-def attach_growing_quantiles(feats: DataFrame, rows: DataFrame, cols: Cols, group: list[str] | None = None,
-                             context: DataFrame | None = None) -> DataFrame:
-    """W3 and W15 from :func:`quantiles.growing_quantiles`, joined on (group, time, tie-break).
-
-    ``feats`` carries ``_n_before`` (earlier non-null prices) from the window stage.
-    """
-    from .quantiles import growing_quantiles
-    group = group or _e(cols)
-    order = [TS_US, *cols.tiebreak]
-    q = growing_quantiles(rows, group, order, cols.price, QUANTILES, context)
+def finalize_quantiles(df: DataFrame, cols: Cols) -> DataFrame:
+    """W3 and W15 from the joined ``_q50`` / ``_q20`` and the window stage's ``_n_before``."""
     p, n = F.col(cols.price), F.col("_n_before")
-    out = feats.join(q, [*group, *order], "left")
-    return out.select(
-        *[c for c in feats.columns if c != "_n_before"],
+    return df.select(
+        *[c for c in df.columns if c not in ("_n_before", "_q50", "_q20")],
         _ratio_or_one(p, F.col("_q50"), n).alias("price_vs_event_median"),
         F.when(n >= MIN_HISTORY, F.col("_q20")).alias("expanding_p20"))
 
 
+def quantile_table(rows: DataFrame, cols: Cols, group: list[str] | None = None,
+                   context: DataFrame | None = None) -> DataFrame:
+    """(group, time, tie-break, time_window, _q50, _q20) from :func:`quantiles.growing_quantiles`."""
+    from .quantiles import growing_quantiles
+    return growing_quantiles(rows, group or _e(cols), [TS_US, *cols.tiebreak], cols.price, QUANTILES,
+                             context, carry=[cols.time_window])
+
+
 def history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = False,
                      quantile_accuracy: int | None = None, quantiles: str = "index") -> DataFrame:
     """W1-W16, W20, W21 on a frame that already has ``with_time_keys``.
@@ -102,6 +101,20 @@ def history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = Fa
     ``percentile_approx`` sketch over that frame.
     """
     in_window = quantiles == "window" or quantile_accuracy is not None
+    out = window_stage(df, cols, strict, in_window, quantile_accuracy)
+    if not in_window:
+        q = quantile_table(df, cols).drop(cols.time_window)
+        out = finalize_quantiles(out.join(q, [*_e(cols), TS_US, *cols.tiebreak], "left"), cols)
+    return out.select("*", *_derived_expressions(cols))
+
+
+def window_stage(df: DataFrame, cols: Cols, strict: bool = False, in_window: bool = False,
+                 quantile_accuracy: int | None = None) -> DataFrame:
+    """All window features of one entity partition: one exchange, one sort.
+
+    Without ``in_window`` W3/W15 are left to the growing-quantile operator and
+    ``_n_before`` (earlier non-null prices) is kept for them.
+    """
     part, w, rng = _windows(cols)
     p, q, d = F.col(cols.price), F.col(cols.quantity), F.col(cols.days)
     ts = F.col(TS_US)
@@ -139,8 +152,10 @@ def history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = Fa
         F.exp(-d / F.lit(DECAY_DAYS)).alias("demand_pressure"),
         F.try_divide(F.lit(1.0), (d + 1).cast("double")).alias("urgency_factor"),
         F.try_divide(d.cast("double"), F.max(d).over(part)).alias("time_to_event_ratio"),
-        # W6
+        # Quantity before this row, and before the previous row (the lagged running total)
         F.coalesce(F.sum(q).over(before), F.lit(0)).cast("double").alias("cumulative_quantity"),
+        F.coalesce(F.sum(q).over(w.rowsBetween(Window.unboundedPreceding, -2)), F.lit(0)).cast("double")
+        .alias("prev_cumulative"),
         # W7 / W8
         F.count(q).over(week_incl).cast("double").alias("listing_volume_7d"),
         F.coalesce(F.avg(q).over(week_incl), F.lit(0.0)).alias("avg_quantity_7d"),
@@ -161,20 +176,14 @@ def history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = Fa
         # W21
         F.when((rn >= STABILITY_START) & (stab_mean != 0), stab_std / stab_mean).alias("price_stability_7d"),
     )
-    if not in_window:
-        out = attach_growing_quantiles(out, df, cols)
-    return _derived(out, cols)
+    return out
 
 
-def _derived_expressions(cols: Cols, with_prev_cumulative: bool = True) -> list[Column]:
-    """Features that are plain expressions of other features (W6 lag part, W13, W14, W15 ratio, W20)."""
-    _, w, _ = _windows(cols)
+def _derived_expressions(cols: Cols) -> list[Column]:
+    """Features that are plain expressions of other features (W13, W14, W15 ratio, W20)."""
     p = F.col(cols.price)
     prior = F.col("prior_listings_count")
-    out = []
-    if with_prev_cumulative:
-        out.append(F.coalesce(F.lag("cumulative_quantity").over(w), F.lit(0.0)).alias("prev_cumulative"))
-    return out + [
+    return [
         (prior / (F.col("event_duration_so_far") + F.lit(EPS))).alias("listing_intensity"),
         (prior < MIN_HISTORY).cast("int").alias("is_early_listing"),
         (F.col(cols.days) < 7).cast("int").alias("is_last_week"),
@@ -184,10 +193,6 @@ def _derived_expressions(cols: Cols, with_prev_cumulative: bool = True) -> list[
     ]
 
 
-def _derived(df: DataFrame, cols: Cols) -> DataFrame:
-    return df.select("*", *_derived_expressions(cols))
-
-
 def prev_market(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
     """Per (entity, bucket) the stats of the entity's previous bucket that has data.
 
@@ -201,18 +206,22 @@ def prev_market(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
                      F.lag("market_size").over(w).alias("prev_market_size"))
 
 
-def attach_prev_market(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
-    """J1 + W19: left join on (entity, bucket); AQE broadcasts the bucket table when small."""
-    keys = [*_e(cols), cols.time_window]
-    pm = prev_market(df.select(*keys, cols.price), cols)
-    out = df.join(pm, keys, "left")
+def finalize_market(df: DataFrame, cols: Cols) -> DataFrame:
+    """W19 and the size fill, once ``prev_market_median`` / ``prev_market_size`` are joined."""
     m = F.col("prev_market_median")
-    return out.withColumns({
+    return df.withColumns({
         "price_vs_prev_market": F.when(m.isNotNull() & (m > 0), F.col(cols.price) / m).otherwise(F.lit(1.0)),
         "prev_market_size": F.coalesce(F.col("prev_market_size"), F.lit(0)).cast("double"),
     })
 
 
+def attach_prev_market(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
+    """J1 + W19: left join on (entity, bucket); AQE broadcasts the bucket table when small."""
+    keys = [*_e(cols), cols.time_window]
+    pm = prev_market(df.select(*keys, cols.price), cols)
+    return finalize_market(df.join(pm, keys, "left"), cols)
+
+
 def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = False,
                       hot_rows: int | None = DEFAULT_HOT_ROWS, chunk_days: int = 7,
                       quantile_accuracy: int | None = None, quantiles: str = "index") -> DataFrame:
@@ -226,20 +235,44 @@ def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = F
     ``quantiles`` / ``quantile_accuracy`` choose how W3/W15 are computed in the
     single-window plan (see :func:`history_features`); the split plan always
     uses the growing-quantile operator with the earlier chunks as context.
+
+    Plan: the wide rows are shuffled once for the window stage and once for a
+    single join with a narrow table (row key, W3/W15 quantiles, previous-week
+    market), which is itself built from the narrow quantile output and the
+    per-(entity, week) market table.
     """
+    in_window = quantiles == "window" or quantile_accuracy is not None
     base = with_time_keys(df, cols)
-    feats = None
+    E = _e(cols)
+    hot = None
     if hot_rows is not None:
-        counts = base.groupBy(*_e(cols)).agg(F.count(F.lit(1)).alias("_n"))
-        hot = counts.where(F.col("_n") > hot_rows).select(*_e(cols))
-        if not hot.isEmpty():
-            from .features_split import split_history_features
-            # at most total_rows / hot_rows entities: a proven bound for the broadcast
-            hot = F.broadcast(hot)
-            cold_rows = base.join(hot, _e(cols), "left_anti")
-            hot_part = base.join(hot, _e(cols), "left_semi")
-            feats = history_features(cold_rows, cols, strict, quantile_accuracy, quantiles).unionByName(
-                split_history_features(hot_part, cols, strict, chunk_days))
-    if feats is None:
-        feats = history_features(base, cols, strict, quantile_accuracy, quantiles)
-    return attach_prev_market(feats, cols).drop(TS_US)
+        counts = base.groupBy(*E).agg(F.count(F.lit(1)).alias("_n"))
+        hot = counts.where(F.col("_n") > hot_rows).select(*E)
+        if hot.isEmpty():
+            hot = None
+    if hot is not None:
+        from .features_split import split_history_features
+        # at most total_rows / hot_rows entities: a proven bound for the broadcast
+        hot = F.broadcast(hot)
+        cold_base = base.join(hot, E, "left_anti")
+        hot_w, hot_q = split_history_features(base.join(hot, E, "left_semi"), cols, strict, chunk_days)
+    else:
+        cold_base, hot_w, hot_q = base, None, None
+    pm = prev_market(base.select(*E, cols.time_window, cols.price), cols)
+    key = [*E, TS_US, *cols.tiebreak]
+
+    cold_w = window_stage(cold_base, cols, strict, in_window, quantile_accuracy)
+    if in_window:
+        out = finalize_market(cold_w.join(pm, [*E, cols.time_window], "left"), cols)
+        if hot_w is not None:
+            hq = hot_q.join(pm, [*E, cols.time_window], "left").drop(cols.time_window)
+            hot_out = finalize_market(finalize_quantiles(hot_w.join(hq, key, "left"), cols), cols)
+            out = out.unionByName(hot_out)
+    else:
+        w = cold_w if hot_w is None else cold_w.unionByName(hot_w)
+        q = quantile_table(cold_base, cols)
+        if hot_q is not None:
+            q = q.unionByName(hot_q)
+        narrow = q.join(pm, [*E, cols.time_window], "left").drop(cols.time_window)
+        out = finalize_market(finalize_quantiles(w.join(narrow, key, "left"), cols), cols)
+    return out.select("*", *_derived_expressions(cols)).drop(TS_US)

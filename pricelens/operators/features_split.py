@@ -35,13 +35,19 @@ from pyspark.sql import functions as F
 from ..functions.scalars import US_PER_DAY
 from ..schema import DEFAULT_COLS, Cols
 from .features import (DECAY_DAYS, EPS, H48_US, MIN_HISTORY, STABILITY_START, TS_US, WEEK_US,
-                       _derived_expressions, attach_growing_quantiles)
+                       quantile_table)
 
 TAIL = 15  # rows of the W16 frame
 
 
 def split_history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = False,
-                           chunk_days: int = 7) -> DataFrame:
+                           chunk_days: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(window features with ``_n_before``, quantile table) for hot entities.
+
+    The first frame has the same columns as :func:`features.window_stage`; the
+    second is the growing-quantile table of :func:`features.quantile_table`,
+    run per (entity, chunk) with the earlier chunks' price histogram as context.
+    """
     E = list(cols.entity)
     tb = list(cols.tiebreak)
     p, q, d = cols.price, cols.quantity, cols.days
@@ -162,7 +168,7 @@ def split_history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: boo
         F.when((rn >= STABILITY_START) & (stab_mean != 0), stab_std / stab_mean).alias("price_stability_7d"),
         F.when(rn > 0, cumq - F.coalesce(prev_q, F.lit(0)).cast("double")).otherwise(F.lit(0.0)).alias("prev_cumulative"),
     ).where(is_core)
-    out = out.select(*src_cols, "_c", "_n_before",
+    out = out.select(*src_cols, "_n_before",
                      *[c for c in out.columns if c not in src_cols and not c.startswith("_")])
-    out = attach_growing_quantiles(out, base, cols, group=[*E, "_c"], context=hist).drop("_c")
-    return out.select("*", *_derived_expressions(cols, with_prev_cumulative=False))
+    q = quantile_table(base, cols, group=[*E, "_c"], context=hist).drop("_c")
+    return out, q

@@ -125,7 +125,7 @@ def _row_hash(frame: pd.DataFrame) -> np.ndarray:
 
 
 def _batch_quantiles(pdf: pd.DataFrame, group: list[str], order: list[str], names: list[str],
-                     probs: list[float]) -> pd.DataFrame:
+                     probs: list[float], carry: list[str] | None = None) -> pd.DataFrame:
     """Growing quantiles for every group in ``pdf`` at once (groups complete, any order)."""
     pdf = pdf.sort_values([*group, "_role", *order], kind="stable", ignore_index=True)
     gchg = np.ones(len(pdf), dtype=bool)
@@ -173,7 +173,7 @@ def _batch_quantiles(pdf: pd.DataFrame, group: list[str], order: list[str], name
     ctx_tot = np.zeros(ng, dtype=np.int64)
     np.add.at(ctx_tot, cg, cc)
     total = prefix - s_g + ctx_tot[gid]
-    out = core[group + order].copy()
+    out = core[group + order + list(carry or [])].copy()
     if sigma == 0:
         for n in names:
             out[n] = np.nan
@@ -227,46 +227,49 @@ def _batch_quantiles(pdf: pd.DataFrame, group: list[str], order: list[str], name
 
 
 def growing_quantiles(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str,
-                      qs: dict[str, float], context: DataFrame | None = None) -> DataFrame:
+                      qs: dict[str, float], context: DataFrame | None = None,
+                      carry: Sequence[str] = ()) -> DataFrame:
     """One row per distinct (group, order): quantiles of the group's values strictly before it.
 
     ``context`` (optional): rows (group..., ``_hv`` value, ``_hf`` count) of
     values that precede every row of their group (earlier chunks of a hot
-    entity). Output columns: group, order, one double per name in ``qs``.
+    entity). Output columns: group, order, ``carry`` (columns constant per
+    (group, order), passed through), one double per name in ``qs``.
 
     Rows are hash-partitioned by group and sorted inside each partition; each
     task then streams its Arrow batches, carrying an unfinished last group to
     the next batch, and answers every row of a batch in one vectorised pass.
     """
-    group, order = list(group), list(order)
-    rows = df.select(*group, *order, F.col(value).cast("double").alias("_v"),
+    group, order, carry = list(group), list(order), list(carry)
+    rows = df.select(*group, *order, *carry, F.col(value).cast("double").alias("_v"),
                      F.lit(0).alias("_role"), F.lit(None).cast("double").alias("_hv"),
                      F.lit(None).cast("long").alias("_hf"))
     if context is not None:
-        ctx = context.select(*group, *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order],
+        ctx = context.select(*group, *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order + carry],
                              F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_role"),
                              F.col("_hv").cast("double").alias("_hv"), F.col("_hf").cast("long").alias("_hf"))
         rows = rows.unionByName(ctx)
-    key_fields = [f for f in rows.schema.fields if f.name in group + order]
+    key_fields = [rows.schema[c] for c in group + order + carry]
     out_schema = T.StructType(key_fields + [T.StructField(n, T.DoubleType()) for n in qs])
     names = list(qs)
     probs = [qs[n] for n in names]
+    carry_cols = carry
 
     def per_partition(batches):
-        carry = None
+        pending = None
         for pdf in batches:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if pending is not None:
+                pdf = pd.concat([pending, pdf], ignore_index=True)
             if not len(pdf):
                 continue
             gh = _row_hash(pdf[group])
             in_last = gh == gh[-1]
-            carry = pdf[in_last]
+            pending = pdf[in_last]
             done = pdf[~in_last]
             if len(done):
-                yield _batch_quantiles(done, group, order, names, probs)
-        if carry is not None and len(carry):
-            yield _batch_quantiles(carry, group, order, names, probs)
+                yield _batch_quantiles(done, group, order, names, probs, carry_cols)
+        if pending is not None and len(pending):
+            yield _batch_quantiles(pending, group, order, names, probs, carry_cols)
 
     parts = rows.repartition(*group).sortWithinPartitions(*group)
     return parts.mapInPandas(per_partition, schema=out_schema)
