@@ -35,6 +35,7 @@ STABILITY_START = 7    # fixed value: W21 starts at the 8th row (0-based index 7
 DECAY_DAYS = 30.0      # fixed value: W4 decay constant
 EPS = 1e-6             # fixed value: guard added to denominators by the reference
 DEFAULT_HOT_ROWS = 1_000_000  # entities above this many rows use the split plan
+CHUNK_TARGET_ROWS = 5_000_000  # auto chunk width aims at about this many rows per (entity, chunk)
 
 TS_US = "_ts_us"
 
@@ -223,7 +224,7 @@ def attach_prev_market(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
 
 
 def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = False,
-                      hot_rows: int | None = DEFAULT_HOT_ROWS, chunk_days: int = 7,
+                      hot_rows: int | None = DEFAULT_HOT_ROWS, chunk_days: int | str = "auto",
                       quantile_accuracy: int | None = None, quantiles: str = "index") -> DataFrame:
     """All per-row features of the reference plus ``time_window``.
 
@@ -232,6 +233,9 @@ def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = F
     pieces. Whether any entity is that large is checked first with one
     aggregate over the entity key (a scan of the key columns only); when none
     is, the plan is the single window stage. ``hot_rows=None`` skips the check.
+    ``chunk_days="auto"`` picks the widest chunk (at most 7 days, at least 1)
+    that keeps the densest hot entity near ``CHUNK_TARGET_ROWS`` rows per
+    chunk; the density comes back as one aggregated row.
     ``quantiles`` / ``quantile_accuracy`` choose how W3/W15 are computed in the
     single-window plan (see :func:`history_features`); the split plan always
     uses the growing-quantile operator with the earlier chunks as context.
@@ -246,10 +250,17 @@ def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = F
     E = _e(cols)
     hot = None
     if hot_rows is not None:
-        counts = base.groupBy(*E).agg(F.count(F.lit(1)).alias("_n"))
-        hot = counts.where(F.col("_n") > hot_rows).select(*E)
-        if hot.isEmpty():
-            hot = None
+        counts = base.groupBy(*E).agg(F.count(F.lit(1)).alias("_n"), F.min(TS_US).alias("_t0"),
+                                      F.max(TS_US).alias("_t1"))
+        hot_stats = counts.where(F.col("_n") > hot_rows)
+        span_days = F.greatest(F.lit(1.0), (F.col("_t1") - F.col("_t0")) / F.lit(float(US_PER_DAY)))
+        summary = hot_stats.agg(F.count(F.lit(1)).alias("k"), F.max(F.col("_n") / span_days).alias("d")).first()
+        if summary["k"]:
+            hot = hot_stats.select(*E)
+            if chunk_days == "auto":
+                chunk_days = int(max(1, min(7, CHUNK_TARGET_ROWS // max(1.0, summary["d"]))))
+    if chunk_days == "auto":
+        chunk_days = 7
     if hot is not None:
         from .features_split import split_history_features
         # at most total_rows / hot_rows entities: a proven bound for the broadcast

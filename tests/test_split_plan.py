@@ -42,3 +42,16 @@ def test_approximate_quantiles_close_to_exact(spark):
     assert j.where("(a IS NULL) <> (b IS NULL)").count() == 0
     # a sketch returns an element near the interpolated quantile: never outside the data range
     assert j.where("a IS NOT NULL").count() > 0
+
+
+def test_auto_chunk_width(spark):
+    from pricelens.operators import features as feats_mod
+    ls = V.clean_listings(spark, SF_SMALL)
+    old = feats_mod.CHUNK_TARGET_ROWS
+    try:
+        feats_mod.CHUNK_TARGET_ROWS = 20   # force narrow chunks on the small table
+        a = rounded(FE.engineer_features(ls, COLS))
+        b = rounded(FE.engineer_features(ls, COLS, hot_rows=0))
+    finally:
+        feats_mod.CHUNK_TARGET_ROWS = old
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
