@@ -96,11 +96,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def documents_json(docs: DataFrame) -> DataFrame:
-    """(key, doc) rows back to one JSON object text; ``doc`` holds JSON text of each value."""
-    body = F.concat_ws(",", F.array_sort(F.collect_list(
-        F.concat(F.to_json(F.array(F.col("key"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col("key")))) - 2),
-                 F.lit(":"), F.col("doc")))))
-    return docs.agg(F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
+    """(key, doc) rows back to one JSON object text; ``doc`` holds the JSON text of each value.
+
+    Each member is written as ``"<key>": <doc>``; the key is quoted and escaped
+    by ``to_json`` of a one-element array (``["k"]`` minus its brackets).
+    """
+    quoted = F.expr("substring(to_json(array(key)), 2, length(to_json(array(key))) - 2)")
+    members = F.array_sort(F.collect_list(F.concat(quoted, F.lit(":"), F.col("doc"))))
+    return docs.agg(F.concat(F.lit("{"), F.concat_ws(",", members), F.lit("}")).alias("value"))
 
 
 # S10 -----------------------------------------------------------------------
