@@ -97,10 +97,14 @@ def test_run_workflow(spark, tmpdir_path):
                  "section": "GA", "row": "", "quantity": 1 + i % 3, "price": 40 + (i * 7) % 23} for i in range(n)]
         with open(os.path.join(raw, f"{e}{day}.json"), "w") as f:
             json.dump(rows, f)
-    paths = run_workflow(spark, raw, os.path.join(tmpdir_path, "out"), models=ML.small_models(trees=4, depth=3), select=None)
+    out_dir = os.path.join(tmpdir_path, "out")
+    os.makedirs(os.path.join(out_dir, "visualization_data"))
+    with open(os.path.join(out_dir, "visualization_data", "part-0.txt"), "w") as f:
+        json.dump({"kept": {"x": 1}}, f)   # an existing document: its other keys must survive
+    paths = run_workflow(spark, raw, out_dir, models=ML.small_models(trees=4, depth=3), select=None)
     doc = json.loads(spark.read.text(paths["model_metrics"]).first()["value"])
     assert "ensemble" in doc and set(doc["ensemble"]) <= {"validation", "test"}
     meta = json.loads(spark.read.text(paths["metadata"]).first()["value"])
     assert len(meta["feature_columns"]) == 24
     viz = json.loads(spark.read.text(paths["visualization_data"]).first()["value"])
-    assert "All Events" in viz["event_stats"]
+    assert "All Events" in viz["event_stats"] and viz["kept"] == {"x": 1}
