@@ -55,3 +55,12 @@ def test_auto_chunk_width(spark):
     finally:
         feats_mod.CHUNK_TARGET_ROWS = old
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_features_do_not_depend_on_input_partitioning(spark):
+    """Recomputed tasks (after a lost executor) see other partitionings; results must not change."""
+    ls = V.clean_listings(spark, SF_SMALL)
+    a = rounded(FE.engineer_features(ls, COLS))
+    b = rounded(FE.engineer_features(ls.repartition(7, "event_id"), COLS))
+    c = rounded(FE.engineer_features(ls.coalesce(1), COLS, hot_rows=0))
+    assert a.exceptAll(b).count() == 0 and a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
