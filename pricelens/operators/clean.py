@@ -152,17 +152,28 @@ def drop_exact_duplicates(df: DataFrame, subset=None) -> DataFrame:
     return df.dropDuplicates(_list(subset)) if subset else df.dropDuplicates()
 
 
-def duplicates_after_first(df: DataFrame, expand: bool = False) -> DataFrame:
+EXPAND_CHUNK = 1_000_000  # copies emitted per task when duplicates are expanded
+
+
+def duplicates_after_first(df: DataFrame, expand: bool = False, chunk: int = EXPAND_CHUNK) -> DataFrame:
     """Exact-duplicate rows beyond the first copy.
 
     Default: one row per duplicated record with ``n_extra`` copies (a
-    map-side-combined aggregate). ``expand=True`` emits the extra copies.
+    map-side-combined aggregate). ``expand=True`` emits the extra copies: the
+    count is first cut into pieces of at most ``chunk`` copies, the pieces are
+    hash-distributed, and each task expands only its pieces, so a record
+    repeated a billion times is not written out by one task.
     """
     cols = df.columns
     g = df.groupBy(*cols).agg(nrows().alias("_n")).where("_n > 1")
     if not expand:
         return g.select(*cols, (F.col("_n") - 1).alias("n_extra"))
-    return g.select(*cols, F.explode(F.array_repeat(F.lit(1), (F.col("_n") - 1).cast("int"))).alias("_x")).drop("_x")
+    extra = F.col("_n") - 1
+    pieces = g.select(*cols, extra.alias("_e"),
+                      F.explode(F.sequence(F.lit(0).cast("long"), F.floor((extra - 1) / chunk).cast("long"))).alias("_k"))
+    pieces = pieces.repartition("_k", *cols)
+    size = F.least(F.lit(chunk).cast("long"), F.col("_e") - F.col("_k") * chunk).cast("int")
+    return pieces.select(*cols, F.explode(F.array_repeat(F.lit(1), size)).alias("_x")).drop("_x")
 
 
 def duplicates_all(df: DataFrame, subset: Sequence[str]) -> DataFrame:

@@ -216,3 +216,10 @@ def test_zone_functions_ignore_session_zone(spark, session_tz):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert [x["s"] for x in r] == ["ambiguous", "nonexistent", "ok"]
     assert r[2]["u"] == dt.datetime(2022, 6, 1, 16, 0) and r[2]["b"] == dt.datetime(2022, 6, 1, 12, 0)
+
+
+def test_duplicate_expansion_in_pieces(spark):
+    df = spark.createDataFrame([(1, "a")] * 23 + [(2, "b")] * 2 + [(3, "c")], "k int, v string")
+    out = C.duplicates_after_first(df, expand=True, chunk=5)
+    got = {(r["k"], r["v"]): r["n"] for r in out.groupBy("k", "v").count().withColumnRenamed("count", "n").collect()}
+    assert got == {(1, "a"): 22, (2, "b"): 1}
