@@ -108,3 +108,13 @@ def test_run_workflow(spark, tmpdir_path):
     assert len(meta["feature_columns"]) == 24
     viz = json.loads(spark.read.text(paths["visualization_data"]).first()["value"])
     assert "All Events" in viz["event_stats"] and viz["kept"] == {"x": 1}
+
+
+def test_label_codes_many_values_match_sorted_order(spark):
+    import random
+    rnd = random.Random(5)
+    vals = list({"".join(rnd.choice("abcxyzé0") for _ in range(rnd.randint(1, 6))) for _ in range(3000)})
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "zone string")
+    codes = {r["value"]: r["code"] for r in E.fit_label_codes(df, "zone").collect()}
+    expected = sorted(set(vals) | {"nan"}, key=lambda s: s.encode("utf-8"))
+    assert codes == {v: i for i, v in enumerate(expected)}
