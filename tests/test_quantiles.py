@@ -64,3 +64,27 @@ def test_operator_on_spark_with_context(spark):
     assert got[("a", 3)] == 7.5            # {5, 5, 10, 20}
     assert got[("a", 4)] == 7.5            # the null adds nothing
     assert got[("b", 1)] is None           # no earlier value
+
+
+def test_groups_spanning_arrow_batches(spark):
+    """Tiny Arrow batches force every group across batch boundaries (the carry-over path)."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(11)
+    rows = [(f"g{g}", int(t), float(rng.integers(0, 40)) / 4) for g in range(6) for t in range(int(rng.integers(5, 60)))]
+    df = spark.createDataFrame(rows, "g string, t long, p double")
+    w = Window.partitionBy("g").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    exp = {(r["g"], r["t"]): (r["m"], r["q"]) for r in df.select(
+        "g", "t", F.percentile("p", F.lit(0.5)).over(w).alias("m"),
+        F.percentile("p", F.lit(0.2)).over(w).alias("q")).collect()}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = growing_quantiles(df.repartition(2), ["g"], ["t"], "p", {"m": 0.5, "q": 0.2}).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == len(exp)
+    for r in got:
+        em, eq = exp[(r["g"], r["t"])]
+        assert (em is None and r["m"] is None) or abs(r["m"] - em) < 1e-9
+        assert (eq is None and r["q"] is None) or abs(r["q"] - eq) < 1e-9
