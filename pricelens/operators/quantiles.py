@@ -5,8 +5,9 @@ row: O(rows x distinct values) per group (one 100,000-row group with 5,000
 distinct prices takes minutes). This operator gives the same numbers in
 O(rows x log^2 distinct values) per group:
 
-* Spark shuffles the rows by group (``applyInPandas``); a hot entity arrives
-  as (entity, chunk) groups plus the weighted histogram of its earlier chunks;
+* Spark hash-partitions the rows by group and sorts them (``mapInPandas``
+  streams each partition); a hot entity arrives as (entity, chunk) groups
+  plus the weighted histogram of its earlier chunks;
 * inside the task, numpy builds a wavelet matrix over the value ranks in time
   order and answers all "k-th smallest among the first i values plus the
   histogram" queries at once, level by level (no per-row Python).
@@ -26,6 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+try:  # ship this module's code with the task, so executors need only numpy and pandas
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001  (older cloudpickle: the package must be installed on executors)
+    pass
+
 
 def _wavelet(vals: np.ndarray, bits: int):
     """Levels of a wavelet matrix over non-negative ints ``vals`` (< 2**bits)."""

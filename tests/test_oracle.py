@@ -32,3 +32,22 @@ def test_every_query_has_a_plan(spark):
         if k.startswith("m"):
             continue  # trained in test_ml_and_properties
         assert QUERIES[k](spark, SF_SMALL).count() >= 0
+
+
+def test_entry_from_another_directory(tmp_path):
+    """Executors must not need the package on their path (the quantile code ships with the task)."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import importlib.util\n"
+        f"spec = importlib.util.spec_from_file_location('e', {os.path.join(repo, '__spark_entry__.py')!r})\n"
+        "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print('ROWS', m.entry(s).count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS " in out.stdout, out.stderr[-2000:]
