@@ -141,3 +141,26 @@ def w_all_features(spark, sf):
 def w_all_features_split(spark, sf):
     """Same table through the hot-entity split plan (every entity treated as hot)."""
     return features(spark, sf, hot_rows=0).select("entity", "event_id", "listing_time", *ALL_FEATURES)
+
+
+@query("w12_event_duration_strict", sql=V.duck_with("""
+WITH b AS (SELECT *, epoch_us(listing_time) AS ts_us FROM clean)
+SELECT entity, event_id,
+       (ts_us - min(ts_us) OVER (PARTITION BY entity)) / 86400000000.0 AS event_duration_so_far,
+       CAST(row_number() OVER (PARTITION BY entity ORDER BY ts_us, event_id) - 1 AS INTEGER)
+         / ((ts_us - min(ts_us) OVER (PARTITION BY entity)) / 86400000000.0 + 1e-6) AS listing_intensity
+FROM b
+""", clean=V.DUCK_CLEAN))
+def w12_event_duration_strict(spark, sf):
+    """D4 strict mode: duration so far uses the row's own time, not the entity's last listing."""
+    f = FE.engineer_features(V.clean_listings(spark, sf), COLS, strict=True)
+    return f.select("entity", "event_id", "event_duration_so_far", "listing_intensity")
+
+
+@query("w3_w15_window_mode", rnd=("price_vs_event_median", "expanding_p20", "price_vs_expanding_p20"),
+       sql=V.duck_with(DUCK_FEATURES + "SELECT entity, event_id, price_vs_event_median, expanding_p20, "
+                       "price_vs_expanding_p20 FROM features", clean=V.DUCK_CLEAN))
+def w3_w15_window_mode(spark, sf):
+    """The same growing quantiles through Spark's percentile window (``quantiles='window'``)."""
+    f = FE.engineer_features(V.clean_listings(spark, sf), COLS, quantiles="window")
+    return f.select("entity", "event_id", "price_vs_event_median", "expanding_p20", "price_vs_expanding_p20")
