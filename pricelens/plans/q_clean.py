@@ -197,3 +197,13 @@ FROM listings
 """))
 def a19_quality_report(spark, sf):
     return C.quality_report(V.listings(spark, sf).select(*_LCOLS))
+
+
+@query("u5_duplicates_expanded", sql="""
+SELECT d.l_orderkey, d.l_linenumber FROM (
+  SELECT l_orderkey, l_linenumber, count(*) - 1 AS e FROM lineitem
+  GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) d, range(d.e)
+""")
+def u5_duplicates_expanded(spark, sf):
+    """Every copy after the first, expanded in bounded, hash-distributed pieces."""
+    return C.duplicates_after_first(_li_keys(spark, sf), expand=True)

@@ -389,3 +389,14 @@ def f13_label_codes(spark, sf):
     p = V.table(spark, sf, "part")
     codes = E.fit_label_codes(p, "p_type")
     return E.apply_label_codes(p, codes, "p_type").select("p_partkey", "p_type_code")
+
+
+_WIDE = ", ".join(f'avg(price) FILTER (WHERE bin = {i}) AS "{i}"' for i in range(1, 21))
+
+
+@query("a12_pivot_wide", rnd=tuple(str(i) for i in range(1, 21)), sql=_L(
+    "SELECT zone, " + _WIDE + " FROM (" + _duck_cut("clean", "days_until_event", 20) + ") GROUP BY zone",
+    clean=_CLEAN))
+def a12_pivot_wide(spark, sf):
+    """The reference's shape: one row per zone, one column per bin, empty cells null."""
+    return P.pivot_binned(V.clean_listings(spark, sf), "zone", "days_until_event", 20, wide=True)

@@ -42,7 +42,7 @@ class Entry:
             return None
         if not self.rnd:
             return self.sql
-        rep = ", ".join(f"round({c}, {n}) AS {c}" for c, n in self._places())
+        rep = ", ".join(f'round("{c}", {n}) AS "{c}"' for c, n in self._places())
         return f"SELECT * REPLACE ({rep}) FROM (\n{self.sql}\n) AS q"
 
 
