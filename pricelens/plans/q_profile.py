@@ -400,3 +400,14 @@ _WIDE = ", ".join(f'avg(price) FILTER (WHERE bin = {i}) AS "{i}"' for i in range
 def a12_pivot_wide(spark, sf):
     """The reference's shape: one row per zone, one column per bin, empty cells null."""
     return P.pivot_binned(V.clean_listings(spark, sf), "zone", "days_until_event", 20, wide=True)
+
+
+@query("o3_top_k_per_entity", sql=_L("""
+SELECT entity, event_id, price, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT entity, event_id, price, row_number() OVER (PARTITION BY entity ORDER BY price DESC, event_id) AS rank FROM clean)
+WHERE rank <= 5
+""", clean=_CLEAN))
+def o3_top_k_per_entity(spark, sf):
+    """The 5 dearest listings per entity."""
+    df = V.clean_listings(spark, sf).select("entity", "event_id", "price")
+    return P.top_k_per(df, "entity", [F.desc("price"), F.asc("event_id")], 5)
