@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import lm, mixing, secret_scan, simhash, url_filter
+from pricelens.llm import langid, lm, mixing, quality, secret_scan, simhash, url_filter
 from pricelens.llm.common import table
 from pricelens.plans.registry import Entry
 
@@ -76,3 +76,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_lm_score")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@_query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predict(docs).select("doc_id", "held_out", "lang_pred", "score")
