@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelens.session import cut_lineage
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"  # a word: a run without ASCII white space
 
@@ -30,6 +32,14 @@ def fold(key: Column, n: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % n, F.lit(-1).cast("long"))
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, cells: Column | None = None) -> DataFrame:
+    """``df``, written once, with a broadcast hint only if it has at most ``max_rows`` rows (or ``cells``, summed);
+    beyond that the join that follows is left to shuffle, with adaptive skew handling."""
+    df = cut_lineage(df)
+    size = df.agg(F.sum(cells) if cells is not None else F.count("*")).first()[0] or 0
+    return F.broadcast(df) if size <= max_rows else df
+
+
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 

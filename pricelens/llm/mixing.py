@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import WORD
+from pricelens.llm.common import WORD, broadcast_if_small
 from pricelens.operators.prefix import with_prefix_totals
 
 MAX_RATE = 3
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
             .select(F.col("source").alias("_mix_source"), "source_size", "target"))
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     extra = draw(F.col(doc_id), F.col(source), F.col("size"), seed=seed) < rate - F.floor(rate)
-    joined = sized.drop("source_size", "target").join(plan, F.col(source).eqNullSafe(F.col("_mix_source")))
+    joined = sized.drop("source_size", "target").join(broadcast_if_small(plan), F.col(source).eqNullSafe(F.col("_mix_source")))
     return (joined.withColumn("copies", (F.floor(rate) + extra.cast("long")).cast("long"))
             .withColumn("taken", F.col("copies") * F.col("size")).drop("_mix_source"))
 

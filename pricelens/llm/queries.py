@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import langid, lm, mixing, quality, secret_scan, simhash, url_filter
+from pricelens.llm import ann, decontam, html_extract, langid, lm, mixing, quality, secret_scan, simhash, url_filter
 from pricelens.llm.common import table
 from pricelens.plans.registry import Entry
 
@@ -89,3 +89,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.predict(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query("op9_benchmark_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return found.select("doc_id", F.col("leak.item_id").cast("long").alias("item_id"), "leak.score", "leak.question_overlap",
+                        "leak.answer_overlap", "leak.overlap")
+
+
+@_query("op10_nearest_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, F.col("vec_id") % ann.QUERY_EVERY == 0)
+
+
+@_query("op2_html_extract")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")

@@ -18,7 +18,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import lower_ascii
+from pricelens.llm.common import broadcast_if_small, lower_ascii
 from pricelens.session import cut_lineage
 
 #: (action, host and path) of the stated rules
@@ -93,7 +93,7 @@ def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
     per = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     rarest = (counts.join(per, "token").groupBy("tokens", "confidence")
               .agg(F.min_by("token", F.struct("n", "token")).alias("token")))
-    index = F.broadcast(rarest) if rules.limit(INDEX_BROADCAST_ROWS + 1).count() <= INDEX_BROADCAST_ROWS else rarest
+    index = broadcast_if_small(rarest, INDEX_BROADCAST_ROWS)
     own = urls.distinct().select("url", tokens_of(F.col("url")).alias("own"))
     return (own.select("url", "own", F.explode("own").alias("token")).join(index, "token")
             .filter(F.size(F.array_except("tokens", "own")) == 0)
