@@ -21,6 +21,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,11 +151,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
     """``docs`` with an array of the items that leak into the text."""
     found = F.array().cast(HITS)
     for index in shards(items, item_id, question, answer):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+        found = F.concat(found, _leaks_by(docs.sparkSession.sparkContext.broadcast(index))(F.col(text)))
+    return docs.withColumn(out, found)
 
-        def run(texts: pd.Series, held=held) -> pd.Series:
-            return pd.Series([held.value.leaks(t) for t in texts], dtype=object)
 
-        run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-        found = F.concat(found, F.pandas_udf(lambda texts, run=run: run(texts), HITS, F.PandasUDFType.SCALAR)(F.col(text)))
-    return docs.withColumn(out, found)
+def _leaks_by(index: Broadcast):
+    @F.pandas_udf(HITS)
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([index.value.leaks(t) for t in texts], dtype=object)
+    return run
