@@ -22,15 +22,12 @@ def _c(c) -> Column:
 def epoch_micros(ts) -> Column:
     """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ (wall clock) value.
 
-    The wall-clock fields are rebuilt as a UTC instant, so the result does not
-    depend on the session time zone (a cast to TIMESTAMP would read the wall
-    time in the session zone and shift across daylight-saving changes). Used
-    for elapsed time and as the integer order key of RANGE frames.
+    A difference of two wall-clock values, so the result does not depend on the
+    session time zone (a cast to TIMESTAMP would read the wall time in the
+    session zone and shift across daylight-saving changes). Used for elapsed
+    time and as the integer order key of RANGE frames.
     """
-    t = _c(ts).cast("timestamp_ntz")
-    utc = F.make_timestamp(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t),
-                           F.date_part(F.lit("SECOND"), t), F.lit("UTC"))
-    return F.unix_micros(utc)
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _c(ts).cast("timestamp_ntz"))
 
 
 def micros_between(start, end) -> Column:
@@ -62,13 +59,6 @@ def parse_or_null(c, fmt: str | None = None) -> Column:
     return F.try_to_timestamp(_c(c), F.lit(fmt)).cast("timestamp_ntz")
 
 
-def parse_date_or_null(c, fmt: str | None = None) -> Column:
-    """Lenient date parse: text that does not parse becomes null."""
-    if fmt is None:
-        return _c(c).try_cast("date")
-    return F.to_date(F.try_to_timestamp(_c(c), F.lit(fmt)))
-
-
 # P4 / P5 -------------------------------------------------------------------
 # Zone arithmetic uses ``convert_timezone`` on wall-clock (TIMESTAMP_NTZ) values
 # with explicit source and target zones, so no result depends on the session

@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.aggs import nrows, quantile
+from ..functions.aggs import nrows
 from ..schema import DEFAULT_COLS, Cols
-from .profile import attach_stats
+from .order_stats import agg_with_quantiles
+from .profile import attach_quantiles
 
 
 def _list(x) -> list[str]:
@@ -88,8 +89,7 @@ def reliable(df: DataFrame, n: str = "n", min_n: int = 5) -> DataFrame:
 # P13 ------------------------------------------------------------------------
 def global_outliers(df: DataFrame, col: str = "price", k: float = 1.5) -> DataFrame:
     """Rows outside [Q1 - k IQR, Q3 + k IQR] of the whole column."""
-    d, st = attach_stats(df, "_iqr", q=quantile(col, F.array(F.lit(0.25), F.lit(0.75))))
-    q = st["q"]
+    d, q = attach_quantiles(df, "_iqr", col, (0.25, 0.75))
     iqr = q[1] - q[0]
     v = F.col(col)
     return d.where((v < q[0] - F.lit(k) * iqr) | (v > q[1] + F.lit(k) * iqr)).drop("_iqr")
@@ -97,13 +97,11 @@ def global_outliers(df: DataFrame, col: str = "price", k: float = 1.5) -> DataFr
 
 # P14 / P15 ------------------------------------------------------------------
 def group_quartiles(df: DataFrame, by, col: str = "price", k: float = 1.5) -> DataFrame:
-    q = quantile(col, F.array(F.lit(0.25), F.lit(0.75)))
-    g = df.groupBy(*_list(by)).agg(q.alias("_q"), F.min(col).alias("min"), F.max(col).alias("max"),
-                                   F.count(col).alias("n"))
-    iqr = F.col("_q")[1] - F.col("_q")[0]
-    return g.select(*_list(by), F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"),
-                    iqr.alias("iqr"), (F.col("_q")[0] - F.lit(k) * iqr).alias("lower"),
-                    (F.col("_q")[1] + F.lit(k) * iqr).alias("upper"), "min", "max", "n")
+    g = agg_with_quantiles(df, _list(by), col, {"q1": 0.25, "q3": 0.75}, F.min(col).alias("min"), F.max(col).alias("max"),
+                           F.count(col).alias("n"))
+    iqr = F.col("q3") - F.col("q1")
+    return g.select(*_list(by), "q1", "q3", iqr.alias("iqr"), (F.col("q1") - F.lit(k) * iqr).alias("lower"),
+                    (F.col("q3") + F.lit(k) * iqr).alias("upper"), "min", "max", "n")
 
 
 def iqr_filter(df: DataFrame, by=DEFAULT_COLS.entity, col: str = "price", k: float = 1.5) -> DataFrame:

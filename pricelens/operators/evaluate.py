@@ -5,12 +5,9 @@ Scores are one row per (row key, model, split) with ``label``,
 table; no step gathers a whole group of rows in one task:
 
 * AUC and ROC need, for every distinct score, the positives and negatives
-  ranked above it. Rows are first reduced to distinct scores; the running sums
-  are then split into ``SCORE_BUCKETS`` score ranges whose edges are
-  approximate quantiles of the distinct scores (so each range holds about the
-  same number of distinct scores however the scores pile up near 0 or 1).
-  Range totals are summed over a tiny table, and the running sum inside a
-  range runs per (group, range) window.
+  ranked above it. Rows are first reduced to distinct scores; running totals
+  over ordered ranges of (group, score) then give the ranks, so that neither a
+  large group nor a crowded score gathers in one task.
 * The threshold search maps each row to the last grid threshold at or below
   its score, so the grid is applied to a <= 91-row table per group instead of
   to every row.
@@ -23,7 +20,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCORE_BUCKETS = 4096  # score-range buckets for the distributed running sums
+from .order_stats import join_null_safe
+from .prefix import with_prefix_totals
+
 GROUP = ("model", "split")
 
 # The reference's threshold grid, 0.10 to 0.99 by 0.01, filled
@@ -60,40 +59,28 @@ def _div0(a, b):
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
-def with_score_bucket(d: DataFrame, col: str = "probability", buckets: int = SCORE_BUCKETS) -> DataFrame:
-    """``_b``: index of the quantile range of ``col`` (edges from one approximate-quantile job).
+def score_ranks(scores: DataFrame, by=GROUP) -> DataFrame:
+    """Per (group, distinct probability): n_pos, n_neg and the positives/negatives scored higher.
 
-    The edges list has at most ``buckets`` values (collected: bounded), and the
-    bucket lookup is a binary search on the JVM (``Bucketizer``).
+    Rows are reduced to distinct scores once; running totals over ordered ranges (written to the shared
+    checkpoint folder) give what ranks above, so AUC and ROC of one table can share the result.
     """
-    from pyspark.ml.feature import Bucketizer
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = d.approxQuantile(col, probs, 1.0 / (4 * buckets)) if buckets > 1 else []
-    splits = [float("-inf")] + sorted({e for e in edges if e is not None}) + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol=col, outputCol="_bd", handleInvalid="keep")
-    return b.transform(d).withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
-
-
-def _score_ranks(scores: DataFrame, by) -> DataFrame:
-    """Per (group, distinct probability): n_pos, n_neg and the positives/negatives scored higher."""
     by = _g(by)
     d = scores.groupBy(*by, "probability").agg(
         F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") != 1).alias("n_neg"))
-    d = with_score_bucket(d)
-    bt = d.groupBy(*by, "_b").agg(F.sum("n_pos").alias("_bp"), F.sum("n_neg").alias("_bn"))
-    above = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select(*by, "_b", F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_pos_hi_b"),
-                   F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_neg_hi_b"))
-    inb = Window.partitionBy(*by, "_b").orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(bt, [*by, "_b"])
-    return d.select(*by, "probability", "n_pos", "n_neg",
-                    (F.col("_pos_hi_b") + F.coalesce(F.sum("n_pos").over(inb), F.lit(0))).alias("pos_above"),
-                    (F.col("_neg_hi_b") + F.coalesce(F.sum("n_neg").over(inb), F.lit(0))).alias("neg_above"))
-
-
-def auc(scores: DataFrame, by=GROUP) -> DataFrame:
+    below = with_prefix_totals(d, [*[F.col(c) for c in by], F.col("probability")],
+                               {"_pos_below": F.col("n_pos"), "_neg_below": F.col("n_neg")})
+    ends = below.groupBy(*by).agg(F.max(F.col("_pos_below") + F.col("n_pos")).alias("_pos_end"),
+                                  F.max(F.col("_neg_below") + F.col("n_neg")).alias("_neg_end"))
+    return join_null_safe(below, ends, by, "inner").select(
+        *by, "probability", "n_pos", "n_neg",
+        (F.col("_pos_end") - F.col("_pos_below") - F.col("n_pos")).alias("pos_above"),
+        (F.col("_neg_end") - F.col("_neg_below") - F.col("n_neg")).alias("neg_above"))
+
+
+def auc(scores: DataFrame, by=GROUP, ranks: DataFrame | None = None) -> DataFrame:
     """ROC AUC per group (mid-rank rule for ties); 0 when a group has one class."""
-    r = _score_ranks(scores, by)
+    r = ranks if ranks is not None else score_ranks(scores, by)
     g = r.groupBy(*_g(by)).agg(
         F.sum(F.col("n_neg") * (F.col("pos_above") + F.col("n_pos") * F.lit(0.5))).alias("_w"),
         F.sum("n_pos").alias("_p"), F.sum("n_neg").alias("_n"))
@@ -145,9 +132,9 @@ def class_report(scores: DataFrame, by=GROUP) -> DataFrame:
 
 
 # M9 -------------------------------------------------------------------------
-def roc_curve(scores: DataFrame, by=GROUP) -> DataFrame:
+def roc_curve(scores: DataFrame, by=GROUP, ranks: DataFrame | None = None) -> DataFrame:
     """(threshold, fpr, tpr) per group at every distinct score, plus the (inf, 0, 0) start."""
-    r = _score_ranks(scores, by)
+    r = ranks if ranks is not None else score_ranks(scores, by)
     tot = r.groupBy(*_g(by)).agg(F.sum("n_pos").alias("_p"), F.sum("n_neg").alias("_n"))
     r = r.join(tot, _g(by))
     pts = r.select(*_g(by), F.col("probability").alias("threshold"),
@@ -213,12 +200,10 @@ def with_class_weights(df: DataFrame, mode: str = "balanced", positive_weight: f
     """Fixed (``positive_weight`` on class 1) or balanced n / (2 * n_class) weights."""
     if mode == "fixed":
         return df.withColumn(out, F.when(F.col(label) == 1, F.lit(positive_weight)).otherwise(F.lit(1.0)))
-    n = df.agg(F.count(F.lit(1))).scalar()
-    k = df.agg(F.count_distinct(label)).scalar()
-    cnt = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    # one row per class: bounded by the number of classes
-    return (df.join(F.broadcast(cnt), label, "left")
-            .withColumn(out, n / (k * F.col("_nc"))).drop("_nc"))
+    cnt = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))  # one row per class
+    total = Window.partitionBy()
+    cnt = cnt.select(label, (F.sum("_nc").over(total) / (F.count(label).over(total) * F.col("_nc"))).alias(out))
+    return df.join(F.broadcast(cnt), label, "left")
 
 
 # J6 -------------------------------------------------------------------------

@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 from ..functions.aggs import quantile
 from ..schema import DEFAULT_COLS, FEATURE_COLUMNS, Cols
 from .market import time_window
+from .order_stats import group_quantiles, join_null_safe
 
 GOOD_DEAL_QUANTILE = 0.2  # fixed value: cheapest 20 % of the market
 
 
 def _group_quantile_label(df: DataFrame, keys: list[str], price: str, q: float, stat: str, label: str,
                           approx: bool = False) -> DataFrame:
-    g = df.groupBy(*keys).agg(quantile(price, q, approx=approx).alias(stat))
-    out = df.join(g, keys, "left")
+    g = df.groupBy(*keys).agg(quantile(price, q, approx=True).alias(stat)) if approx else group_quantiles(df, keys, price, {stat: q})
+    out = join_null_safe(df, g, keys)
     return out.withColumn(label, F.coalesce((F.col(price) <= F.col(stat)).cast("int"), F.lit(0)))
 
 

@@ -8,11 +8,14 @@ map-side before it crosses the network.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggs import median, nrows
+from ..functions.aggs import nrows
 from ..schema import DEFAULT_COLS, Cols
+from .order_stats import agg_with_quantiles
 from .profile import top_entities
 
 
@@ -20,12 +23,9 @@ from .profile import top_entities
 def price_trends(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
     """Mean, median, std, count and coefficient of variation of price per day-until-event."""
     p = F.col(cols.price)
-    out = df.groupBy(cols.days).agg(
-        F.avg(p).alias("avg_price"),
-        median(p).alias("median_price"),
-        F.stddev_samp(p).alias("std_price"),
-        F.count(p).alias("ticket_count"),
-    )
+    out = agg_with_quantiles(df, [cols.days], cols.price, {"median_price": 0.5},
+                             F.avg(p).alias("avg_price"), F.stddev_samp(p).alias("std_price"),
+                             F.count(p).alias("ticket_count"))
     out = out.withColumn("price_volatility", F.try_divide(F.col("std_price"), F.col("avg_price")))
     return out.orderBy(cols.days)
 
@@ -60,13 +60,13 @@ def time_window(wall, width: str = "7 days"):
 
 
 # A7 ------------------------------------------------------------------------
-def market_stats(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
-    """Median price and non-null price count per (entity, weekly bucket)."""
+def market_stats(df: DataFrame, cols: Cols = DEFAULT_COLS, extra: Mapping[str, float] | None = None) -> DataFrame:
+    """Median price, non-null price count and ``extra`` quantiles per (entity, weekly bucket)."""
     keys = [*cols.entity, cols.time_window]
     if cols.time_window not in df.columns:
         df = df.withColumn(cols.time_window, time_window(cols.wall))
-    return df.groupBy(*keys).agg(median(cols.price).alias("market_median"),
-                                 F.count(cols.price).alias("market_size"))
+    return agg_with_quantiles(df, keys, cols.price, {"market_median": 0.5, **(extra or {})},
+                              F.count(cols.price).alias("market_size"))
 
 
 # A8 ------------------------------------------------------------------------

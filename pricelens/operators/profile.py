@@ -17,9 +17,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggs import nrows, quantile
+from ..functions.aggs import nrows
 from ..functions.scalars import cut_right_closed, edge, hist_bin
 from ..schema import DEFAULT_COLS, Cols
+from .order_stats import agg_with_quantiles, group_quantiles, join_null_safe
 
 
 def _list(x) -> list[str]:
@@ -45,17 +46,21 @@ def attach_stats(df: DataFrame, name: str, **aggs: Column) -> tuple[DataFrame, d
     return df.withColumn(name, sub), {k: F.col(f"{name}.{k}") for k in aggs}
 
 
+def attach_quantiles(df: DataFrame, name: str, col: str, probs: Sequence[float]) -> tuple[DataFrame, list[Column]]:
+    """``df`` plus one struct column ``name`` with exact quantiles of the whole column, and a column for each."""
+    names = [f"q{i}" for i in range(len(probs))]
+    row = group_quantiles(df, [], col, dict(zip(names, probs, strict=True)))
+    return df.withColumn(name, row.select(F.struct(*names).alias("s")).scalar()), [F.col(f"{name}.{n}") for n in names]
+
+
 # A3 / A4 -------------------------------------------------------------------
 def describe_exact(df: DataFrame, col: str, by=None) -> DataFrame:
     """count, mean, std, min, 25 %, 50 %, 75 %, max with exact quantiles."""
     c = F.col(col)
-    qs = quantile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = (df.groupBy(*_list(by)) if by else df.groupBy()).agg(
-        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-        F.min(c).alias("min"), qs.alias("_q"), F.max(c).alias("max"))
-    return out.select(*_list(by), "count", "mean", "std", "min",
-                      F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-                      F.col("_q")[2].alias("p75"), "max")
+    out = agg_with_quantiles(df, _list(by), col, {"p25": 0.25, "p50": 0.5, "p75": 0.75},
+                             F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+                             F.min(c).alias("min"), F.max(c).alias("max"))
+    return out.select(*_list(by), "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 # A5 / A14 --------------------------------------------------------------------
@@ -149,11 +154,9 @@ def with_price_tier(df: DataFrame, col: str = "price", tiers: str = "median") ->
     """'low'/'high' around the median, or 'q1'..'q4' by quartile (upper edges inclusive)."""
     v = F.col(col)
     if tiers == "median":
-        d, st = attach_stats(df, "_tier", m=quantile(v, 0.5))
-        m = st["m"]
-        return d.withColumn("tier", F.when(v <= m, "low").when(v > m, "high")).drop("_tier")
-    d, st = attach_stats(df, "_tier", q=quantile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    q = st["q"]
+        d, q = attach_quantiles(df, "_tier", col, (0.5,))
+        return d.withColumn("tier", F.when(v <= q[0], "low").when(v > q[0], "high")).drop("_tier")
+    d, q = attach_quantiles(df, "_tier", col, (0.25, 0.5, 0.75))
     return d.withColumn("tier", F.when(v <= q[0], "q1").when(v <= q[1], "q2")
                         .when(v <= q[2], "q3").when(v > q[2], "q4")).drop("_tier")
 
@@ -169,11 +172,6 @@ def distinct_values(df: DataFrame, cols) -> DataFrame:
     return df.select(*_list(cols)).distinct()
 
 
-def value_sets(df: DataFrame, key: str, col: str) -> DataFrame:
-    """Distinct values of ``col`` per ``key`` as a sorted array (low-cardinality columns)."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_set(col)).alias(f"{col}_values"))
-
-
 # A24 -------------------------------------------------------------------------
 def importance_long(doc: DataFrame, col: str = "importances") -> DataFrame:
     """MAP<model, MAP<feature, importance>> to (model, feature, importance) rows."""
@@ -194,15 +192,13 @@ def box_stats(df: DataFrame, col: str = "price", by=None, k: float = 1.5) -> Dat
     """Quartiles, whiskers (furthest values within k IQR of the box) and outlier count."""
     keys = _list(by)
     v = F.col(col)
-    qa = quantile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    probs = (0.25, 0.5, 0.75)
     if keys:
-        q = df.groupBy(*keys).agg(qa.alias("_q"))
-        j = df.select(*keys, col).join(q, keys)  # group-level table: AQE picks broadcast or shuffle
-        qcol = F.col("_q")
+        q = group_quantiles(df, keys, col, {f"_q{i}": p for i, p in enumerate(probs)})
+        j = join_null_safe(df.select(*keys, col), q, keys, "inner")  # group-level table: AQE picks broadcast or shuffle
+        q1, q2, q3 = (F.col(f"_q{i}") for i in range(3))
     else:
-        j, st = attach_stats(df.select(col), "_box", q=qa)
-        qcol = st["q"]
-    q1, q2, q3 = qcol[0], qcol[1], qcol[2]
+        j, (q1, q2, q3) = attach_quantiles(df.select(col), "_box", col, probs)
     lo_f = q1 - F.lit(k) * (q3 - q1)
     hi_f = q3 + F.lit(k) * (q3 - q1)
     g = j.groupBy(*keys) if keys else j.groupBy()

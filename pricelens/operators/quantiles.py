@@ -64,70 +64,6 @@ def _count_le(levels, r: np.ndarray, u: np.ndarray) -> np.ndarray:
     return cnt
 
 
-def prefix_quantiles(values: np.ndarray, prefix: np.ndarray, qs: Sequence[float],
-                     ctx_values: np.ndarray | None = None, ctx_counts: np.ndarray | None = None):
-    """Quantiles of (context multiset) + values[:prefix[i]] for each query i.
-
-    ``values`` are non-null values in time order; returns (count, [q arrays]),
-    NaN where the multiset is empty.
-    """
-    ctx_values = np.asarray(ctx_values if ctx_values is not None else [], dtype=np.float64)
-    ctx_counts = np.asarray(ctx_counts if ctx_counts is not None else [], dtype=np.int64)
-    dom = np.unique(np.concatenate((values, ctx_values)))
-    sigma = len(dom)
-    nq = len(prefix)
-    total = int(ctx_counts.sum()) + prefix.astype(np.int64)
-    if sigma == 0:
-        return total, [np.full(nq, np.nan) for _ in qs]
-    hcum = np.zeros(sigma, dtype=np.int64)
-    if len(ctx_values):
-        np.add.at(hcum, np.searchsorted(dom, ctx_values), ctx_counts)
-    hcum = np.cumsum(hcum)
-    bits = max(1, int(sigma).bit_length())
-    levels = _wavelet(np.searchsorted(dom, values).astype(np.int64), bits)
-    steps = int(sigma - 1).bit_length() + 1
-
-    def kth_direct(k: np.ndarray) -> np.ndarray:
-        # no context: walk the wavelet levels once (O(log sigma) per query)
-        lo = np.zeros(nq, dtype=np.int64)
-        hi = prefix.astype(np.int64)
-        kk = k.copy()
-        val = np.zeros(nq, dtype=np.int64)
-        for b, zp, nz in levels:
-            zl, zr = zp[lo], zp[hi]
-            zeros = zr - zl
-            one = kk >= zeros
-            kk = np.where(one, kk - zeros, kk)
-            lo = np.where(one, nz + (lo - zl), zl)
-            hi = np.where(one, nz + (hi - zr), zr)
-            val |= one.astype(np.int64) << b
-        return dom[np.minimum(val, sigma - 1)]
-
-    def kth(k: np.ndarray) -> np.ndarray:
-        if not len(ctx_values):
-            return kth_direct(np.minimum(k, np.maximum(prefix.astype(np.int64) - 1, 0)))
-        lo = np.zeros(nq, dtype=np.int64)
-        hi = np.full(nq, sigma - 1, dtype=np.int64)
-        for _ in range(steps):
-            mid = (lo + hi) // 2
-            ok = hcum[mid] + _count_le(levels, prefix, mid) >= k + 1
-            hi = np.where(ok, mid, hi)
-            lo = np.where(ok, lo, mid + 1)
-        return dom[np.minimum(lo, sigma - 1)]
-
-    out = []
-    safe = np.maximum(total, 1)
-    for q in qs:
-        pos = q * (safe - 1)
-        lower = np.floor(pos)
-        higher = np.ceil(pos)
-        vlo = kth(lower.astype(np.int64))
-        vhi = kth(higher.astype(np.int64))
-        val = np.where(higher == lower, vlo, (higher - pos) * vlo + (pos - lower) * vhi)
-        out.append(np.where(total > 0, val, np.nan))
-    return total, out
-
-
 def _row_hash(frame: pd.DataFrame) -> np.ndarray:
     """Per-row hash of key columns (nulls hash equal), to find runs of equal keys."""
     return pd.util.hash_pandas_object(frame, index=False).to_numpy()

@@ -21,10 +21,8 @@ SELECT quantile_cont(price, 0.2) AS q20, quantile_cont(price, 0.25) AS q25,
        quantile_cont(price, 0.5) AS q50, quantile_cont(price, 0.75) AS q75 FROM listings
 """), rnd=("q20", "q25", "q50", "q75"))
 def a3_quantiles(spark, sf):
-    from ..functions.aggs import quantile
-    q = quantile("price", F.array(*[F.lit(x) for x in (0.2, 0.25, 0.5, 0.75)]))
-    return V.listings(spark, sf).agg(q.alias("q")).select(
-        *[F.col("q")[i].alias(n) for i, n in enumerate(("q20", "q25", "q50", "q75"))])
+    from ..operators.order_stats import group_quantiles
+    return group_quantiles(V.listings(spark, sf), [], "price", {"q20": 0.2, "q25": 0.25, "q50": 0.5, "q75": 0.75})
 
 
 _DESC = """count(price) AS count, avg(price) AS mean, stddev_samp(price) AS std, min(price) AS min,

@@ -54,25 +54,6 @@ RAW_LISTING_SCHEMA = T.StructType([
     T.StructField("price", T.DoubleType()),
 ])
 
-# Cleaned listings (the library's contract).
-LISTINGS_SCHEMA = T.StructType([
-    T.StructField("entity", T.StringType()),
-    T.StructField("event_date", T.TimestampNTZType()),
-    T.StructField("listing_time", T.TimestampNTZType()),
-    T.StructField("zone", T.StringType()),
-    T.StructField("section", T.StringType()),
-    T.StructField("row", T.DoubleType()),
-    T.StructField("quantity", T.IntegerType()),
-    T.StructField("price", T.DoubleType()),
-    T.StructField("days_until_event", T.IntegerType()),
-    T.StructField("hours_until_event", T.DoubleType()),
-    T.StructField("day_of_week", T.IntegerType()),
-    T.StructField("is_weekend_event", T.IntegerType()),
-    T.StructField("event_month", T.IntegerType()),
-    T.StructField("event_year", T.IntegerType()),
-    T.StructField("listing_month", T.IntegerType()),
-])
-
 # Processed CSV written by the reference's cleaning notebook. ``EVENT_MONTH``
 # duplicates ``event_month`` and clashes with it under case-insensitive
 # resolution, so readers drop it.
@@ -107,13 +88,3 @@ FEATURE_COLUMNS = [
     "price_vs_event_min", "price_vs_expanding_p20", "price_vs_prev_market",
     "prior_listings_count", "time_to_event_ratio", "price_stability_7d",
 ]
-
-SCORES_SCHEMA = T.StructType([
-    T.StructField("entity", T.StringType()),
-    T.StructField("listing_time", T.TimestampNTZType()),
-    T.StructField("label", T.IntegerType()),
-    T.StructField("model", T.StringType()),
-    T.StructField("split", T.StringType()),
-    T.StructField("probability", T.DoubleType()),
-    T.StructField("prediction", T.IntegerType()),
-])

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pricelens.operators.quantiles import _batch_quantiles, growing_quantiles, prefix_quantiles
+from pricelens.operators.quantiles import _batch_quantiles, growing_quantiles
 
 
 def brute(pdf, order):
@@ -48,12 +48,6 @@ def test_batch_matches_brute_force(seed):
         assert (np.isnan(eb) and np.isnan(r.b)) or abs(r.b - eb) < 1e-9
 
 
-def test_prefix_quantiles_single_group():
-    v = np.array([5.0, 1.0, 3.0, 3.0, 9.0])
-    _, (med,) = prefix_quantiles(v, np.arange(5), [0.5])
-    assert np.isnan(med[0]) and med[1] == 5.0 and med[2] == 3.0 and med[3] == 3.0 and med[4] == 3.0
-
-
 def test_operator_on_spark_with_context(spark):
     rows = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 20.0), ("a", 3, None), ("a", 4, 40.0), ("b", 1, 7.0)],
                                  "g string, t long, p double")
