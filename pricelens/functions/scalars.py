@@ -37,8 +37,12 @@ def micros_between(start, end) -> Column:
 
 # P1 ------------------------------------------------------------------------
 def coerce_numeric(c, to: str = "double") -> Column:
-    """Number coercion: text or numbers to ``to``; bad values become null."""
-    return _c(c).cast("string").try_cast(to) if to != "string" else _c(c).cast("string")
+    """Number coercion: text or numbers to ``to``; bad values become null. ``"2.0"`` is the whole number 2."""
+    text = _c(c).cast("string")
+    if to in ("int", "long", "bigint"):
+        number = text.try_cast("double")
+        return F.when(number == F.floor(number), F.coalesce(text.try_cast(to), number.try_cast(to)))
+    return text.try_cast(to) if to != "string" else text
 
 
 # P2 / P3 -------------------------------------------------------------------
@@ -71,14 +75,19 @@ def _utc_to_wall(utc, tz: str) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), _c(utc).cast("timestamp_ntz"))
 
 
-def localize(wall, tz: str) -> Column:
+def localize(wall, tz: str, nonexistent: str = "raise") -> Column:
     """Wall time in zone ``tz`` to the UTC instant (as TIMESTAMP_NTZ in UTC).
 
     Ambiguous wall times (the repeated autumn hour) give null. Nonexistent
-    wall times (the skipped spring hour) also give null; ``localize_status``
-    tells them apart so callers can raise or route them to a reject table.
+    wall times (the skipped spring hour) raise, or give null with
+    ``nonexistent="null"``; ``localize_status`` names them for a reject table.
     """
-    return F.when(localize_status(wall, tz) == F.lit("ok"), _wall_to_utc(wall, tz))
+    status = localize_status(wall, tz)
+    out = F.when(status == F.lit("ok"), _wall_to_utc(wall, tz))
+    if nonexistent == "null":
+        return out
+    gap = F.raise_error(F.concat(F.lit(f"wall time that {tz} skips: "), _c(wall).cast("string")))
+    return F.when(status == F.lit("nonexistent"), gap.cast("timestamp_ntz")).otherwise(out)
 
 
 def localize_status(wall, tz: str) -> Column:

@@ -26,7 +26,7 @@ def _list(x) -> list[str]:
 
 
 # Typed projection of raw listing records ------------------------------
-def typed_listings(raw: DataFrame, tz: str | None = None, strict: bool = True) -> DataFrame:
+def typed_listings(raw: DataFrame, tz: str | None = None, strict: bool = True, nonexistent: str = "raise") -> DataFrame:
     """Coerce a raw listing table (``timestamp`` text, ``row`` text, keys from file name).
 
     Adds ``listing_time`` (wall clock, TIMESTAMP_NTZ), optionally ``listing_ts``
@@ -41,8 +41,8 @@ def typed_listings(raw: DataFrame, tz: str | None = None, strict: bool = True) -
     })
     ts = "listing_time"
     if tz:
-        df = df.withColumn("listing_ts", S.localize("listing_time", tz))
-        df = df.withColumn("event_ts", S.localize("event_date", tz))
+        df = df.withColumn("listing_ts", S.localize("listing_time", tz, nonexistent))
+        df = df.withColumn("event_ts", S.localize("event_date", tz, nonexistent))
         days = S.days_until("event_ts", "listing_ts")
         hours = S.hours_until("event_ts", "listing_ts")
     else:

@@ -304,7 +304,7 @@ PRECISIONS = [0.5, 0.6, 0.623, 0.701, 0.8]
 
 
 def _scenarios(spark, sf):
-    c = V.table(spark, sf, "customer").where("c_acctbal > 0")
+    c = V.table(spark, sf, "customer")
     return c.select("c_custkey", F.col("c_acctbal").alias("budget"),
                     F.explode(F.array(*[F.lit(p) for p in PRECISIONS])).alias("precision"),
                     F.lit(SV.DEFAULT_AVG_GOOD).alias("avg_good_price"),
@@ -316,7 +316,6 @@ _SCEN = """
 SELECT c_custkey, c_acctbal AS budget, p.precision, 63.04::DOUBLE AS avg_good_price,
        100.70::DOUBLE AS avg_not_good_price, 92.84::DOUBLE AS avg_all_price
 FROM customer CROSS JOIN (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.623::DOUBLE), (0.701::DOUBLE), (0.8::DOUBLE)) p(precision)
-WHERE c_acctbal > 0
 """
 
 

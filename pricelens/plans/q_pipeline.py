@@ -49,7 +49,7 @@ _TRAINED: dict = {}
 
 def _trained(spark, sf):
     """Small-setting models on the model table; fitted once per session and folder."""
-    k = (id(spark), sf)
+    k = (spark.sparkContext.applicationId, sf)  # no later session has the same
     if k not in _TRAINED:
         t = model_table(V.listings(spark, sf), COLS)
         _TRAINED[k] = train(t, models=ML.small_models(), key=("entity", "event_id"), checkpoint=True)
@@ -123,16 +123,23 @@ def p4_p5_localize(spark, sf):
     tz = "America/New_York"
     out = o.select("o_orderkey", wall.alias("wall"))
     return out.select("o_orderkey", "wall", S.localize_status("wall", tz).alias("status"),
-                      S.localize("wall", tz).alias("utc"),
-                      S.to_zone(S.localize("wall", tz), tz).alias("back"))
+                      S.localize("wall", tz, "null").alias("utc"),
+                      S.to_zone(S.localize("wall", tz, "null"), tz).alias("back"))
 
 
 # A2 / F10 -------------------------------------------------------------------
-@query("a2_trend_maps")
+@query("a2_trend_maps", sql=V.duck_with("""
+, t AS (SELECT days_until_event AS d, avg(price) AS p, count(price) AS n FROM clean GROUP BY 1)
+SELECT 'All Events' AS event_key, string_agg(d || ':' || format('{:,.4f}', p) || ':' || n, ' ' ORDER BY d) AS entries FROM t
+""".replace(", t AS", "WITH t AS", 1), clean=V.DUCK_CLEAN))
 def a2_trend_maps(spark, sf):
-    """Day -> mean price and day -> count maps under 'All Events' (rows only; long form is A1)."""
+    """Day -> mean price and day -> count maps under 'All Events', shown as text in order of days."""
     from ..operators import market as M
-    return M.trend_maps(M.price_trends(V.clean_listings(spark, sf)))
+    maps = M.trend_maps(M.price_trends(V.clean_listings(spark, sf)))
+    days = F.array_sort(F.map_keys("prices"))
+    entry = F.transform(days, lambda d: F.concat_ws(":", d, F.format_number(F.element_at("prices", d), 4),
+                                                    F.element_at("counts", d)))
+    return maps.select("event_key", F.array_join(entry, " ").alias("entries"))
 
 
 @query("f10_trend_maps_long", rnd=("avg_price",), sql=V.duck_with("""
@@ -163,15 +170,19 @@ def u3_missing_features(spark, sf):
     return C.missing_features(spark, _FC, t.columns)
 
 
-@query("f12_display_formats")
+@query("f12_display_formats", sql="""
+SELECT c_custkey, p.precision, '$' || format('{:,.2f}', c_acctbal * p.precision) AS cost_text,
+       format('{:,.1f}', p.precision * 100) || '%' AS precision_text,
+       format('{:,}', CAST(trunc(c_acctbal / 7) AS BIGINT)) AS tickets_text
+FROM customer CROSS JOIN (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.623::DOUBLE), (0.701::DOUBLE), (0.8::DOUBLE)) p(precision)
+""")
 def f12_display_formats(spark, sf):
-    """Money, percent and thousands formats of the savings grid (rows only)."""
+    """Money, percent and thousands formats over the savings scenarios of every customer."""
     from .q_model import _scenarios
-    from ..operators import savings as SV
-    s = SV.savings(_scenarios(spark, sf), variant="dashboard")
-    return s.select("c_custkey", "precision", S.fmt_money("model_cost").alias("model_cost_text"),
+    s = _scenarios(spark, sf)
+    return s.select("c_custkey", "precision", S.fmt_money(F.col("budget") * F.col("precision")).alias("cost_text"),
                     S.fmt_percent("precision").alias("precision_text"),
-                    S.fmt_thousands("model_tickets").alias("tickets_text"))
+                    S.fmt_thousands((F.col("budget") / 7).cast("long")).alias("tickets_text"))
 
 
 # U1 -------------------------------------------------------------------------

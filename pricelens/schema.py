@@ -50,8 +50,8 @@ RAW_LISTING_SCHEMA = T.StructType([
     T.StructField("zone", T.StringType()),
     T.StructField("section", T.StringType()),
     T.StructField("row", T.StringType()),
-    T.StructField("quantity", T.LongType()),
-    T.StructField("price", T.DoubleType()),
+    T.StructField("quantity", T.StringType()),  # numbers or text: coerced later, so that neither is lost
+    T.StructField("price", T.StringType()),
 ])
 
 # Processed CSV written by the reference's cleaning notebook. ``EVENT_MONTH``

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,7 +92,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         out = m.where(F.col("m").isNotNull()).select(F.explode("m").alias("key", "doc"))
         out.schema
         return out
-    except Exception:  # noqa: BLE001  (missing path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
         return empty
 
 

@@ -117,11 +117,18 @@ def test_day_sign_truncation(spark):
 def test_dst(spark):
     df = spark.createDataFrame([(dt.datetime(2022, 11, 6, 1, 30),), (dt.datetime(2022, 3, 13, 2, 30),),
                                 (dt.datetime(2022, 6, 1, 12, 0),)], "w timestamp_ntz")
-    r = df.select(S.localize_status("w", "America/New_York").alias("s"), S.localize("w", "America/New_York").alias("u")).collect()
+    r = df.select(S.localize_status("w", "America/New_York").alias("s"), S.localize("w", "America/New_York", "null").alias("u")).collect()
     assert [x["s"] for x in r] == ["ambiguous", "nonexistent", "ok"]
     assert r[0]["u"] is None and r[1]["u"] is None and r[2]["u"] == dt.datetime(2022, 6, 1, 16, 0)
 
 
+def test_dst_gap_raises(spark):
+    import pytest
+    df = spark.createDataFrame([(dt.datetime(2022, 3, 13, 2, 30),)], "w timestamp_ntz")
+    with pytest.raises(Exception, match="skips"):
+        df.select(S.localize("w", "America/New_York")).collect()
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (2, None), (2, None), (3, "b")], "k int, v string")
     assert C.drop_exact_duplicates(df).count() == 3
@@ -210,8 +217,8 @@ def test_zone_functions_ignore_session_zone(spark, session_tz):
     old = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", session_tz)
-        r = df.select(S.localize_status("w", tz).alias("s"), S.localize("w", tz).alias("u"),
-                      S.to_zone(S.localize("w", tz), tz).alias("b")).collect()
+        r = df.select(S.localize_status("w", tz).alias("s"), S.localize("w", tz, "null").alias("u"),
+                      S.to_zone(S.localize("w", tz, "null"), tz).alias("b")).collect()
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert [x["s"] for x in r] == ["ambiguous", "nonexistent", "ok"]
