@@ -1,32 +1,42 @@
-"""Leakage-aware per-entity features.
+"""Leakage-aware per-entity features (W1-W21, J1, J4, J5), in chunks of bounded size.
 
-Every feature of a row reads only rows of the same entity that come before
-it (except the reference's look-ahead duration, W12, which ``strict=True``
-turns off). Row loops of the reference become window frames:
+Every feature of a row reads only rows of the same entity that come before it (except the reference's
+look-ahead duration, W12, which ``strict=True`` turns off). Row loops of the reference become frames:
 
-* positional history ("all earlier rows"): ROWS UNBOUNDED PRECEDING .. 1 PRECEDING
-* last 15 rows: ROWS 15 PRECEDING .. 1 PRECEDING
-* seven days up to now, current time included: RANGE (7 d - 1 us) PRECEDING .. CURRENT ROW
-* strictly earlier times: RANGE UNBOUNDED PRECEDING .. 1 us PRECEDING
-* the week before now, current time excluded: RANGE 7 d PRECEDING .. 1 us PRECEDING
+* positional history ("all earlier rows"), and the last 15 rows
+* seven days up to now, current time included: times in (t - 7 d, t]
+* the week before now, current time excluded: times in [t - 7 d, t)
+* strictly earlier times
 
-All frames share one partitioning (the entity) and one sort, so the plan has
-a single shuffle for the window stage. Entity-level constants (max days,
-first/last listing time) come from the same window without an order.
+There is one plan for entities of any size. The rows are dealt once into ranges of (entity, time) of about equal
+size and written to the shared folder, each with a row number ``_rid`` that is never null and orders the rows; an entity's
+share of a range is a chunk. Within a chunk the frames are plain windows. What lies before the chunk comes from
 
-Scale: one entity is one window partition. ``engineer_features`` therefore
-routes entities above ``hot_rows`` rows to :mod:`.features_split`, which
-computes the same values in (entity, week) pieces.
+* one summary row per chunk, running over the entity's earlier chunks (counts, sums, extremes, moments);
+* the 15 rows before the chunk, copied into it, for the lag and the last-15 frame;
+* for the 7-day frames: chunks wholly inside the frame, added up from their summaries, and for the chunks
+  that a frame cuts, probes: a row asks such a chunk for the moments of its part after t - 7 d. Chunks and cuts are both in order of
+  time, so there are about as many probes as rows, however dense the week is;
+* for the growing quantiles: :mod:`.growing`, which hands each chunk only the earlier prices near its quantiles.
+
+Moments of parts are merged as (count, mean, squared deviations), not as differences of sums, so that equal prices have
+deviation 0. No task holds more than a chunk, its probes and its context.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import US_PER_DAY, US_PER_HOUR, epoch_micros
 from ..schema import DEFAULT_COLS, Cols
+from ..session import write_shared
+from .growing import chunk_quantiles
 from .market import market_stats, time_window
+from .order_stats import join_null_safe
 
 WEEK_US = 7 * US_PER_DAY
 H48_US = 48 * US_PER_HOUR
@@ -34,14 +44,10 @@ MIN_HISTORY = 5        # fixed value: rows of history needed by W2, W3, W15, W16
 STABILITY_START = 7    # fixed value: W21 starts at the 8th row (0-based index 7)
 DECAY_DAYS = 30.0      # fixed value: W4 decay constant
 EPS = 1e-6             # fixed value: guard added to denominators by the reference
-DEFAULT_HOT_ROWS = 1_000_000  # entities above this many rows use the split plan
-CHUNK_TARGET_ROWS = 5_000_000  # auto chunk width aims at about this many rows per (entity, chunk)
-
-TS_US = "_ts_us"
-
+TAIL = 15              # fixed value: rows of the W16 frame
+QUANTILES = {"_q50": 0.5, "_q20": 0.2}  # W3 median and W15 20 % quantile of earlier prices
 
-def _e(cols: Cols) -> list[str]:
-    return list(cols.entity)
+TS_US, CHUNK, RID, GID = "_ts_us", "_chunk", "_rid", "_gid"
 
 
 def with_time_keys(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
@@ -52,157 +58,248 @@ def with_time_keys(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
     return out
 
 
-def _windows(cols: Cols):
-    part = Window.partitionBy(*_e(cols))
-    rows = part.orderBy(F.col(TS_US), *[F.col(c) for c in cols.tiebreak])
-    rng = part.orderBy(F.col(TS_US))
-    return part, rows, rng
-
+# --- chunks ------------------------------------------------------------------
+def deal(df: DataFrame, cols: Cols, ranges: int | None = None) -> DataFrame:
+    """Rows with chunk and row number, written once to the shared folder.
 
+    Equal times of an entity stay in one chunk. Rows of equal time stand in order of the tie-break, then of price,
+    quantity and a hash of the row (nulls first), so that only rows equal in all columns are interchangeable.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashable = [c for c, t in df.dtypes if not t.startswith("map")]
+    order = [*cols.entity, TS_US, *cols.tiebreak, cols.price, cols.quantity, F.xxhash64(*hashable)]
+    dealt = (df.repartitionByRange(n, *cols.entity, TS_US).sortWithinPartitions(*order)
+             .withColumn(CHUNK, F.spark_partition_id()).withColumn(RID, F.monotonically_increasing_id()))
+    return write_shared(dealt)
+
+
+@dataclass
+class Moments:
+    """Count, mean and sum of squared deviations."""
+    n: Column
+    mean: Column
+    m2: Column
+
+    @classmethod
+    def over(cls, value: Column, frame) -> Moments:
+        n = F.count(value).over(frame)
+        return cls(n.cast("double"), F.coalesce(F.avg(value).over(frame), F.lit(0.0)),
+                   F.coalesce(F.var_pop(value).over(frame), F.lit(0.0)) * n)
+
+    @classmethod
+    def of(cls, struct: Column) -> Moments:
+        return cls(struct["n"], struct["mean"], struct["m2"])
+
+    @classmethod
+    def or_none(cls, prefix: str) -> Moments:
+        return cls(*[F.coalesce(F.col(f"{prefix}_{k}"), F.lit(0.0)) for k in ("n", "mean", "m2")])
+
+    def plus(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        gap = other.mean - self.mean
+        both = (self.n > 0) & (other.n > 0)
+        return Moments(n, F.when(both, self.mean + gap * other.n / n).when(other.n > 0, other.mean).otherwise(self.mean),
+                       self.m2 + other.m2 + F.when(both, gap * gap * self.n * other.n / n).otherwise(F.lit(0.0)))
+
+    def struct(self) -> Column:
+        return F.struct(self.n.alias("n"), self.mean.alias("mean"), self.m2.alias("m2"))
+
+    def std(self) -> Column:
+        return F.when(self.n > 1, F.sqrt(self.m2 / (self.n - 1)))
+
+    def avg(self) -> Column:
+        return F.when(self.n > 0, self.mean)
+
+
+def _folded(parts: Column) -> Column:
+    """The moments of an array of moments, added up in the array's order."""
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "mean", "m2")])
+    return F.aggregate(parts, zero, lambda a, x: Moments.of(a).plus(Moments.of(x)).struct())
+
+
+def summarise(rows: DataFrame, cols: Cols) -> DataFrame:
+    """One row per chunk: its own sums, the sums of the entity's earlier chunks, and the entity's constants."""
+    E, p, q = list(cols.entity), F.col(cols.price), F.col(cols.quantity)
+    own = rows.groupBy(*E, CHUNK).agg(
+        F.min(RID).alias(GID), F.count(F.lit(1)).alias("_n"), F.count(p).alias("_np"),
+        F.coalesce(F.avg(p), F.lit(0.0)).alias("_mean"), F.coalesce(F.var_pop(p), F.lit(0.0)).alias("_var"),
+        F.sum(q).alias("_sq"), F.count(q).alias("_nq"), F.min(p).alias("_mn"), F.max(p).alias("_mx"),
+        F.min(TS_US).alias("_t0"), F.max(TS_US).alias("_t1"), F.max(cols.days).alias("_days"))
+    entity = Window.partitionBy(*E)  # a row per chunk of the entity
+    by_time = entity.orderBy(CHUNK)
+    earlier = by_time.rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    # sums of squares run over prices less those of the first chunk, which keeps them small and reads nothing later
+    own = own.withColumn("_shift", F.first("_mean").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    off = F.col("_mean") - F.col("_shift")
+    out = own.withColumns({
+        "_k": F.row_number().over(by_time), "_first": F.min("_t0").over(entity), "_last": F.max("_t1").over(entity),
+        "_maxd": F.max("_days").over(entity), "_m2": F.col("_var") * F.col("_np"),
+        "_Pn": total("_n"), "_Pnp": total("_np"), "_Psq": total("_sq"),
+        "_Pmn": F.min("_mn").over(earlier), "_Pmx": F.max("_mx").over(earlier),
+        "_Ps1": total(off * F.col("_np")), "_Ps2": total(F.col("_var") * F.col("_np") + off * off * F.col("_np"))})
+    return write_shared(out)
+
+
+def _near_pairs(chunks: DataFrame, cols: Cols) -> DataFrame:
+    """(chunk's _gid, earlier chunk's summary) for the earlier chunks that reach into the 7 days before some row.
+
+    The first such chunk is found by counting, in order of time, the chunks that end before the frame begins.
+    """
+    E = list(cols.entity)
+    marks = chunks.select(*E, F.col("_t1").alias("_at"), F.lit(1).alias("_end"), F.lit(None).cast("long").alias("_asks"))
+    asks = chunks.select(*E, (F.col("_t0") - WEEK_US).alias("_at"), F.lit(0).alias("_end"), F.col(GID).alias("_asks"))
+    ended = Window.partitionBy(*E).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    first = (marks.unionByName(asks).withColumn("_done", F.coalesce(F.sum("_end").over(ended), F.lit(0)))
+             .where(F.col("_asks").isNotNull()).select(F.col("_asks").alias(GID), (F.col("_done") + 1).alias("_from")))
+    own = chunks.join(first, GID).where(F.col("_from") < F.col("_k"))
+    own = own.select(*E, F.col(GID).alias("_for"), (F.col("_t1") - WEEK_US).alias("_cut"),
+                     F.explode(F.sequence(F.col("_from").cast("int"), F.col("_k") - 1)).alias("_k"))
+    return join_null_safe(own, chunks.select(*E, "_k", GID, "_t0", "_np", "_mean", "_m2", "_nq", "_sq"), [*E, "_k"], "inner")
+
+
+def _week_before_chunk(rows: DataFrame, chunks: DataFrame, cols: Cols) -> tuple[DataFrame, DataFrame]:
+    """What the 7-day frames hold of earlier chunks.
+
+    Returns (per chunk: moments and quantities of the chunks wholly inside every row's frame; per row: the same of the
+    parts of the chunks that frames cut, for times after t - 7 d and from t - 7 d on).
+    """
+    pairs = _near_pairs(chunks, cols).withColumn("_whole", F.col("_t0") > F.col("_cut"))
+    part = F.struct(F.col("_k").alias("k"), F.col("_np").cast("double").alias("n"), F.col("_mean").alias("mean"), F.col("_m2").alias("m2"))
+    whole = (pairs.where("_whole").groupBy(F.col("_for").alias(GID))  # at most the chunks of a week
+             .agg(_folded(F.transform(F.array_sort(F.collect_list(part)), lambda x: F.struct(x["n"].alias("n"), x["mean"].alias("mean"), x["m2"].alias("m2")))).alias("w"),
+                  F.sum("_nq").alias("_w_nq"), F.sum("_sq").alias("_w_sq"))
+             .select(GID, "_w_nq", "_w_sq", *[F.col(f"w.{k}").alias(f"_w_{k}") for k in ("n", "mean", "m2")]))
+    cut = pairs.where(~F.col("_whole")).select(F.col("_for").alias("_asking"), F.col(GID).alias("_asked"))
+    asks = (rows.select(F.col(GID).alias("_asking"), RID, (F.col(TS_US) - WEEK_US).alias("_at")).join(cut, "_asking")
+            .select(F.col("_asked").alias(GID), RID, "_at", F.lit(None).cast("double").alias("_p"), F.lit(None).cast("double").alias("_q")))
+    asked = rows.join(cut.select(F.col("_asked").alias(GID)).distinct(), GID, "left_semi")
+    asked = asked.select(GID, F.lit(None).cast("long").alias(RID), F.col(TS_US).alias("_at"), F.col(cols.price).cast("double").alias("_p"),
+                         F.col(cols.quantity).cast("double").alias("_q"))
+    backwards = Window.partitionBy(GID).orderBy(F.desc("_at"))
+    after = backwards.rangeBetween(Window.unboundedPreceding, -1)
+    since = backwards.rangeBetween(Window.unboundedPreceding, 0)
+    found = (asked.unionByName(asks)
+             .select(GID, RID, Moments.over(F.col("_p"), after).struct().alias("a"), Moments.over(F.col("_p"), since).struct().alias("s"),
+                     F.count("_q").over(after).alias("nq"), F.sum("_q").over(after).alias("sq"))
+             .where(F.col(RID).isNotNull()))
+    per_row = (found.groupBy(RID)  # a chunk's cuts, a few
+               .agg(F.array_sort(F.collect_list(F.struct(GID, "a", "s"))).alias("x"), F.sum("nq").alias("_c_nq"), F.sum("sq").alias("_c_sq"))
+               .select(RID, "_c_nq", "_c_sq", _folded(F.transform("x", lambda x: x["a"])).alias("a"), _folded(F.transform("x", lambda x: x["s"])).alias("s"))
+               .select(RID, "_c_nq", "_c_sq", *[F.col(f"{v}.{k}").alias(f"_c{v}_{k}") for v in "as" for k in ("n", "mean", "m2")]))
+    return whole, per_row
+
+
+def _tails(rows: DataFrame, chunks: DataFrame, cols: Cols) -> DataFrame:
+    """The ``TAIL`` rows before each chunk, as rows of that chunk: each chunk's last rows, and of those the last over earlier chunks."""
+    E = list(cols.entity)
+    last = Window.partitionBy(GID).orderBy(F.desc(TS_US), F.desc(RID))
+    kept = rows.select(GID, RID, TS_US, cols.price, cols.quantity).withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= TAIL)
+    row = F.struct(TS_US, RID, cols.price, cols.quantity)
+    lists = kept.groupBy(GID).agg(F.array_sort(F.collect_list(row)).alias("_rows"))  # TAIL rows
+    before = Window.partitionBy(*E).orderBy("_k").rowsBetween(-TAIL, -1)  # every chunk has a row at least
+    known = chunks.select(*E, "_k", GID).join(lists, GID).select(GID, F.flatten(F.collect_list("_rows").over(before)).alias("_rows"))
+    return known.select(GID, F.inline(F.slice("_rows", F.greatest(F.size("_rows") - TAIL + 1, F.lit(1)), TAIL)))
+
+
+# --- features ------------------------------------------------------------------
 def _ratio_or_one(p: Column, h: Column, n: Column) -> Column:
     """p / h when at least MIN_HISTORY earlier values exist, else 1.0."""
     return F.when(n >= MIN_HISTORY, F.try_divide(p, h)).otherwise(F.lit(1.0))
 
 
-QUANTILES = {"_q50": 0.5, "_q20": 0.2}  # W3 median and W15 20 % quantile of earlier prices
-
-
-def _growing_quantile(p: Column, q: float, frame, accuracy: int | None) -> Column:
-    """Quantile of all earlier values as a window aggregate: exact or, with ``accuracy``, a sketch."""
-    if accuracy is None:
-        return F.percentile(p, F.lit(q)).over(frame)
-    return F.percentile_approx(p, F.lit(q), F.lit(accuracy)).over(frame).cast("double")
-
-
-def finalize_quantiles(df: DataFrame, cols: Cols) -> DataFrame:
-    """W3 and W15 from the joined ``_q50`` / ``_q20`` and the window stage's ``_n_before``."""
-    p, n = F.col(cols.price), F.col("_n_before")
-    return df.select(
-        *[c for c in df.columns if c not in ("_n_before", "_q50", "_q20")],
-        _ratio_or_one(p, F.col("_q50"), n).alias("price_vs_event_median"),
-        F.when(n >= MIN_HISTORY, F.col("_q20")).alias("expanding_p20"))
-
-
-def quantile_table(rows: DataFrame, cols: Cols, group: list[str] | None = None,
-                   context: DataFrame | None = None) -> DataFrame:
-    """(group, time, tie-break, time_window, _q50, _q20) from :func:`quantiles.growing_quantiles`."""
-    from .quantiles import growing_quantiles
-    return growing_quantiles(rows, group or _e(cols), [TS_US, *cols.tiebreak], cols.price, QUANTILES,
-                             context, carry=[cols.time_window])
-
-
-def history_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = False,
-                     quantile_accuracy: int | None = None, quantiles: str = "index") -> DataFrame:
-    """W1-W16, W20, W21 on a frame that already has ``with_time_keys``.
+_BEFORE = ["_k", "_first", "_last", "_maxd", "_Pn", "_Pnp", "_Psq", "_Pmn", "_Pmx", "_Ps1", "_Ps2", "_shift"]
 
-    W3 and W15 (quantiles of all earlier prices) come from the growing-quantile
-    operator (``quantiles="index"``, exact, O(log^2) per row). ``"window"``
-    uses Spark's ``percentile`` over the growing frame instead (exact, but it
-    re-sorts the earlier prices on every row), and ``quantile_accuracy`` a
-    ``percentile_approx`` sketch over that frame.
-    """
-    in_window = quantiles == "window" or quantile_accuracy is not None
-    out = window_stage(df, cols, strict, in_window, quantile_accuracy)
-    if not in_window:
-        q = quantile_table(df, cols).drop(cols.time_window)
-        out = finalize_quantiles(out.join(q, [*_e(cols), TS_US, *cols.tiebreak], "left"), cols)
-    return out.select("*", *_derived_expressions(cols))
-
-
-def window_stage(df: DataFrame, cols: Cols, strict: bool = False, in_window: bool = False,
-                 quantile_accuracy: int | None = None) -> DataFrame:
-    """All window features of one entity partition: one exchange, one sort.
 
-    Without ``in_window`` W3/W15 are left to the growing-quantile operator and
-    ``_n_before`` (earlier non-null prices) is kept for them.
-    """
-    part, w, rng = _windows(cols)
-    p, q, d = F.col(cols.price), F.col(cols.quantity), F.col(cols.days)
-    ts = F.col(TS_US)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    last15 = w.rowsBetween(-15, -1)
-    week_incl = rng.rangeBetween(-WEEK_US + 1, 0)
+def _history(rows: DataFrame, chunks: DataFrame, cols: Cols, strict: bool) -> DataFrame:
+    """W1, W2, W4-W6, W9-W12, W16 and the own chunk's part of W7, W8, W21, per ``_rid``."""
+    core = rows.withColumn("_core", F.lit(True))
+    whole = core.unionByName(_tails(rows, chunks, cols).withColumn("_core", F.lit(False)), allowMissingColumns=True)
+    whole = whole.join(chunks.select(GID, *_BEFORE), GID)
+    part = Window.partitionBy(GID)
+    w, rng = part.orderBy(TS_US, RID), part.orderBy(TS_US)
+    before, last15 = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(-TAIL, -1)
+    week_incl, week_before = rng.rangeBetween(-WEEK_US + 1, 0), rng.rangeBetween(-WEEK_US, -1)
     strictly_before = rng.rangeBetween(Window.unboundedPreceding, -1)
-    week_before = rng.rangeBetween(-WEEK_US, -1)
-
-    prev_p = F.lag(p).over(w)
-    prev_ts = F.lag(ts).over(w)
-    n_before = F.count(p).over(before)
-    rn = F.row_number().over(w) - 1
-    first_us = F.min(ts).over(part)
-    last_us = F.max(ts).over(part)
-
-    std7 = F.stddev_samp(p).over(week_incl)
-    mean7 = F.avg(p).over(week_incl)
-    hist_n = F.count(p).over(strictly_before)
-    stab_std = F.stddev_samp(p).over(week_before)
-    stab_mean = F.avg(p).over(week_before)
+    p, q, d, ts, core_row = F.col(cols.price), F.col(cols.quantity), F.col(cols.days), F.col(TS_US), F.col("_core")
+    pc, qc = F.when(core_row, p), F.when(core_row, q)
+
+    prev_p, prev_ts, prev_q = F.lag(p).over(w), F.lag(ts).over(w), F.lag(q).over(w)
+    n_before = F.col("_Pnp") + F.count(pc).over(before)
+    place = F.col("_Pn") + F.count(F.when(core_row, F.lit(1))).over(before)
+    quantity = (F.col("_Psq") + F.coalesce(F.sum(qc).over(before), F.lit(0))).cast("double")
+    n_earlier = F.col("_Pnp").cast("double")
+    earlier = Moments(n_earlier, F.col("_shift") + F.coalesce(F.try_divide(F.col("_Ps1"), n_earlier), F.lit(0.0)),
+                      F.greatest(F.lit(0.0), F.col("_Ps2") - F.coalesce(F.try_divide(F.col("_Ps1") * F.col("_Ps1"), n_earlier), F.lit(0.0))))
+    past = earlier.plus(Moments.over(pc, strictly_before))
+    week, stable = Moments.over(pc, week_incl), Moments.over(pc, week_before)
     n15 = F.count(p).over(last15)
-
-    out = df.select(
-        "*",
-        # Latest earlier row, used when at most 48 h old
-        F.coalesce(F.when(prev_ts >= ts - H48_US, F.try_divide(p - prev_p, prev_p)), F.lit(0.0))
-        .alias("price_change_48h"),
-        # W2 / W3 (W3 here only in window mode)
-        _ratio_or_one(p, F.min(p).over(before), n_before).alias("price_vs_event_min"),
-        *([_ratio_or_one(p, _growing_quantile(p, 0.5, before, quantile_accuracy), n_before)
-           .alias("price_vs_event_median")] if in_window else [n_before.alias("_n_before")]),
-        _ratio_or_one(p, F.max(p).over(before), n_before).alias("price_vs_event_max"),
-        # W4 / W5 (J5: a group statistic attached to each row)
-        F.exp(-d / F.lit(DECAY_DAYS)).alias("demand_pressure"),
-        F.try_divide(F.lit(1.0), (d + 1).cast("double")).alias("urgency_factor"),
-        F.try_divide(d.cast("double"), F.max(d).over(part)).alias("time_to_event_ratio"),
-        # Quantity before this row, and before the previous row (the lagged running total)
-        F.coalesce(F.sum(q).over(before), F.lit(0)).cast("double").alias("cumulative_quantity"),
-        F.coalesce(F.sum(q).over(w.rowsBetween(Window.unboundedPreceding, -2)), F.lit(0)).cast("double")
-        .alias("prev_cumulative"),
-        # W7 / W8
-        F.count(q).over(week_incl).cast("double").alias("listing_volume_7d"),
-        F.coalesce(F.avg(q).over(week_incl), F.lit(0.0)).alias("avg_quantity_7d"),
-        F.coalesce(std7, F.lit(0.0)).alias("price_std_7d"),
-        (std7 / F.when(mean7 == 0, F.lit(EPS)).otherwise(mean7)).alias("price_volatility"),
-        # W9
-        hist_n.alias("event_listing_frequency"),
-        F.when(hist_n > 0, F.avg(p).over(strictly_before)).otherwise(p).alias("event_avg_price"),
-        F.when(hist_n > 0, F.stddev_samp(p).over(strictly_before)).otherwise(F.lit(0.0)).alias("event_price_std"),
-        # W10 / W11 / W12
-        rn.alias("prior_listings_count"),
-        ((ts - first_us) / F.lit(float(US_PER_DAY))).alias("days_since_first_listing"),
-        (((ts if strict else last_us) - first_us) / F.lit(float(US_PER_DAY))).alias("event_duration_so_far"),
-        # W15 (window mode) / W16
-        *([F.when(n_before >= MIN_HISTORY, _growing_quantile(p, 0.2, before, quantile_accuracy))
-           .alias("expanding_p20")] if in_window else []),
+    return whole.select(
+        RID, GID, cols.price, core_row.alias("_core"), place.alias("prior_listings_count"), n_before.alias("_n_before"),
+        F.coalesce(F.when(prev_ts >= ts - H48_US, F.try_divide(p - prev_p, prev_p)), F.lit(0.0)).alias("price_change_48h"),
+        _ratio_or_one(p, F.least(F.col("_Pmn"), F.min(pc).over(before)), n_before).alias("price_vs_event_min"),
+        _ratio_or_one(p, F.greatest(F.col("_Pmx"), F.max(pc).over(before)), n_before).alias("price_vs_event_max"),
+        *[c.alias(n) for n, c in _row_expressions(cols).items()],
+        F.try_divide(d.cast("double"), F.col("_maxd")).alias("time_to_event_ratio"),
+        quantity.alias("cumulative_quantity"),
+        F.when(place > 0, quantity - F.coalesce(prev_q, F.lit(0)).cast("double")).otherwise(F.lit(0.0)).alias("prev_cumulative"),
+        past.n.cast("long").alias("event_listing_frequency"),
+        F.when(past.n > 0, past.mean).otherwise(p).alias("event_avg_price"),
+        F.when(past.n > 0, past.std()).otherwise(F.lit(0.0)).alias("event_price_std"),
+        ((ts - F.col("_first")) / F.lit(float(US_PER_DAY))).alias("days_since_first_listing"),
+        (((ts if strict else F.col("_last")) - F.col("_first")) / F.lit(float(US_PER_DAY))).alias("event_duration_so_far"),
         F.when(n15 >= MIN_HISTORY, F.stddev_samp(p).over(last15)).alias("hist_volatility_30d"),
-        # W21
-        F.when((rn >= STABILITY_START) & (stab_mean != 0), stab_std / stab_mean).alias("price_stability_7d"),
-    )
-    return out
-
-
-def _derived_expressions(cols: Cols) -> list[Column]:
-    """Features that are plain expressions of other features (W13, W14, W15 ratio, W20)."""
+        week.struct().alias("_week"), stable.struct().alias("_stable"),
+        F.count(qc).over(week_incl).alias("_o_nq"), F.coalesce(F.sum(qc).over(week_incl), F.lit(0)).cast("double").alias("_o_sq"),
+    ).where("_core").drop("_core")
+
+
+def _week_features(df: DataFrame) -> DataFrame:
+    """W7, W8 and W21 from the parts of their frames: wholly covered chunks, cut chunks, the own chunk."""
+    before, cut, cut_since = Moments.or_none("_w"), Moments.or_none("_ca"), Moments.or_none("_cs")
+    week = cut.plus(before).plus(Moments.of(F.col("_week")))
+    stable = cut_since.plus(before).plus(Moments.of(F.col("_stable")))
+    number = lambda k: F.coalesce(F.col(f"_c_{k}"), F.lit(0)) + F.coalesce(F.col(f"_w_{k}"), F.lit(0)) + F.col(f"_o_{k}")
+    out = df.withColumns({"_wk": week.struct(), "_st": stable.struct(), "_nq7": number("nq").cast("double"), "_sq7": number("sq").cast("double")})
+    week, stable = Moments.of(F.col("_wk")), Moments.of(F.col("_st"))
+    return out.withColumns({
+        "listing_volume_7d": F.col("_nq7"),
+        "avg_quantity_7d": F.coalesce(F.try_divide(F.col("_sq7"), F.col("_nq7")), F.lit(0.0)),
+        "price_std_7d": F.coalesce(week.std(), F.lit(0.0)),
+        "price_volatility": week.std() / F.when(week.mean == 0, F.lit(EPS)).otherwise(week.mean),
+        "price_stability_7d": F.when((F.col("prior_listings_count") >= STABILITY_START) & (stable.n > 0) & (stable.mean != 0), stable.std() / stable.mean)})
+
+
+def _row_expressions(cols: Cols) -> dict[str, Column]:
+    """Features of the row alone."""
+    d = F.col(cols.days)
+    return {"demand_pressure": F.exp(-d / F.lit(DECAY_DAYS)),
+            "urgency_factor": F.try_divide(F.lit(1.0), (d + 1).cast("double"))}
+
+
+def _derived_expressions(cols: Cols) -> dict[str, tuple[Column, list[str]]]:
+    """Features that are plain expressions (W13, W14, W15 ratio, W20), and the columns they need."""
     p = F.col(cols.price)
-    prior = F.col("prior_listings_count")
-    return [
-        (prior / (F.col("event_duration_so_far") + F.lit(EPS))).alias("listing_intensity"),
-        (prior < MIN_HISTORY).cast("int").alias("is_early_listing"),
-        (F.col(cols.days) < 7).cast("int").alias("is_last_week"),
-        F.try_divide(p, F.nullif(F.col("expanding_p20"), F.lit(0.0))).alias("price_vs_expanding_p20"),
-        F.when(prior == 0, F.lit(0.0)).alias("price_trend_7d"),
-        F.when(prior == 0, F.lit(0.5)).alias("inventory_burn_rate"),
-    ]
-
-
-def prev_market(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
+    prior, n = F.col("prior_listings_count"), ["prior_listings_count"]
+    return {
+        "listing_intensity": (prior / (F.col("event_duration_so_far") + F.lit(EPS)), [*n, "event_duration_so_far"]),
+        "is_early_listing": ((prior < MIN_HISTORY).cast("int"), n),
+        "is_last_week": ((F.col(cols.days) < 7).cast("int"), []),
+        "price_vs_expanding_p20": (F.try_divide(p, F.nullif(F.col("expanding_p20"), F.lit(0.0))), ["expanding_p20"]),
+        "price_trend_7d": (F.when(prior == 0, F.lit(0.0)), n),
+        "inventory_burn_rate": (F.when(prior == 0, F.lit(0.5)), n),
+    }
+
+
+def prev_market(df: DataFrame, cols: Cols = DEFAULT_COLS, extra: dict[str, float] | None = None) -> DataFrame:
     """Per (entity, bucket) the stats of the entity's previous bucket that has data.
 
-    A7 is an aggregate (map-side combined); the ``lag`` runs over the small
-    bucket table, one row per (entity, week).
+    A7 is an aggregate (map-side combined); the ``lag`` runs over the small bucket table, one row per (entity,
+    week). ``extra`` quantiles are those of the bucket itself.
     """
-    ms = market_stats(df, cols)
-    w = Window.partitionBy(*_e(cols)).orderBy(cols.time_window)
-    return ms.select(*_e(cols), cols.time_window,
+    ms = market_stats(df, cols, extra)
+    w = Window.partitionBy(*cols.entity).orderBy(cols.time_window)
+    return ms.select(*cols.entity, cols.time_window, *(extra or {}),
                      F.lag("market_median").over(w).alias("prev_market_median"),
                      F.lag("market_size").over(w).alias("prev_market_size"))
 
@@ -218,72 +315,76 @@ def finalize_market(df: DataFrame, cols: Cols) -> DataFrame:
 
 def attach_prev_market(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
     """J1 + W19: left join on (entity, bucket); AQE broadcasts the bucket table when small."""
-    keys = [*_e(cols), cols.time_window]
-    pm = prev_market(df.select(*keys, cols.price), cols)
-    return finalize_market(df.join(pm, keys, "left"), cols)
-
-
-def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = False,
-                      hot_rows: int | None = DEFAULT_HOT_ROWS, chunk_days: int | str = "auto",
-                      quantile_accuracy: int | None = None, quantiles: str = "index") -> DataFrame:
-    """All per-row features of the reference plus ``time_window``.
-
-    Entities with more than ``hot_rows`` rows are computed by the split plan
-    (:func:`features_split.split_history_features`), cut into ``chunk_days``
-    pieces. Whether any entity is that large is checked first with one
-    aggregate over the entity key (a scan of the key columns only); when none
-    is, the plan is the single window stage. ``hot_rows=None`` skips the check.
-    ``chunk_days="auto"`` picks the widest chunk (at most 7 days, at least 1)
-    that keeps the densest hot entity near ``CHUNK_TARGET_ROWS`` rows per
-    chunk; the density comes back as one aggregated row.
-    ``quantiles`` / ``quantile_accuracy`` choose how W3/W15 are computed in the
-    single-window plan (see :func:`history_features`); the split plan always
-    uses the growing-quantile operator with the earlier chunks as context.
-
-    Plan: the wide rows are shuffled once for the window stage and once for a
-    single join with a narrow table (row key, W3/W15 quantiles, previous-week
-    market), which is itself built from the narrow quantile output and the
-    per-(entity, week) market table.
+    keys = [*cols.entity, cols.time_window]
+    return finalize_market(join_null_safe(df, prev_market(df.select(*keys, cols.price), cols), keys), cols)
+
+
+_OF_ROW = {"demand_pressure", "urgency_factor", "is_last_week"}
+_OF_WEEK = {"listing_volume_7d", "avg_quantity_7d", "price_std_7d", "price_volatility", "price_stability_7d"}
+_OF_QUANTILES = {"price_vs_event_median", "expanding_p20", "price_vs_expanding_p20"}
+_OF_MARKET = {"prev_market_median", "prev_market_size", "price_vs_prev_market"}
+
+
+def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = False, ranges: int | None = None,
+                      week_quantiles: dict[str, float] | None = None, only: Sequence[str] | None = None,
+                      row_id: str | None = None) -> DataFrame:
+    """All per-row features of the reference plus ``time_window``; with ``only``, just those named.
+
+    ``ranges``: into how many ranges the rows are dealt (the session's shuffle partitions if not given). ``week_quantiles``
+    adds quantiles of the price over the row's own (entity, week), taken in the same pass as the market median.
+    ``row_id`` keeps the row number under that name: a key that is never null and never repeats.
+
+    The wide rows move twice: into the ranges, and in one join on the row number. All else is narrow. Parts that ``only``
+    doesn't ask for are left out of the plan.
     """
-    in_window = quantiles == "window" or quantile_accuracy is not None
-    base = with_time_keys(df, cols)
-    E = _e(cols)
-    hot = None
-    if hot_rows is not None:
-        counts = base.groupBy(*E).agg(F.count(F.lit(1)).alias("_n"), F.min(TS_US).alias("_t0"),
-                                      F.max(TS_US).alias("_t1"))
-        hot_stats = counts.where(F.col("_n") > hot_rows)
-        span_days = F.greatest(F.lit(1.0), (F.col("_t1") - F.col("_t0")) / F.lit(float(US_PER_DAY)))
-        summary = hot_stats.agg(F.count(F.lit(1)).alias("k"), F.max(F.col("_n") / span_days).alias("d")).first()
-        if summary["k"]:
-            hot = hot_stats.select(*E)
-            if chunk_days == "auto":
-                chunk_days = int(max(1, min(7, CHUNK_TARGET_ROWS // max(1.0, summary["d"]))))
-    if chunk_days == "auto":
-        chunk_days = 7
-    if hot is not None:
-        from .features_split import split_history_features
-        # at most total_rows / hot_rows entities: a proven bound for the broadcast
-        hot = F.broadcast(hot)
-        cold_base = base.join(hot, E, "left_anti")
-        hot_w, hot_q = split_history_features(base.join(hot, E, "left_semi"), cols, strict, chunk_days)
-    else:
-        cold_base, hot_w, hot_q = base, None, None
-    pm = prev_market(base.select(*E, cols.time_window, cols.price), cols)
-    key = [*E, TS_US, *cols.tiebreak]
-
-    cold_w = window_stage(cold_base, cols, strict, in_window, quantile_accuracy)
-    if in_window:
-        out = finalize_market(cold_w.join(pm, [*E, cols.time_window], "left"), cols)
-        if hot_w is not None:
-            hq = hot_q.join(pm, [*E, cols.time_window], "left").drop(cols.time_window)
-            hot_out = finalize_market(finalize_quantiles(hot_w.join(hq, key, "left"), cols), cols)
-            out = out.unionByName(hot_out)
+    E = list(cols.entity)
+    source = with_time_keys(df, cols)
+    asked = None if only is None else set(only) - {cols.time_window}
+    needs = lambda names: asked is None or bool(asked & names)
+    in_chunks = asked is None or bool(asked - _OF_ROW - _OF_MARKET)
+    out = base = deal(source, cols, ranges) if in_chunks else source
+    if in_chunks:
+        out = base.join(_chunk_features(base, cols, strict, needs(_OF_WEEK), needs(_OF_QUANTILES)), RID)
     else:
-        w = cold_w if hot_w is None else cold_w.unionByName(hot_w)
-        q = quantile_table(cold_base, cols)
-        if hot_q is not None:
-            q = q.unionByName(hot_q)
-        narrow = q.join(pm, [*E, cols.time_window], "left").drop(cols.time_window)
-        out = finalize_market(finalize_quantiles(w.join(narrow, key, "left"), cols), cols)
-    return out.select("*", *_derived_expressions(cols)).drop(TS_US)
+        out = out.withColumns(_row_expressions(cols))
+    if needs(_OF_MARKET) or week_quantiles:
+        keys = [*E, cols.time_window]
+        market = prev_market(base.select(*keys, cols.price), cols, week_quantiles)
+        out = finalize_market(join_null_safe(out, market, keys), cols)
+    derived = {n: c for n, (c, of) in _derived_expressions(cols).items() if set(of) <= set(out.columns)}
+    out = out.withColumns(derived)
+    if only is not None:
+        return out.select(*df.columns, *[c for c in (week_quantiles or {})], *[c for c in only if c not in df.columns])
+    return out.drop(TS_US, CHUNK, *([] if row_id else [RID])).withColumnsRenamed({RID: row_id} if row_id else {})
+
+
+def _chunk_features(base: DataFrame, cols: Cols, strict: bool, week: bool, quantiles: bool) -> DataFrame:
+    """The features that need earlier rows, per ``_rid``."""
+    E = list(cols.entity)
+    narrow = [*E, CHUNK, RID, TS_US, cols.price, cols.quantity, cols.days]
+    chunks = summarise(base.select(*narrow), cols)
+    rows = join_null_safe(base.select(*narrow), chunks.select(*E, CHUNK, GID), [*E, CHUNK], "inner").drop(*E, CHUNK)
+    rows = write_shared(rows)
+    made = _history(rows, chunks, cols, strict)
+    if week:
+        whole, cut = _week_before_chunk(rows, chunks, cols)
+        made = _week_features(made.join(whole, GID, "left").join(cut, RID, "left"))
+    if quantiles:
+        p, n = F.col(cols.price), F.col("_n_before")
+        made = made.join(chunk_quantiles(rows, chunks, E, GID, RID, cols.price, QUANTILES), RID, "left")
+        made = made.withColumns({"price_vs_event_median": _ratio_or_one(p, F.col("_q50"), n),
+                                 "expanding_p20": F.when(n >= MIN_HISTORY, F.col("_q20"))})
+    return made.drop(cols.price, *[c for c in made.columns if c.startswith("_") and c != RID])
+
+
+def window_quantiles(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
+    """W3 and W15 by Spark's ``percentile`` over the growing frame: exact, but it sorts the earlier prices
+    again on every row of an entity, in one task. For comparison on small tables only."""
+    w = Window.partitionBy(*cols.entity).orderBy(TS_US, *cols.tiebreak)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    p = F.col(cols.price)
+    n = F.count(p).over(before)
+    out = with_time_keys(df, cols).select(
+        "*", _ratio_or_one(p, F.percentile(p, F.lit(0.5)).over(before), n).alias("price_vs_event_median"),
+        F.when(n >= MIN_HISTORY, F.percentile(p, F.lit(0.2)).over(before)).alias("expanding_p20"))
+    return out.withColumn("price_vs_expanding_p20", F.try_divide(p, F.nullif(F.col("expanding_p20"), F.lit(0.0)))).drop(TS_US)

@@ -21,11 +21,15 @@ from .order_stats import group_quantiles, join_null_safe
 GOOD_DEAL_QUANTILE = 0.2  # fixed value: cheapest 20 % of the market
 
 
+def with_label(df: DataFrame, price: str, threshold: str, label: str) -> DataFrame:
+    """1 where the price is at most the row's threshold, else 0."""
+    return df.withColumn(label, F.coalesce((F.col(price) <= F.col(threshold)).cast("int"), F.lit(0)))
+
+
 def _group_quantile_label(df: DataFrame, keys: list[str], price: str, q: float, stat: str, label: str,
                           approx: bool = False) -> DataFrame:
     g = df.groupBy(*keys).agg(quantile(price, q, approx=True).alias(stat)) if approx else group_quantiles(df, keys, price, {stat: q})
-    out = join_null_safe(df, g, keys)
-    return out.withColumn(label, F.coalesce((F.col(price) <= F.col(stat)).cast("int"), F.lit(0)))
+    return with_label(join_null_safe(df, g, keys), price, stat, label)
 
 
 def with_good_deal_label(df: DataFrame, cols: Cols = DEFAULT_COLS, q: float = GOOD_DEAL_QUANTILE,

@@ -2,8 +2,7 @@
 
 Each W-ID gets its own query (entity, event_id and that ID's columns) so a
 mismatch points at one feature; ``w_all_features`` returns the whole table,
-and ``w_all_features_split`` runs the same table through the split plan for
-hot entities (every entity forced through it) to prove both plans agree.
+and ``w_all_features_split`` the same table from many more and smaller chunks.
 """
 
 from __future__ import annotations
@@ -40,7 +39,7 @@ h AS (
     count(price) OVER rs AS event_listing_frequency,
     CASE WHEN count(price) OVER rs > 0 THEN avg(price) OVER rs ELSE price END AS event_avg_price,
     CASE WHEN count(price) OVER rs > 0 THEN stddev_samp(price) OVER rs ELSE 0.0 END AS event_price_std,
-    CAST(row_number() OVER w - 1 AS INTEGER) AS prior_listings_count,
+    row_number() OVER w - 1 AS prior_listings_count,
     (ts_us - min(ts_us) OVER e) / 86400000000.0 AS days_since_first_listing,
     (max(ts_us) OVER e - min(ts_us) OVER e) / 86400000000.0 AS event_duration_so_far,
     CASE WHEN count(price) OVER wb >= 5 THEN quantile_cont(price, 0.2) OVER wb END AS expanding_p20,
@@ -111,8 +110,8 @@ ALL_FEATURES = [c for cols, _ in GROUPS.values() for c in cols]
 ALL_RND = [c for _, r in GROUPS.values() for c in r]
 
 
-def features(spark, sf, hot_rows=None):
-    return FE.engineer_features(V.clean_listings(spark, sf), COLS, hot_rows=hot_rows)
+def features(spark, sf, ranges=None, only=None):
+    return FE.engineer_features(V.clean_listings(spark, sf), COLS, ranges=ranges, only=only)
 
 
 def _register(key, cols, rnd):
@@ -120,7 +119,7 @@ def _register(key, cols, rnd):
 
     @query(key, rnd=rnd, sql=V.duck_with(DUCK_FEATURES + f"SELECT {sel} FROM features", clean=V.DUCK_CLEAN))
     def _q(spark, sf):
-        return features(spark, sf).select("entity", "event_id", *cols)
+        return features(spark, sf, only=cols).select("entity", "event_id", *cols)
     return _q
 
 
@@ -139,8 +138,8 @@ def w_all_features(spark, sf):
 @query("w_all_features_split", rnd=ALL_RND, sql=V.duck_with(DUCK_FEATURES + f"SELECT {_SEL_ALL} FROM features",
                                                             clean=V.DUCK_CLEAN))
 def w_all_features_split(spark, sf):
-    """Same table through the hot-entity split plan (every entity treated as hot)."""
-    return features(spark, sf, hot_rows=0).select("entity", "event_id", "listing_time", *ALL_FEATURES)
+    """The same table with entities cut into many more chunks than the session's settings would make."""
+    return features(spark, sf, ranges=64).select("entity", "event_id", "listing_time", *ALL_FEATURES)
 
 
 @query("w12_event_duration_strict", sql=V.duck_with("""
@@ -161,6 +160,6 @@ def w12_event_duration_strict(spark, sf):
        sql=V.duck_with(DUCK_FEATURES + "SELECT entity, event_id, price_vs_event_median, expanding_p20, "
                        "price_vs_expanding_p20 FROM features", clean=V.DUCK_CLEAN))
 def w3_w15_window_mode(spark, sf):
-    """The same growing quantiles through Spark's percentile window (``quantiles='window'``)."""
-    f = FE.engineer_features(V.clean_listings(spark, sf), COLS, quantiles="window")
+    """The same growing quantiles through Spark's percentile window."""
+    f = FE.window_quantiles(V.clean_listings(spark, sf), COLS)
     return f.select("entity", "event_id", "price_vs_event_median", "expanding_p20", "price_vs_expanding_p20")

@@ -136,4 +136,4 @@ def test_features_match_brute_force_seeded(spark):
                      rng.integers(0, 5, n).tolist()))
     rows = make_rows(spec)
     compare(spark, rows)
-    compare(spark, rows, hot_rows=30, chunk_days=2)  # some entities through the split plan
+    compare(spark, rows, ranges=25)  # chunks of a few rows

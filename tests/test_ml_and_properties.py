@@ -76,7 +76,9 @@ def test_features_do_not_look_ahead_in_strict_mode(spark):
     cols = [c for c in FE.engineer_features(early, COLS, strict=True).columns if c not in ("prev_market_median", "prev_market_size", "price_vs_prev_market", "time_to_event_ratio")]
     a = FE.engineer_features(early, COLS, strict=True).select(*cols)
     b = FE.engineer_features(ls, COLS, strict=True).join(early.select("event_id"), "event_id", "left_semi").select(*cols)
-    assert a.exceptAll(b).count() == 0
+    # the cut moves the chunks' borders, so sums may differ in the last bits
+    near = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in a.dtypes]
+    assert a.select(*near).exceptAll(b.select(*near)).count() == 0
 
 
 def test_label_share_at_least_20_percent(spark):

@@ -1,13 +1,19 @@
-"""The hot-entity split plan gives the same features as the single-window plan."""
+"""Chunked features: the same for any number of ranges, any input partitioning, null and tied keys."""
 
+import datetime as dt
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from pricelens.operators import features as FE
+from pricelens.operators import growing
 from pricelens.plans import views as V
 from pricelens.plans.q_features import ALL_FEATURES
+from pricelens.plans.views import with_calendar
 from pricelens.schema import Cols
+from test_bruteforce import SCHEMA, T0, brute, make_rows
 
 COLS = Cols(tiebreak=("event_id",))
 
@@ -17,50 +23,95 @@ def rounded(df):
                                    for c, t in df.select(*ALL_FEATURES).dtypes])
 
 
-@pytest.mark.parametrize("hot_rows,chunk_days", [(0, 7), (0, 1), (40, 2), (60, 7)])
-def test_split_equals_single_window(spark, hot_rows, chunk_days):
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_any_number_of_ranges(spark, ranges):
     ls = V.clean_listings(spark, SF_SMALL)
     a = rounded(FE.engineer_features(ls, COLS))
-    b = rounded(FE.engineer_features(ls, COLS, hot_rows=hot_rows, chunk_days=chunk_days))
+    b = rounded(FE.engineer_features(ls, COLS, ranges=ranges))
     assert b.count() == a.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_hot_entity_rows_are_routed(spark):
+def test_features_do_not_depend_on_input_partitioning(spark):
+    """Recomputed tasks (after a lost executor) see other partitionings; results must not change."""
     ls = V.clean_listings(spark, SF_SMALL)
-    n = ls.groupBy("entity").count()
-    mx = n.agg(F.max("count")).first()[0]
-    hot = FE.engineer_features(ls, COLS, hot_rows=mx - 1)
-    assert hot.count() == ls.count()
+    a = rounded(FE.engineer_features(ls, COLS))
+    b = rounded(FE.engineer_features(ls.repartition(7, "event_id"), COLS))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_approximate_quantiles_close_to_exact(spark):
+def test_only_some_features(spark):
     ls = V.clean_listings(spark, SF_SMALL)
-    ex = FE.engineer_features(ls, COLS, hot_rows=None).select("event_id", F.col("expanding_p20").alias("a"))
-    ap = FE.engineer_features(ls, COLS, hot_rows=None, quantile_accuracy=10000).select("event_id", F.col("expanding_p20").alias("b"))
-    j = ex.join(ap, "event_id")
-    assert j.where("(a IS NULL) <> (b IS NULL)").count() == 0
-    # a sketch returns an element near the interpolated quantile: never outside the data range
-    assert j.where("a IS NOT NULL").count() > 0
+    whole = FE.engineer_features(ls, COLS).cache()
+    for only in (["demand_pressure"], ["prev_market_size", "is_last_week"], ["price_std_7d"], ["listing_intensity", "expanding_p20"]):
+        some = FE.engineer_features(ls, COLS, only=only)
+        assert set(some.columns) == {*ls.columns, *only}
+        a, b = (x.select("event_id", *only).replace(float("nan"), None) for x in (some, whole))
+        r = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in a.dtypes]
+        assert a.select(*r).exceptAll(b.select(*r)).count() == 0
 
 
-def test_auto_chunk_width(spark):
-    from pricelens.operators import features as feats_mod
-    ls = V.clean_listings(spark, SF_SMALL)
-    old = feats_mod.CHUNK_TARGET_ROWS
-    try:
-        feats_mod.CHUNK_TARGET_ROWS = 20   # force narrow chunks on the small table
-        a = rounded(FE.engineer_features(ls, COLS))
-        b = rounded(FE.engineer_features(ls, COLS, hot_rows=0))
-    finally:
-        feats_mod.CHUNK_TARGET_ROWS = old
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def hot_rows(n, weeks, seed=0, prices=None):
+    """One entity with most rows, dense in time, and a few small ones."""
+    rng = np.random.default_rng(seed)
+    gaps = np.maximum(1, rng.exponential(weeks * 7 * 1440 / n, n)).astype(int)
+    spec = [("hot", gaps.tolist(), (prices if prices is not None else rng.integers(500, 90_000, n) / 100).tolist(), rng.integers(0, 5, n).tolist())]
+    spec += [(f"s{k}", [700, 900, 4000], [5.0, 6.0, 7.0], [1, 2, 3]) for k in range(3)]
+    return make_rows(spec)
 
 
-def test_features_do_not_depend_on_input_partitioning(spark):
-    """Recomputed tasks (after a lost executor) see other partitionings; results must not change."""
-    ls = V.clean_listings(spark, SF_SMALL)
-    a = rounded(FE.engineer_features(ls, COLS))
-    b = rounded(FE.engineer_features(ls.repartition(7, "event_id"), COLS))
-    c = rounded(FE.engineer_features(ls.coalesce(1), COLS, hot_rows=0))
-    assert a.exceptAll(b).count() == 0 and a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
+@pytest.mark.parametrize("ranges", [2, 17])
+def test_hot_entity_against_brute_force(spark, ranges):
+    rows = hot_rows(260, 5)
+    expected = brute(rows)
+    for r in FE.engineer_features(with_calendar(spark.createDataFrame(rows, SCHEMA)), COLS, ranges=ranges).collect():
+        for k, v in expected[r.event_id].items():
+            assert (r[k] is None) == (v is None) and (v is None or r[k] == pytest.approx(v, rel=1e-9, abs=1e-9)), (k, r.event_id)
+
+
+def test_equal_prices_have_no_deviation_across_chunks(spark):
+    rows = hot_rows(120, 3, prices=np.full(120, 61.37))
+    got = FE.engineer_features(with_calendar(spark.createDataFrame(rows, SCHEMA)), COLS, ranges=15).where("entity = 'hot'").collect()
+    assert all(r.price_std_7d == pytest.approx(0, abs=1e-9) and (r.event_price_std or 0) == pytest.approx(0, abs=1e-6) for r in got)
+
+
+def test_context_of_a_hot_entity_does_not_grow_with_time(spark):
+    """The earlier prices that chunks are given: about as many for 40 weeks as for 10, and bounded per chunk."""
+    sizes = {}
+    for weeks in (10, 40):
+        rows = hot_rows(3000, weeks, prices=np.random.default_rng(1).permutation(3000) + 0.25)
+        base = FE.deal(FE.with_time_keys(with_calendar(spark.createDataFrame(rows, SCHEMA)), COLS), COLS, 12)
+        chunks = FE.summarise(base, COLS)
+        narrow = FE.join_null_safe(base, chunks.select("entity", FE.CHUNK, FE.GID), ["entity", FE.CHUNK], "inner")
+        given = growing.context(narrow, chunks, ["entity"], FE.GID, "price", [0.5, 0.2], ranges=12)
+        per = [r["count"] for r in given.groupBy(FE.GID).count().collect()]
+        sizes[weeks] = (sum(per), max(per))
+        whole, cut = FE._week_before_chunk(narrow, chunks, COLS)
+        assert cut.count() <= 3009 and whole.count() <= 12 + 4
+    assert sizes[40][0] <= 1.3 * sizes[10][0] and sizes[40][1] <= 1.5 * sizes[10][1]
+    assert sizes[40][1] <= 4 * 3009 / 12 + 4 * 3009 / 12  # two values per row and quantile, and the ranges they stand in
+
+
+def test_null_and_repeated_keys(spark):
+    """Null entities and tie-breaks, equal times and repeated rows: every row stays, with the features of its place."""
+    t = lambda h: T0 + dt.timedelta(hours=h)
+    ev = T0 + dt.timedelta(days=60)
+    rows = [(None if k % 3 == 0 else "e", None if k % 2 else k // 4, t(k // 3), ev, "ga", 1, 10.0 + k) for k in range(60)]
+    rows += rows[:6]
+    df = with_calendar(spark.createDataFrame(rows, SCHEMA))
+    for ranges in (1, 9):
+        got = FE.engineer_features(df, COLS, ranges=ranges).collect()
+        assert len(got) == len(rows)
+        for e in (None, "e"):
+            own = sorted((r.listing_time, r.event_id is not None, r.event_id or 0, r.price, r.prior_listings_count, r.price_vs_event_median, r.expanding_p20) for r in got if r.entity == e)
+            for i, (*_, price, place, median, p20) in enumerate(own):
+                earlier = [x[3] for x in own[:i]]
+                assert place == i
+                assert median == pytest.approx(price / np.quantile(earlier, 0.5) if i >= 5 else 1.0)
+                assert (p20 is None) == (i < 5) and (i < 5 or p20 == pytest.approx(np.quantile(earlier, 0.2)))
+        assert all(r.prev_market_size is not None for r in got)
+
+
+def test_no_rows(spark):
+    empty = with_calendar(spark.createDataFrame([], SCHEMA))
+    assert FE.engineer_features(empty, COLS).collect() == []
