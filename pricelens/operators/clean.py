@@ -187,11 +187,16 @@ def duplicates_all(df: DataFrame, subset: Sequence[str]) -> DataFrame:
 # A19 ------------------------------------------------------------------------
 def quality_report(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
     """One row: nulls per column, negative days, temporal issues, duplicate rows, total."""
-    aggs = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in df.columns]
+    rows = df.groupBy(*df.columns).agg(nrows().alias("_copies"))  # one shuffle: equal rows become one
+
+    def total(condition=None):
+        n = F.col("_copies") if condition is None else F.when(condition, F.col("_copies"))
+        return F.coalesce(F.sum(n), F.lit(0))
+
+    aggs = [total(F.col(c).isNull()).alias(f"null_{c}") for c in df.columns]
     if cols.days in df.columns:
-        aggs.append(F.count_if(F.col(cols.days) < 0).alias("negative_days"))
+        aggs.append(total(F.col(cols.days) < 0).alias("negative_days"))
     if cols.ts in df.columns and cols.event_date in df.columns:
-        aggs.append(F.count_if(F.col(cols.ts) > F.col(cols.event_date)).alias("temporal_issues"))
-    aggs.append(nrows().alias("total_rows"))
-    distinct_rows = df.distinct().agg(nrows()).scalar()
-    return df.agg(*aggs).withColumn("duplicate_rows", F.col("total_rows") - distinct_rows)
+        aggs.append(total(F.col(cols.ts) > F.col(cols.event_date)).alias("temporal_issues"))
+    aggs += [total().alias("total_rows"), (total() - nrows()).alias("duplicate_rows")]
+    return rows.agg(*aggs)

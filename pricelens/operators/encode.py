@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import with_prefix_totals
+
 NULL_TEXT = "nan"  # fixed value: text the reference uses for a missing category
 
 
@@ -21,39 +23,14 @@ def _as_text(col: str):
     return F.coalesce(F.col(col).cast("string"), F.lit(NULL_TEXT))
 
 
-RANGES = 256            # value ranges ranked in parallel
-SAMPLE_ROWS = 20_000    # bounded sample that places the range edges
-
-
-def _range_of(v, edges: list[str]):
-    """Index of the value range holding ``v``: a balanced CASE tree over sorted ``edges``."""
-    def build(lo: int, hi: int):
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(v < F.lit(edges[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-    return build(0, len(edges))
-
-
 def fit_label_codes(df: DataFrame, col: str) -> DataFrame:
     """(value, code) for the distinct values of ``col``: 0..k-1 in sorted order.
 
-    The distinct values are cut into ordered ranges (edges from a bounded
-    random sample, sorted by Spark), each range is ranked on its own, and the
-    range sizes give each range's offset, so no single task ranks all values.
+    A code is the number of values before it: a running total over ordered ranges, as many as the session has
+    shuffle partitions, so no single task ranks all values.
     """
     v = df.select(_as_text(col).alias("value")).distinct()
-    sample = [r[0] for r in v.orderBy(F.rand(42)).limit(SAMPLE_ROWS).orderBy("value").collect()]
-    step = max(1, len(sample) // RANGES)
-    edges = sorted(set(sample[step::step]), key=sample.index)
-    r = v.withColumn("_r", _range_of(F.col("value"), edges))
-    sizes = r.groupBy("_r").agg(F.count(F.lit(1)).alias("_s"))
-    # at most RANGES + 1 rows: prefix over ranges and a broadcast of fixed size
-    offs = sizes.select("_r", F.coalesce(F.sum("_s").over(
-        Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    ranked = r.join(F.broadcast(offs), "_r").withColumn(
-        "code", (F.col("_o") + F.row_number().over(Window.partitionBy("_r").orderBy("value")) - 1).cast("int"))
-    return ranked.select("value", "code")
+    return with_prefix_totals(v, [F.col("value")], {"code": F.lit(1)}).select("value", F.col("code").cast("int"))
 
 
 def apply_label_codes(df: DataFrame, codes: DataFrame, col: str, out: str | None = None) -> DataFrame:
