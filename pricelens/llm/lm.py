@@ -18,21 +18,23 @@ larger than a block is a block's only one.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import chunks, encode, fold, mix64, word_hashes
+from pricelens.llm.common import chunks, fold, mix64, word_hashes
 from pricelens.session import cut_lineage
 
 FOLDS = 10
 TEST_FOLD = 0        # not learned from
 HELD_OUT_FOLD = 1    # of the training documents: the mixture weights are learned on it
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20  # of text
 LEVELS = 41          # buckets of context frequency: never seen, then by powers of two
 BINS = 64            # per axis, of the estimates' logarithms on which the weights are learned
 ROUNDS = 50
@@ -58,37 +60,67 @@ def unpack(data: bytes, rising: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=np.uint64) if rising else x
 
 
+def pack_rows(blocks: pa.Array, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of each block as one compressed value."""
+    number = blocks.to_numpy(zero_copy_only=False)
+    order = np.argsort(number, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+        if len(part):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                out.write_batch(rows.take(pa.array(part)))
+            yield pa.record_batch({"block": pa.array([number[part[0]]], pa.int32()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield from pack_rows(batch.column("block"), batch.drop_columns(["block"]))
+
+
+def unpack_rows(f: pd.DataFrame) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in f["rows"])
+
+
 @dataclass
 class Grams:
-    """Distinct n-grams of a block in order, and for each token which one it is."""
+    """Distinct n-grams of a block in order."""
     items: np.ndarray
-    first: np.ndarray   # a token with the n-gram
-    which: np.ndarray   # per token
-    trained: np.ndarray = field(default=None)  # count in training documents
+    first: np.ndarray    # a token with the n-gram
+    which: np.ndarray    # for each token, its n-gram
+    trained: np.ndarray  # count in training documents
 
 
 class Block:
-    def __init__(self, texts: list[bytes], train: np.ndarray):
-        parts, sizes = [], []
+    def __init__(self, rows: pa.Table):
+        train = rows["train"].to_numpy()
+        tokens, self.sizes = self._tokens(rows["text"].to_pylist())
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        learn = np.repeat(train, self.sizes)
+        before = np.roll(tokens, 1)
+        before[self.starts] = END  # a text begins after an end
+        two = mix64(before * _STEP + tokens)
+        del before
+        self.grams = {2: self._distinct(two, learn)}
+        del two
+        one = self.grams[1] = self._distinct(tokens, learn)
+        self.context = np.roll(one.which, 1)
+        self.context[self.starts] = np.searchsorted(one.items, END)
+
+    @staticmethod
+    def _tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [t or b"" for t in texts]
+        parts, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for a, b in chunks(texts):
             words, bounds = word_hashes(texts[a:b])
             parts.append(np.insert(words, bounds[1:], END))
             sizes.append(np.diff(bounds) + 1)
-        self.tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64) if len(self.sizes) else self.sizes
-        before = np.roll(self.tokens, 1)
-        before[self.starts] = END  # a text begins after an end
-        self.learn = np.repeat(train, self.sizes)
-        self.grams = {1: self._distinct(self.tokens), 2: self._distinct(mix64(before * _STEP + self.tokens))}
-        one = self.grams[1]
-        self.context = one.which[np.maximum(np.arange(len(self.tokens)) - 1, 0)]
-        end = np.searchsorted(one.items, END)
-        self.context[self.starts] = end
-
-    def _distinct(self, values: np.ndarray) -> Grams:
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    @staticmethod
+    def _distinct(values: np.ndarray, learn: np.ndarray) -> Grams:
         items, first, which = np.unique(values, return_index=True, return_inverse=True)
-        return Grams(items, first, which, np.bincount(which[self.learn], minlength=len(items)))
+        return Grams(items, first.astype(np.int32), which.astype(np.int32), np.bincount(which[learn], minlength=len(items)))
 
 
 def _bucket(items: np.ndarray, buckets: int) -> np.ndarray:
@@ -96,13 +128,9 @@ def _bucket(items: np.ndarray, buckets: int) -> np.ndarray:
     return ((items >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _block(f: pd.DataFrame) -> Block:
-    return Block(encode(f["text"]), f["train"].to_numpy(bool))
-
-
 def _pieces(buckets: int):
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        block, rows = _block(f), []
+        block, rows = Block(unpack_rows(f)), []
         for n, g in block.grams.items():
             cuts = np.searchsorted(_bucket(g.items, buckets), np.arange(buckets + 1))
             rows += [(f["block"].iloc[0], b, n, pack(g.items[i:j], True), pack(g.trained[i:j]))
@@ -143,7 +171,7 @@ def _estimates(two, context, one, tokens: float) -> tuple[np.ndarray, np.ndarray
 def _events(tokens: int):
     """Held-out counts: per frequency bucket and bins of the two estimates, how many tokens fall there."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        block, total = _block(left), _totals(right)
+        block, total = Block(unpack_rows(left)), _totals(right)
         one, two = block.grams[1], block.grams[2]
         rest1, rest2 = total[1] - one.trained, total[2] - two.trained
         context, word = rest1[block.context[two.first]], rest1[one.which[two.first]]
@@ -180,7 +208,8 @@ def learn_weights(events: pd.DataFrame, vocabulary: int) -> np.ndarray:
 
 def _scores(weights: np.ndarray, tokens: int, vocabulary: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        block, total = _block(left), _totals(right)
+        texts = unpack_rows(left)
+        block, total = Block(texts), _totals(right)
         one, two = block.grams[1], block.grams[2]
         base = np.log10((total[1] + 0.1) / (tokens + 0.1 * (vocabulary + 1)))[one.which]
         context, word = total[1][block.context[two.first]], total[1][one.which[two.first]]
@@ -190,7 +219,7 @@ def _scores(weights: np.ndarray, tokens: int, vocabulary: int):
             mix[:] = (0, 0, 1)
         model = np.log10(mix[:, 0] * p2 + mix[:, 1] * p1 + mix[:, 2] / (vocabulary + 1))[two.which]
         known = (total[1] > 0)[one.which]
-        return pd.DataFrame({"doc_id": left["doc_id"], "held_out": ~left["train"].to_numpy(bool), "n_tokens": block.sizes,
+        return pd.DataFrame({"doc_id": texts["doc_id"].to_pandas(), "held_out": ~texts["train"].to_numpy(), "n_tokens": block.sizes,
                              "n_known": np.add.reduceat(known, block.starts, dtype=np.int64),
                              "base_score": np.add.reduceat(base, block.starts),
                              "score": np.add.reduceat(model, block.starts)})
@@ -200,7 +229,7 @@ def _scores(weights: np.ndarray, tokens: int, vocabulary: int):
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per document."""
     part = fold(F.col(doc_id), FOLDS)
-    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
                        (part != TEST_FOLD).alias("train"), (part == HELD_OUT_FOLD).alias("weighs"))
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     own = max(1, round(size / FOLDS / block_bytes))       # blocks of the held-out fold, then the others
@@ -208,8 +237,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
     spread = F.xxhash64("doc_id", "text")
     rows = rows.withColumn("block", F.when(F.col("weighs"), F.pmod(spread, F.lit(own)))
                            .otherwise(F.pmod(spread, F.lit(blocks - own)) + own).cast("int"))
-    rows = rows.select("block", "doc_id", "text", "train", "weighs")
-    dealt = rows.groupBy("block")
+    packed = rows.select("block", "doc_id", "text", "train").mapInArrow(_packed, "block int, rows binary")
+    dealt = packed.groupBy("block")
     pieces = dealt.applyInPandas(_pieces(int(blocks)), _PIECES)
     totals = cut_lineage(pieces.groupBy("n", "bucket").applyInPandas(_add_up, _TOTALS))
     # a row per bucket of unigrams, which are as many as blocks: added up without a copy on the driver
@@ -218,7 +247,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
         "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = (int(x or 0) for x in sums)
     asked = totals.filter("block >= 0").groupBy("block")
-    events = (rows.filter("weighs").groupBy("block").cogroup(totals.filter((F.col("block") >= 0) & (F.col("block") < own)).groupBy("block"))
+    weighing = rows.filter("weighs").select("block", "doc_id", "text", "train").mapInArrow(_packed, "block int, rows binary")
+    events = (weighing.groupBy("block").cogroup(totals.filter((F.col("block") >= 0) & (F.col("block") < own)).groupBy("block"))
               .applyInPandas(_events(tokens), "level int, bin_two int, bin_one int, log_two double, log_one double, n long"))
     events = events.groupBy("level", "bin_two", "bin_one").agg(*[F.sum(c).alias(c) for c in ("log_two", "log_one", "n")])
     weights = learn_weights(events.toPandas(), types)  # at most LEVELS * BINS * BINS rows
