@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import chunks, word_hashes
+from pricelens.llm.common import broadcast_if_small, chunks, word_hashes
 
 BITS = 18
 DIMS = 1 << BITS
@@ -130,7 +130,7 @@ def class_sample(ids: DataFrame, per_class: int) -> DataFrame:
     are kept meet in one task per label.
     """
     ids = ids.distinct()
-    counts = ids.groupBy("label").count()
+    counts = broadcast_if_small(ids.groupBy("label").count())  # so that thinning comes before the rows of a label meet
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     thin = ids.join(counts, "label").withColumn("_draw", draw).filter(F.col("_draw") * F.col("count") < 2.0 * per_class)
     order = Window.partitionBy("label").orderBy("_draw", "id")
