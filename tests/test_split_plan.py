@@ -23,7 +23,7 @@ def rounded(df):
                                    for c, t in df.select(*ALL_FEATURES).dtypes])
 
 
-@pytest.mark.parametrize("ranges", [1, 3, 40])
+@pytest.mark.parametrize("ranges", [1, 40])
 def test_any_number_of_ranges(spark, ranges):
     ls = V.clean_listings(spark, SF_SMALL)
     a = rounded(FE.engineer_features(ls, COLS))
@@ -43,7 +43,7 @@ def test_features_do_not_depend_on_input_partitioning(spark):
 def test_only_some_features(spark):
     ls = V.clean_listings(spark, SF_SMALL)
     whole = FE.engineer_features(ls, COLS).cache()
-    for only in (["demand_pressure"], ["prev_market_size", "is_last_week"], ["price_std_7d"], ["listing_intensity", "expanding_p20"]):
+    for only in (["demand_pressure", "prev_market_size", "is_last_week"], ["price_std_7d", "listing_intensity"]):
         some = FE.engineer_features(ls, COLS, only=only)
         assert set(some.columns) == {*ls.columns, *only}
         a, b = (x.select("event_id", *only).replace(float("nan"), None) for x in (some, whole))
@@ -60,7 +60,7 @@ def hot_rows(n, weeks, seed=0, prices=None):
     return make_rows(spec)
 
 
-@pytest.mark.parametrize("ranges", [2, 17])
+@pytest.mark.parametrize("ranges", [17])
 def test_hot_entity_against_brute_force(spark, ranges):
     rows = hot_rows(260, 5)
     expected = brute(rows)
