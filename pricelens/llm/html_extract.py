@@ -1,18 +1,23 @@
-"""Main text of web pages: markup first, then a host suffix array for what markup leaves open.
+"""Main text of web pages: markup, and substrings that repeat over a host's pages.
 
 A page is cut into blocks of text, each marked by the markup around it: inside the article, in a zone
-that is never main text (menus, headers, footers, sidebars, notices, adverts, forms, comments), or open. Open
-blocks of a host's pages are joined to one stream of words; its suffixes are sorted by their first ``LENGTH`` words, and a run
-of suffixes of equal prefix from ``MIN_PAGES`` distinct pages or more is a repeated substring: the words it covers are
-boilerplate. An open block goes if at least half of its words are covered; the rest are unique runs and stay.
-If a page marks its article, open blocks outside it go too; what stands in the article stays even if repeated.
+that is never main text (menus, headers, footers, sidebars, notices, adverts, forms, comments), or open. The words of every
+page make two streams, the article's and the rest's. A window of ``LENGTH`` words that stands on
+``MIN_PAGES`` pages of a host or more, of distinct main texts, begins a repeated substring, and what windows cover is boilerplate.
+Windows of ``LENGTH`` words, told apart by 64-bit hashes of host, stream and words, stand in for a sorted suffix array: they cover the same
+words as its runs of suffixes with an equal prefix of that length, but nothing is sorted by more.
 
-The suffix array of a host is never in one place: suffixes are dealt by (host, prefix), pages of a prefix are counted
-with map-side aggregation, and a page gets back the positions it has covered. Only open blocks take part, so that articles
-aren't shuffled.
+Markup decides what may go. Without an article, covered runs are cut out of the open blocks; zones go, but count as places where a
+window stands. With an article, all outside it goes, and of its own words those covered by windows of at least ``ARTICLE_SHARE`` of the host's articles
+(and ``MIN_PAGES``): markup has called them main text, so that a passage a few articles share stays. A run is cut if it is a whole
+block or has ``LENGTH`` words in it; the rest of a block stays.
+
+The windows of a host are never in one place. First, 42 bits of each window go, packed, to buckets by hash, which give back a bitmap
+of bounded size of those that can be repeated; it lets some too many through, and loses none. Then only windows that pass it are dealt by
+(host, window) and counted exactly, and a page gets back the positions it has covered.
 
 Defined cases: null and empty html has empty text; a null URL's host is empty; unclosed, cut off and nested markup is read as
-far as it goes; equal pages under other ids count as distinct pages, repeated rows as one; an empty table gives an
+far as it goes; pages of equal main text (the article, or else the open words) count as one; an empty table gives an
 empty result. Extra columns are kept, and those named like an output are replaced. Texts are read whole.
 """
 
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import html as references
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +35,15 @@ from pyspark.sql import functions as F
 
 from pricelens.llm.common import broadcast_if_small, encode, mix64, word_hashes
 from pricelens.llm.url_filter import host_of
+from pricelens.session import cut_lineage
 
 LENGTH = 8       # words of a repeated substring, at least
 MIN_PAGES = 3    # distinct pages that hold it, at least
 MAX_CELLS = 2_000_000  # numbers in the pages' lists of positions that are broadcast, at most; more are joined by shuffle
-COVERED = 0.5    # share of a block's words that makes it boilerplate
+ARTICLE_SHARE = 0.5  # share of a host's articles that hold what is cut out of one, at least
+BUCKETS = 10     # bits of a window that choose its bucket
+SLICE = 17       # bits that choose its place in the bucket's part of the bitmap (16 MB in all)
+FLUSH = 1 << 22  # windows that a task packs together
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z/!?][^<>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -131,15 +141,17 @@ def blocks_of(html: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def _open_words(blocks: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the open blocks of a page without an article, in a row, and which block each is of."""
-    if any(mark == ARTICLE for mark, _ in blocks):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    own = [i for i, (mark, _) in enumerate(blocks) if mark == OPEN]
+def _words(blocks: list[tuple[int, str]], *marks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the blocks with these marks, in a row, and which block each is of."""
+    own = [i for i, (mark, _) in enumerate(blocks) if mark in marks]
     words, bounds = word_hashes(encode(blocks[i][1] for i in own))
     return words, np.repeat(own, np.diff(bounds)) if own else np.zeros(0, np.int64)
 
 
+def _marked(blocks: list[tuple[int, str]]) -> bool:
+    return any(mark == ARTICLE for mark, _ in blocks)
+
+
 def prefixes(words: np.ndarray) -> np.ndarray:
     """Hash of the first ``LENGTH`` words of each suffix that has so many."""
     n = len(words) - LENGTH + 1
@@ -152,28 +164,132 @@ def prefixes(words: np.ndarray) -> np.ndarray:
 
 
 def main_text(html: str | None, covered: list[int] | None) -> str:
-    """The text, given the open words' positions where a repeated substring begins."""
+    """The text, given where in the article's stream, or else the rest's, a repeated substring begins."""
     blocks = blocks_of(html)
-    if any(mark == ARTICLE for mark, _ in blocks):
-        return "\n\n".join(t for mark, t in blocks if mark == ARTICLE)
-    words, block = _open_words(blocks)
+    kind = ARTICLE if _marked(blocks) else OPEN
+    if covered is None or not len(covered):
+        return "\n\n".join(t for mark, t in blocks if mark == kind)
+    words, block = _words(blocks, ARTICLE) if kind == ARTICLE else _words(blocks, OPEN, ZONE)
     hit = np.zeros(len(words) + 1, np.int64)
-    begin = np.array(covered if covered is not None else [], np.int64)
+    begin = np.array(covered, np.int64)
     np.add.at(hit, begin, 1)
     np.add.at(hit, begin + LENGTH, -1)
-    share = np.bincount(block, np.cumsum(hit[:-1]) > 0, len(blocks)) / np.maximum(np.bincount(block, minlength=len(blocks)), 1)
-    return "\n\n".join(t for i, (mark, t) in enumerate(blocks) if mark == OPEN and share[i] < COVERED)
+    inside = np.cumsum(hit[:-1]) > 0
+    out = []
+    for i, (mark, text) in enumerate(blocks):
+        if mark != kind:
+            continue
+        a, b = np.searchsorted(block, [i, i + 1])
+        if inside[a:b].any():
+            text = _cut(text, inside[a:b])
+        if text:
+            out.append(text)
+    return "\n\n".join(out)
+
+
+def _cut(text: str, inside: np.ndarray) -> str:
+    """A block without its covered runs of ``LENGTH`` words or more; nothing if all is covered."""
+    if inside.all():
+        return ""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.astype(np.int8), [0]))))
+    keep = np.ones(len(inside), bool)
+    for a, b in edges.reshape(-1, 2):
+        keep[a:b] = b - a < LENGTH
+    return " ".join(w for w, k in zip(text.split(" "), keep) if k)  # blocks hold single spaces only
+
+
+def _windows(host: str | None, html: str | None) -> tuple[int, bool, list[tuple[int, np.ndarray]]]:
+    """Hash of the page's main text, whether markup shows an article, and the windows of its streams
+    (the article's, the rest's), each with the hash of host and stream that they are mixed with."""
+    blocks = blocks_of(html)
+    marked = _marked(blocks)
+    own = word_hashes(encode([host]))[0]
+    place = mix64(np.append(own, np.uint64(0))[:1] + np.arange(1, 3, dtype=np.uint64))
+    article, (rest, block) = _words(blocks, ARTICLE)[0], _words(blocks, OPEN, ZONE)
+    main = article if marked else rest[np.array([mark == OPEN for mark, _ in blocks], bool)[block]] if len(rest) else rest
+    power = np.cumprod(np.full(len(main) + 1, 0x9E3779B97F4A7C15, np.uint64))[1:]
+    text = mix64(np.array([(mix64(main + power) * power).sum() + np.uint64(len(main))], np.uint64)).view(np.int64)[0]
+    found = [(int(place[k:k + 1].view(np.int64)[0]), mix64(prefixes(w) + place[k])) for k, w in enumerate((article, rest))]
+    return int(text), marked, found
+
+
+def _bucket(window: np.ndarray) -> np.ndarray:
+    return (window >> np.uint64(64 - BUCKETS)).astype(np.int64)
+
+
+def _low(window: np.ndarray) -> np.ndarray:
+    return (window >> np.uint64(32 - BUCKETS)).astype(np.uint32)  # the 32 bits after the bucket's
+
+
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(bucket, the low bits of its windows); a window is given as often as distinct texts of the task hold it, up to ``MIN_PAGES``."""
+    held: list[np.ndarray] = []
+    seen: set[tuple[int, int]] = set()
+
+    def flush() -> pd.DataFrame:
+        every = np.sort(np.concatenate(held))
+        nth = np.arange(len(every)) - np.searchsorted(every, every)
+        every = every[nth < MIN_PAGES]
+        bucket, low = _bucket(every), _low(every)
+        own, begin = np.unique(bucket, return_index=True)
+        return pd.DataFrame({"bucket": own.astype(np.int32), "low": [x.tobytes() for x in np.split(low, begin[1:])]})
+
+    for f in frames:
+        for host, html in zip(f["host"], f["html"]):
+            text, _, found = _windows(host, html)
+            if (text, found[1][0]) in seen and len(found[0][1]):
+                found = found[1:]  # an article already given
+            seen.add((text, found[-1][0]))
+            held += [np.unique(w) for _, w in found if len(w)]
+        if sum(map(len, held)) >= FLUSH:
+            yield flush()
+            held.clear()
+            seen.clear()
+    if held:
+        yield flush()
+
+
+def _possible(group: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's part of the bitmap: the windows given ``MIN_PAGES`` times."""
+    low = np.sort(np.frombuffer(b"".join(group["low"]), np.uint32))
+    often = low[MIN_PAGES - 1:][low[MIN_PAGES - 1:] == low[:len(low) - MIN_PAGES + 1]]
+    bits = np.zeros(1 << SLICE, bool)
+    bits[often >> np.uint32(32 - SLICE)] = True
+    return pd.DataFrame({"bucket": group["bucket"].iloc[:1].to_numpy(), "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
 
 
 def suffixes(pages: DataFrame) -> DataFrame:
-    """(host, prefix, page, at) of the suffixes of the open words, from (page, host, html)."""
+    """(host, prefix, page, text, at) of the windows that can be repeated, from (page, host, html): ``host`` is of host and stream, ``text`` of the
+    page's main text, and ``at`` null where markup alone decides. A row without a prefix stands for each article."""
+    found = pages.select("host", "html").mapInPandas(_packed, "bucket int, low binary").groupBy("bucket").applyInPandas(_possible, "bucket int, bits binary")
+    bitmap = np.zeros((1 << BUCKETS, 1 << SLICE >> 3), np.uint8)
+    for r in found.collect():  # of bounded size
+        bitmap[r.bucket] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    shared = pages.sparkSession.sparkContext.broadcast(bitmap)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
         for f in frames:
-            found = [prefixes(_open_words(blocks_of(h))[0]) for h in f["html"]]
-            size = [len(x) for x in found]
-            yield pd.DataFrame({"host": np.repeat(f["host"].to_numpy(object), size), "prefix": np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64),
-                                "page": np.repeat(f["page"].to_numpy(), size), "at": np.concatenate([*map(np.arange, size), np.zeros(0, int)])})
-    return pages.mapInPandas(run, "host string, prefix long, page long, at int")
+            parts = []
+            for page, host, html in zip(f["page"], f["host"], f["html"]):
+                text, marked, ((article, own), (rest, other)) = _windows(host, html)
+                if marked:
+                    parts.append((article, np.zeros(1, np.uint64), page, text, np.array([-1])))
+                for place, windows, cut in ((article, own, True), (rest, other, not marked)):
+                    bit = _low(windows) >> np.uint32(32 - SLICE)
+                    at = np.flatnonzero(bits[_bucket(windows), bit >> np.uint32(3)] >> (7 - (bit & 7)).astype(np.uint8) & 1)
+                    windows = windows[at]
+                    if not cut:
+                        windows, at = np.unique(windows), np.full(len(np.unique(windows)), -1)
+                    if len(at):
+                        parts.append((place, windows, page, text, at))
+            size = [len(x[1]) for x in parts]
+            each = lambda k, t: np.repeat(np.array([x[k] for x in parts], t), size)  # noqa: B023, E731
+            at = np.concatenate([*(x[4] for x in parts), np.zeros(0, np.int64)])
+            yield pd.DataFrame({"host": each(0, np.int64), "prefix": np.concatenate([*(x[1] for x in parts), np.zeros(0, np.uint64)]).view(np.int64),
+                                "page": each(2, np.int64), "text": each(3, np.int64), "at": at.astype(np.int32)})
+    none = lambda c, v: F.when(F.col(c) != v, F.col(c)).alias(c)
+    return pages.mapInPandas(run, "host long, prefix long, page long, text long, at int").select("host", none("prefix", 0), "page", "text", none("at", -1))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -183,11 +299,13 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         return pd.Series([main_text(h, c) for h, c in zip(htmls, covered)], dtype=object)
 
     page = F.xxhash64(page_id, url, html)
-    ends = suffixes(pages.select(page.alias("page"), host_of(F.col(url)).alias("host"), F.col(html).alias("html")))
-    # of a prefix's pages only so many are told apart as it takes to know that it is repeated
-    per_page = ends.select("host", "prefix", "page").distinct()
-    repeated = per_page.groupBy("host", "prefix").count().filter(F.col("count") >= MIN_PAGES).select("host", "prefix")
-    covered = (ends.join(repeated, ["host", "prefix"]).groupBy("page").agg(F.collect_set("at").alias("covered"))  # a page's own words
+    ends = cut_lineage(suffixes(pages.select(page.alias("page"), F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(html).alias("html"))))
+    count = ends.select("host", "prefix", "text").distinct().groupBy("host", "prefix").count()
+    # the number of a host's articles; null for streams outside articles
+    articles = count.filter("prefix IS NULL").select("host", F.col("count").alias("articles"))
+    repeated = (count.filter(F.col("prefix").isNotNull() & (F.col("count") >= MIN_PAGES)).join(articles, "host", "left")
+                .filter(F.col("articles").isNull() | (F.col("count") >= ARTICLE_SHARE * F.col("articles"))).select("host", "prefix"))
+    covered = (ends.filter("at IS NOT NULL").join(repeated, ["host", "prefix"]).groupBy("page").agg(F.collect_set("at").alias("covered"))  # a page's own words
                .select(F.col("page").alias("_page"), F.col("covered").alias("_covered")))
     covered = broadcast_if_small(covered, MAX_CELLS, F.size("_covered") + 2)
     out = pages.withColumn("_key", page).join(covered, F.col("_key") == F.col("_page"), "left")

@@ -118,6 +118,17 @@ def test_suffixes_cover_what_brute_force_finds():
     assert same == {(0, 10)}
 
 
+def test_repeated_runs_of_articles(spark):
+    line = "Read our weekly letter and win a prize in the great lottery of the town"
+    some = "three of the ten articles quote these very words of a poem that all know"
+    body = [f"<p>own words {i} begin it</p><p>{line}</p>" + (f"<p>{some}</p>" if i < 3 else "") + f"<p>and {i} ends it</p>" for i in range(10)]
+    pages = [(i, "http://a.org/x", f"<nav>{line}</nav><article>{b}</article>") for i, b in enumerate(body)]
+    pages += [(20 + i, "http://a.org/y", f"<p>{line}</p><p>open {i}</p>") for i in range(2)]  # the menus hold the line too
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {i: f"own words {i} begin it\n\n" + (f"{some}\n\n" if i < 3 else "") + f"and {i} ends it" for i in range(10)}
+    assert got == {**want, 20: "open 0", 21: "open 1"}
+
+
 # --- source mix
 
 def brute_targets(sizes, weights=(1, 2, 3)):
