@@ -118,6 +118,15 @@ def test_suffixes_cover_what_brute_force_finds():
     assert same == {(0, 10)}
 
 
+def test_copies_of_an_open_page_keep_their_text(spark):
+    line = "Read our weekly letter and win a prize in the great lottery of the town"
+    copy = "a page that was put under many names and is still one page and no boilerplate at all"
+    pages = [(i, f"http://a.org/{i}", f"<div>{line}</div><p>{copy}</p>") for i in range(6)]
+    pages += [(10 + i, f"http://a.org/{10 + i}", f"<div>{line}</div><p>page number {i} {line} {i} with own words</p>") for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {**dict.fromkeys(range(6), copy), **{10 + i: f"page number {i} {i} with own words" for i in range(3)}}
+
+
 def test_repeated_runs_of_articles(spark):
     line = "Read our weekly letter and win a prize in the great lottery of the town"
     some = "three of the ten articles quote these very words of a poem that all know"
