@@ -3,7 +3,8 @@
 Each vector is rotated by a fixed random orthogonal matrix and kept as the signs of its coordinates, packed to
 bits, with two scalars: its length and how well the signs agree with it. Inner products are estimated
 from bits and scalars; each estimate has an error bound (``WIDTH`` standard deviations), and only vectors whose upper bound
-reaches the best ``k`` known so far are compared exactly. The queries meet all rows in cells of one block
+reaches the best ``k`` known so far are compared exactly. Until ``k`` are known exactly, estimated lower bounds choose the rows; a query whose
+exact scores end below these goes over the rows again without them, so that it has ``k`` rows if there are so many. The queries meet all rows in cells of one block
 of queries and one block of rows, both bounded, that Spark deals out; a cell returns its ``k`` best per query.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor rows without an
@@ -90,20 +91,33 @@ def search(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.nd
     query_length = np.linalg.norm(queries, axis=1)
     spread = length * np.sqrt(np.maximum(1 - agree**2, 0)) / agree * (width / np.sqrt(max(dim - 1, 1)))
     best, exact = Best(len(queries), k), 0
-    for a in range(0, len(x), TILE):
-        part = slice(a, a + TILE)
-        signs = np.unpackbits(bits[part], axis=1, count=dim).astype(np.float32) * 2 - 1
-        estimate = (turned @ signs.T) * (length[part] / agree[part]).astype(np.float32)
-        error = np.outer(query_length, spread[part]).astype(np.float32) + np.float32(1e-6)
-        own = query_ids[:, None] == ids[None, part]
-        if a == 0 and len(set(ids[part])) == own.shape[1] > k:  # a first floor from the lower bounds of k rows
-            low = np.where(own, -np.inf, estimate - error)
-            best.floor = np.partition(low, -k, axis=1)[:, -k].astype(float)
-        qi, xi = np.nonzero((estimate + error >= best.floor[:, None]) & ~own)
-        exact += len(qi)
-        for b in range(0, len(qi), PAIRS):
-            q, r = qi[b:b + PAIRS], xi[b:b + PAIRS] + a
-            best.add(q, (queries[q] * x[r]).sum(axis=1), ids[r])
+
+    def compare(asks: np.ndarray, first: np.ndarray | None) -> np.ndarray:
+        """Rows for the queries ``asks``; returns the first floor, taken from estimates, which only chooses rows."""
+        nonlocal exact
+        for a in range(0, len(x), TILE):
+            part = slice(a, a + TILE)
+            signs = np.unpackbits(bits[part], axis=1, count=dim).astype(np.float32) * 2 - 1
+            estimate = (turned[asks] @ signs.T) * (length[part] / agree[part]).astype(np.float32)
+            error = np.outer(query_length[asks], spread[part]).astype(np.float32) + np.float32(1e-6)
+            own = query_ids[asks, None] == ids[None, part]
+            if first is None:
+                first = np.full(len(asks), -np.inf)
+                if len(set(ids[part])) == own.shape[1] > k:  # from the lower bounds of k rows
+                    low = np.where(own, -np.inf, estimate - error)
+                    first = np.partition(low, -k, axis=1)[:, -k].astype(float)
+            qi, xi = np.nonzero((estimate + error >= np.maximum(first, best.floor[asks])[:, None]) & ~own)
+            exact += len(qi)
+            for b in range(0, len(qi), PAIRS):
+                q, r = asks[qi[b:b + PAIRS]], xi[b:b + PAIRS] + a
+                best.add(q, (queries[q] * x[r]).sum(axis=1), ids[r])
+        return first
+
+    asks = np.arange(len(queries))
+    first = compare(asks, None) if len(x) else np.full(len(queries), -np.inf)
+    high = asks[best.floor < first]  # k exact scores don't reach the estimates: rows were left out wrongly
+    if len(high):
+        compare(high, np.full(len(high), -np.inf))
     return best, exact
 
 

@@ -143,6 +143,18 @@ def test_error_bounds_hold_and_choose():
     assert bits.shape == (4000, 8) and np.allclose(length, np.linalg.norm(x, axis=1))
 
 
+def test_groups_of_equal_vectors_fill_the_answer():
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((8, 64)), 250, axis=0)[rng.permutation(2000)]
+    queries = rng.standard_normal((1000, 64))
+    best, _ = ann.search(queries, np.arange(10_000, 11_000), x, np.arange(2000), *ann.encode(x), 20)
+    assert (np.bincount(best.query, minlength=1000) == 20).all()
+    true = queries @ x.T
+    assert np.allclose(best.score, true[best.query, best.id])
+    kth = np.sort(true, axis=1)[:, -20]
+    assert (best.score >= kth[best.query] - 1e-9).mean() > 0.95
+
+
 def test_nothing_to_search(spark):
     empty = spark.createDataFrame([], VECTORS)
     assert ann.nearest(empty, F.col("vec_id") % 20 == 0).collect() == []
