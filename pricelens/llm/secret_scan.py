@@ -1,11 +1,14 @@
 """Secret scan with a recursive decoding worklist.
 
 Each text is scanned as it is (the base), then every layer it hides: percent and Unicode escapes are undone in
-place, base64 runs are decoded, and what is compressed is unpacked. Layers go to a worklist until none is new;
+place, base64 runs (also over several lines, and at each of the four offsets, as other text may stand before them) are decoded, and what is compressed
+is unpacked, wherever in a layer it begins. Bytes that aren't UTF-8 are a layer too, one character per byte, and bytes with zeros are read as UTF-16 besides.
+Layers go to a worklist until none is new;
 a layer seen before (by hash) is not scanned again, which also ends cycles. Each character of a layer knows its
 span in the document, so that a finding in a layer is reported at the span it came from.
 
-Defined cases: null and empty texts have no spans; equal findings of several layers are reported once; repeated
+Defined cases: a word at the start of the line after base64 counts as more of it; a packed stream inside another is followed to the end of the other's
+piece; null and empty texts have no spans; equal findings of several layers are reported once; repeated
 rows get equal results; very long texts are scanned whole, and unpacked data in overlapping pieces of bounded
 size; an empty table gives an empty result. Extra columns are kept; one named like an output is replaced.
 """
@@ -18,6 +21,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,6 +39,11 @@ MIN_VALUE, MIN_ACCESS = 8, 16
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")  # base64 broken over lines
+MIN_RUN = 16       # characters of base64, without line ends
+NOT_RUN = re.compile(r"[^A-Za-z0-9+/_-]+")
+WIDE = re.compile("%[89A-Fa-f]")  # an escaped byte beyond ASCII
+PACKED = re.compile(rb"(?=\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78])")  # where gzip or zlib data may begin
 PIECE = 1 << 24    # bytes of unpacked data that are scanned together
 OVERLAP = 1 << 16  # bytes by which consecutive pieces overlap
 SPAN = "array<struct<kind:string,start:long,end:long,base:boolean>>"
@@ -72,14 +81,16 @@ class Layer:
         return (mark,)
 
 
-def _escaped(m: re.Match) -> list[tuple[str, int, int]] | None:
+def _escaped(m: re.Match, as_bytes: bool = False) -> list[tuple[str, int, int]] | None:
     """(character, start, end) in the escapes' run, or null if they aren't text."""
     run = m.group()
     if run[0] == "%":
         data, width = bytes.fromhex(run.replace("%", "")), 3
         try:
-            chars = data.decode()
+            chars = data.decode("latin-1" if as_bytes else "utf-8")
         except UnicodeDecodeError:
+            as_bytes = True
+        if as_bytes:
             chars = data.decode("latin-1")
             return [(c, 3 * i, 3 * i + 3) for i, c in enumerate(chars)]
         out, at = [], 0
@@ -101,12 +112,12 @@ def _escaped(m: re.Match) -> list[tuple[str, int, int]] | None:
     return [(chr(code), 0, len(run))] if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else None
 
 
-def unescape(layer: Layer, pattern: re.Pattern) -> Layer | None:
-    """The layer with its escapes undone in place; null if it has none."""
+def unescape(layer: Layer, pattern: re.Pattern, as_bytes: bool = False) -> Layer | None:
+    """The layer with its escapes undone in place, to one character per byte if ``as_bytes``; null if it has none."""
     text, parts, starts, ends, at = layer.text, [], [], [], 0
     here = lambda a, b: (np.arange(a, b), np.arange(a + 1, b + 1)) if layer.start is None else (layer.start[a:b], layer.end[a:b])
     for m in pattern.finditer(text):
-        if (chars := _escaped(m)) is None:
+        if (chars := _escaped(m, as_bytes)) is None:
             continue
         s, e = here(at, m.start())
         parts.append(text[at:m.start()])
@@ -121,64 +132,86 @@ def unescape(layer: Layer, pattern: re.Pattern) -> Layer | None:
     return Layer("".join([*parts, text[at:]]), np.concatenate([*starts, s]), np.concatenate([*ends, e]))
 
 
-def _readable(data: bytes) -> str | None:
+def _texts(data: bytes) -> Iterator[str]:
+    """Readings of bytes: UTF-8, or one character per byte if they aren't or may be packed; UTF-16 if they hold zeros."""
     try:
         text = data.decode()
+        yield text
+        if not text.isascii() and next(_begins(data), None) is not None:
+            yield data.decode("latin-1")
     except UnicodeDecodeError:
-        return None
-    bad = sum(text.count(c) for c in map(chr, [*range(9), *range(14, 32), 127]))
-    return text if text and bad * 20 <= len(text) else None
+        yield data.decode("latin-1")
+        if len(data) >= PIECE:  # bytes of a character cut at either edge
+            yield data.decode("utf-8", "replace")
+    if b"\0" in data:
+        for a in (0, 1):
+            yield data[a:].decode("utf-16-le", "replace")
 
 
-def _pieces(data: bytes) -> Iterator[bytes]:
-    """What the bytes hold: themselves, or what they unpack to, in overlapping pieces."""
-    if data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        unpack, tail, rest = zlib.decompressobj(47), b"", data  # 47: gzip or zlib by its header
-        try:
-            while rest and not unpack.eof:
-                out = unpack.decompress(rest, PIECE)
-                rest = unpack.unconsumed_tail
-                if not out:
+def _begins(data: bytes) -> Iterator[int]:
+    for m in PACKED.finditer(data):
+        a = m.start()
+        if data[a] == 0x1F or a + 1 < len(data) and (data[a] << 8 | data[a + 1]) % 31 == 0 and not data[a + 1] & 32:
+            yield a
+
+
+def _pieces(data: bytes | memoryview) -> Iterator[tuple[bytes, int]]:
+    """What gzip or zlib data unpacks to, in overlapping pieces, and how many of its bytes were read."""
+    unpack, tail, rest = zlib.decompressobj(47), b"", data  # 47: gzip or zlib by its header
+    try:
+        while len(rest) and not unpack.eof:
+            out = unpack.decompress(rest, PIECE)
+            rest = unpack.unconsumed_tail
+            if not out:
+                break
+            yield tail + out, len(data) - len(rest) - len(unpack.unused_data)
+            tail = out[-OVERLAP:]
+    except zlib.error:  # what stands before the fault
+        if not tail:
+            unpack, out = zlib.decompressobj(47), b""
+            for a in range(0, len(data), 8):
+                try:
+                    out += unpack.decompress(data[a:a + 8])
+                except zlib.error:
                     break
-                yield tail + out
-                tail = out[-OVERLAP:]
-        except zlib.error:
-            pass
-    else:
-        yield data
+                if len(out) > PIECE:
+                    yield out, a
+                    out = out[-OVERLAP:]
+            if out:
+                yield out, a
 
 
-def _trimmed(data: bytes) -> str | None:
-    """Text of a piece; bytes of a character cut at either edge go."""
-    for a in range(4):
-        for b in range(4):
-            if (text := _readable(data[a:len(data) - b])) is not None:
-                return text
-        if len(data) < PIECE:
-            break
-    return None
+def _held(texts: Iterator[str], a: int, b: int) -> Iterator[Layer]:
+    """Layers whose characters all come from [a, b) of the document."""
+    for t in texts:
+        if t:
+            yield Layer(t, np.broadcast_to(np.int64(a), len(t)), np.broadcast_to(np.int64(b), len(t)))
 
 
 def unpack(layer: Layer) -> Iterator[Layer]:
     """Layers in the base64 runs of a layer; their characters all come from the whole run."""
-    for m in BASE64.finditer(layer.text):
-        run = m.group().rstrip("=").translate({45: "+", 95: "/"})
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        for piece in _pieces(data):
-            text = _readable(piece) if len(piece) < PIECE else _trimmed(piece)
-            if text is None:
-                packed = piece if piece is not data else b""
-                layers = [t for p in (_pieces(packed) if packed else ()) if p is not packed and (t := _readable(p))]
-            else:
-                layers = [text]
-            a, b = layer.span(m.start(), m.end())
-            for t in filter(None, layers):
-                yield Layer(t, np.full(len(t), a), np.full(len(t), b))
+    for pattern in (BASE64, LINES):
+        for m in pattern.finditer(layer.text):
+            run = NOT_RUN.sub("", m.group()).translate({45: "+", 95: "/"})
+            if len(run) < MIN_RUN:
+                continue
+            for offset in range(4):
+                part = run[offset:]
+                part = part[:-1] if len(part) % 4 == 1 else part
+                try:
+                    data = base64.b64decode(part + "=" * (-len(part) % 4), validate=True)
+                except (binascii.Error, ValueError):
+                    continue
+                yield from _held(_texts(data), *layer.span(m.start(), m.end()))
+
+
+def inflate(layer: Layer) -> Iterator[Layer]:
+    """Layers in the gzip or zlib data of a layer that has one character per byte."""
+    data = layer.text.encode("latin-1", "replace")
+    view = memoryview(data)
+    for a in _begins(data):
+        for piece, size in _pieces(view[a:]):
+            yield from _held(_texts(piece), *layer.span(a, a + max(1, size)))
 
 
 def scan(text: str | None) -> list[tuple[int, int, int, bool]]:
@@ -195,7 +228,9 @@ def scan(text: str | None) -> list[tuple[int, int, int, bool]]:
                 s, e = layer.span(a, b)
                 found.setdefault((s, k, e), False)
         inner = [unescape(layer, p) for p, sign in ((PERCENT, "%"), (ESCAPE, "\\")) if sign in layer.text]
-        for new in [*filter(None, inner), *unpack(layer)]:
+        if WIDE.search(layer.text):
+            inner.append(unescape(layer, PERCENT, as_bytes=True))
+        for new in chain(filter(None, inner), unpack(layer), inflate(layer) if layer is not first else ()):
             if new.text and (key := new.key()) not in seen:
                 seen.add(key)
                 work.append(new)

@@ -197,6 +197,29 @@ def test_hidden_secrets_are_found_where_they_came_from(wrap):
     assert "hunter2" not in secret_scan.redact(text, spans, "#") and secret_scan.redact(text, spans, "#").count("#") == 2
 
 
+def packed_text():
+    return zlib.compress("say password=hunter2secret99 now, für alle".encode())
+
+
+@pytest.mark.parametrize("hide", [
+    lambda: base64.b64encode(zlib.compress(gzip.compress(packed_text()))).decode(),
+    lambda: base64.b64encode(zlib.compress(gzip.compress(zlib.compress(packed_text())))).decode(),
+    lambda: urllib.parse.quote(packed_text()), lambda: "".join(f"%{c:02x}" for c in gzip.compress(packed_text())),
+    lambda: "".join(f"\\u{c:04x}" for c in packed_text()), lambda: "".join(f"\\x{c:02x}" for c in packed_text()),
+    lambda: base64.b64encode(b"password=hunter2secret99 \xff").decode(), lambda: base64.b64encode("f\xfcr password=hunter2secret99".encode("latin-1")).decode(),
+    lambda: base64.b64encode("password=hunter2secret99".encode("utf-16")).decode(), lambda: base64.b64encode("password=hunter2secret99".encode("utf-16-be")).decode(),
+    *[lambda n=n: "w" * n + "/" + base64.b64encode(b"password=hunter2secret99").decode() for n in range(1, 5)],
+    lambda: "keys_" + base64.urlsafe_b64encode(packed_text()).decode(),
+    lambda: base64.encodebytes(b"some words before that fill up the line " * 3 + b"password=hunter2secret99").decode() + "--- (end)",
+    lambda: base64.b64encode(packed_text()[:-1] + b"\0").decode()])
+def test_deeper_and_broken_layers(hide):
+    text = f"before {hide()} after"
+    spans = [(s, e) for k, s, e, base in secret_scan.scan(text) if k == 0 and not base]
+    assert spans and all(7 <= s < e <= len(text) - 6 for s, e in spans)
+    left = secret_scan.redact(text, spans, "#")
+    assert not [x for x in secret_scan.scan(left) if x[0] == 0]
+
+
 def test_cycles_and_junk_end():
     for text in ["%25" * 2000, "%2525252525", "\\u005cu0041", "A" * 10_000, base64.b64encode(zlib.compress(b"x" * 100_000)).decode(), "%ff%fe%00", "\\ud800 %"]:
         secret_scan.scan(text)
