@@ -1,6 +1,6 @@
 """Registered queries: the end-to-end model table, training and scoring, and
 operators that need it or that format, union or upsert tables
-(M1-M6, M11, M12, A2, A24, F10, F12, U1, U3, S4, S6-S10, P4, P5)."""
+(M1-M6, M11-M13, A2, A24, F10, F12, U1, U3, S4, S6-S10, P4, P5)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import ml as ML
+from ..session import cut_lineage
 from ..sources import results as R
 from . import views as V
 from .pipeline import model_table, train
@@ -48,17 +49,17 @@ _TRAINED: dict = {}
 
 
 def _trained(spark, sf):
-    """Small-setting models on the model table; fitted once per session and folder."""
+    """The reference's models on the model table; fitted once per session and folder."""
     k = (spark.sparkContext.applicationId, sf)  # no later session has the same
     if k not in _TRAINED:
         t = model_table(V.listings(spark, sf), COLS)
-        _TRAINED[k] = train(t, models=ML.small_models(), key=("entity", "event_id"), checkpoint=True)
+        _TRAINED[k] = train(t, models=ML.REFERENCE_MODELS, key=("entity", "event_id"), checkpoint=True)
     return _TRAINED[k]
 
 
 @query("m6_train_and_score")
 def m6_train_and_score(spark, sf):
-    """M1-M6 with small settings: long-form scores of four models and the ensemble (rows only)."""
+    """M1-M6: long-form scores of four models and the ensemble (rows only)."""
     _, scores, _ = _trained(spark, sf)
     return scores
 
@@ -72,11 +73,18 @@ def m11_importances(spark, sf):
 @query("m12_selected_features")
 def m12_selected_features(spark, sf):
     t = model_table(V.listings(spark, sf), COLS)
-    feats = ML.select_features(t.where("split = 'train'"), [c for c in _FC if c in t.columns],
-                               spec=ML.ModelSpec("gbt", {"maxIter": 10, "maxDepth": 5, "stepSize": 0.1}))
+    feats = ML.select_features(t.where("split = 'train'"), [c for c in _FC if c in t.columns])
     return spark.createDataFrame([(f,) for f in feats], "feature string")
 
 
+@query("m13_random_search")
+def m13_random_search(spark, sf):
+    """Best parameters of 20 draws in 5 folds, for a regressor of the good-deal label (rows only)."""
+    t = cut_lineage(model_table(V.listings(spark, sf), COLS).where("split = 'train'"))
+    _, best = ML.random_search(t, [c for c in _FC if c in t.columns], "is_good_deal")
+    return spark.createDataFrame([(k, str(v)) for k, v in sorted(best.items())], "parameter string, value string")
+
+
 # S9 -------------------------------------------------------------------------
 _NEW_NATIONS = """
 SELECT n_nationkey, n_name || '_v2' AS n_name, n_regionkey FROM nation WHERE n_regionkey = 0

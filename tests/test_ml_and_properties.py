@@ -52,6 +52,22 @@ def test_feature_selection_and_search(spark, table):
     assert set(best) == set(space)
 
 
+def test_queries_train_with_the_reference_settings(spark, monkeypatch):
+    from pricelens.plans import q_pipeline as Q
+    seen, table = {}, spark.createDataFrame([("train", 1.0, 1)], "split string, price double, is_good_deal int")
+    monkeypatch.setattr(Q, "_TRAINED", {})
+    monkeypatch.setattr(Q, "model_table", lambda *a: table)
+    monkeypatch.setattr(Q, "train", lambda t, models, **k: seen.update(models=models))
+    monkeypatch.setattr(ML, "fit_model", lambda t, feats, spec, label: seen.update(spec=spec) or 1 / 0)
+    monkeypatch.setattr(ML, "random_search", lambda *a, **k: seen.update(search=(a[2:], k)) or (None, {"maxIter": 100}))
+    Q._trained(spark, "/root/testdata/sf0.001")
+    with pytest.raises(ZeroDivisionError):
+        Q.m12_selected_features(spark, "/root/testdata/sf0.001")
+    assert seen["models"] == ML.REFERENCE_MODELS and seen["spec"].params["maxIter"] == 100
+    assert Q.m13_random_search(spark, "/root/testdata/sf0.001").collect() == [("maxIter", "100")]
+    assert seen["search"] == (("is_good_deal",), {})  # 20 draws and 5 folds are the function's own
+
+
 def test_label_codes_fit_on_train_only(spark):
     tr = spark.createDataFrame([("b",), ("a",), (None,)], "zone string")
     te = spark.createDataFrame([("a",), ("z",)], "zone string")
