@@ -11,13 +11,14 @@ exactly; items above the threshold are verified by the five-word shingles of que
 Defined cases: null and empty texts have no passages and no leaks; null and empty items are left out; equal items are
 reported each; repeated documents get equal results; items of fewer words than a shingle are one shingle; an empty
 table gives an empty result, and without items nothing leaks. Extra columns are kept; one named like an output is replaced. Benchmarks above
-``SHARD_BYTES`` are searched in shards of about that size, each broadcast by itself.
+``SHARD_BYTES`` are searched in shards of about that size, each broadcast by itself, with term counts and mean length of the whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.session import cut_lineage
+
 WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6     # share of an item's own score that a passage must reach
@@ -51,25 +54,30 @@ def answer_start(text: str) -> int:
     return ends[-1] if ends else len(text)
 
 
+def pieces_of(item: str, question: str, answer: str):
+    """(item, words, how many of them are the question's) of the pieces of an item."""
+    q, a = words_of(question), words_of(answer)
+    both = q + a
+    for i in range(0, len(both), STEP):
+        start = max(0, min(i, len(both) - STEP))  # the last piece is whole too
+        yield item, both[start:start + STEP], max(0, min(len(q) - start, STEP))
+
+
 class Index:
     """Inverted index of (item id, question, answer)."""
 
-    def __init__(self, items: list[tuple[str, str, str]]):
-        self.pieces: list[tuple[str, list[str], int]] = []  # item, words, how many of them are the question's
-        for item, question, answer in items:
-            q, a = words_of(question), words_of(answer)
-            both = q + a
-            for i in range(0, len(both), STEP):
-                start = max(0, min(i, len(both) - STEP))  # the last piece is whole too
-                self.pieces.append((item, both[start:start + STEP], max(0, min(len(q) - start, STEP))))
+    def __init__(self, items: list[tuple[str, str, str]], total: tuple[Counter, int, float] | None = None):
+        # item, words, how many of them are the question's
+        self.pieces: list[tuple[str, list[str], int]] = [p for x in items for p in pieces_of(*x)]
         self.pieces.sort(key=lambda p: " ".join(p[1]))
         counts = [Counter(w) for _, w, _ in self.pieces]
-        shared = Counter(t for c in counts for t in c)
-        self.term = {t: n for n, t in enumerate(shared)}
-        n, mean = len(counts), sum(map(len, (p[1] for p in self.pieces))) / max(1, len(counts))
+        own = Counter(t for c in counts for t in c)
+        # pieces that hold a term, all pieces, and their mean length; of the whole benchmark, if these items are a part of it
+        shared, n, mean = total or (own, len(counts), sum(map(len, (p[1] for p in self.pieces))) / max(1, len(counts)))
+        self.term = {t: n for n, t in enumerate(own)}
         self.impact: list[dict[int, float]] = []
         walked: dict[int, dict[int, float]] = defaultdict(dict)
-        self.spare = np.zeros(-(-n // BLOCK))  # what a block's unwalked terms can add
+        self.spare = np.zeros(-(-len(counts) // BLOCK))  # what a block's unwalked terms can add
         for p, c in enumerate(counts):
             size = sum(c.values())
             raw = {self.term[t]: np.log1p((n - shared[t] + 0.5) / (shared[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean))
@@ -133,17 +141,42 @@ class Index:
         return [best[k] for k in sorted(best)]
 
 
+def split_item(item: str, question: str, answer: str | None) -> tuple[str, str, str]:
+    at = answer_start(question)
+    return (item, question, answer) if answer is not None else (item, question[:at], question[at:])
+
+
+def _terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(shard, term, pieces with it), and per shard a null term with the number of pieces and of their words."""
+    for f in frames:
+        count: Counter = Counter()
+        words: Counter = Counter()
+        for k, item, question, answer in zip(f["shard"], f["id"], f["question"], f["answer"]):
+            for _, piece, _ in pieces_of(*split_item(item, question, answer)):
+                count.update((k, t) for t in {*piece, None})
+                words[k, None] += len(piece)
+        yield pd.DataFrame([(k, t, c, words[k, t]) for (k, t), c in count.items()], columns=["shard", "term", "pieces", "words"])
+
+
 def shards(items: DataFrame, item_id: str = "item_id", question: str = "text", answer: str | None = None):
     """Indexes of the benchmark's items, each of bounded size."""
     rows = items.select(F.col(item_id).cast("string").alias("id"), F.coalesce(F.col(question), F.lit("")).alias("question"),
                         (F.coalesce(F.col(answer), F.lit("")) if answer else F.lit(None).cast("string")).alias("answer"))
     size = rows.agg(F.sum(F.length("question") + F.coalesce(F.length("answer"), F.lit(0)))).first()[0] or 0
     n = -(-size // SHARD_BYTES)
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "question"), F.lit(max(1, n))))
+    if n > 1:
+        terms = cut_lineage(rows.mapInPandas(_terms, "shard long, term string, pieces long, words long"))
+        whole = terms.filter("term IS NULL").agg(F.sum("pieces"), F.sum("words")).first()
+        per_term = terms.filter("term IS NOT NULL").groupBy("term").agg(F.sum("pieces").alias("pieces"))
     for k in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("id", "question"), F.lit(n)) == k).collect()  # about SHARD_BYTES
-        cut = [(r.id, r.question, r.answer) if r.answer is not None else
-               (r.id, r.question[:(at := answer_start(r.question))], r.question[at:]) for r in part]
-        yield Index(sorted((x for x in cut if words_of(x[1] + " " + x[2])), key=lambda x: (x[0] or "", x[1])))
+        part = rows.filter(F.col("shard") == k).collect()  # about SHARD_BYTES
+        cut = [split_item(r.id, r.question, r.answer) for r in part]
+        total = None
+        if n > 1:
+            own = terms.filter((F.col("shard") == k) & F.col("term").isNotNull()).select("term").distinct()
+            total = Counter({r.term: r.pieces for r in own.join(per_term, "term").collect()}), whole[0], whole[1] / max(1, whole[0] or 0)
+        yield Index(sorted((x for x in cut if words_of(x[1] + " " + x[2])), key=lambda x: (x[0] or "", x[1])), total)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "leaks", item_id: str = "item_id",

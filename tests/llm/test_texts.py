@@ -281,6 +281,19 @@ def test_shards_find_the_same(spark, monkeypatch):
     assert find() == whole
 
 
+def test_scores_do_not_depend_on_shards(spark, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    # items without their last word: scores below 1, which tell the weights of terms apart
+    texts = [(i, " ".join(r.text.split()[:-1])) for i, r in enumerate(items.orderBy("item_id").collect())]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    find = lambda: {(r.doc_id, x.item_id): x.score for r in decontam.find_leaks(docs, items).collect() for x in r.leaks}
+    whole = find()
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 2000)
+    parts = find()
+    assert parts.keys() == whole.keys() and any(x < 1 for x in whole.values())
+    assert all(abs(parts[k] - x) < 1e-9 for k, x in whole.items())
+
+
 def test_skipping_opens_every_block_that_reaches_the_threshold():
     rng = np.random.default_rng(3)
     vocabulary = [f"t{i}" for i in range(80)]
