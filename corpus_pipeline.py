@@ -29,12 +29,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: the one with the smallest doc_id, and of equal rows one.
 
-    Documents without a doc_id can't be told apart and stay.
+    Documents without a doc_id are told apart by a hash of their text, above 2^62, and so come after those with one.
     """
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = groups.select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])  # dealt by doc_id already
-    return kept.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    own = F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("text"), 2))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), own))
+    groups = simhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    first = groups.select(F.col("component_id").alias("_key")).distinct()
+    kept = keyed.join(first, "_key", "left_semi").dropDuplicates(["_key", "text"])  # dealt by _key already
+    return kept.select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -235,6 +235,14 @@ def test_run_is_the_stages_in_a_row(spark):
     assert key(a) == key(b)
 
 
+def test_one_of_a_group_without_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b = ("the quick brown fox jumps over the lazy dog by the river", "an entirely other text about the weather in the north today")
+    rows = [(None, a, "en", "x", 1), (None, a, "de", "y", 2), (7, a, "en", "x", 1), (None, b, "en", "x", 1), (None, b, "en", "z", 1)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("7", a), ("None", b)]
+
+
 def test_stages_take_nulls_and_nothing(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, None, None, None, None), (None, None, None, None, 0), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (3, "token=abcdefgh12 and more", "en", "a", 25)]
