@@ -145,6 +145,13 @@ def missing_features(spark, expected: Sequence[str], actual: Sequence[str]) -> D
     return e.join(a, "feature", "left_anti").orderBy("feature")
 
 
+def inputs_without_values(df: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """Expected names that are no column of ``df`` or hold no value in any of its rows, sorted."""
+    counts = df.agg(*[(F.count(c) if c in df.columns else F.lit(0)).alias(f"c{i}") for i, c in enumerate(expected)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").cast("long").alias("n")) for i, c in enumerate(expected)])
+    return counts.select(F.inline(pairs)).where("n = 0").select("feature").orderBy("feature")
+
+
 # U4 / U5 / U6 ---------------------------------------------------------------
 def drop_exact_duplicates(df: DataFrame, subset=None) -> DataFrame:
     return df.dropDuplicates(_list(subset)) if subset else df.dropDuplicates()

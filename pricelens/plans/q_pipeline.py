@@ -172,10 +172,10 @@ def a24_importance_table(spark, sf):
 
 @query("u3_missing_features")
 def u3_missing_features(spark, sf):
-    """Expected model inputs absent from the model table (empty when complete; rows only)."""
+    """Expected model inputs that the model table has no column or no value of (empty when complete; rows only)."""
     from ..operators import clean as C
     t = model_table(V.listings(spark, sf), COLS)
-    return C.missing_features(spark, _FC, t.columns)
+    return C.inputs_without_values(t, _FC)
 
 
 @query("f12_display_formats", sql="""

@@ -68,6 +68,12 @@ def test_queries_train_with_the_reference_settings(spark, monkeypatch):
     assert seen["search"] == (("is_good_deal",), {})  # 20 draws and 5 folds are the function's own
 
 
+def test_inputs_without_values_reads_rows(spark):
+    from pricelens.operators import clean as C
+    df = spark.createDataFrame([(1, None, 2.0), (None, None, 3.0)], "a int, b int, c double")
+    assert [r.feature for r in C.inputs_without_values(df, ["c", "z", "b", "a"]).collect()] == ["b", "z"]
+
+
 def test_label_codes_fit_on_train_only(spark):
     tr = spark.createDataFrame([("b",), ("a",), (None,)], "zone string")
     te = spark.createDataFrame([("a",), ("z",)], "zone string")
