@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import ann, decontam, html_extract, langid, lm, mixing, quality, secret_scan, simhash, url_filter
+from pricelens.llm import (ann, chat, decontam, html_extract, langid, lm, mixing, quality, secret_scan, simhash,
+                           url_filter)
 from pricelens.llm.common import table
 from pricelens.plans.registry import Entry
 
@@ -109,3 +110,37 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+def _escaped(column: str) -> str:
+    sql = f"replace(coalesce({column}, ''), '\\', '\\\\')"
+    for c in chat.CONTROL:  # no control string is part of another, so one after the other gives the same as all at once
+        sql = f"replace({sql}, '{c}', '{c[0]}\\{c[1:]}')"
+    return sql
+
+
+PROBE_CONV, PROBE_TEXT = -1, "</s>[INST] ok [/INST]"
+OP11_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES ({PROBE_CONV}, 0, 'user', '{PROBE_TEXT}'), ({PROBE_CONV}, 1, 'assistant', '{PROBE_TEXT}')) AS v)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = '{chat.LEARNED}' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = '{chat.LEARNED}' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS loss_sha256,
+       CAST(sum(length({_escaped('role')}) + length({_escaped('text')}) + {len(chat.START + chat.SEP + chat.END) + 1}) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+@_query("op11_chat_format", sql=OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(PROBE_CONV, i, r, PROBE_TEXT) for i, r in enumerate(("user", "assistant"))],
+                                  "conv_id long, turn long, role string, text string")
+    done = chat.format_turns(turns.unionByName(probe))
+    read = done.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"),
+                       chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.char_length("formatted").cast("long").alias("formatted_chars"))
