@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import (ann, chat, decontam, html_extract, langid, lm, mixing, quality, secret_scan, simhash,
-                           url_filter)
-from pricelens.llm.common import table
+from pricelens.llm import (ann, chat, decontam, html_extract, langid, lm, mixing, quality, runs, secret_scan,
+                           simhash, url_filter)
+from pricelens.llm.common import WORD, table
 from pricelens.plans.registry import Entry
 
 LLM: dict[str, Entry] = {}
@@ -144,3 +144,28 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
                        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+def with_loops(docs: DataFrame) -> DataFrame:
+    """``docs`` with its words put in a loop from some word on, where crc32 of the id ends in 0."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    looped = docs.withColumn("_words", F.when(h % 10 == 0, words)).withColumn("_n", F.size("_words"))
+    begin = F.when(F.col("_n") > 0, g % F.col("_n"))
+    looped = looped.withColumn("_a", begin).withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8)).cast("long"))
+    place = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1),
+                                    lambda i: F.get("_words", place(i).cast("int"))), " ")
+    return looped.withColumn("text", F.when(F.col("_n") > 0, text).otherwise(F.col("text"))).drop("_words", "_n", "_a", "_p")
+
+
+@_query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_loops(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = runs.strongest(F.col("runs"))
+    return (found.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+                    F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
