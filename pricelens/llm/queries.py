@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm import (ann, chat, decontam, html_extract, langid, lm, mixing, quality, runs, secret_scan,
-                           simhash, url_filter)
+from pricelens.llm import (ann, chat, decontam, html_extract, langid, lm, mixing, quality, repair, runs,
+                           secret_scan, simhash, url_filter)
 from pricelens.llm.common import WORD, table
 from pricelens.plans.registry import Entry
 
@@ -169,3 +169,21 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
                     F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
                     F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """``turns`` with rows dropped (``lost``), emptied, robbed of their sentence ends, repeated, and of another role."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    text = (F.when(kind == 1, "").when(kind == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text")))
+    twice = F.explode(F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy")
+    return turns.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(space("role")).alias("role"), text.alias("text"),
+                        (kind == 0).alias("lost"), twice).drop("_copy")
+
+
+@_query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    said = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"]))
+    return (repair.repair(rows, lost=F.col("lost"))
+            .select("conv_id", *repair.COUNTS, "audit", F.sha2(F.array_join(said, "\n"), 256).alias("repaired_sha256")))
