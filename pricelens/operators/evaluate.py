@@ -201,16 +201,29 @@ def with_class_weights(df: DataFrame, mode: str = "balanced", positive_weight: f
     if mode == "fixed":
         return df.withColumn(out, F.when(F.col(label) == 1, F.lit(positive_weight)).otherwise(F.lit(1.0)))
     cnt = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))  # one row per class
-    total = Window.partitionBy()
-    cnt = cnt.select(label, (F.sum("_nc").over(total) / (F.count(label).over(total) * F.col("_nc"))).alias(out))
+    all_rows = cnt.agg((F.sum("_nc") / F.count(label)).alias("s")).scalar()
+    cnt = cnt.select(label, (all_rows / F.col("_nc")).alias(out))
     return df.join(F.broadcast(cnt), label, "left")
 
 
 # J6 -------------------------------------------------------------------------
 def attach_scores(df: DataFrame, scores: DataFrame, models: Sequence[str],
-                  key: Sequence[str] = ("entity", "event_id")) -> DataFrame:
-    """One ``<model>_probability`` and ``<model>_prediction`` column per model, joined on the row key."""
-    wide = (scores.where(F.col("model").isin(list(models)))
-            .groupBy(*key).pivot("model", list(models))
-            .agg(F.first("probability").alias("probability"), F.first("prediction").alias("prediction")))
-    return df.join(wide, list(key), "left")
+                  key: Sequence[str] = ("entity", "event_id"), row_id: str = "row_id") -> DataFrame:
+    """One ``<model>_probability`` and ``<model>_prediction`` column per model, joined on the row.
+
+    Where both tables have ``row_id``, which names a row for good, that is the key. Otherwise rows of one ``key`` are numbered on both
+    sides, the n-th row of a key getting the n-th score of each model: no row and no score is lost when keys repeat.
+    Keys that are null match each other.
+    """
+    scores = scores.where(F.col("model").isin(list(models)))
+    if row_id in df.columns and row_id in scores.columns:
+        on, own = [row_id], df
+    else:
+        nth = "_nth"
+        on = [*key, nth]
+        of_df = Window.partitionBy(*key).orderBy(*[c for c, t in df.dtypes if c not in key and not t.startswith("map")] or [F.lit(0)])
+        of_scores = Window.partitionBy(*key, "model").orderBy("probability", "prediction")
+        own, scores = df.withColumn(nth, F.row_number().over(of_df)), scores.withColumn(nth, F.row_number().over(of_scores))
+    of_model = lambda c, m: F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{m}_{c}")
+    wide = scores.groupBy(*on).agg(*[of_model(c, m) for m in models for c in ("probability", "prediction")])
+    return join_null_safe(own, wide, on).drop("_nth")

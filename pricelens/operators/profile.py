@@ -21,6 +21,7 @@ from ..functions.aggs import nrows
 from ..functions.scalars import cut_right_closed, edge, hist_bin
 from ..schema import DEFAULT_COLS, Cols
 from .order_stats import agg_with_quantiles, group_quantiles, join_null_safe
+from .prefix import with_prefix_totals
 
 
 def _list(x) -> list[str]:
@@ -226,6 +227,14 @@ def densify_months(df: DataFrame, by, month: str = "event_month") -> DataFrame:
     return scaffold.join(df, [*keys, month], "left")
 
 
+# O1 --------------------------------------------------------------------------
+def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+    """Each row's place (from 1) in the sorted table: rows are dealt into ordered ranges and counted there, so no task
+    holds the whole table. ``order`` must tell rows apart for a defined place; nulls come first."""
+    placed = with_prefix_totals(df, [F.col(c) for c in order], {name: F.lit(1)})
+    return placed.withColumn(name, (F.col(name) + 1).cast("long"))
+
+
 # O2 / O3 / O4 ----------------------------------------------------------------
 def top_n(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
     """First ``n`` rows by ``order`` (planned as TakeOrderedAndProject)."""

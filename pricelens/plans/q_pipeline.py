@@ -4,10 +4,14 @@ operators that need it or that format, union or upsert tables
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import ml as ML
+from ..operators import tree_nodes as N
 from ..session import cut_lineage
 from ..sources import results as R
 from . import views as V
@@ -50,10 +54,14 @@ _TRAINED: dict = {}
 
 def _trained(spark, sf):
     """The reference's models on the model table; fitted once per session and folder."""
+    return _table_and_models(spark, sf)[1]
+
+
+def _table_and_models(spark, sf):
     k = (spark.sparkContext.applicationId, sf)  # no later session has the same
     if k not in _TRAINED:
-        t = model_table(V.listings(spark, sf), COLS)
-        _TRAINED[k] = train(t, models=ML.REFERENCE_MODELS, key=("entity", "event_id"), checkpoint=True)
+        t = cut_lineage(model_table(V.listings(spark, sf), COLS))
+        _TRAINED[k] = t, train(t, models=ML.REFERENCE_MODELS, key=("entity", "event_id"), checkpoint=False)
     return _TRAINED[k]
 
 
@@ -64,12 +72,81 @@ def m6_train_and_score(spark, sf):
     return scores
 
 
+_KEY = ("entity", "event_id")
+_MODELS = (*ML.REFERENCE_MODELS, "ensemble")
+_TREES = tuple(n for n, m in ML.REFERENCE_MODELS.items() if m.family != "lr")
+
+
+def _recomputed(spark, t, fitted, feats):
+    """(key, model, expected): probabilities from the models' node tables and coefficients, without the learners' code."""
+    parts = []
+    for name, model in fitted.items():
+        if name in _TREES:
+            nodes = cut_lineage(N.node_table(spark, model, _scratch(spark, name)))
+            w = N.walk(t, nodes, feats, _KEY)
+            p = N.probability(ML.REFERENCE_MODELS[name].family, F.col("margin_mean"), F.col("margin_sum"))
+        else:
+            line = F.lit(float(model.stages[-1].intercept))
+            for f, c in zip(feats, model.stages[-1].coefficients.toArray()):
+                line = line + F.col(f).cast("double") * F.lit(float(c))
+            w, p = t, F.lit(1.0) / (F.lit(1.0) + F.exp(-line))
+        parts.append(w.select(*_KEY, F.lit(name).alias("model"), p.alias("expected")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _with_ensemble(expected):
+    members = expected.where(F.col("model").isin(*ML.ENSEMBLE_MEMBERS))
+    return expected.unionByName(members.groupBy(*_KEY).agg(F.lit("ensemble").alias("model"), F.avg("expected").alias("expected")))
+
+
+def _agreement(scores, expected):
+    near = F.abs(F.col("probability") - F.col("expected")) <= 1e-9
+    return scores.join(expected, [*_KEY, "model"], "left").select(*_KEY, "model", "split", "label", F.coalesce(near, F.lit(False)).alias("agrees"))
+
+
+def _duck_agreement(models) -> str:
+    return f"""
+SELECT t.entity, t.event_id, m.model, t.split, CAST(t.is_good_deal AS INTEGER) AS label, TRUE AS agrees
+FROM ({_duck_model_table()}) t CROSS JOIN (VALUES {", ".join(f"('{m}')" for m in models)}) AS m(model)"""
+
+
+@query("m6_scores_recomputed", sql=_duck_agreement(_MODELS))
+def m6_scores_recomputed(spark, sf):
+    """M1-M6: every row scored by every model, and whether a walk down the node tables (for the logistic regression, its
+    line) gives that probability too, to 1e-9."""
+    t, (fitted, scores, feats) = _table_and_models(spark, sf)
+    return _agreement(scores, _with_ensemble(_recomputed(spark, t, fitted, feats)))
+
+
 @query("m11_importances")
 def m11_importances(spark, sf):
     fitted, _, feats = _trained(spark, sf)
     return ML.importances(spark, fitted, feats)
 
 
+def _importances_by_nodes(spark, fitted, feats):
+    names = spark.createDataFrame(list(enumerate(feats)), "feature int, name string")
+    parts = []
+    for name in _TREES:
+        nodes = N.node_table(spark, fitted[name], _scratch(spark, name))
+        own = names.join(N.importances(nodes, ML.REFERENCE_MODELS[name].family == "rf"), "feature", "left")
+        parts.append(own.select(F.lit(name).alias("model"), F.col("name").alias("feature"), F.coalesce("importance", F.lit(0.0)).alias("expected")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+_DUCK_FEATURES = "(VALUES " + ", ".join(f"('{f}')" for f in _FC if f in _TABLE_COLS) + ") AS f(feature)"
+
+
+@query("m11_importances_recomputed", sql=f"""
+SELECT m.model, f.feature, TRUE AS agrees
+FROM {_DUCK_FEATURES} CROSS JOIN (VALUES {", ".join(f"('{m}')" for m in _TREES)}) AS m(model)""")
+def m11_importances_recomputed(spark, sf):
+    """Whether the gains of the nodes add up to each importance, to 1e-9."""
+    fitted, _, feats = _trained(spark, sf)
+    both = ML.importances(spark, fitted, feats).join(_importances_by_nodes(spark, fitted, feats), ["model", "feature"], "left")
+    return both.select("model", "feature", F.coalesce(F.abs(F.col("importance") - F.col("expected")) <= 1e-9, F.lit(False)).alias("agrees"))
+
+
 @query("m12_selected_features")
 def m12_selected_features(spark, sf):
     t = model_table(V.listings(spark, sf), COLS)
@@ -79,10 +156,11 @@ def m12_selected_features(spark, sf):
 
 @query("m13_random_search")
 def m13_random_search(spark, sf):
-    """Best parameters of 20 draws in 5 folds, for a regressor of the good-deal label (rows only)."""
+    """Errors of 20 draws in 5 folds, for a regressor of the good-deal label; ``best`` marks the draw whose model is
+    fitted on all rows (rows only)."""
     t = cut_lineage(model_table(V.listings(spark, sf), COLS).where("split = 'train'"))
-    _, best = ML.random_search(t, [c for c in _FC if c in t.columns], "is_good_deal")
-    return spark.createDataFrame([(k, str(v)) for k, v in sorted(best.items())], "parameter string, value string")
+    _, _, trials = ML.random_search(t, [c for c in _FC if c in t.columns], "is_good_deal")
+    return trials
 
 
 # S9 -------------------------------------------------------------------------
@@ -170,6 +248,16 @@ def a24_importance_table(spark, sf):
     return P.importance_table(imp)
 
 
+@query("a24_importance_table_recomputed", sql=f"SELECT f.feature, TRUE AS agrees FROM {_DUCK_FEATURES}")
+def a24_importance_table_recomputed(spark, sf):
+    """Whether the mean over the models' node tables is each mean importance, to 1e-9."""
+    from ..operators import profile as P
+    fitted, _, feats = _trained(spark, sf)
+    mean = _importances_by_nodes(spark, fitted, feats).groupBy("feature").agg(F.avg("expected").alias("expected"))
+    both = P.importance_table(ML.importances(spark, fitted, feats).select("model", "feature", "importance")).join(mean, "feature", "left")
+    return both.select("feature", F.coalesce(F.abs(F.col("mean_importance") - F.col("expected")) <= 1e-9, F.lit(False)).alias("agrees"))
+
+
 @query("u3_missing_features")
 def u3_missing_features(spark, sf):
     """Expected model inputs that the model table has no column or no value of (empty when complete; rows only)."""
@@ -242,6 +330,35 @@ def s4_s7_csv_round_trip(spark, sf):
     return back.select("event_name", "price", "quantity", "days_until_event", "listing_time", "event_date")
 
 
+_FILE = "'User' || user_id || strftime(TIMESTAMP '2024-01-20 00:00:00' + to_days(CAST(user_id % 15 AS INT)), '%y%m%d')"
+
+
+@query("s1_s3_json_round_trip", sql=f"""
+SELECT 'User' || user_id AS event_name, TIMESTAMP '2024-01-20 00:00:00' + to_days(CAST(user_id % 15 AS INT)) AS event_date,
+       strftime(ts, '%m-%d-%y / %I:%M %p') AS timestamp, 'Balcón ' || event_type AS section, value AS price, NULL::VARCHAR AS reason
+FROM events WHERE user_id % 10 <> 7
+UNION ALL
+SELECT DISTINCT {_FILE} || '.json', NULL, NULL, NULL, NULL, 'unparsable' FROM events WHERE user_id % 10 = 7
+""")
+def s1_s3_json_round_trip(spark, sf):
+    """Events as one JSON array per user, every third file in Latin-1 and every tenth cut short; scanned back (S1, S2) with the
+    charset chosen by validity (S3), and the files that don't parse as rejects."""
+    from ..sources import listings as L
+    ev = V.table(spark, sf, "events")
+    date = F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'") + F.make_dt_interval((F.col("user_id") % 15).cast("int"))
+    broken, latin1 = F.col("user_id") % 10 == 7, F.col("user_id") % 3 == 1
+    rows = ev.select(F.concat(F.lit("User"), F.col("user_id"), F.date_format(date, "yyMMdd")).alias("_name"),
+                     latin1.alias("_latin1"), broken.alias("_broken"), F.date_format("ts", S.LISTING_TIME_FORMAT).alias("timestamp"),
+                     F.col("event_type").alias("zone"), F.concat(F.lit("Balcón "), "event_type").alias("section"), F.lit("").alias("row"),
+                     F.lit(1).alias("quantity"), F.col("value").alias("price"))
+    path = _scratch(spark, "json")
+    L.write_listing_json(rows, path, "_name", "_latin1", "_broken")
+    back, rejects = L.read_listing_json_any_encoding(spark, path)
+    cols = ("event_name", "event_date", "timestamp", "section", F.col("price").cast("double").alias("price"))
+    return (back.select(*cols, F.lit(None).cast("string").alias("reason"))
+            .unionByName(rejects.select(F.col("file").alias("event_name"), "reason"), allowMissingColumns=True))
+
+
 @query("s6_listing_time_fallback", sql="SELECT event_id, ts AS listing_time FROM events")
 def s6_listing_time_fallback(spark, sf):
     """A table with ``created_at`` only gets ``listing_time`` from it."""
@@ -266,9 +383,19 @@ def s8_s10_metrics_document(spark, sf):
 @query("m15_save_and_reload")
 def m15_save_and_reload(spark, sf):
     """The chosen model saved with its parameter document (M15) and loaded back; its scores (rows only)."""
-    fitted, _, feats = _trained(spark, sf)
+    t, (fitted, _, feats) = _table_and_models(spark, sf)
+    return ML.score(_reloaded(spark, fitted, feats), t, "random_forest", _KEY)
+
+
+def _reloaded(spark, fitted, feats):
     path = _scratch(spark, "model")
     ML.save_model(fitted, "random_forest", path, feats)
-    back = ML.load_model(path, "random_forest")
-    t = model_table(V.listings(spark, sf), COLS)
-    return ML.score(back, t, "random_forest", ("entity", "event_id"))
+    return ML.load_model(path, "random_forest")
+
+
+@query("m15_reload_recomputed", sql=_duck_agreement(["random_forest"]))
+def m15_reload_recomputed(spark, sf):
+    """Whether the model that was saved and loaded back scores every row as the fitted model's node table does, to 1e-9."""
+    t, (fitted, _, feats) = _table_and_models(spark, sf)
+    scores = ML.score(_reloaded(spark, fitted, feats), t, "random_forest", _KEY)
+    return _agreement(scores, _recomputed(spark, t, {"random_forest": fitted["random_forest"]}, feats))

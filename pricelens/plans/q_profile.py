@@ -259,9 +259,14 @@ def a26_box_stats_top5(spark, sf):
 
 
 # O1-O4 / J2 / J3 ---------------------------------------------------------------------
-@query("o1_multi_key_sort", sql=_L("SELECT entity, listing_time, event_id FROM listings ORDER BY entity, listing_time, event_id"))
+@query("o1_multi_key_sort", sql=_L("""
+SELECT entity, listing_time, event_id, row_number() OVER (ORDER BY entity, listing_time, event_id) AS position
+FROM listings ORDER BY position
+"""))
 def o1_multi_key_sort(spark, sf):
-    return V.listings(spark, sf).select("entity", "listing_time", "event_id").orderBy("entity", "listing_time", "event_id")
+    """The sorted rows with their places, so that the order itself is part of the result."""
+    ls = V.listings(spark, sf).select("entity", "listing_time", "event_id")
+    return P.with_position(ls, ["entity", "listing_time", "event_id"]).orderBy("position")
 
 
 @query("o2_top_n", sql=_L("SELECT entity, event_id, price FROM clean ORDER BY price DESC, event_id LIMIT 10", clean=_CLEAN))

@@ -83,11 +83,64 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str] | str) -> DataFram
     return old.join(new.select(*k), k, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+VERSION = "version-"
+
+
+def _folder(spark: SparkSession, path: str) -> str:
+    """Where versions are kept: ``path``, or a folder beside it where ``path`` is a plain file."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return path.rstrip("/") + (".versions" if fs.exists(at) and fs.getFileStatus(at).isFile() else "")
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str, bool]]:
+    """(number, folder, whether its write was finished) of the versions under ``path``, in order."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(_folder(spark, path))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = []
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith(VERSION):
+            done = fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
+            found.append((int(name[len(VERSION):]), status.getPath().toString(), done))
+    return sorted(found)
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    """The folder of the last version whose write was finished; ``path`` itself before the first one."""
+    done = [folder for _, folder, ok in _versions(spark, path) if ok]
+    return done[-1] if done else path
+
+
+def commit_documents(docs: DataFrame, path: str, keep: int = 2) -> str:
+    """Write (key, doc) rows as the next version of the document under ``path``, and return its folder.
+
+    A version counts once Spark has set its mark of success, the last thing a write does. A driver or a write that is lost
+    before that leaves a folder that no reader looks at, and the version before it stays the current one. ``docs`` may read the
+    current version. The last ``keep`` finished versions are kept for readers that are still at them; older ones go.
+    """
+    spark = docs.sparkSession
+    before = _versions(spark, path)
+    number = before[-1][0] + 1 if before else 1  # also past unfinished ones
+    folder = f"{_folder(spark, path)}/{VERSION}{number:010d}"
+    write_document(documents_json(docs), folder)
+    jvm = spark.sparkContext._jvm
+    done = [(n, f) for n, f, ok in before if ok] + [(number, folder)]
+    for n, old, _ in before:
+        if n < done[-keep:][0][0]:
+            target = jvm.org.apache.hadoop.fs.Path(old)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return folder
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object file as (key, doc) rows; an absent or broken file counts as empty."""
+    """A JSON object file, or its current version, as (key, doc) rows; an absent or broken file counts as empty."""
     empty = spark.createDataFrame([], "key string, doc string")
     try:
-        txt = spark.read.text(path, wholetext=True)
+        txt = spark.read.text(current_version(spark, path), wholetext=True)
         m = txt.select(F.from_json("value", T.MapType(T.StringType(), T.StringType())).alias("m"))
         out = m.where(F.col("m").isNotNull()).select(F.explode("m").alias("key", "doc"))
         out.schema

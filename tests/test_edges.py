@@ -4,6 +4,8 @@ import datetime as dt
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from pricelens.functions import scalars as S
 from pricelens.operators import clean as C
 from pricelens.operators import evaluate as EV
@@ -230,3 +232,25 @@ def test_duplicate_expansion_in_pieces(spark):
     out = C.duplicates_after_first(df, expand=True, chunk=5)
     got = {(r["k"], r["v"]): r["n"] for r in out.groupBy("k", "v").count().withColumnRenamed("count", "n").collect()}
     assert got == {(1, "a"): 22, (2, "b"): 1}
+
+
+def test_scores_of_repeated_keys_keep_every_row(spark):
+    from pricelens.operators import evaluate as EV
+    df = spark.createDataFrame([("a", 1, 5.0), ("a", 1, 6.0), ("a", 2, 7.0), ("b", 1, 8.0), (None, 1, 9.0)], "entity string, event_id int, price double")
+    scores = spark.createDataFrame([("a", 1, "m", 0.1, 0), ("a", 1, "m", 0.9, 1), ("a", 2, "m", 0.5, 1), (None, 1, "m", 0.3, 0), ("a", 1, "n", 0.2, 0),
+                                    ("a", 1, "other", 0.7, 1)], "entity string, event_id int, model string, probability double, prediction int")
+    got = {r["price"]: r for r in EV.attach_scores(df, scores, ["m", "n"]).collect()}
+    assert [got[p]["m_probability"] for p in (5.0, 6.0, 7.0, 8.0, 9.0)] == [0.1, 0.9, 0.5, None, 0.3]
+    assert [got[p]["n_probability"] for p in (5.0, 6.0)] == [0.2, None] and len(got) == 5
+    # by row id, whatever the keys say
+    ids = df.withColumn("row_id", F.col("price").cast("long"))
+    by_id = spark.createDataFrame([(i, "m", i / 10, 1) for i in (5, 6, 7, 8, 9)], "row_id long, model string, probability double, prediction int")
+    assert all(r["m_probability"] == r["row_id"] / 10 for r in EV.attach_scores(ids, by_id, ["m"]).collect())
+
+
+def test_positions_follow_the_order(spark):
+    from pricelens.operators import profile as P
+    df = spark.createDataFrame([(None if i % 10 == 3 else i % 7, i) for i in range(200)], "a int, b int").repartition(7)
+    got = {(r["a"], r["b"]): r["position"] for r in P.with_position(df, ["a", "b"]).collect()}
+    want = sorted(got, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [got[k] for k in want] == list(range(1, 201)) and P.with_position(df.limit(0), ["a"]).collect() == []

@@ -1,6 +1,7 @@
 """Model training (M1-M6, M11-M13, M15), label encoding (F13) and properties of splits, features and labels."""
 
 import datetime as dt
+import json
 import os
 
 import pytest
@@ -48,8 +49,21 @@ def test_feature_selection_and_search(spark, table):
     assert set(keep) <= set(feats) and keep
     space = {"stepSize": [0.1, 0.2], "maxDepth": [2, 3], "maxIter": [3], "subsamplingRate": [1.0],
              "featureSubsetStrategy": ["1.0"], "minInstancesPerNode": [1]}
-    model, best = ML.random_search(tr.withColumn("y", F.col("price")), feats, "y", n_iter=2, folds=2, space=space)
+    model, best, trials = ML.random_search(tr.withColumn("y", F.col("price")), feats, "y", n_iter=2, folds=2, space=space)
     assert set(best) == set(space)
+    got = trials.orderBy("draw", "fold").collect()
+    assert [(r.draw, r.fold) for r in got] == [(0, 0), (0, 1), (1, 0), (1, 1)] and len({r.parameters for r in got}) == 2
+    mean = [(got[2 * d].mse + got[2 * d + 1].mse) / 2 for d in (0, 1)]
+    assert all(r.best == (r.draw == mean.index(min(mean))) for r in got) and json.loads(next(r.parameters for r in got if r.best)) == best
+    again = ML.search_trials(tr.withColumn("y", F.col("price")).repartition(3), feats, "y", n_iter=2, folds=2, space=space, threads=1)[1]
+    assert [r.mse for r in again.orderBy("draw", "fold").collect()] == pytest.approx([r.mse for r in got], rel=0.05)  # any number of threads
+    assert model.transform(tr).where("prediction IS NULL").count() == 0
+
+
+def test_search_space_is_the_references():
+    draws = ML._draws(ML.SEARCH_SPACE, 20, ML.SEED)
+    assert len({tuple(sorted(d.items())) for d in draws}) == 20 and all(d[k] in v for d in draws for k, v in ML.SEARCH_SPACE.items())
+    assert len(ML._draws({"maxDepth": [1, 2]}, 20, 1)) == 2
 
 
 def test_queries_train_with_the_reference_settings(spark, monkeypatch):
@@ -59,12 +73,12 @@ def test_queries_train_with_the_reference_settings(spark, monkeypatch):
     monkeypatch.setattr(Q, "model_table", lambda *a: table)
     monkeypatch.setattr(Q, "train", lambda t, models, **k: seen.update(models=models))
     monkeypatch.setattr(ML, "fit_model", lambda t, feats, spec, label: seen.update(spec=spec) or 1 / 0)
-    monkeypatch.setattr(ML, "random_search", lambda *a, **k: seen.update(search=(a[2:], k)) or (None, {"maxIter": 100}))
+    monkeypatch.setattr(ML, "random_search", lambda *a, **k: seen.update(search=(a[2:], k)) or (None, {}, table))
     Q._trained(spark, "/root/testdata/sf0.001")
     with pytest.raises(ZeroDivisionError):
         Q.m12_selected_features(spark, "/root/testdata/sf0.001")
     assert seen["models"] == ML.REFERENCE_MODELS and seen["spec"].params["maxIter"] == 100
-    assert Q.m13_random_search(spark, "/root/testdata/sf0.001").collect() == [("maxIter", "100")]
+    assert Q.m13_random_search(spark, "/root/testdata/sf0.001") is table
     assert seen["search"] == (("is_good_deal",), {})  # 20 draws and 5 folds are the function's own
 
 
@@ -110,7 +124,6 @@ def test_label_share_at_least_20_percent(spark):
 
 
 def test_run_workflow(spark, tmpdir_path):
-    import json
     from pricelens.plans.pipeline import run_workflow
     raw = os.path.join(tmpdir_path, "raw")
     os.makedirs(raw)

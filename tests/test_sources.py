@@ -167,3 +167,44 @@ def test_clean_raw_listings_pipeline(spark, tmpdir_path):
     assert all(r["section"] == "General Admission" for r in out)
     assert {r["zone"] for r in out} == {"general admission"}
     assert all(r["entity"] == "Show" for r in out)
+
+
+def test_lost_write_leaves_the_version_before(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "doc")
+    docs = lambda *rows: spark.createDataFrame(list(rows), "key string, doc string")
+    read = lambda p=path: {r["key"]: r["doc"] for r in R.read_documents(spark, p).collect()}
+    assert read() == {}
+    R.commit_documents(docs(("a", "1"), ("b", "2")), path)
+    R.commit_documents(R.upsert(R.read_documents(spark, path), docs(("b", "3")), "key"), path)
+    assert read() == {"a": "1", "b": "3"}
+    # the write fails midway: its job raises after some rows
+    bad = docs(("a", "9"), ("z", "9")).withColumn("doc", F.when(F.col("key") == "z", F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("doc")))
+    with pytest.raises(Exception, match="lost"):
+        R.commit_documents(bad, path)
+    assert read() == {"a": "1", "b": "3"}
+    # the driver is lost after the files are written and before the mark of success
+    left = os.path.join(path, R.VERSION + "0000000007")
+    os.makedirs(left)
+    with open(os.path.join(left, "part-0.txt"), "w") as f:
+        f.write('{"half": 1')
+    assert read() == {"a": "1", "b": "3"}
+    done = R.commit_documents(R.upsert(R.read_documents(spark, path), docs(("c", "4")), "key"), path)
+    assert done.endswith("0000000008") and read() == {"a": "1", "b": "3", "c": "4"}
+    assert sorted(os.listdir(path)) == [R.VERSION + f"{n:010d}" for n in (2, 7, 8)]  # a version that was current stays for its readers
+    plain = os.path.join(tmpdir_path, "plain.json")
+    with open(plain, "w") as f:
+        json.dump({"keep": 1, "x": 2}, f)
+    R.commit_documents(R.upsert(R.read_documents(spark, plain), docs(("x", "5")), "key"), plain)
+    assert read(plain) == {"keep": "1", "x": "5"} and json.load(open(plain)) == {"keep": 1, "x": 2}
+
+
+def test_written_json_arrays_are_read_back(spark, tmpdir_path):
+    rows = spark.createDataFrame([("A230101", True, False, "é\"x"), ("A230101", True, False, None), ("B230102", False, False, "é"),
+                                  ("C230103", False, True, "cut"), ("D230104", False, False, "")], "name string, l boolean, b boolean, section string")
+    path = os.path.join(tmpdir_path, "json")
+    L.write_listing_json(rows.repartition(3), path, "name", "l", "b")
+    with open(os.path.join(path, "A230101.json"), "rb") as f:
+        assert "é".encode("latin-1") + b'\\"x' in f.read()
+    back, rejects = L.read_listing_json_any_encoding(spark, path)
+    assert sorted((r["event_name"], r["section"] or "") for r in back.collect()) == [("A", ""), ("A", "é\"x"), ("B", "é"), ("D", "")]
+    assert [(r["file"], r["reason"]) for r in rejects.collect()] == [("C230103.json", "unparsable")]
