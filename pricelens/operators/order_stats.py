@@ -1,19 +1,20 @@
 """Exact quantiles without a buffer of a whole group.
 
-Rows are first reduced to (group, value, count), which spreads a hot group over its values; the counts get running
-totals over ordered ranges (:mod:`.prefix`), and only the two order statistics around each quantile are kept
-and interpolated. The rule is linear interpolation at position ``(n - 1) * p``, as pandas and ``quantile_cont`` have it.
+A first pass sketches each group: bounds that are sure to hold the order statistics around each quantile between them. A
+second pass counts the rows outside the bounds and groups the few inside by value; the order statistics are then
+picked by their places and interpolated. The sketch only says where to look: every returned value is exact, at position
+``(n - 1) * p`` with linear interpolation, as pandas and ``quantile_cont`` have it. Groups of no more than ``ACCURACY`` rows
+have no bounds and are kept whole. All of it is one plan: nothing is written, and no group meets in a task but as
+the cells inside its bounds, about ``2 * SLACK / ACCURACY`` of its rows per quantile.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import with_prefix_totals
-
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on ``keys`` where null equals null; the keys come from the left side."""
@@ -22,23 +23,50 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def group_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs: Mapping[str, float]) -> DataFrame:
+ACCURACY = 10_000  # a sketch's rank is off by at most 1 / ACCURACY of the group's rows
+SLACK = 5          # bounds lie that many times further out: room for the sketch, for rounding and for the neighbour above
+
+
+def _bounds(rows: DataFrame, by: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """(by..., _total, _lo, _hi): per group its rows, and per quantile the values that its order statistics lie between."""
+    edge = SLACK / accuracy
+    points = [min(1.0, max(0.0, p + d)) for p in probs for d in (-edge, edge)]
+    sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"), F.percentile_approx("_v", points, accuracy).alias("_at"))
+    whole = F.col("_total") <= accuracy
+    low = [F.when(whole | F.lit(p <= edge), F.lit(float("-inf"))).otherwise(F.col("_at")[2 * i]) for i, p in enumerate(probs)]
+    high = [F.when(whole | F.lit(p >= 1 - edge), F.lit(float("nan"))).otherwise(F.col("_at")[2 * i + 1])  # NaN: above all numbers
+            for i, p in enumerate(probs)]
+    return sketch.select(*by, "_total", F.array(*low).alias("_lo"), F.array(*high).alias("_hi"))
+
+
+def group_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs: Mapping[str, float],
+                    accuracy: int = ACCURACY) -> DataFrame:
     """(by..., one column per name in ``probs``) for the groups that have a non-null value."""
     by = list(by)
     v = F.col(value) if isinstance(value, str) else value
-    counts = (df.select(*by, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-              .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
-    ranked = with_prefix_totals(counts, [*[F.col(c) for c in by], F.col("_v")], {"_before": F.col("_n")})
-    totals = ranked.groupBy(*by).agg(F.min("_before").alias("_base"), F.sum("_n").alias("_total"))
+    rows = df.select(*by, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ps = sorted(set(probs.values()))
+    bounds = _bounds(rows, by, ps, accuracy)
     if by:
-        ranked = join_null_safe(ranked, totals, by, "inner")
+        rows = join_null_safe(rows, bounds, by, "inner")
     else:
-        one = totals.select(F.struct("_base", "_total").alias("s")).scalar()
-        ranked = ranked.withColumn("_s", one).select("*", "_s.*").drop("_s")
-    first = F.col("_before") - F.col("_base")
+        one = bounds.select(F.struct("_total", "_lo", "_hi").alias("s")).scalar()
+        rows = rows.withColumn("_s", one).select("*", "_s.*").drop("_s")
+    inside, below = F.lit(False), F.lit(float("-inf"))
+    for i in range(len(ps)):  # bounds rise with the quantiles, so the last one below a value is the nearest
+        inside = inside | ((F.col("_v") >= F.col("_lo")[i]) & (F.col("_v") <= F.col("_hi")[i]))
+        below = F.when(F.col("_hi")[i] < F.col("_v"), F.col("_hi")[i]).otherwise(below)
+    # a row outside counts at the bound below it, behind that bound's own rows
+    cells = (rows.select(*by, "_total", F.when(inside, F.col("_v")).otherwise(below).alias("_v"), (~inside).alias("_out"))
+             .groupBy(*by, "_total", "_v", "_out").agg(F.count(F.lit(1)).alias("_n")))
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_v", "_out").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_before")
+    ranked = cells.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
 
     def at(place: Column) -> Column:
-        return F.max(F.when((first <= place) & (place < first + F.col("_n")), F.col("_v")))
+        here = (first <= place) & (place < first + F.col("_n"))
+        missed = F.raise_error(F.lit("a quantile lies outside its bounds")).cast("double")
+        return F.max(F.when(here & F.col("_out"), missed).when(here, F.col("_v")))
 
     aggs = []
     for name, p in probs.items():

@@ -29,6 +29,31 @@ def test_quantiles_of_skewed_groups(spark, seed):
     assert both["nulls"].n == 0 and both["nulls"].m is None and both[None].n == 31
 
 
+@pytest.mark.parametrize("accuracy", [50, 400, 10_000])
+def test_quantiles_between_sketched_bounds(spark, accuracy):
+    """Groups above ``accuracy`` rows are cut to their bounds; the values stay exact."""
+    rng = np.random.default_rng(accuracy)
+    parts = {"even": rng.permutation(12_000).astype(float), "few": rng.integers(0, 3, 9_000).astype(float), "skew": rng.exponential(9, 15_000) ** 3,
+             "same": np.full(5_000, 7.25), "far": np.append(rng.standard_normal(8_000), [np.inf, -np.inf, -0.0, 0.0]), "small": rng.standard_normal(37)}
+    rows = [(g, float(x)) for g, vs in parts.items() for x in vs]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    probs = {**PROBS, "p501": 0.501, "p999": 0.999}
+    got = {r.g: r for r in group_quantiles(df, ["g"], "v", probs, accuracy).collect()}
+    for g, vs in parts.items():
+        for name, p in probs.items():
+            ordered, place = np.sort(vs), (len(vs) - 1) * p
+            low, high = ordered[int(np.floor(place))], ordered[int(np.ceil(place))]
+            assert got[g][name] == (low if place % 1 == 0 else pytest.approx((1 - place % 1) * low + place % 1 * high, rel=1e-12))
+    whole = group_quantiles(df.where("g = 'skew'"), [], "v", {"m": 0.5}, accuracy).first()
+    assert whole.m == pytest.approx(np.quantile(parts["skew"], 0.5), rel=1e-12)
+
+
+def test_only_cells_between_bounds_meet(spark):
+    df = spark.range(60_000).select((F.col("id") * 7919 % 60_013).cast("double").alias("v"), F.lit("hot").alias("g"))
+    plan = group_quantiles(df, ["g"], "v", {"m": 0.5}, 1000)
+    assert "Checkpoint" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.first().m == np.quantile(np.arange(60_000) * 7919 % 60_013, 0.5)
+
+
 def test_quantiles_of_a_whole_column_of_unique_values(spark):
     df = spark.range(20_000).select((F.col("id") * 7919 % 20_011).cast("double").alias("v"))
     row = group_quantiles(df, [], "v", PROBS).first()
