@@ -8,19 +8,25 @@ look-ahead duration, W12, which ``strict=True`` turns off). Row loops of the ref
 * the week before now, current time excluded: times in [t - 7 d, t)
 * strictly earlier times
 
-There is one plan for entities of any size. The rows are dealt once into ranges of (entity, time) of about equal
-size and written to the shared folder, each with a row number ``_rid`` that is never null and orders the rows; an entity's
-share of a range is a chunk. Within a chunk the frames are plain windows. What lies before the chunk comes from
+There is one plan for entities of any size. The rows are dealt once into ranges of (entity, time, tie-break) of about
+equal size and written to the shared folder, each with a row number ``_rid`` that is never null and orders the rows; an entity's
+share of a range is a chunk, and rows of one time may lie in several. Frames over positions are plain windows within a
+chunk. What lies before the chunk comes from
 
 * one summary row per chunk, running over the entity's earlier chunks (counts, sums, extremes, moments);
 * the 15 rows before the chunk, copied into it, for the lag and the last-15 frame;
-* for the 7-day frames: chunks wholly inside the frame, added up from their summaries, and for the chunks
-  that a frame cuts, probes: a row asks such a chunk for the moments of its part after t - 7 d. Chunks and cuts are both in order of
-  time, so there are about as many probes as rows, however dense the week is;
 * for the growing quantiles: :mod:`.growing`, which hands each chunk only the earlier prices near its quantiles.
 
+Frames over times are the same for all rows of one time, so they are answered once per distinct time (an instant), which
+holds the moments of its rows, summed up before any shuffle: however many rows a time has, it is one row here. An instant
+that chunks cut belongs to the chunk it begins in. The moments of instants inside a chunk come from an index
+(:mod:`.instants`); of earlier chunks, those wholly inside a frame are added up from their summaries, and
+those that a frame cuts are asked: an instant asks such a chunk for the moments of its part after t - 7 d. Chunks and cuts are
+both in order of time, so there are about as many questions as instants, however dense the week is. The answers go back
+to the rows by (chunk, time).
+
 Moments of parts are merged as (count, mean, squared deviations), not as differences of sums, so that equal prices have
-deviation 0. No task holds more than a chunk, its probes and its context.
+deviation 0. No task holds more than a chunk, its questions and its context.
 """
 
 from __future__ import annotations
@@ -34,6 +40,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import US_PER_DAY, US_PER_HOUR, epoch_micros
 from ..schema import DEFAULT_COLS, Cols
 from ..session import write_shared
+from . import instants as I
 from .growing import chunk_quantiles
 from .market import market_stats, time_window
 from .order_stats import join_null_safe
@@ -62,13 +69,13 @@ def with_time_keys(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
 def deal(df: DataFrame, cols: Cols, ranges: int | None = None) -> DataFrame:
     """Rows with chunk and row number, written once to the shared folder.
 
-    Equal times of an entity stay in one chunk. Rows of equal time stand in order of the tie-break, then of price,
-    quantity and a hash of the row (nulls first), so that only rows equal in all columns are interchangeable.
+    Rows of equal time stand in order of the tie-break, then of price, quantity and a hash of the row (nulls first), so that
+    only rows equal in all columns are interchangeable, and only those always share a chunk.
     """
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashable = [c for c, t in df.dtypes if not t.startswith("map")]
     order = [*cols.entity, TS_US, *cols.tiebreak, cols.price, cols.quantity, F.xxhash64(*hashable)]
-    dealt = (df.repartitionByRange(n, *cols.entity, TS_US).sortWithinPartitions(*order)
+    dealt = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
              .withColumn(CHUNK, F.spark_partition_id()).withColumn(RID, F.monotonically_increasing_id()))
     return write_shared(dealt)
 
@@ -80,19 +87,13 @@ class Moments:
     mean: Column
     m2: Column
 
-    @classmethod
-    def over(cls, value: Column, frame) -> Moments:
-        n = F.count(value).over(frame)
-        return cls(n.cast("double"), F.coalesce(F.avg(value).over(frame), F.lit(0.0)),
-                   F.coalesce(F.var_pop(value).over(frame), F.lit(0.0)) * n)
-
     @classmethod
     def of(cls, struct: Column) -> Moments:
         return cls(struct["n"], struct["mean"], struct["m2"])
 
     @classmethod
     def or_none(cls, prefix: str) -> Moments:
-        return cls(*[F.coalesce(F.col(f"{prefix}_{k}"), F.lit(0.0)) for k in ("n", "mean", "m2")])
+        return cls(*[F.coalesce(F.col(prefix)[k], F.lit(0.0)) for k in ("n", "mean", "m2")])
 
     def plus(self, other: Moments) -> Moments:
         n = self.n + other.n
@@ -117,21 +118,28 @@ def _folded(parts: Column) -> Column:
     return F.aggregate(parts, zero, lambda a, x: Moments.of(a).plus(Moments.of(x)).struct())
 
 
-def summarise(rows: DataFrame, cols: Cols) -> DataFrame:
-    """One row per chunk: its own sums, the sums of the entity's earlier chunks, and the entity's constants."""
+def summarise(rows: DataFrame, cols: Cols, chunk: str = CHUNK) -> DataFrame:
+    """One row per chunk: its own sums, the sums of the entity's earlier chunks, and the entity's constants.
+
+    ``_run`` is the chunk in which the chunk's first instant began, if that was not this one.
+    """
     E, p, q = list(cols.entity), F.col(cols.price), F.col(cols.quantity)
-    own = rows.groupBy(*E, CHUNK).agg(
+    own = rows.groupBy(*E, chunk).agg(
         F.min(RID).alias(GID), F.count(F.lit(1)).alias("_n"), F.count(p).alias("_np"),
         F.coalesce(F.avg(p), F.lit(0.0)).alias("_mean"), F.coalesce(F.var_pop(p), F.lit(0.0)).alias("_var"),
         F.sum(q).alias("_sq"), F.count(q).alias("_nq"), F.min(p).alias("_mn"), F.max(p).alias("_mx"),
         F.min(TS_US).alias("_t0"), F.max(TS_US).alias("_t1"), F.max(cols.days).alias("_days"))
     entity = Window.partitionBy(*E)  # a row per chunk of the entity
-    by_time = entity.orderBy(CHUNK)
+    by_time = entity.orderBy(chunk)
     earlier = by_time.rowsBetween(Window.unboundedPreceding, -1)
     total = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
     # sums of squares run over prices less those of the first chunk, which keeps them small and reads nothing later
     own = own.withColumn("_shift", F.first("_mean").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
     off = F.col("_mean") - F.col("_shift")
+    own = own.withColumn("_cut", F.coalesce(F.lag("_t1").over(by_time) == F.col("_t0"), F.lit(False)))
+    # an instant begins in the last chunk that holds more than the rest of an earlier one
+    begins = F.when(~(F.col("_cut") & (F.col("_t0") == F.col("_t1"))), F.col(GID))
+    own = own.withColumn("_run", F.when(F.col("_cut"), F.last(begins, ignorenulls=True).over(earlier)))
     out = own.withColumns({
         "_k": F.row_number().over(by_time), "_first": F.min("_t0").over(entity), "_last": F.max("_t1").over(entity),
         "_maxd": F.max("_days").over(entity), "_m2": F.col("_var") * F.col("_np"),
@@ -158,36 +166,41 @@ def _near_pairs(chunks: DataFrame, cols: Cols) -> DataFrame:
     return join_null_safe(own, chunks.select(*E, "_k", GID, "_t0", "_np", "_mean", "_m2", "_nq", "_sq"), [*E, "_k"], "inner")
 
 
-def _week_before_chunk(rows: DataFrame, chunks: DataFrame, cols: Cols) -> tuple[DataFrame, DataFrame]:
-    """What the 7-day frames hold of earlier chunks.
-
-    Returns (per chunk: moments and quantities of the chunks wholly inside every row's frame; per row: the same of the
-    parts of the chunks that frames cut, for times after t - 7 d and from t - 7 d on).
-    """
-    pairs = _near_pairs(chunks, cols).withColumn("_whole", F.col("_t0") > F.col("_cut"))
+def _by_instant(rows: DataFrame, chunks: DataFrame, cols: Cols) -> DataFrame:
+    """Per (chunk, time): what W7-W9 and W21 need of all rows before that time and of the seven days up to it."""
+    p, q = F.col(cols.price).cast("double"), F.col(cols.quantity).cast("double")
+    number = lambda c, kind: F.lit(c).cast(kind)
+    points = (rows.groupBy("_pg", TS_US).agg(
+        F.count(p).cast("double").alias("n"), F.coalesce(F.avg(p), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.var_pop(p) * F.count(p), F.lit(0.0)).alias("m2"), F.count(q).cast("double").alias("nq"), F.coalesce(F.sum(q), F.lit(0.0)).alias("sq")))
+    points = points.select(F.col("_pg").alias("_g"), F.lit(I.POINT).alias("_role"), F.col(TS_US).alias("_at"), *I.MOMENT, "nq", "sq",
+                           F.col("_pg").alias("_og"), F.col(TS_US).alias("_oat"))
+    cut = chunks.where("_run IS NOT NULL").select(F.col("_run").alias("_og"), F.col("_t0").alias("_oat"), GID)
+    if cut.isEmpty():  # then the chunks of instants are the chunks of rows
+        times = chunks
+    else:
+        times = summarise(rows.withColumn(RID, F.col("_pg")), cols, "_pg")
+    pairs = _near_pairs(times, cols).withColumn("_whole", F.col("_t0") > F.col("_cut"))
     part = F.struct(F.col("_k").alias("k"), F.col("_np").cast("double").alias("n"), F.col("_mean").alias("mean"), F.col("_m2").alias("m2"))
-    whole = (pairs.where("_whole").groupBy(F.col("_for").alias(GID))  # at most the chunks of a week
-             .agg(_folded(F.transform(F.array_sort(F.collect_list(part)), lambda x: F.struct(x["n"].alias("n"), x["mean"].alias("mean"), x["m2"].alias("m2")))).alias("w"),
-                  F.sum("_nq").alias("_w_nq"), F.sum("_sq").alias("_w_sq"))
-             .select(GID, "_w_nq", "_w_sq", *[F.col(f"w.{k}").alias(f"_w_{k}") for k in ("n", "mean", "m2")]))
-    cut = pairs.where(~F.col("_whole")).select(F.col("_for").alias("_asking"), F.col(GID).alias("_asked"))
-    asks = (rows.select(F.col(GID).alias("_asking"), RID, (F.col(TS_US) - WEEK_US).alias("_at")).join(cut, "_asking")
-            .select(F.col("_asked").alias(GID), RID, "_at", F.lit(None).cast("double").alias("_p"), F.lit(None).cast("double").alias("_q")))
-    asked = rows.join(cut.select(F.col("_asked").alias(GID)).distinct(), GID, "left_semi")
-    asked = asked.select(GID, F.lit(None).cast("long").alias(RID), F.col(TS_US).alias("_at"), F.col(cols.price).cast("double").alias("_p"),
-                         F.col(cols.quantity).cast("double").alias("_q"))
-    backwards = Window.partitionBy(GID).orderBy(F.desc("_at"))
-    after = backwards.rangeBetween(Window.unboundedPreceding, -1)
-    since = backwards.rangeBetween(Window.unboundedPreceding, 0)
-    found = (asked.unionByName(asks)
-             .select(GID, RID, Moments.over(F.col("_p"), after).struct().alias("a"), Moments.over(F.col("_p"), since).struct().alias("s"),
-                     F.count("_q").over(after).alias("nq"), F.sum("_q").over(after).alias("sq"))
-             .where(F.col(RID).isNotNull()))
-    per_row = (found.groupBy(RID)  # a chunk's cuts, a few
-               .agg(F.array_sort(F.collect_list(F.struct(GID, "a", "s"))).alias("x"), F.sum("nq").alias("_c_nq"), F.sum("sq").alias("_c_sq"))
-               .select(RID, "_c_nq", "_c_sq", _folded(F.transform("x", lambda x: x["a"])).alias("a"), _folded(F.transform("x", lambda x: x["s"])).alias("s"))
-               .select(RID, "_c_nq", "_c_sq", *[F.col(f"{v}.{k}").alias(f"_c{v}_{k}") for v in "as" for k in ("n", "mean", "m2")]))
-    return whole, per_row
+    inside = F.transform(F.array_sort(F.collect_list(part)), lambda x: F.struct(*[x[m].alias(m) for m in I.MOMENT]))
+    whole = (pairs.where("_whole").groupBy(F.col("_for").alias("_og"))  # at most the chunks of a week
+             .agg(_folded(inside).alias("_w"), F.sum("_nq").alias("_w_nq"), F.sum("_sq").alias("_w_sq")))
+    asked = pairs.where(~F.col("_whole")).select(F.col("_for").alias("_og"), F.col(GID).alias("_g"))
+    asks = (rows.select(F.col("_pg").alias("_og"), F.col(TS_US).alias("_oat")).distinct().join(asked, "_og")
+            .select("_g", F.lit(I.ASK).alias("_role"), (F.col("_oat") - WEEK_US).alias("_at"), *[number(None, "double").alias(c) for c in (*I.MOMENT, "nq", "sq")], "_og", "_oat"))
+    found = I.folded(I.answers(points.unionByName(asks), WEEK_US), _folded)
+    found = (found.join(times.select(F.col(GID).alias("_og"), "_Pnp", "_Ps1", "_Ps2", "_shift"), "_og").join(whole, "_og", "left"))
+    n = F.col("_Pnp").cast("double")
+    earlier = Moments(n, F.col("_shift") + F.coalesce(F.try_divide(F.col("_Ps1"), n), F.lit(0.0)),
+                      F.greatest(F.lit(0.0), F.col("_Ps2") - F.coalesce(F.try_divide(F.col("_Ps1") * F.col("_Ps1"), n), F.lit(0.0))))
+    before = Moments.or_none("_w")
+    of = lambda c: Moments.of(F.col(c))
+    sums = [(F.col(f"_{c}") + F.col(f"_c_{c}") + F.coalesce(F.col(f"_w_{c}"), F.lit(0))).cast("double").alias(f"_{c}7") for c in ("nq", "sq")]
+    found = found.select("_og", "_oat", earlier.plus(of("_past")).struct().alias("_earlier"),
+                         of("_a").plus(before).plus(of("_week")).struct().alias("_wk"), of("_s").plus(before).plus(of("_stable")).struct().alias("_st"), *sums)
+    # back to every chunk that holds rows of the instant
+    here = found.withColumn(GID, F.col("_og"))
+    return (here.unionByName(found.join(cut, ["_og", "_oat"])).drop("_og").withColumnRenamed("_oat", TS_US))
 
 
 def _tails(rows: DataFrame, chunks: DataFrame, cols: Cols) -> DataFrame:
@@ -208,19 +221,16 @@ def _ratio_or_one(p: Column, h: Column, n: Column) -> Column:
     return F.when(n >= MIN_HISTORY, F.try_divide(p, h)).otherwise(F.lit(1.0))
 
 
-_BEFORE = ["_k", "_first", "_last", "_maxd", "_Pn", "_Pnp", "_Psq", "_Pmn", "_Pmx", "_Ps1", "_Ps2", "_shift"]
+_BEFORE = ["_k", "_first", "_last", "_maxd", "_Pn", "_Pnp", "_Psq", "_Pmn", "_Pmx"]
 
 
 def _history(rows: DataFrame, chunks: DataFrame, cols: Cols, strict: bool) -> DataFrame:
-    """W1, W2, W4-W6, W9-W12, W16 and the own chunk's part of W7, W8, W21, per ``_rid``."""
-    core = rows.withColumn("_core", F.lit(True))
+    """W1, W2, W4-W6, W10-W12 and W16, per ``_rid``."""
+    core = rows.drop("_pg", *cols.entity).withColumn("_core", F.lit(True))
     whole = core.unionByName(_tails(rows, chunks, cols).withColumn("_core", F.lit(False)), allowMissingColumns=True)
     whole = whole.join(chunks.select(GID, *_BEFORE), GID)
-    part = Window.partitionBy(GID)
-    w, rng = part.orderBy(TS_US, RID), part.orderBy(TS_US)
+    w = Window.partitionBy(GID).orderBy(TS_US, RID)
     before, last15 = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(-TAIL, -1)
-    week_incl, week_before = rng.rangeBetween(-WEEK_US + 1, 0), rng.rangeBetween(-WEEK_US, -1)
-    strictly_before = rng.rangeBetween(Window.unboundedPreceding, -1)
     p, q, d, ts, core_row = F.col(cols.price), F.col(cols.quantity), F.col(cols.days), F.col(TS_US), F.col("_core")
     pc, qc = F.when(core_row, p), F.when(core_row, q)
 
@@ -228,14 +238,9 @@ def _history(rows: DataFrame, chunks: DataFrame, cols: Cols, strict: bool) -> Da
     n_before = F.col("_Pnp") + F.count(pc).over(before)
     place = F.col("_Pn") + F.count(F.when(core_row, F.lit(1))).over(before)
     quantity = (F.col("_Psq") + F.coalesce(F.sum(qc).over(before), F.lit(0))).cast("double")
-    n_earlier = F.col("_Pnp").cast("double")
-    earlier = Moments(n_earlier, F.col("_shift") + F.coalesce(F.try_divide(F.col("_Ps1"), n_earlier), F.lit(0.0)),
-                      F.greatest(F.lit(0.0), F.col("_Ps2") - F.coalesce(F.try_divide(F.col("_Ps1") * F.col("_Ps1"), n_earlier), F.lit(0.0))))
-    past = earlier.plus(Moments.over(pc, strictly_before))
-    week, stable = Moments.over(pc, week_incl), Moments.over(pc, week_before)
     n15 = F.count(p).over(last15)
     return whole.select(
-        RID, GID, cols.price, core_row.alias("_core"), place.alias("prior_listings_count"), n_before.alias("_n_before"),
+        RID, GID, TS_US, cols.price, core_row.alias("_core"), place.alias("prior_listings_count"), n_before.alias("_n_before"),
         F.coalesce(F.when(prev_ts >= ts - H48_US, F.try_divide(p - prev_p, prev_p)), F.lit(0.0)).alias("price_change_48h"),
         _ratio_or_one(p, F.least(F.col("_Pmn"), F.min(pc).over(before)), n_before).alias("price_vs_event_min"),
         _ratio_or_one(p, F.greatest(F.col("_Pmx"), F.max(pc).over(before)), n_before).alias("price_vs_event_max"),
@@ -243,26 +248,19 @@ def _history(rows: DataFrame, chunks: DataFrame, cols: Cols, strict: bool) -> Da
         F.try_divide(d.cast("double"), F.col("_maxd")).alias("time_to_event_ratio"),
         quantity.alias("cumulative_quantity"),
         F.when(place > 0, quantity - F.coalesce(prev_q, F.lit(0)).cast("double")).otherwise(F.lit(0.0)).alias("prev_cumulative"),
-        past.n.cast("long").alias("event_listing_frequency"),
-        F.when(past.n > 0, past.mean).otherwise(p).alias("event_avg_price"),
-        F.when(past.n > 0, past.std()).otherwise(F.lit(0.0)).alias("event_price_std"),
         ((ts - F.col("_first")) / F.lit(float(US_PER_DAY))).alias("days_since_first_listing"),
         (((ts if strict else F.col("_last")) - F.col("_first")) / F.lit(float(US_PER_DAY))).alias("event_duration_so_far"),
         F.when(n15 >= MIN_HISTORY, F.stddev_samp(p).over(last15)).alias("hist_volatility_30d"),
-        week.struct().alias("_week"), stable.struct().alias("_stable"),
-        F.count(qc).over(week_incl).alias("_o_nq"), F.coalesce(F.sum(qc).over(week_incl), F.lit(0)).cast("double").alias("_o_sq"),
     ).where("_core").drop("_core")
 
 
-def _week_features(df: DataFrame) -> DataFrame:
-    """W7, W8 and W21 from the parts of their frames: wholly covered chunks, cut chunks, the own chunk."""
-    before, cut, cut_since = Moments.or_none("_w"), Moments.or_none("_ca"), Moments.or_none("_cs")
-    week = cut.plus(before).plus(Moments.of(F.col("_week")))
-    stable = cut_since.plus(before).plus(Moments.of(F.col("_stable")))
-    number = lambda k: F.coalesce(F.col(f"_c_{k}"), F.lit(0)) + F.coalesce(F.col(f"_w_{k}"), F.lit(0)) + F.col(f"_o_{k}")
-    out = df.withColumns({"_wk": week.struct(), "_st": stable.struct(), "_nq7": number("nq").cast("double"), "_sq7": number("sq").cast("double")})
-    week, stable = Moments.of(F.col("_wk")), Moments.of(F.col("_st"))
-    return out.withColumns({
+def _instant_features(df: DataFrame, price: str) -> DataFrame:
+    """W7, W8, W9 and W21 from the moments of the row's instant."""
+    past, week, stable = (Moments.of(F.col(c)) for c in ("_earlier", "_wk", "_st"))
+    return df.withColumns({
+        "event_listing_frequency": past.n.cast("long"),
+        "event_avg_price": F.when(past.n > 0, past.mean).otherwise(F.col(price)),
+        "event_price_std": F.when(past.n > 0, past.std()).otherwise(F.lit(0.0)),
         "listing_volume_7d": F.col("_nq7"),
         "avg_quantity_7d": F.coalesce(F.try_divide(F.col("_sq7"), F.col("_nq7")), F.lit(0.0)),
         "price_std_7d": F.coalesce(week.std(), F.lit(0.0)),
@@ -320,7 +318,8 @@ def attach_prev_market(df: DataFrame, cols: Cols = DEFAULT_COLS) -> DataFrame:
 
 
 _OF_ROW = {"demand_pressure", "urgency_factor", "is_last_week"}
-_OF_WEEK = {"listing_volume_7d", "avg_quantity_7d", "price_std_7d", "price_volatility", "price_stability_7d"}
+_OF_INSTANT = {"event_listing_frequency", "event_avg_price", "event_price_std", "listing_volume_7d", "avg_quantity_7d", "price_std_7d",
+               "price_volatility", "price_stability_7d"}
 _OF_QUANTILES = {"price_vs_event_median", "expanding_p20", "price_vs_expanding_p20"}
 _OF_MARKET = {"prev_market_median", "prev_market_size", "price_vs_prev_market"}
 
@@ -344,7 +343,7 @@ def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = F
     in_chunks = asked is None or bool(asked - _OF_ROW - _OF_MARKET)
     out = base = deal(source, cols, ranges) if in_chunks else source
     if in_chunks:
-        out = base.join(_chunk_features(base, cols, strict, needs(_OF_WEEK), needs(_OF_QUANTILES)), RID)
+        out = base.join(_chunk_features(base, cols, strict, needs(_OF_INSTANT), needs(_OF_QUANTILES)), RID)
     else:
         out = out.withColumns(_row_expressions(cols))
     if needs(_OF_MARKET) or week_quantiles:
@@ -358,17 +357,17 @@ def engineer_features(df: DataFrame, cols: Cols = DEFAULT_COLS, strict: bool = F
     return out.drop(TS_US, CHUNK, *([] if row_id else [RID])).withColumnsRenamed({RID: row_id} if row_id else {})
 
 
-def _chunk_features(base: DataFrame, cols: Cols, strict: bool, week: bool, quantiles: bool) -> DataFrame:
+def _chunk_features(base: DataFrame, cols: Cols, strict: bool, instants: bool, quantiles: bool) -> DataFrame:
     """The features that need earlier rows, per ``_rid``."""
     E = list(cols.entity)
     narrow = [*E, CHUNK, RID, TS_US, cols.price, cols.quantity, cols.days]
     chunks = summarise(base.select(*narrow), cols)
-    rows = join_null_safe(base.select(*narrow), chunks.select(*E, CHUNK, GID), [*E, CHUNK], "inner").drop(*E, CHUNK)
-    rows = write_shared(rows)
+    rows = join_null_safe(base.select(*narrow), chunks.select(*E, CHUNK, GID, "_t0", "_run"), [*E, CHUNK], "inner")
+    began = F.when(F.col(TS_US) == F.col("_t0"), F.col("_run"))  # the chunk that the row's instant belongs to
+    rows = write_shared(rows.withColumn("_pg", F.coalesce(began, F.col(GID))).drop(CHUNK, "_t0", "_run"))
     made = _history(rows, chunks, cols, strict)
-    if week:
-        whole, cut = _week_before_chunk(rows, chunks, cols)
-        made = _week_features(made.join(whole, GID, "left").join(cut, RID, "left"))
+    if instants:
+        made = _instant_features(made.join(_by_instant(rows, chunks, cols), [GID, TS_US], "left"), cols.price)
     if quantiles:
         p, n = F.col(cols.price), F.col("_n_before")
         made = made.join(chunk_quantiles(rows, chunks, E, GID, RID, cols.price, QUANTILES), RID, "left")

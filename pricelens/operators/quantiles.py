@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .grouped import new_key, whole_groups
+
 try:  # ship this module's code with the task, so executors need only numpy and pandas
     import sys as _sys
 
@@ -64,21 +66,11 @@ def _count_le(levels, r: np.ndarray, u: np.ndarray) -> np.ndarray:
     return cnt
 
 
-def _new_key(frame: pd.DataFrame) -> np.ndarray:
-    """Whether each row's key differs from the row's before it (null equals null); true for the first."""
-    out = np.zeros(len(frame), dtype=bool)
-    out[:1] = True
-    for c in frame.columns:
-        v, null = frame[c].to_numpy(), frame[c].isna().to_numpy()
-        out[1:] |= (null[1:] != null[:-1]) | (~null[1:] & ~null[:-1] & (v[1:] != v[:-1]))
-    return out
-
-
 def _batch_quantiles(pdf: pd.DataFrame, group: list[str], order: list[str], names: list[str],
                      probs: list[float], carry: list[str] | None = None) -> pd.DataFrame:
     """Growing quantiles for every group in ``pdf`` at once (groups complete, any order)."""
     pdf = pdf.sort_values([*group, "_role", *order], kind="stable", ignore_index=True, na_position="first")  # as Spark sorts
-    gchg = _new_key(pdf[group])
+    gchg = new_key(pdf[group])
     gid_all = np.cumsum(gchg) - 1
     ng = int(gid_all[-1]) + 1 if len(pdf) else 0
     is_core = (pdf["_role"] == 0).to_numpy()
@@ -99,7 +91,7 @@ def _batch_quantiles(pdf: pd.DataFrame, group: list[str], order: list[str], name
     # rows whose order key ties with the previous row share its prefix
     tie_first = firsts.copy()
     if len(core) > 1:
-        tie_first[1:] |= _new_key(core[order])[1:]
+        tie_first[1:] |= new_key(core[order])[1:]
     run = np.cumsum(tie_first) - 1
     prefix = before[tie_first][run]
     # composite (group, value) ranks for values and context
@@ -202,24 +194,8 @@ def growing_quantiles(df: DataFrame, group: Sequence[str], order: Sequence[str],
     carry_cols = carry
 
     def per_partition(batches):
-        pending: list[pd.DataFrame] = []  # pieces of the last group so far
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            starts = np.flatnonzero(_new_key(pdf[group]))
-            if pending:
-                joint = pd.concat([pending[-1].tail(1), pdf.head(1)])
-                if not _new_key(joint[group])[1]:
-                    starts = starts[1:]
-            if len(starts):  # a group begins here, so all before it are complete
-                done = pd.concat([*pending, pdf[:starts[-1]]], ignore_index=True)
-                if len(done):
-                    yield _batch_quantiles(done, group, order, names, probs, carry_cols)
-                pending = [pdf[starts[-1]:]]
-            else:
-                pending.append(pdf)
-        if pending:
-            yield _batch_quantiles(pd.concat(pending, ignore_index=True), group, order, names, probs, carry_cols)
+        for done in whole_groups(batches, group):
+            yield _batch_quantiles(done, group, order, names, probs, carry_cols)
 
     parts = rows.repartition(*group).sortWithinPartitions(*group)
     return parts.mapInPandas(per_partition, schema=out_schema)

@@ -86,8 +86,6 @@ def test_context_of_a_hot_entity_does_not_grow_with_time(spark):
         given = growing.context(narrow, chunks, ["entity"], FE.GID, "price", [0.5, 0.2], ranges=12)
         per = [r["count"] for r in given.groupBy(FE.GID).count().collect()]
         sizes[weeks] = (sum(per), max(per))
-        whole, cut = FE._week_before_chunk(narrow, chunks, COLS)
-        assert cut.count() <= 3009 and whole.count() <= 12 + 4
     assert sizes[40][0] <= 1.3 * sizes[10][0] and sizes[40][1] <= 1.5 * sizes[10][1]
     assert sizes[40][1] <= 4 * 3009 / 12 + 4 * 3009 / 12  # two values per row and quantile, and the ranges they stand in
 
@@ -115,3 +113,64 @@ def test_null_and_repeated_keys(spark):
 def test_no_rows(spark):
     empty = with_calendar(spark.createDataFrame([], SCHEMA))
     assert FE.engineer_features(empty, COLS).collect() == []
+
+
+def test_one_instant_with_half_the_rows(spark):
+    """An instant may be cut into any number of chunks: features of its rows hold all of its rows, and no chunk is larger than others."""
+    rng = np.random.default_rng(4)
+    minutes = sorted([*rng.integers(0, 30 * 1440, 200).tolist(), *[15 * 1440] * 240, *[22 * 1440 + 7] * 40])
+    t = [T0 + dt.timedelta(minutes=m) for m in minutes]
+    prices = (rng.integers(500, 90_000, len(t)) / 100).tolist()
+    rows = [("hot", i, t[i], T0 + dt.timedelta(days=60), "ga", int(i % 4), prices[i]) for i in range(len(t))]
+    rows += [("small", 1000 + i, t[i], T0 + dt.timedelta(days=60), "ga", 1, 5.0) for i in range(3)]
+    df = with_calendar(spark.createDataFrame(rows, SCHEMA))
+    for ranges in (1, 13):
+        base = FE.deal(FE.with_time_keys(df, COLS), COLS, ranges)
+        sizes = sorted(r["count"] for r in base.groupBy(FE.CHUNK).count().collect())
+        assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        got = {r.event_id: r for r in FE.engineer_features(df, COLS, ranges=ranges).where("entity = 'hot'").collect()}
+        week = dt.timedelta(days=7)
+        for i, now in enumerate(t):
+            r = got[i]
+            past = [p for x, p in zip(t, prices) if x < now]
+            seven = [p for x, p in zip(t, prices) if now - week < x <= now]
+            stable = [p for x, p in zip(t, prices) if now - week <= x < now]
+            assert r.event_listing_frequency == len(past) and r.listing_volume_7d == len(seven) and r.prior_listings_count == i
+            assert r.event_avg_price == pytest.approx(np.mean(past) if past else prices[i])
+            assert r.avg_quantity_7d == pytest.approx(np.mean([j % 4 for j, x in enumerate(t) if now - week < x <= now]))
+            assert r.price_std_7d == pytest.approx(np.std(seven, ddof=1) if len(seven) > 1 else 0.0)
+            want = np.std(stable, ddof=1) / np.mean(stable) if i >= 7 and len(stable) > 1 else None
+            assert (r.price_stability_7d is None) == (want is None) and (want is None or r.price_stability_7d == pytest.approx(want))
+            if i >= 5:
+                assert r.price_vs_event_median == pytest.approx(prices[i] / np.median(prices[:i]))
+
+
+def test_dense_week_costs_no_more_than_a_long_one():
+    """A million points in one week: the ranges hold half of them each, and are answered from an index."""
+    import time
+
+    import pandas as pd
+    from pricelens.operators import instants as I
+    rng = np.random.default_rng(6)
+    n, seconds = 1_000_000, {}
+    for name, span in (("week", 7 * 86_400), ("years", 7 * 86_400 * 200)):
+        at = np.sort(rng.choice(span * 1000, n, replace=False)) * 1000
+        p = rng.random(n)
+        pdf = pd.DataFrame({"_g": 1, "_role": I.POINT, "_at": at, "n": 1.0, "mean": p, "m2": 0.0, "nq": 1.0, "sq": 2.0, "_og": 1, "_oat": at})
+        started = time.perf_counter()
+        got = I.answer(pdf, FE.WEEK_US)
+        seconds[name] = time.perf_counter() - started
+        for i in (0, 17, n // 2, n - 1):
+            seven = p[(at > at[i] - FE.WEEK_US) & (at <= at[i])]
+            assert got["_week_n"][i] == len(seven) == got["_nq"][i] and got["_past_n"][i] == i
+            assert got["_week_mean"][i] == pytest.approx(seven.mean()) and got["_week_m2"][i] == pytest.approx(seven.var() * len(seven), abs=1e-9)
+    assert seconds["week"] < 5 * seconds["years"] + 5
+
+
+def test_index_of_equal_values_has_no_deviation():
+    from pricelens.operators import instants as I
+    n = 777
+    points = (np.ones(n), np.full(n, 61.37), np.zeros(n))
+    low, high = np.zeros(n, int), np.arange(n)
+    (m,) = I.over_ranges(points, [(low, high)])
+    assert (m[0] == high).all() and (m[2] == 0).all() and (m[1][1:] == 61.37).all()
