@@ -2,19 +2,30 @@
 
 A page is cut into blocks of text, each marked by the markup around it: inside the article, in a zone
 that is never main text (menus, headers, footers, sidebars, notices, adverts, forms, comments), or open. The words of every
-page make two streams, the article's and the rest's. A window of ``LENGTH`` words that stands on
-``MIN_PAGES`` pages of a host or more, of distinct main texts, begins a repeated substring, and what windows cover is boilerplate.
-Windows of ``LENGTH`` words, told apart by 64-bit hashes of host, stream and words, stand in for a sorted suffix array: they cover the same
-words as its runs of suffixes with an equal prefix of that length, but nothing is sorted by more.
+page make two streams, the article's and the rest's, which are the host's text to be searched. A substring of ``LENGTH`` words or more
+that stands on ``MIN_PAGES`` pages of a host or more, of distinct main texts, is repeated, and what it covers is boilerplate.
+
+In a suffix array such substrings are runs of suffixes with an equal prefix. A word lies in a repeated substring exactly if
+it lies in a window of ``LENGTH`` words that is repeated: each window of a repeated substring stands on all its pages, and a
+repeated window is such a substring itself. So suffixes need no order beyond their first ``LENGTH`` words, and are dealt by those
+(as 64-bit hashes of host, stream and words) instead of sorted; the covered words are the same.
 
 Markup decides what may go. Without an article, covered runs are cut out of the open blocks; zones go, but count as places where a
 window stands. With an article, all outside it goes, and of its own words those covered by windows of at least ``ARTICLE_SHARE`` of the host's articles
 (and ``MIN_PAGES``): markup has called them main text, so that a passage a few articles share stays. A run is cut if it is a whole
 block or has ``LENGTH`` words in it; the rest of a block stays.
 
-The windows of a host are never in one place. First, 42 bits of each window go, packed, to buckets by hash, which give back a bitmap
-of bounded size of those that can be repeated; it lets some too many through, and loses none. Then only windows that pass it are dealt by
-(host, window) and counted exactly, and a page gets back the positions it has covered.
+The windows of a host are never in one place:
+
+1. a first reading counts words and finds the hosts with pages without an article; only there can the words outside articles matter;
+2. a second one deals the windows to buckets by hash, as sorted cells of about ``CELL_BITS`` bits more than there are windows, which take
+   about two bytes each; a bucket (of about ``BUCKET`` windows, so more windows make more buckets) tells which cells can be repeated. They make a
+   filter of ``FILTER_BITS`` bits for each, ``MAX_FILTER`` in all: it lets some windows too many through, more where it is full, and loses none;
+3. a third one keeps the windows that pass, packed per page; they are dealt by (host, window) and counted exactly, and a page gets back
+   the positions that it has covered;
+4. the last one cuts them out.
+
+Pages are parsed anew each time: blocks kept in the shared folder would take as much disk as the pages, and parsing is the smaller part.
 
 Defined cases: null and empty html has empty text; a null URL's host is empty; unclosed, cut off and nested markup is read as
 far as it goes; pages of equal main text (the article, or else the open words) count as one; an empty table gives an
@@ -27,23 +38,27 @@ import html as references
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelens.llm.common import broadcast_if_small, encode, mix64, word_hashes
+from pricelens.llm.common import broadcast_if_small, chunks, encode, mix64, word_hashes
 from pricelens.llm.url_filter import host_of
-from pricelens.session import cut_lineage
+from pricelens.session import write_shared
 
 LENGTH = 8       # words of a repeated substring, at least
 MIN_PAGES = 3    # distinct pages that hold it, at least
 MAX_CELLS = 2_000_000  # numbers in the pages' lists of positions that are broadcast, at most; more are joined by shuffle
 ARTICLE_SHARE = 0.5  # share of a host's articles that hold what is cut out of one, at least
-BUCKETS = 10     # bits of a window that choose its bucket
-SLICE = 17       # bits that choose its place in the bucket's part of the bitmap (16 MB in all)
+CELL_BITS = 7    # cells there are for each window, as a power of two
+BUCKET = 1 << 21  # windows of a bucket, about
+FILTER_BITS = 16  # bits of the filter for each cell that can be repeated
+MAX_FILTER = 1 << 31  # bits of the filter, at most (256 MB)
 FLUSH = 1 << 22  # windows that a task packs together
+PARSE_BYTES = 1 << 21  # html of the pages whose words are hashed together
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z/!?][^<>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -53,13 +68,16 @@ ZONES = frozenset("nav footer aside form menu dialog button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input".split())
 SPACE = frozenset("br td th".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-NAMES = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar side
-    aside menu nav navbar navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent notice notices notification
-    alert gdpr comment comments respond discussion disqus newsletter subscribe subscription signup login share sharing social related
-    recommended popup modal overlay widget search form pagination pager""".split())
+CONTAINERS = frozenset("div section ul ol dl table figure details article header center".split())  # may be zones by name; paragraphs may not
+#: names of zones as a whole class or id, or as its first or last part
+HEADS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored banner sidebar nav navbar navigation breadcrumb
+    breadcrumbs masthead footer cookie cookies gdpr comments newsletter pagination pager popup modal""".split())
+#: names of zones as a whole class or id only
+NAMES = HEADS | frozenset("""sponsors promo promotion side aside menu header consent notice notices notification alert comment respond discussion
+    disqus subscribe subscription signup login share sharing social related recommended overlay widget search form""".split())
 BODIES = frozenset("articlebody article-body article-content post-content entry-content post-body story-body main-content".split())
 ARTICLE, ZONE, OPEN = 0, 1, 2
-_NAME = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[-_:]+")
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -70,16 +88,20 @@ def _kind(tag: str, attrs: str, inside: bool) -> int | None:
     """Whether an element opens an article (ARTICLE) or a zone without main text (ZONE)."""
     given = _attributes(attrs) if attrs else {}
     classes = f"{given.get('class', '')} {given.get('id', '')}".split()
-    words = {w for c in classes for w in _NAME.findall(c)}
-    if tag in ZONES or "hidden" in given or given.get("role") in ROLES or (tag == "header" and not inside):
+    if tag in ZONES or tag == "header" or "hidden" in given or given.get("role") in ROLES:
         return ZONE
     if given.get("itemprop") == "articlebody" or BODIES & set(classes):
         return ARTICLE
-    if words & NAMES and not (tag in ("body", "html", "main") or inside and words & NAMES <= {"header"}):
+    if tag in CONTAINERS and any(_is_zone(c) and not (inside and c == "header") for c in classes):
         return ZONE
     return ARTICLE if tag in ("article", "main") or given.get("role") in ("main", "article") else None
 
 
+def _is_zone(name: str) -> bool:
+    parts = [x for x in _PART.split(name) if x]
+    return name in NAMES or len(parts) > 1 and (parts[0] in HEADS or parts[-1] in HEADS)
+
+
 def blocks_of(html: str | None) -> list[tuple[int, str]]:
     """(mark, text) of the page's blocks, in page order."""
     out: list[tuple[int, str]] = []
@@ -198,98 +220,184 @@ def _cut(text: str, inside: np.ndarray) -> str:
     return " ".join(w for w, k in zip(text.split(" "), keep) if k)  # blocks hold single spaces only
 
 
-def _windows(host: str | None, html: str | None) -> tuple[int, bool, list[tuple[int, np.ndarray]]]:
-    """Hash of the page's main text, whether markup shows an article, and the windows of its streams
-    (the article's, the rest's), each with the hash of host and stream that they are mixed with."""
-    blocks = blocks_of(html)
-    marked = _marked(blocks)
-    own = word_hashes(encode([host]))[0]
-    place = mix64(np.append(own, np.uint64(0))[:1] + np.arange(1, 3, dtype=np.uint64))
-    article, (rest, block) = _words(blocks, ARTICLE)[0], _words(blocks, OPEN, ZONE)
-    main = article if marked else rest[np.array([mark == OPEN for mark, _ in blocks], bool)[block]] if len(rest) else rest
-    power = np.cumprod(np.full(len(main) + 1, 0x9E3779B97F4A7C15, np.uint64))[1:]
-    text = mix64(np.array([(mix64(main + power) * power).sum() + np.uint64(len(main))], np.uint64)).view(np.int64)[0]
-    found = [(int(place[k:k + 1].view(np.int64)[0]), mix64(prefixes(w) + place[k])) for k, w in enumerate((article, rest))]
-    return int(text), marked, found
+class Streams(NamedTuple):
+    """The streams of a batch of pages, one after the other."""
+    words: np.ndarray   # hashes
+    begin: np.ndarray   # where each stream begins (one entry more)
+    page: np.ndarray    # the row of each stream's page
+    kind: np.ndarray    # ARTICLE, or OPEN for the rest
+    place: np.ndarray   # hash of host and kind
+    text: np.ndarray    # of each page: hash of its main text
+    marked: np.ndarray  # of each page: whether markup shows an article
+
+
+def _streams(hosts: np.ndarray, htmls, both: np.ndarray) -> Streams:
+    """Streams of pages: the article's where there is one, and the rest's where there is none or ``both`` are wanted."""
+    texts, marks, owner, page, kind, marked = [], [], [], [], [], []
+    for i, html in enumerate(htmls):
+        blocks = blocks_of(html)
+        marked.append(_marked(blocks))
+        for k, wanted in ((ARTICLE, marked[-1]), (OPEN, both[i] or not marked[-1])):
+            if wanted:
+                own = [(mark, t) for mark, t in blocks if (mark == ARTICLE) == (k == ARTICLE)]
+                texts += [t for _, t in own]
+                marks += [mark for mark, _ in own]
+                owner += [len(page)] * len(own)
+                page.append(i)
+                kind.append(k)
+    page, kind, marked = np.array(page, np.int64), np.array(kind, np.int64), np.array(marked, bool)
+    words, bounds = word_hashes(encode(texts))
+    size = np.bincount(np.repeat(np.array(owner, np.int64), np.diff(bounds)), minlength=len(page)) if len(page) else np.zeros(0, np.int64)
+    begin = np.concatenate(([0], np.cumsum(size)))
+    # the main text is the article, or else the open blocks: a sum over its words, each by its place there
+    main = np.repeat(np.array(marks, np.int64), np.diff(bounds)) != ZONE if len(texts) else np.zeros(0, bool)
+    main &= np.repeat((kind == ARTICLE) | ~marked[page], size) if len(page) else main
+    count = np.concatenate(([0], np.cumsum(main)))
+    at = (count[:-1] - np.repeat(count[begin[:-1]], size))[main]
+    power = np.cumprod(np.full(int(at.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    of = np.repeat(page, size)[main]
+    text = np.zeros(len(marked), np.uint64)
+    np.add.at(text, of, mix64(words[main] + power[at]) * power[at])
+    text = mix64(text + np.bincount(of, minlength=len(marked)).astype(np.uint64)) if len(marked) else text
+    place = mix64(hosts[page].view(np.uint64) + (kind + 1).astype(np.uint64))
+    return Streams(words, begin, page, kind, place, text, marked)
+
+
+def _windows(s: Streams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each window's hash, its stream, and where in the stream it begins."""
+    w = prefixes(s.words)
+    stream = np.repeat(np.arange(len(s.page)), np.diff(s.begin))[:len(w)]
+    at = np.arange(len(w))
+    inside = at + LENGTH <= s.begin[1:][stream]
+    w, stream, at = w[inside], stream[inside], at[inside]
+    return mix64(w + s.place[stream]), stream, at - s.begin[stream]
+
+
+def _batches(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for start, stop in chunks([h or "" for h in frame["html"]], PARSE_BYTES):
+        yield frame[start:stop]
+
+
+def _survey(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Numbers of words, and the hosts that have pages without an article."""
+    for f in frames:
+        words, open_hosts = 0, set()
+        for host, html in zip(f["host"], f["html"]):
+            blocks = blocks_of(html)
+            words += sum(t.count(" ") + 1 for _, t in blocks)
+            if not _marked(blocks):
+                open_hosts.add(host)
+        yield pd.DataFrame({"host": pd.array([None, *open_hosts], "Int64"), "words": [words] + [0] * len(open_hosts)})
 
 
-def _bucket(window: np.ndarray) -> np.ndarray:
-    return (window >> np.uint64(64 - BUCKETS)).astype(np.int64)
+def _pack(values: np.ndarray) -> bytes:
+    """Sorted numbers by their gaps, of two bytes; the largest of these stands for a gap that goes on."""
+    gaps = np.diff(values, prepend=np.uint64(0)).astype(np.int64)
+    more, rest = np.divmod(gaps, 0xFFFF)
+    out = np.full(int(more.sum()) + len(gaps), 0xFFFF, np.uint16)
+    out[np.cumsum(more + 1) - 1] = rest
+    return out.tobytes()
 
 
-def _low(window: np.ndarray) -> np.ndarray:
-    return (window >> np.uint64(32 - BUCKETS)).astype(np.uint32)  # the 32 bits after the bucket's
+def _unpack(packed: bytes) -> np.ndarray:
+    gaps = np.frombuffer(packed, np.uint16)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 0xFFFF]
 
 
-def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(bucket, the low bits of its windows); a window is given as often as distinct texts of the task hold it, up to ``MIN_PAGES``."""
-    held: list[np.ndarray] = []
-    seen: set[tuple[int, int]] = set()
+def _cells(bits: int, bucket_bits: int):
+    """(bucket, packed low bits of its cells); a cell is given as often as distinct texts of the task hold it, up to ``MIN_PAGES``."""
+    low = np.uint64(bits - bucket_bits)
 
-    def flush() -> pd.DataFrame:
+    def flush(held: list[np.ndarray]) -> pd.DataFrame:
         every = np.sort(np.concatenate(held))
-        nth = np.arange(len(every)) - np.searchsorted(every, every)
-        every = every[nth < MIN_PAGES]
-        bucket, low = _bucket(every), _low(every)
-        own, begin = np.unique(bucket, return_index=True)
-        return pd.DataFrame({"bucket": own.astype(np.int32), "low": [x.tobytes() for x in np.split(low, begin[1:])]})
+        every = every[np.arange(len(every)) - np.searchsorted(every, every) < MIN_PAGES]
+        own, begin = np.unique(every >> low, return_index=True)
+        parts = np.split(every & ((np.uint64(1) << low) - np.uint64(1)), begin[1:])
+        return pd.DataFrame({"bucket": own.astype(np.int32), "low": [_pack(x) for x in parts]})
 
-    for f in frames:
-        for host, html in zip(f["host"], f["html"]):
-            text, _, found = _windows(host, html)
-            if (text, found[1][0]) in seen and len(found[0][1]):
-                found = found[1:]  # an article already given
-            seen.add((text, found[-1][0]))
-            held += [np.unique(w) for _, w in found if len(w)]
-        if sum(map(len, held)) >= FLUSH:
-            yield flush()
-            held.clear()
-            seen.clear()
-    if held:
-        yield flush()
-
-
-def _possible(group: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's part of the bitmap: the windows given ``MIN_PAGES`` times."""
-    low = np.sort(np.frombuffer(b"".join(group["low"]), np.uint32))
-    often = low[MIN_PAGES - 1:][low[MIN_PAGES - 1:] == low[:len(low) - MIN_PAGES + 1]]
-    bits = np.zeros(1 << SLICE, bool)
-    bits[often >> np.uint32(32 - SLICE)] = True
-    return pd.DataFrame({"bucket": group["bucket"].iloc[:1].to_numpy(), "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        seen: set[tuple[int, int]] = set()
+        for frame in frames:
+            for f in _batches(frame):
+                s = _streams(f["host"].to_numpy(), f["html"], f["both"].to_numpy())
+                window, stream, _ = _windows(s)
+                keys = list(zip(s.text[s.page].tolist(), s.place.tolist()))
+                new = np.array([k not in seen and not seen.add(k) for k in keys], bool)  # a copy is given once
+                window, stream = window[new[stream]] >> np.uint64(64 - bits), stream[new[stream]]
+                order = np.lexsort((window, stream))
+                window, stream = window[order], stream[order]
+                first = np.append(True, (window[1:] != window[:-1]) | (stream[1:] != stream[:-1])) if len(window) else np.zeros(0, bool)
+                held.append(window[first])
+            if sum(map(len, held)) >= FLUSH:
+                yield flush(held)
+                held.clear()
+                seen.clear()
+        if sum(map(len, held)):
+            yield flush(held)
+
+    return run
+
+
+def _often(group: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's cells that are given ``MIN_PAGES`` times."""
+    low = np.sort(np.concatenate([_unpack(x) for x in group["low"]]))
+    often = np.unique(low[MIN_PAGES - 1:][low[MIN_PAGES - 1:] == low[:len(low) - MIN_PAGES + 1]])
+    return pd.DataFrame({"bucket": group["bucket"].iloc[:1].to_numpy(), "n": [len(often)], "low": [_pack(often.astype(np.uint64))]})
+
+
+def _filter(often: DataFrame, bits: int, bucket_bits: int) -> tuple[int, np.ndarray]:
+    """(bits of a place, the filter as bytes): a cell's place are its first bits. Its size is bounded, whatever the data."""
+    n = often.agg(F.sum("n")).first()[0] or 0
+    size = min(bits, max(bucket_bits + 3, int(n * FILTER_BITS).bit_length()), MAX_FILTER.bit_length() - 1)
+    shift = bits - size
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for bucket, low in zip(f["bucket"], f["low"]):
+                part = np.zeros(1 << (size - bucket_bits), bool)
+                part[_unpack(low) >> shift] = True
+                yield pd.DataFrame({"bucket": [bucket], "bits": [zlib.compress(np.packbits(part).tobytes(), 1)]})
+
+    out = np.zeros((1 << bucket_bits, 1 << (size - bucket_bits - 3)), np.uint8)
+    for r in often.filter("n > 0").mapInPandas(run, "bucket int, bits binary").toLocalIterator():
+        out[r.bucket] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return size, out.ravel()
 
 
 def suffixes(pages: DataFrame) -> DataFrame:
-    """(host, prefix, page, text, at) of the windows that can be repeated, from (page, host, html): ``host`` is of host and stream, ``text`` of the
-    page's main text, and ``at`` null where markup alone decides. A row without a prefix stands for each article."""
-    found = pages.select("host", "html").mapInPandas(_packed, "bucket int, low binary").groupBy("bucket").applyInPandas(_possible, "bucket int, bits binary")
-    bitmap = np.zeros((1 << BUCKETS, 1 << SLICE >> 3), np.uint8)
-    for r in found.collect():  # of bounded size
-        bitmap[r.bucket] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
-    shared = pages.sparkSession.sparkContext.broadcast(bitmap)
+    """The windows that can be repeated, per stream: (place, kind, page, text, windows, at) from (page, host, html). ``place`` is of host and
+    stream, ``text`` of the page's main text, and ``at`` is empty where markup alone decides. Each article has a row."""
+    survey = write_shared(pages.select("host", "html").mapInPandas(_survey, "host long, words long"))
+    n = survey.agg(F.sum("words")).first()[0] or 0
+    bits = min(62, int(n).bit_length() + CELL_BITS + 1)
+    bucket_bits = max(0, int(n // BUCKET).bit_length())
+    hosts = broadcast_if_small(survey.filter("host IS NOT NULL").select(F.col("host").alias("_open")).distinct())
+    pages = (pages.join(hosts, F.col("host") == F.col("_open"), "left")
+             .select("page", "host", "html", F.col("_open").isNotNull().alias("both")))
+    cells = pages.select("host", "html", "both").mapInPandas(_cells(bits, bucket_bits), "bucket int, low binary")
+    often = write_shared(cells.groupBy("bucket").applyInPandas(_often, "bucket int, n long, low binary"))
+    size, whole = _filter(often, bits, bucket_bits)
+    shared = pages.sparkSession.sparkContext.broadcast(whole)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
-        for f in frames:
-            parts = []
-            for page, host, html in zip(f["page"], f["host"], f["html"]):
-                text, marked, ((article, own), (rest, other)) = _windows(host, html)
-                if marked:
-                    parts.append((article, np.zeros(1, np.uint64), page, text, np.array([-1])))
-                for place, windows, cut in ((article, own, True), (rest, other, not marked)):
-                    bit = _low(windows) >> np.uint32(32 - SLICE)
-                    at = np.flatnonzero(bits[_bucket(windows), bit >> np.uint32(3)] >> (7 - (bit & 7)).astype(np.uint8) & 1)
-                    windows = windows[at]
-                    if not cut:
-                        windows, at = np.unique(windows), np.full(len(np.unique(windows)), -1)
-                    if len(at):
-                        parts.append((place, windows, page, text, at))
-            size = [len(x[1]) for x in parts]
-            each = lambda k, t: np.repeat(np.array([x[k] for x in parts], t), size)  # noqa: B023, E731
-            at = np.concatenate([*(x[4] for x in parts), np.zeros(0, np.int64)])
-            yield pd.DataFrame({"host": each(0, np.int64), "prefix": np.concatenate([*(x[1] for x in parts), np.zeros(0, np.uint64)]).view(np.int64),
-                                "page": each(2, np.int64), "text": each(3, np.int64), "at": at.astype(np.int32)})
-    none = lambda c, v: F.when(F.col(c) != v, F.col(c)).alias(c)
-    return pages.mapInPandas(run, "host long, prefix long, page long, text long, at int").select("host", none("prefix", 0), "page", "text", none("at", -1))
+        for frame in frames:
+            for f in _batches(frame):
+                s = _streams(f["host"].to_numpy(), f["html"], f["both"].to_numpy())
+                window, stream, at = _windows(s)
+                place = window >> np.uint64(64 - size)
+                passed = np.flatnonzero(shared.value[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8)) & 1)
+                window, stream, at = window[passed].view(np.int64), stream[passed], at[passed].astype(np.int32)
+                cuts = np.searchsorted(stream, np.arange(1, len(s.page)))
+                windows, ats = (np.split(x, cuts) if len(s.page) else [] for x in (window, at))
+                cut = (s.kind == ARTICLE) | ~s.marked[s.page]
+                keep = [i for i in range(len(s.page)) if s.kind[i] == ARTICLE or len(windows[i])]
+                yield pd.DataFrame({
+                    "place": s.place.view(np.int64)[keep], "kind": s.kind[keep].astype(np.int32), "page": f["page"].to_numpy()[s.page[keep]],
+                    "text": s.text.view(np.int64)[s.page[keep]], "windows": [windows[i] if cut[i] else np.unique(windows[i]) for i in keep],
+                    "at": [ats[i] if cut[i] else np.zeros(0, np.int32) for i in keep]})
+
+    return pages.mapInPandas(run, "place long, kind int, page long, text long, windows array<long>, at array<int>")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -299,13 +407,17 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         return pd.Series([main_text(h, c) for h, c in zip(htmls, covered)], dtype=object)
 
     page = F.xxhash64(page_id, url, html)
-    ends = cut_lineage(suffixes(pages.select(page.alias("page"), F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.col(html).alias("html"))))
-    count = ends.select("host", "prefix", "text").distinct().groupBy("host", "prefix").count()
-    # the number of a host's articles; null for streams outside articles
-    articles = count.filter("prefix IS NULL").select("host", F.col("count").alias("articles"))
-    repeated = (count.filter(F.col("prefix").isNotNull() & (F.col("count") >= MIN_PAGES)).join(articles, "host", "left")
-                .filter(F.col("articles").isNull() | (F.col("count") >= ARTICLE_SHARE * F.col("articles"))).select("host", "prefix"))
-    covered = (ends.filter("at IS NOT NULL").join(repeated, ["host", "prefix"]).groupBy("page").agg(F.collect_set("at").alias("covered"))  # a page's own words
+    host = F.xxhash64(F.coalesce(host_of(F.col(url)), F.lit("")))
+    found = write_shared(suffixes(pages.select(page.alias("page"), host.alias("host"), F.col(html).alias("html"))))
+    articles = (found.filter(F.col("kind") == ARTICLE).select("place", "text").distinct()
+                .groupBy("place").agg(F.count("*").alias("articles")))
+    count = (found.select("place", "text", F.explode("windows").alias("window")).distinct()
+             .groupBy("place", "window").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES))
+    repeated = (count.join(articles, "place", "left")  # null for streams outside articles
+                .filter(F.col("articles").isNull() | (F.col("n") >= ARTICLE_SHARE * F.col("articles"))).select("place", "window"))
+    positions = found.filter(F.size("at") > 0).select("place", "page", F.explode(F.arrays_zip("windows", "at")).alias("x"))
+    covered = (positions.select("place", "page", F.col("x.windows").alias("window"), "x.at").join(repeated, ["place", "window"])
+               .groupBy("page").agg(F.collect_set("at").alias("covered"))  # a page's own words
                .select(F.col("page").alias("_page"), F.col("covered").alias("_covered")))
     covered = broadcast_if_small(covered, MAX_CELLS, F.size("_covered") + 2)
     out = pages.withColumn("_key", page).join(covered, F.col("_key") == F.col("_page"), "left")

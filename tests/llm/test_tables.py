@@ -83,7 +83,9 @@ def test_articles_of_given_pages(spark):
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b", "a\n\nb"),
     ("<nav>x</nav><article><h1>T</h1><p>a <b>b</b><br>c&nbsp;d</p><!-- no --><script>var a='</p>';</script></article><footer>f</footer>", "T\n\na b c d"),
-    ("<article><header><h1>T</h1></header><aside>s</aside><form>f<input>g</form><div class='ad'>x</div><p>y</p><section class=comments><p>c</p></section></article>", "T\n\ny"),
+    ("<article><header><h1>T</h1></header><aside>s</aside><form>f<input>g</form><div class='ad'>x</div><p>y</p><section class=comments><p>c</p></section></article>", "y"),
+    ("<article><p class='search-result'>a</p><div class='social-history'>b</div><p class=discussion>c</p><p class='form-x'>d</p><div class=adventure>e</div></article>", "a\n\nb\n\nc\n\nd\n\ne"),
+    ("<article><div class='left-sidebar'>s</div><div id='ad_top'>x</div><div class='box cookie-banner'>n</div><div class=related>r</div><p>y</p></article>", "y"),
     ("<header>h</header><div id='sidebar'>s</div><main><p>m</p></main><div class='cookie-notice'>n</div>", "m"),
     ("<article><p>one</article><article><p>two", "one\n\ntwo"), ("<article>cut &am", "cut &am"), ("<article>cut <b", "cut"), ("<article>1 < 2 > 0 &lt;b&gt;</article>", "1 < 2 > 0 <b>"),
     ("<article><p title='a>b'>x</p><style>p{}</style><noscript>n</noscript></article>", "x"), ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\n\nb\n\nc d"),
@@ -249,3 +251,26 @@ def test_stages_take_nulls_and_nothing(spark):
     for data in (rows, []):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, spark.createDataFrame(data, schema), SF).collect()
+
+
+def test_windows_in_many_buckets_and_a_full_filter(spark, monkeypatch):
+    """Small buckets, short cells and a filter that lets most windows pass change nothing."""
+    line = "Read our weekly letter and win a prize in the great lottery of the town"
+    pages = [(i, f"http://h{i % 3}.org/{i}", f"<div>{line} now</div><p>{' '.join(f'w{i * j % 97}' for j in range(60))}</p><nav>{line}</nav>"
+              + (f"<article><p>{line}</p><p>own {i}</p></article>" if i % 5 == 0 else "")) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    want = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert want[5] == "own 5" and line not in want[7] and want[7].startswith("w0 w7 ")
+    for name, value in (("BUCKET", 64), ("CELL_BITS", 1), ("MAX_FILTER", 1 << 10), ("FLUSH", 500), ("PARSE_BYTES", 300)):
+        monkeypatch.setattr(html_extract, name, value)
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
+
+
+def test_packed_numbers():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for high in (5, 70_000, 1 << 24):
+        x = np.sort(rng.integers(0, high, 500)).astype(np.uint64)
+        assert (html_extract._unpack(html_extract._pack(x)) == x.astype(np.int64)).all()
+    x = np.array([0, 0, 65534, 65535, 131070, 131070, 500_000], np.uint64)
+    assert html_extract._unpack(html_extract._pack(x)).tolist() == x.tolist() and html_extract._unpack(html_extract._pack(x[:0])).tolist() == []
