@@ -141,7 +141,7 @@ def summarise(rows: DataFrame, cols: Cols, chunk: str = CHUNK) -> DataFrame:
     begins = F.when(~(F.col("_cut") & (F.col("_t0") == F.col("_t1"))), F.col(GID))
     own = own.withColumn("_run", F.when(F.col("_cut"), F.last(begins, ignorenulls=True).over(earlier)))
     out = own.withColumns({
-        "_k": F.row_number().over(by_time), "_first": F.min("_t0").over(entity), "_last": F.max("_t1").over(entity),
+        "_k": F.row_number().over(by_time), "_chunks": F.count(GID).over(entity).cast("int"), "_first": F.min("_t0").over(entity), "_last": F.max("_t1").over(entity),
         "_maxd": F.max("_days").over(entity), "_m2": F.col("_var") * F.col("_np"),
         "_Pn": total("_n"), "_Pnp": total("_np"), "_Psq": total("_sq"),
         "_Pmn": F.min("_mn").over(earlier), "_Pmx": F.max("_mx").over(earlier),

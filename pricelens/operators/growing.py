@@ -25,10 +25,8 @@ def context(rows: DataFrame, chunks: DataFrame, entity: Sequence[str], gid: str,
     """(gid, _hv value, _hf count) standing for all prices of the entity before each chunk."""
     E = list(entity)
     n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = chunks.select(*E, gid, "_k", "_np", "_Pnp")
     # chunks of entities that have more than one: only they have earlier chunks
-    several = own.groupBy(*E).agg(F.max("_k").alias("_chunks")).where(F.col("_chunks") > 1)
-    own = write_shared(join_null_safe(own, several, E, "inner"))
+    own = chunks.where(F.col("_chunks") > 1).select(*E, gid, "_k", "_np", "_Pnp", "_chunks")
     values = rows.where(F.col(price).isNotNull()).select(gid, F.col(price).cast("double").alias("_v")).join(own.select(*E, gid, "_k", "_chunks"), gid)
     counted = values.groupBy(*E, "_v", "_k", "_chunks").agg(F.count(F.lit(1)).alias("_c"))
     dealt = write_shared(counted.repartitionByRange(n, *E, "_v").withColumn("_part", F.spark_partition_id()))
