@@ -27,14 +27,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest doc_id, and of equal rows one.
+    """One document of each SimHash group: the one with the smallest doc_id (null last), and of equal rows one.
 
-    Documents without a doc_id are told apart by a hash of their text, above 2^62, and so come after those with one.
+    Groups are made of rows, told apart by a hash of doc_id and text, so that an id that stands for several texts, or none, hides no copy.
     """
-    own = F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("text"), 2))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), own))
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
     groups = simhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
-    first = groups.select(F.col("component_id").alias("_key")).distinct()
+    group_of = groups.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    named = keyed.select("_key", "doc_id").distinct().join(group_of, "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("first")
+    first = named.groupBy("component_id").agg(first).select("first._key")
     kept = keyed.join(first, "_key", "left_semi").dropDuplicates(["_key", "text"])  # dealt by _key already
     return kept.select(docs.columns)
 
