@@ -45,11 +45,12 @@ level AS (
 mixed AS (
   SELECT doc_id, size, source_size, least(3 * s, level * w) AS target,
          CASE WHEN s = 0 THEN 0 ELSE least(3 * s, level * w) / s END AS rate,
+         row_number() OVER (PARTITION BY doc_id, sized.source, size) AS n,
          CAST('0x' || substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(sized.source, '')
               || '|' || CAST(size AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
   FROM sized JOIN placed ON sized.source IS NOT DISTINCT FROM placed.source, level)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (floor(rate) + ceil(n * (rate - floor(rate)) - u) - ceil((n - 1) * (rate - floor(rate)) - u)) AS BIGINT) AS taken
 FROM mixed"""
 
 

@@ -187,6 +187,34 @@ def test_mix_comes_near_the_targets(spark):
         assert r.taken == pytest.approx(r.target, rel=0.03)
 
 
+@pytest.mark.parametrize("null_id", [True, False])
+def test_mix_of_repeated_rows(spark, null_id):
+    """Equal rows, and other texts that the draw can't tell apart, are taken to within a document of the target, however they are dealt."""
+    one = None if null_id else 5
+    rows = [(one, "a b c", "x")] * 700 + [(one, f"{i} b c", "x") for i in range(300)] + [(i, "w " * 300, "y") for i in range(50)] + [(1, "v v", "y"), (1, "v v", "y")]
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts).withColumn("_number", F.lit("clash"))
+        got = mixing.mix(df.drop("_number")).collect()
+        assert len(got) == len(rows)
+        mine = [r for r in got if r.source == "x"]
+        assert mine[0].target % 3000 != 0 and abs(sum(r.taken for r in mine) - mine[0].target) <= 3
+        assert {r.copies for r in mine} <= {int(mine[0].target // 3000), int(mine[0].target // 3000) + 1}
+        assert len({r.copies for r in got if r.doc_id == 1 and r.size == 2}) <= 2
+
+
+def test_mix_of_repeated_rows_equals_sql(spark, tmp_path):
+    import duckdb
+    from pricelens.llm import queries
+    rows = [(i % 40 if i % 3 else None, "w " * (i % 4), ["a", "b", None, "c"][i % 7 % 4]) for i in range(900)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(queries.OP8_SQL).fetchall()
+    got = [(r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in queries.op8(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(((a, b, c, round(t, 6), k) for a, b, c, t, k in want), key=str)
+
+
 def test_mix_of_nothing(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.mix(spark.createDataFrame([], schema)).collect() == []
@@ -245,6 +273,15 @@ def test_one_of_a_group_without_ids(spark):
     assert sorted((str(r.doc_id), r.text) for r in got) == [("7", a), ("None", b)]
 
 
+def test_one_of_a_group_with_repeated_ids(spark):
+    """Rows are what is compared: a copy goes although its id also stands for another text, and that text stays."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b, c = ("the quick brown fox jumps over the lazy dog by the river", "an entirely other text about the weather in the north today", "short but not the same")
+    rows = [(3, a, "en", "x", 1), (5, b, "en", "x", 1), (5, a, "en", "x", 1), (5, b, "fr", "y", 1), (9, c, "en", "x", 1), (None, c, "en", "x", 1), (2, c, "en", "x", 1)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(2, c), (3, a), (5, b)]
+
+
 def test_stages_take_nulls_and_nothing(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, None, None, None, None), (None, None, None, None, 0), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (3, "token=abcdefgh12 and more", "en", "a", 25)]
