@@ -4,7 +4,9 @@ Each text is scanned as it is (the base), then every layer it hides: percent and
 place, base64 runs (also over several lines, and at each of the four offsets, as other text may stand before them) are decoded, and what is compressed
 is unpacked, wherever in a layer it begins. Bytes that aren't UTF-8 are a layer too, one character per byte, and bytes with zeros are read as UTF-16 besides.
 Layers go to a worklist until none is new;
-a layer seen before (by hash) is not scanned again, which also ends cycles. Each character of a layer knows its
+a layer seen before (by hash) is not scanned again, which also ends cycles. The worklist is a stack of open layers, each of which
+makes its next layer when the last one and all within it are done, so that unpacked data are held a piece at a time. An escape sign that is itself escaped,
+any number of times, is undone in one step. Each character of a layer knows its
 span in the document, so that a finding in a layer is reported at the span it came from.
 
 Defined cases: a word at the start of the line after base64 counts as more of it; a packed stream inside another is followed to the end of the other's
@@ -21,7 +23,6 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,9 +43,11 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")  # base64 broken over lines
 MIN_RUN = 16       # characters of base64, without line ends
 NOT_RUN = re.compile(r"[^A-Za-z0-9+/_-]+")
+#: escape signs that are escaped again and again: %2525..41, and \\u005cu005c..u0041 or \\x5cx5c..x41
+NESTED = re.compile(r"%(?:25){2,}(?=[0-9A-Fa-f]{2})|\\(?:u005[cC])+(?=u[0-9A-Fa-f]{4})|\\(?:x5[cC])+(?=x[0-9A-Fa-f]{2})")
 WIDE = re.compile("%[89A-Fa-f]")  # an escaped byte beyond ASCII
 PACKED = re.compile(rb"(?=\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78])")  # where gzip or zlib data may begin
-PIECE = 1 << 24    # bytes of unpacked data that are scanned together
+PIECE = 1 << 22    # bytes of unpacked data that are scanned together
 OVERLAP = 1 << 16  # bytes by which consecutive pieces overlap
 SPAN = "array<struct<kind:string,start:long,end:long,base:boolean>>"
 
@@ -73,17 +76,28 @@ class Layer:
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.start is None else (int(self.start[a:b].min()), int(self.end[a:b].max()))
 
+    def one_run(self) -> tuple[int, int] | None:
+        """The run that all of the layer came from, if it is known to be one."""
+        if self.start is None or not len(self.start) or self.start.strides[0]:
+            return None
+        return int(self.start[0]), int(self.end[0])
+
     def key(self) -> tuple:
         """Names the layer: its text and, where all of it came from one run, that run (the text may hide elsewhere too)."""
         mark = hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest()
-        if self.start is not None and (self.start == self.start[0]).all() and (self.end == self.end[0]).all():
-            return mark, int(self.start[0]), int(self.end[0])
-        return (mark,)
+        if self.start is None:
+            return (mark,)
+        run = self.one_run()
+        if run is None and (self.start == self.start[0]).all() and (self.end == self.end[0]).all():
+            run = int(self.start[0]), int(self.end[0])
+        return (mark, *(run or ()))
 
 
 def _escaped(m: re.Match, as_bytes: bool = False) -> list[tuple[str, int, int]] | None:
     """(character, start, end) in the escapes' run, or null if they aren't text."""
     run = m.group()
+    if m.re is NESTED:
+        return [(run[0], 0, len(run))]
     if run[0] == "%":
         data, width = bytes.fromhex(run.replace("%", "")), 3
         try:
@@ -115,21 +129,25 @@ def _escaped(m: re.Match, as_bytes: bool = False) -> list[tuple[str, int, int]]
 def unescape(layer: Layer, pattern: re.Pattern, as_bytes: bool = False) -> Layer | None:
     """The layer with its escapes undone in place, to one character per byte if ``as_bytes``; null if it has none."""
     text, parts, starts, ends, at = layer.text, [], [], [], 0
+    whole = layer.one_run()
     here = lambda a, b: (np.arange(a, b), np.arange(a + 1, b + 1)) if layer.start is None else (layer.start[a:b], layer.end[a:b])
     for m in pattern.finditer(text):
         if (chars := _escaped(m, as_bytes)) is None:
             continue
-        s, e = here(at, m.start())
-        parts.append(text[at:m.start()])
-        spans = [layer.span(m.start() + a, m.start() + b) for _, a, b in chars]
-        parts.append("".join(c for c, _, _ in chars))
-        starts += [s, np.array([x[0] for x in spans])]
-        ends += [e, np.array([x[1] for x in spans])]
+        parts += [text[at:m.start()], "".join(c for c, _, _ in chars)]
+        if whole is None:
+            s, e = here(at, m.start())
+            spans = [layer.span(m.start() + a, m.start() + b) for _, a, b in chars]
+            starts += [s, np.array([x[0] for x in spans])]
+            ends += [e, np.array([x[1] for x in spans])]
         at = m.end()
     if not parts:
         return None
+    new = "".join([*parts, text[at:]])
+    if whole is not None:
+        return next(_held(iter([new]), *whole), None)
     s, e = here(at, len(text))
-    return Layer("".join([*parts, text[at:]]), np.concatenate([*starts, s]), np.concatenate([*ends, e]))
+    return Layer(new, np.concatenate([*starts, s]), np.concatenate([*ends, e]))
 
 
 def _texts(data: bytes) -> Iterator[str]:
@@ -214,26 +232,36 @@ def inflate(layer: Layer) -> Iterator[Layer]:
             yield from _held(_texts(piece), *layer.span(a, a + max(1, size)))
 
 
+def _inner(layer: Layer, plain: bool = False) -> Iterator[Layer]:
+    """The layers right inside a layer, each made when it is asked for."""
+    if NESTED.search(layer.text):  # the layers between differ by the number of signs only
+        steps = [(NESTED, False)]
+    else:
+        steps = [(p, False) for p, sign in ((PERCENT, "%"), (ESCAPE, "\\")) if sign in layer.text]
+        steps += [(PERCENT, True)] if WIDE.search(layer.text) else []
+    yield from filter(None, (unescape(layer, p, as_bytes) for p, as_bytes in steps))
+    yield from unpack(layer)
+    if not plain:
+        yield from inflate(layer)
+
+
 def scan(text: str | None) -> list[tuple[int, int, int, bool]]:
     """(kind's number, start, end, whether the plain text shows it), by start, then kind, then end."""
     if not text:
         return []
     found: dict[tuple[int, int, int], bool] = {(s, k, e): True for k, s, e in matches(text)}
     first = Layer(text)
-    work, seen = [first], {first.key()}
-    while work:
-        layer = work.pop()
-        if layer is not first:
+    open_, seen = [_inner(first, plain=True)], {first.key()}
+    while open_:
+        layer = next(open_[-1], None)
+        if layer is None:
+            open_.pop()
+        elif layer.text and (key := layer.key()) not in seen:
+            seen.add(key)
             for k, a, b in matches(layer.text):
                 s, e = layer.span(a, b)
                 found.setdefault((s, k, e), False)
-        inner = [unescape(layer, p) for p, sign in ((PERCENT, "%"), (ESCAPE, "\\")) if sign in layer.text]
-        if WIDE.search(layer.text):
-            inner.append(unescape(layer, PERCENT, as_bytes=True))
-        for new in chain(filter(None, inner), unpack(layer), inflate(layer) if layer is not first else ()):
-            if new.text and (key := new.key()) not in seen:
-                seen.add(key)
-                work.append(new)
+            open_.append(_inner(layer))
     return [(k, s, e, base) for (s, k, e), base in sorted(found.items())]
 
 

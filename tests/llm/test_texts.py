@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import os
 import re
 import urllib.parse
 import zlib
@@ -232,6 +233,38 @@ def test_big_packed_data_is_scanned_whole(monkeypatch):
     assert [k for k, *_ in secret_scan.scan(base64.b64encode(gzip.compress(data.encode())).decode())] == [0]
 
 
+@pytest.mark.parametrize("wrap", [
+    lambda c: "%" + "25" * 20_000 + f"{ord(c):02x}", lambda c: "\\" + "u005c" * 8_000 + f"u{ord(c):04x}", lambda c: "\\" + "x5C" * 8_000 + f"x{ord(c):02x}",
+    lambda c: "%" + "25" * 2 + f"{ord(c):02x}", lambda c: "\\u005cu" + f"{ord(c):04x}"])
+def test_escapes_of_escapes_are_undone_in_one_step(wrap):
+    import time
+    text = "xx " + wrap("p") + "assword=hunter2secret99 yy"
+    started = time.perf_counter()
+    spans = [(s, e) for k, s, e, base in secret_scan.scan(text) if k == 0]
+    assert spans == [(3, len(text) - 3)] and time.perf_counter() - started < 1
+
+
+def test_unpacked_data_are_held_a_piece_at_a_time():
+    """A text that unpacks to a gigabyte, scanned in a process of its own: the secret is found, in bounded memory."""
+    import subprocess
+    import sys
+    code = """
+import base64, resource, zlib
+from pricelens.llm import secret_scan
+pack, parts = zlib.compressobj(9), []
+for i in range(1024):
+    parts.append(pack.compress(b"%41 nothing here\\n" * 65536))
+parts += [pack.compress(b"password=hunter2secret99"), pack.flush()]
+text = base64.b64encode(b"".join(parts)).decode()
+assert len(text) < 10_000_000
+assert (0, 0, len(text), False) in secret_scan.scan(text)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=900, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert got.returncode == 0, got.stderr
+    assert int(got.stdout) < 500
+
+
 def test_secret_queries_columns(spark):
     rows = [(1, None), (2, ""), (3, SECRETS[0]), (3, SECRETS[0]), (None, "x" * 300_000 + " " + "a" * 32)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))
