@@ -2,9 +2,9 @@
 
 The model mixes the bigram and unigram maximum-likelihood estimates and the uniform distribution, with
 weights for each bucket of the context's frequency. The weights are learned by expectation-maximisation on held-out
-counts: those of one fold of the training documents, against all counts less the own block's (deleted).
+counts: those of one fold of the training documents, against all counts less the fold's (deleted).
 
-Documents are dealt into blocks by hash. A block counts its distinct n-grams and sends them, sorted and packed,
+Documents are dealt into blocks by hash; equal rows are sent once per batch of their task, with their number. A block counts its distinct n-grams and sends them, sorted and packed,
 to buckets by hash range; a bucket adds up the counts of all blocks and sends back to each block the totals of
 the n-grams it asked for, in the same order. Then a block scores its texts by itself. So an n-gram moves once per
 block that has it, however frequent it is, no count table is broadcast, and no task holds more than one
@@ -39,12 +39,14 @@ LEVELS = 41          # buckets of context frequency: never seen, then by powers
 BINS = 64            # per axis, of the estimates' logarithms on which the weights are learned
 ROUNDS = 50
 FLOOR = 1e-4         # least weight of a component
+SHARE = 4            # blocks for each bucket: a block's distinct n-grams are fewer than its tokens
+SOME = 4096          # equal rows that are made of one at a time
 END = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 _PIECES = "block int, bucket int, n int, items binary, counts binary"
-_TOTALS = "block int, bucket int, n int, totals binary"
-_SCORES = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+_TOTALS = "block int, bucket int, n int, totals binary, rest binary"
+_SCORES = "doc_id string, times long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def pack(numbers: np.ndarray, rising: bool = False) -> bytes:
@@ -74,8 +76,10 @@ def pack_rows(blocks: pa.Array, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            yield from pack_rows(batch.column("block"), batch.drop_columns(["block"]))
+        if batch.num_rows:  # equal rows once, with their number
+            rows = pa.Table.from_batches([batch]).group_by(batch.schema.names, use_threads=False).aggregate([([], "count_all")])
+            rows = rows.rename_columns([*batch.schema.names, "times"]).combine_chunks().to_batches()[0]
+            yield from pack_rows(rows.column("block"), rows.drop_columns(["block"]))
 
 
 def unpack_rows(f: pd.DataFrame) -> pa.Table:
@@ -93,10 +97,10 @@ class Grams:
 
 class Block:
     def __init__(self, rows: pa.Table):
-        train = rows["train"].to_numpy()
+        train, times = rows["train"].to_numpy(), rows["times"].to_numpy()
         tokens, self.sizes = self._tokens(rows["text"].to_pylist())
         self.starts = np.cumsum(self.sizes) - self.sizes
-        learn = np.repeat(train, self.sizes)
+        learn = np.repeat(np.where(train, times, 0), self.sizes)
         before = np.roll(tokens, 1)
         before[self.starts] = END  # a text begins after an end
         two = mix64(before * _STEP + tokens)
@@ -120,7 +124,7 @@ class Block:
     @staticmethod
     def _distinct(values: np.ndarray, learn: np.ndarray) -> Grams:
         items, first, which = np.unique(values, return_index=True, return_inverse=True)
-        return Grams(items, first.astype(np.int32), which.astype(np.int32), np.bincount(which[learn], minlength=len(items)))
+        return Grams(items, first.astype(np.int32), which.astype(np.int32), np.bincount(which, learn, len(items)).astype(np.int64))
 
 
 def _bucket(items: np.ndarray, buckets: int) -> np.ndarray:
@@ -139,23 +143,29 @@ def _pieces(buckets: int):
     return run
 
 
-def _add_up(f: pd.DataFrame) -> pd.DataFrame:
-    """For each block's piece the totals of its n-grams over all blocks. Block -1 has the bucket's own sums."""
-    f = f.sort_values("block")
-    items = [unpack(x, True) for x in f["items"]]
-    counts = np.concatenate([unpack(x) for x in f["counts"]]).astype(np.int64)
-    _, which = np.unique(np.concatenate(items), return_inverse=True)
-    sums = np.bincount(which, weights=counts).astype(np.int64)
-    cuts = np.cumsum([len(x) for x in items])[:-1]
-    n, bucket = f["n"].iloc[0], f["bucket"].iloc[0]
-    rows = [(b, bucket, n, pack(sums[w])) for b, w in zip(f["block"], np.split(which, cuts), strict=True)]
-    own = pack(np.array([counts.sum(), np.count_nonzero(sums)]))
-    return pd.DataFrame([*rows, (-1, bucket, n, own)], columns=["block", "bucket", "n", "totals"])
+def _add_up(held_out: int):
+    """For each block's piece the totals of its n-grams over all blocks, and for the first ``held_out`` blocks, which are the held-out fold, also those
+    over the others. Block -1 has the bucket's own sums: tokens, types, tokens outside the fold."""
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("block")
+        items = [unpack(x, True) for x in f["items"]]
+        counts = np.concatenate([unpack(x) for x in f["counts"]]).astype(np.int64)
+        _, which = np.unique(np.concatenate(items), return_inverse=True)
+        size = np.array([len(x) for x in items])
+        outside = np.repeat(f["block"].to_numpy() >= held_out, size)
+        sums = np.bincount(which, weights=counts).astype(np.int64)
+        rest = np.bincount(which, counts * outside, len(sums)).astype(np.int64)
+        n, bucket = f["n"].iloc[0], f["bucket"].iloc[0]
+        rows = [(b, bucket, n, pack(sums[w]), pack(rest[w]) if b < held_out else None)
+                for b, w in zip(f["block"], np.split(which, np.cumsum(size)[:-1]), strict=True)]
+        own = pack(np.array([counts.sum(), np.count_nonzero(sums), counts[outside].sum()]))
+        return pd.DataFrame([*rows, (-1, bucket, n, own, None)], columns=["block", "bucket", "n", "totals", "rest"])
+    return run
 
 
-def _totals(f: pd.DataFrame) -> dict[int, np.ndarray]:
+def _totals(f: pd.DataFrame, column: str = "totals") -> dict[int, np.ndarray]:
     f = f.sort_values(["n", "bucket"])
-    return {n: np.concatenate([unpack(x) for x in g["totals"]]).astype(np.int64) for n, g in f.groupby("n")}
+    return {n: np.concatenate([unpack(x) for x in g[column]]).astype(np.int64) for n, g in f.groupby("n")}
 
 
 def _level(count: np.ndarray) -> np.ndarray:
@@ -169,13 +179,12 @@ def _estimates(two, context, one, tokens: float) -> tuple[np.ndarray, np.ndarray
 
 
 def _events(tokens: int):
-    """Held-out counts: per frequency bucket and bins of the two estimates, how many tokens fall there."""
+    """``tokens``: those outside the fold. Held-out counts: per frequency bucket and bins of the two estimates, how many tokens fall there."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        block, total = Block(unpack_rows(left)), _totals(right)
+        block, rest = Block(unpack_rows(left)), _totals(right, "rest")
         one, two = block.grams[1], block.grams[2]
-        rest1, rest2 = total[1] - one.trained, total[2] - two.trained
-        context, word = rest1[block.context[two.first]], rest1[one.which[two.first]]
-        p2, p1 = _estimates(rest2, context, word, tokens - int(one.trained.sum()))
+        context, word = rest[1][block.context[two.first]], rest[1][one.which[two.first]]
+        p2, p1 = _estimates(rest[2], context, word, tokens)
         out = pd.DataFrame({"level": _level(context)})
         for k, p in (("two", p2), ("one", p1)):
             with np.errstate(divide="ignore"):
@@ -219,7 +228,7 @@ def _scores(weights: np.ndarray, tokens: int, vocabulary: int):
             mix[:] = (0, 0, 1)
         model = np.log10(mix[:, 0] * p2 + mix[:, 1] * p1 + mix[:, 2] / (vocabulary + 1))[two.which]
         known = (total[1] > 0)[one.which]
-        return pd.DataFrame({"doc_id": texts["doc_id"].to_pandas(), "held_out": ~texts["train"].to_numpy(), "n_tokens": block.sizes,
+        return pd.DataFrame({"doc_id": texts["doc_id"].to_pandas(), "times": texts["times"].to_numpy(), "held_out": ~texts["train"].to_numpy(), "n_tokens": block.sizes,
                              "n_known": np.add.reduceat(known, block.starts, dtype=np.int64),
                              "base_score": np.add.reduceat(base, block.starts),
                              "score": np.add.reduceat(model, block.starts)})
@@ -239,19 +248,21 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
                            .otherwise(F.pmod(spread, F.lit(blocks - own)) + own).cast("int"))
     packed = rows.select("block", "doc_id", "text", "train").mapInArrow(_packed, "block int, rows binary")
     dealt = packed.groupBy("block")
-    pieces = dealt.applyInPandas(_pieces(int(blocks)), _PIECES)
-    totals = cut_lineage(pieces.groupBy("n", "bucket").applyInPandas(_add_up, _TOTALS))
+    pieces = dealt.applyInPandas(_pieces(-(-int(blocks) // SHARE)), _PIECES)
+    totals = cut_lineage(pieces.groupBy("n", "bucket").applyInPandas(_add_up(own), _TOTALS))
     # a row per bucket of unigrams, which are as many as blocks: added up without a copy on the driver
     sums = totals.filter("block = -1 AND n = 1").select("totals").mapInPandas(
-        lambda fs: (pd.DataFrame([unpack(x).astype(np.int64) for x in f["totals"]], columns=["tokens", "types"]) for f in fs),
-        "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
-    tokens, types = (int(x or 0) for x in sums)
+        lambda fs: (pd.DataFrame([unpack(x).astype(np.int64) for x in f["totals"]], columns=["tokens", "types", "rest"]) for f in fs),
+        "tokens long, types long, rest long").agg(F.sum("tokens"), F.sum("types"), F.sum("rest")).first()
+    tokens, types, rest = (int(x or 0) for x in sums)
     asked = totals.filter("block >= 0").groupBy("block")
     weighing = rows.filter("weighs").select("block", "doc_id", "text", "train").mapInArrow(_packed, "block int, rows binary")
     events = (weighing.groupBy("block").cogroup(totals.filter((F.col("block") >= 0) & (F.col("block") < own)).groupBy("block"))
-              .applyInPandas(_events(tokens), "level int, bin_two int, bin_one int, log_two double, log_one double, n long"))
+              .applyInPandas(_events(rest), "level int, bin_two int, bin_one int, log_two double, log_one double, n long"))
     events = events.groupBy("level", "bin_two", "bin_one").agg(*[F.sum(c).alias(c) for c in ("log_two", "log_one", "n")])
     weights = learn_weights(events.toPandas(), types)  # at most LEVELS * BINS * BINS rows
     out = dealt.cogroup(asked).applyInPandas(_scores(weights, tokens, types), _SCORES)
+    some = F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / SOME))  # equal rows again, some at a time
+    out = out.withColumn("_some", F.explode(some)).withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(SOME).cast("long"), F.col("times") - F.col("_some") * SOME))))
     return out.select(F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "held_out", "n_tokens", "n_known",
                       F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -139,6 +139,58 @@ def test_model_score_does_not_depend_on_buckets_and_sums_to_one(spark, monkeypat
     assert abs(got - want) < 1e-6
 
 
+def test_learned_scores_do_not_depend_on_blocks(spark):
+    """The mixture is learned on the whole held-out fold against the rest, whatever the blocks; scores follow a plain computation."""
+    import binascii
+    import pandas as pd
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 40) % 50)) for i in range(400)] + [(9, "w1 w2 w3")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    a, b = (sorted((r.doc_id, r.n_tokens, r.base_score, r.score) for r in lm.score(df, block_bytes=n).collect()) for n in (3000, 1 << 22))
+    assert len(a) == len(rows) and np.allclose(a, b, rtol=1e-9)
+    part = {i: binascii.crc32(str(i).encode()) % 10 for i, _ in rows}
+    toks = [(part[i], [*t.split(), None]) for i, t in rows]
+
+    def counts(want):
+        one, two = {}, {}
+        for k, t in toks:
+            for p, w in zip([None, *t], t) if want(k) else ():
+                one[w] = one.get(w, 0) + 1
+                two[p, w] = two.get((p, w), 0) + 1
+        return one, two, sum(one.values())
+
+    one, two, n = counts(lambda k: k not in (0, lm.HELD_OUT_FOLD))
+    events = []
+    for pair, times in counts(lambda k: k == lm.HELD_OUT_FOLD)[1].items():
+        c, w = one.get(pair[0], 0), one.get(pair[1], 0)
+        ps = [two.get(pair, 0) / max(c, 1), w / n]
+        bins = [int(np.clip(1 - 2 * np.log2(p), 1, lm.BINS - 1)) if p else 0 for p in ps]
+        events.append((int(lm._level(np.array([c]))[0]), *bins, *[np.log(p) * times if p else 0.0 for p in ps], times))
+    events = pd.DataFrame(events, columns=["level", "bin_two", "bin_one", "log_two", "log_one", "n"]).groupby(["level", "bin_two", "bin_one"], as_index=False).sum()
+    one, two, n = counts(lambda k: k != 0)
+    weights = lm.learn_weights(events, len(one))
+    for (i, text), got in zip(sorted(rows), a):
+        total = 0
+        for p, w in zip([None, *text.split()], [*text.split(), None]):
+            c = one.get(p, 0)
+            mix = weights[int(lm._level(np.array([c]))[0])]
+            total += np.log10(mix @ [two.get((p, w), 0) / max(c, 1), one.get(w, 0) / n, 1 / (len(one) + 1)])
+        if [t for j, t in rows if j == i] == [text]:
+            assert got[3] == pytest.approx(total, rel=1e-9)
+
+
+def test_equal_rows_are_sent_once(spark, monkeypatch):
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pylist([{"block": 1, "doc_id": d, "text": t, "train": True} for d, t in [("1", b"a"), (None, b"a"), ("1", b"a"), (None, b"a"), ("1", b"b")]])
+    import pandas as pd
+    sent = [lm.unpack_rows(pd.DataFrame({"rows": r.column("rows").to_pylist()})).to_pylist() for r in lm._packed(iter([batch]))]
+    assert sorted((str(x["doc_id"]), x["text"], x["times"]) for p in sent for x in p) == [("1", b"a", 2), ("1", b"b", 1), ("None", b"a", 2)]
+    monkeypatch.setattr(lm, "SOME", 7)
+    df = spark.createDataFrame([(5, "x y")] * 100 + [(6, "z")], "doc_id long, text string")
+    got = lm.score(df).collect()
+    assert len(got) == 101 and len(set(got)) == 2 and got[0].train_tokens in (300, 302)
+
+
 def test_weights_are_learned_by_expectation_maximisation():
     import pandas as pd
     events = pd.DataFrame({"level": [3, 3], "bin_two": [5, 0], "bin_one": [9, 9], "n": [90, 10]})
