@@ -32,6 +32,14 @@ def fold(key: Column, n: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % n, F.lit(-1).cast("long"))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as make it no column's name (which Spark compares without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, cells: Column | None = None) -> DataFrame:
     """``df``, written once, with a broadcast hint only if it has at most ``max_rows`` rows (or ``cells``, summed);
     beyond that the join that follows is left to shuffle, with adaptive skew handling."""

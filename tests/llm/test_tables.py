@@ -61,6 +61,52 @@ def test_mined_rules(spark):
         assert r.support == sum(has) and r.confidence == pytest.approx(sum(has) / len(has))
 
 
+def brute_rules(rows, share):
+    """Every set of tokens that is a rule, and of these the ones that no part of is as sure."""
+    from itertools import combinations
+    least = max(url_filter.MIN_SUPPORT, url_filter.MIN_ROWS / len(rows)) * len(rows)
+    tokens = sorted({t for own, _ in rows for t in own})
+    sure = {}
+    for r in range(1, 5):
+        for c in combinations(tokens, r):
+            has = [bad for own, bad in rows if set(c) <= own]
+            if sum(has) >= least and sum(has) / len(has) >= url_filter.MIN_CONFIDENCE:
+                sure[frozenset(c)] = sum(has) / len(has)
+    return {c: v for c, v in sure.items() if not any(sure.get(c - {t}, 0) >= v for t in c)}
+
+
+def test_rules_equal_those_of_all_sets(spark):
+    import random
+    rng = random.Random(2)
+    urls = []
+    for i in range(400):
+        path = rng.choice(["win/prize/now", "win/prize/now/x", "news/today", "news/x", "prize/x", "shop"])
+        urls.append((f"https://{rng.choice('ab')}.org/{path}", rng.random() < (0.9 if "win" in path else 0.65 if path == "prize/x" else 0.2)))
+    df = spark.createDataFrame(urls, "url string, bad boolean")
+    rows = [(set(r.own), b) for r, (_, b) in zip(df.select(url_filter.tokens_of(F.col("url")).alias("own")).collect(), urls)]
+    want = brute_rules(rows, 0)
+    mined = url_filter.mine_rules(df)
+    got = {}
+    for r in mined.collect():
+        from itertools import product
+        for c in product(*r.classes):
+            got[frozenset(c)] = r.confidence
+    assert set(got) == set(want) and all(abs(got[c] - want[c]) < 1e-12 for c in want) and any(len(c) > 1 for r in mined.collect() for c in r.classes)
+    asked = [u for u, _ in urls] + ["https://z.org/now", "https://z.org/now/x", "https://a.org/win", "https://z.org/shop"]
+    hits = {r.url: r.confidence for r in url_filter.fired(spark.createDataFrame([(u,) for u in asked], "url string"), mined).collect()}
+    own = {r.url: set(r.own) for r in spark.createDataFrame([(u,) for u in asked], "url string").select("url", url_filter.tokens_of(F.col("url")).alias("own")).collect()}
+    best = {u: max((v for c, v in want.items() if c <= t), default=None) for u, t in own.items()}
+    assert {u: hits.get(u) for u in own} == best
+
+
+def test_urls_of_many_tokens(spark):
+    long = "/".join(f"part{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    pages = [(i, f"https://a.org/{long if i % 20 == 0 else 'page'}/{i}") for i in range(2000)]
+    labels = [(i, 0 if i % 20 == 0 else 1, 0) for i in range(2000)]
+    got = url_filter.judge(spark.createDataFrame(pages, PAGES).withColumn("_url", F.lit("kept")).withColumn("_Confidence", F.lit(1)), spark.createDataFrame(labels, LABELS)).collect()
+    assert all((r.verdict == "block") == (r.page_id % 20 == 0) and r._url == "kept" and r._Confidence == 1 for r in got)
+
+
 def test_url_filter_of_nothing(spark):
     assert url_filter.judge(spark.createDataFrame([], PAGES), spark.createDataFrame([], LABELS)).collect() == []
 
