@@ -58,13 +58,25 @@ def features(texts: list[bytes], words: bool = True) -> Iterator[np.ndarray]:
 
 @dataclass
 class Svm:
-    """Margin of a text: the weights of its features, over the length of its scaled vector, and a bias."""
+    """Margin of a text: the weights of its features, over the length of its scaled vector, and a bias.
+
+    ``square`` holds the scales' squares; it is left out where all are one. Pickled are the weights that aren't zero.
+    """
     weight: np.ndarray
-    square: np.ndarray
+    square: np.ndarray | None
     bias: float
 
+    def __getstate__(self):
+        at = np.flatnonzero(self.weight).astype(np.int32)
+        return at, self.weight[at], self.square, self.bias
+
+    def __setstate__(self, state):
+        at, weight, self.square, self.bias = state
+        self.weight = np.zeros(DIMS)
+        self.weight[at] = weight
+
     def margin(self, ids: np.ndarray) -> float:
-        norm = float(np.sqrt(self.square[ids].sum())) if len(ids) else 0.0
+        norm = float(np.sqrt(len(ids) if self.square is None else self.square[ids].sum())) if len(ids) else 0.0
         return (float(self.weight[ids].sum()) / norm if norm else 0.0) + self.bias
 
 
@@ -101,7 +113,7 @@ def fit_svm(rows: list[np.ndarray], positive: np.ndarray, scale: np.ndarray, cos
                 moved = max(moved, abs(step))
         if moved < 1e-3 * cost:
             break
-    return Svm(w * scale, scale * scale, bias)
+    return Svm(w * scale, None if (scale == 1).all() else scale * scale, bias)
 
 
 def fit_sigmoid(margins: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> tuple[float, float]:

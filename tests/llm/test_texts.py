@@ -70,6 +70,48 @@ def test_language_edges(spark):
     assert langid.predict(df.limit(0)).collect() == []
 
 
+def test_many_languages_make_a_model_that_grows_with_them():
+    import pickle
+    rng = np.random.default_rng(3)
+    sizes = {}
+    for n in (10, 40):
+        langs = [f"x{i}" for i in range(n)]
+        letters = {x: [chr(0x61 + int(c)) for c in rng.integers(0, 26, 6)] for x in langs}
+        made = lambda x: " ".join("".join(rng.choice(letters[x], 5)) for _ in range(30))  # noqa: B023, E731
+        texts = [(made(x), x) for x in langs for _ in range(8)]
+        model = langid.Model(list(linear.features(langid.prepared([t for t, _ in texts]), words=False)), [x for _, x in texts])
+        asked = [(made(x), x) for x in langs for _ in range(3)]
+        got = [langid.Model.predict(model, ids) for ids in linear.features(langid.prepared([t for t, _ in asked]), words=False)]
+        assert np.mean([g[0] == x for g, (_, x) in zip(got, asked)]) > 0.9 and all(0 <= g[1] <= 1 for g in got)
+        packed = pickle.dumps(model)
+        again = pickle.loads(packed)
+        ids = next(linear.features(langid.prepared([asked[0][0]]), words=False))
+        assert again.predict(ids) == model.predict(ids)
+        sizes[n] = len(packed) / n
+    assert sizes[40] < 4.5 * sizes[10] and sizes[40] < 1 << 20  # each machine holds the features of the sample, no pair of languages is one
+
+
+def test_hinge_solution_is_near_the_optimum():
+    """The dual solution's primal value against the dual's: the gap is small, so the weights are the hinge loss's."""
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 300, 30) + (60 if i % 2 else 0)).astype(np.int32) for i in range(120)]
+    y = np.arange(120) % 2 == 1
+    svm = linear.fit_svm(rows, y, np.ones(linear.DIMS), rounds=400)
+    sign = np.where(y, 1.0, -1.0)
+    x = np.zeros((120, 401))
+    for i, r in enumerate(rows):
+        x[i, r] = 1 / np.sqrt(len(r))
+    x[:, 400] = 1
+    value = lambda w: 0.5 * w @ w + np.maximum(0, 1 - sign * (x @ w)).sum()
+    ours = value(np.append(svm.weight[:400], svm.bias))
+    w, best = np.zeros(401), np.inf
+    for t in range(1, 20_001):  # plain subgradient descent
+        w -= (w - ((sign * (x @ w) < 1) * sign) @ x) / t
+        if t % 100 == 0:
+            best = min(best, value(w))
+    assert ours <= best * 1.01
+
+
 def test_sample_is_bounded_and_repeatable(spark):
     ids = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 100 == 0, "rare").otherwise("common").alias("label"))
     a, b = (sorted(map(tuple, linear.class_sample(ids.repartition(n), 60).collect())) for n in (2, 7))
