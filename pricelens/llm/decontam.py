@@ -6,7 +6,8 @@ the largest impact per block. Every passage of a document (overlapping windows o
 WAND, terms are split by their bounds: the commonest terms of an item, whose impacts together stay below
 ``COMMON``, can't lift it over the threshold alone, so they are not walked; a block is opened only if its bound over
 the passage's other terms, plus what the common ones can add, reaches the threshold. Opened blocks are scored
-exactly; items above the threshold are verified by the five-word shingles of question and answer.
+exactly; items above the threshold are verified by the five-word shingles of the question and of the answer, each by itself: a passage
+that asks the question and answers otherwise holds no item.
 
 Defined cases: null and empty texts have no passages and no leaks; null and empty items are left out; equal items are
 reported each; repeated documents get equal results; items of fewer words than a shingle are one shingle; an empty
@@ -32,7 +33,7 @@ WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6     # share of an item's own score that a passage must reach
 COMMON = 0.3        # share that an item's commonest terms may have together, to be left unwalked
-OVERLAP = 0.8       # share of an item's shingles that the passage must hold
+OVERLAP = 0.8       # share of an item's shingles that the passage must hold, and of its question's and answer's
 SHINGLE = 5
 STEP = 64           # words; a passage has twice as many, and an indexed piece of an item so many at most
 BLOCK = 8           # items
@@ -134,10 +135,9 @@ class Index:
                 held = held or set(shingles(words[a:b])) | {tuple(words[i:i + n]) for n in range(1, SHINGLE) for i in range(a, min(b, len(words)) - n + 1)}
                 item, piece, cut = self.pieces[p]
                 share = lambda xs: sum(x in held for x in xs) / len(xs) if xs else 1.0  # noqa: B023, E731
-                all_of = share(shingles(piece))
-                if all_of >= OVERLAP and all_of >= best.get(item, {"overlap": 0.0})["overlap"]:
-                    best[item] = {"item_id": item, "score": score, "question_overlap": share(shingles(piece[:cut])),
-                                  "answer_overlap": share(shingles(piece[cut:])), "overlap": all_of}
+                all_of, asked, answered = (share(shingles(x)) for x in (piece, piece[:cut], piece[cut:]))
+                if min(all_of, asked, answered) >= OVERLAP and all_of >= best.get(item, {"overlap": 0.0})["overlap"]:
+                    best[item] = {"item_id": item, "score": score, "question_overlap": asked, "answer_overlap": answered, "overlap": all_of}
         return [best[k] for k in sorted(best)]
 
 

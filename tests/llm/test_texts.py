@@ -377,6 +377,16 @@ def test_op6_digest_of_base(spark):
 
 # --- benchmark leaks
 
+def test_question_and_answer_are_verified_apart(spark):
+    question = " ".join(f"q{i}" for i in range(50)) + "?"
+    items = spark.createDataFrame([(1, question, "the answer is forty two of them")], "item_id long, q string, a string")
+    texts = [f"{question} the answer is forty two of them", f"{question} something else stands here as the reply", "the answer is forty two of them",
+             f"so: {question} the answer is forty two of them. and more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x.question_overlap, x.answer_overlap) for x in r.leaks] for r in decontam.find_leaks(docs, items, question="q", answer="a").collect()}
+    assert got == {0: [(1.0, 1.0)], 1: [], 2: [], 3: [(1.0, 1.0)]}
+
+
 def test_leaks_match_brute_force(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, int(x.item_id)) for r in decontam.find_leaks(docs, items).collect() for x in r.leaks}
