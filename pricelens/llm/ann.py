@@ -5,7 +5,9 @@ bits, with two scalars: its length and how well the signs agree with it. Inner p
 from bits and scalars; each estimate has an error bound (``WIDTH`` standard deviations), and only vectors whose upper bound
 reaches the best ``k`` known so far are compared exactly. Until ``k`` are known exactly, estimated lower bounds choose the rows; a query whose
 exact scores end below these goes over the rows again without them, so that it has ``k`` rows if there are so many. The queries meet all rows in cells of one block
-of queries and one block of rows, both bounded, that Spark deals out; a cell returns its ``k`` best per query.
+of queries and one block of rows, both bounded, that Spark deals out; a cell returns its ``k`` best per query. Rows travel with their vectors: at 64
+dimensions the bounds of one-bit codes leave a few per cent of all rows to compare, which are many more bytes per query, if fetched
+one by one, than the block's vectors are.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor rows without an
 id; vectors are compared with those of the same length only; equal rows count once, and rows of one id
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 NEIGHBOURS = 20
 QUERY_EVERY = 20
 WIDTH = 1.9       # standard deviations of an estimate that its bounds allow for
-BLOCK = 4096      # rows, and queries, of a cell
+BLOCK = 4096      # rows of a cell, and queries that are compared at once
+QUERY_BLOCK = 4   # times as many queries has a cell: a row is sent once for each block of queries
 TILE = 1024       # rows that are estimated at once
 PAIRS = 1 << 16   # exact products made at once
 SEED = 11
@@ -125,11 +128,14 @@ def _cell(k: int, width: float):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        query_ids = left["id"].to_numpy()
-        best, _ = search(np.stack(left["vector"].to_numpy()), query_ids, np.stack(right["vector"].to_numpy()), right["id"].to_numpy(),
-                         np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1),
-                         right["length"].to_numpy(), right["agree"].to_numpy(), k, width)
-        return pd.DataFrame({"query_id": query_ids[best.query], "vec_id": best.id, "score": best.score})
+        x, ids, code = np.stack(right["vector"].to_numpy()), right["id"].to_numpy(), np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
+        out = []
+        for a in range(0, len(left), BLOCK):
+            part = left[a:a + BLOCK]
+            query_ids = part["id"].to_numpy()
+            best, _ = search(np.stack(part["vector"].to_numpy()), query_ids, x, ids, code, right["length"].to_numpy(), right["agree"].to_numpy(), k, width)
+            out.append(pd.DataFrame({"query_id": query_ids[best.query], "vec_id": best.id, "score": best.score}))
+        return pd.concat(out)
     return run
 
 
@@ -147,7 +153,7 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector"))).distinct().withColumn("dim", F.size("vector"))
     # a row per length of vectors
     blocks = rows.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("int").alias("row_blocks"),
-                                     F.ceil(F.count_if("asks") / block).cast("int").alias("query_blocks"))
+                                     F.ceil(F.count_if("asks") / (block * QUERY_BLOCK)).cast("int").alias("query_blocks"))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     coded = rows.select("dim", "id", "vector").mapInPandas(_coded, _CODED).join(blocks, "dim")

@@ -160,3 +160,23 @@ def test_nothing_to_search(spark):
     assert ann.nearest(empty, F.col("vec_id") % 20 == 0).collect() == []
     one = spark.createDataFrame([(1, [1.0], 0), (3, [2.0], 0)], VECTORS)
     assert ann.nearest(one, F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_recall_of_fifty_thousand_rows():
+    """Recall of a cell-wise search at the production width, against exact products of all rows."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((50_000, 64)) * rng.uniform(0.5, 2, (50_000, 1)) + 0.1
+    ids, asks = np.arange(len(x)), np.arange(0, len(x), 500)
+    found = {int(i): [] for i in asks}
+    for a in range(0, len(x), ann.BLOCK):
+        part = slice(a, a + ann.BLOCK)
+        best, _ = ann.search(x[asks], asks, x[part], ids[part], *ann.encode(x[part]), 20)
+        for q, s, i in zip(best.query, best.score, best.id):
+            found[int(asks[q])].append((-s, int(i)))
+    hit = 0
+    for i in asks:
+        score = x @ x[i]
+        score[i] = -np.inf
+        want = set(np.argsort(-score)[:20].tolist())
+        hit += len(want & {j for _, j in sorted(found[int(i)])[:20]})
+    assert hit / (20 * len(asks)) >= 0.95
