@@ -25,10 +25,10 @@ _TABLE_COLS = ["entity", "event_id", "listing_time", "split", *ALL_FEATURES, "cu
 _FILLED = [c for c in ALL_FEATURES if c not in ("time_window",)]
 
 
-def _duck_model_table() -> str:
+def _duck_model_table(columns=tuple(_TABLE_COLS)) -> str:
     fill = ", ".join(
         f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" if c in _FILLED and c in _FEATURE_SET else c
-        for c in _TABLE_COLS)
+        for c in columns)
     return V.duck_with(DUCK_FEATURES + """,
 sp AS (""" + _duck_split("clean", "entity", "listing_time") + """),
 g AS (SELECT entity, time_window, quantile_cont(price, 0.2) AS current_market_p20 FROM features GROUP BY ALL),
@@ -134,7 +134,7 @@ def _importances_by_nodes(spark, fitted, feats):
     return reduce(DataFrame.unionByName, parts)
 
 
-_DUCK_FEATURES = "(VALUES " + ", ".join(f"('{f}')" for f in _FC if f in _TABLE_COLS) + ") AS f(feature)"
+_DUCK_FEATURES = "(VALUES " + ", ".join(f"('{f}')" for f in _FC) + ") AS f(feature)"
 
 
 @query("m11_importances_recomputed", sql=f"""
@@ -147,11 +147,31 @@ def m11_importances_recomputed(spark, sf):
     return both.select("model", "feature", F.coalesce(F.abs(F.col("importance") - F.col("expected")) <= 1e-9, F.lit(False)).alias("agrees"))
 
 
+def _selection(spark, sf):
+    """(inputs, the quick model of the selection), fitted once per session and folder."""
+    k = (spark.sparkContext.applicationId, sf, "selection")
+    if k not in _TRAINED:
+        t = cut_lineage(model_table(V.listings(spark, sf), COLS).where("split = 'train'"))
+        feats = [c for c in _FC if c in t.columns]
+        _TRAINED[k] = feats, ML.fit_model(t, feats, ML.SELECTION, "is_good_deal")
+    return _TRAINED[k]
+
+
 @query("m12_selected_features")
 def m12_selected_features(spark, sf):
-    t = model_table(V.listings(spark, sf), COLS)
-    feats = ML.select_features(t.where("split = 'train'"), [c for c in _FC if c in t.columns])
-    return spark.createDataFrame([(f,) for f in feats], "feature string")
+    feats, model = _selection(spark, sf)
+    return spark.createDataFrame([(f,) for f in ML.select_features(None, feats, model=model)], "feature string")
+
+
+@query("m12_selection_recomputed", sql=f"SELECT f.feature, TRUE AS agrees FROM {_DUCK_FEATURES}")
+def m12_selection_recomputed(spark, sf):
+    """Whether the gains of the quick model's nodes keep and drop the same inputs."""
+    feats, model = _selection(spark, sf)
+    kept = ML.select_features(None, feats, model=model)
+    names = spark.createDataFrame([(i, f, f in kept) for i, f in enumerate(feats)], "feature int, name string, kept boolean")
+    own = names.join(N.importances(N.node_table(spark, model, _scratch(spark, "selection")), False), "feature", "left")
+    agrees = (F.coalesce("importance", F.lit(0.0)) >= ML.MIN_IMPORTANCE) == F.col("kept")
+    return own.select(F.col("name").alias("feature"), agrees.alias("agrees"))
 
 
 @query("m13_random_search")
@@ -258,9 +278,13 @@ def a24_importance_table_recomputed(spark, sf):
     return both.select("feature", F.coalesce(F.abs(F.col("mean_importance") - F.col("expected")) <= 1e-9, F.lit(False)).alias("agrees"))
 
 
-@query("u3_missing_features")
+@query("u3_missing_features", sql=f"""
+SELECT feature FROM (
+  SELECT unnest([{", ".join(f"'{f}'" for f in _FC)}]) AS feature, unnest(counts) AS n
+  FROM (SELECT [{", ".join(f"count({f})" for f in _FC)}] AS counts FROM ({_duck_model_table(tuple(_FC))}) t))
+WHERE n = 0""")
 def u3_missing_features(spark, sf):
-    """Expected model inputs that the model table has no column or no value of (empty when complete; rows only)."""
+    """Expected model inputs that the model table has no column or no value of (empty when complete)."""
     from ..operators import clean as C
     t = model_table(V.listings(spark, sf), COLS)
     return C.inputs_without_values(t, _FC)
@@ -380,6 +404,34 @@ def s8_s10_metrics_document(spark, sf):
     return R.read_metrics(spark, path)
 
 
+@query("s8_s10_probability_document", rnd=("mean_probability", "std_probability"), sql=V.duck_with("""
+SELECT model, days_until_event, avg(probability) AS mean_probability, stddev_samp(probability) AS std_probability, count(probability) AS count
+FROM scores GROUP BY model, days_until_event
+""", scores=DUCK_SCORES))
+def s8_s10_probability_document(spark, sf):
+    """The probability curves as the document of parallel arrays per model (S8), scanned back to rows."""
+    from ..operators import market as M
+    from .standins import scores_standin
+    path = _scratch(spark, "probabilities")
+    R.write_document(R.probability_document(M.probability_by_day(scores_standin(spark, sf))), path)
+    return R.read_probabilities(spark, path).toDF("model", "days_until_event", "mean_probability", "std_probability", "count")
+
+
+@query("s8_s10_importance_document", rnd=("importance",), sql=V.duck_with("""
+SELECT model, 'day_' || days_until_event AS feature, sum(probability) / sum(sum(probability)) OVER (PARTITION BY model) AS importance
+FROM scores GROUP BY model, days_until_event
+""", scores=DUCK_SCORES))
+def s8_s10_importance_document(spark, sf):
+    """Shares per model (of the scores, by day, in place of learned importances) as the nested document (S8), scanned back."""
+    from .standins import scores_standin
+    path = _scratch(spark, "importances")
+    per = scores_standin(spark, sf).groupBy("model", F.concat(F.lit("day_"), "days_until_event").alias("feature")).agg(F.sum("probability").alias("s"))
+    whole = per.groupBy("model").agg(F.sum("s").alias("all"))
+    shares = per.join(whole, "model").select("model", "feature", (F.col("s") / F.col("all")).alias("importance"))
+    R.write_document(R.importance_document(shares), path)
+    return R.read_importances(spark, path)
+
+
 @query("m15_save_and_reload")
 def m15_save_and_reload(spark, sf):
     """The chosen model saved with its parameter document (M15) and loaded back; its scores (rows only)."""

@@ -20,13 +20,24 @@ from pricelens.schema import Cols
 COLS = Cols(tiebreak=("event_id",))
 
 
+def small_models(trees: int = 20, depth: int = 5) -> dict:
+    """The same four families with small settings, for checks."""
+    return {
+        "random_forest": ML.ModelSpec("rf", {"numTrees": trees, "maxDepth": depth}, "fixed"),
+        "gradient_boost": ML.ModelSpec("gbt", {"maxIter": trees // 2, "maxDepth": depth, "stepSize": 0.1}),
+        "weighted_boost": ML.ModelSpec("gbt", {"maxIter": trees // 2, "maxDepth": depth, "stepSize": 0.05,
+                                            "minInfoGain": 0.1}, "fixed"),
+        "logistic_regression": ML.ModelSpec("lr", {"maxIter": 100}, "balanced"),
+    }
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     return model_table(V.listings(spark, SF_SMALL), COLS).cache()
 
 
 def test_train_score_and_importances(spark, table, tmpdir_path):
-    fitted, scores, feats = train(table, models=ML.small_models(trees=6, depth=3), key=("entity", "event_id"))
+    fitted, scores, feats = train(table, models=small_models(trees=6, depth=3), key=("entity", "event_id"))
     n = table.count()
     assert scores.count() == 5 * n
     assert set(r["model"] for r in scores.select("model").distinct().collect()) == {
@@ -138,7 +149,7 @@ def test_run_workflow(spark, tmpdir_path):
     os.makedirs(os.path.join(out_dir, "visualization_data"))
     with open(os.path.join(out_dir, "visualization_data", "part-0.txt"), "w") as f:
         json.dump({"kept": {"x": 1}}, f)   # an existing document: its other keys must survive
-    paths = run_workflow(spark, raw, out_dir, models=ML.small_models(trees=4, depth=3), select=None)
+    paths = run_workflow(spark, raw, out_dir, models=small_models(trees=4, depth=3), select=None)
     doc = json.loads(spark.read.text(paths["model_metrics"]).first()["value"])
     assert "ensemble" in doc and set(doc["ensemble"]) <= {"validation", "test"}
     meta = json.loads(spark.read.text(paths["metadata"]).first()["value"])

@@ -25,11 +25,13 @@ def main() -> None:
     ap.add_argument("raw_dir")
     ap.add_argument("out_dir")
     ap.add_argument("--tz", default=None, help="zone of the raw wall-clock times, e.g. America/New_York")
-    ap.add_argument("--small", action="store_true", help="small model settings (30 trees, depth 6)")
+    ap.add_argument("--small", action="store_true", help="small model settings (30 trees or rounds, depth 6)")
     ap.add_argument("--no-select", action="store_true", help="keep all 24 model inputs")
     a = ap.parse_args()
     spark = get_session()
-    models = ML.small_models(trees=30, depth=6) if a.small else None
+    small = {"numTrees": 30, "maxIter": 30, "maxDepth": 6}
+    models = {n: ML.ModelSpec(m.family, {k: min(v, small.get(k, v)) for k, v in m.params.items()}, m.weights)
+              for n, m in ML.REFERENCE_MODELS.items()} if a.small else None
     paths = run_workflow(spark, a.raw_dir, a.out_dir, tz=a.tz, models=models,
                          select=None if a.no_select else 0.01)
     print(json.dumps(paths, indent=2))
