@@ -39,7 +39,7 @@ LEVELS = 41          # buckets of context frequency: never seen, then by powers
 BINS = 64            # per axis, of the estimates' logarithms on which the weights are learned
 ROUNDS = 50
 FLOOR = 1e-4         # least weight of a component
-SHARE = 4            # blocks for each bucket: a block's distinct n-grams are fewer than its tokens
+SHARE = 2            # blocks for each bucket: a block's distinct n-grams are fewer than its tokens
 SOME = 4096          # equal rows that are made of one at a time
 END = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0xD1342543DE82EF95)
