@@ -31,7 +31,7 @@ WIDTH = 1.9       # standard deviations of an estimate that its bounds allow for
 BLOCK = 4096      # rows of a cell, and queries that are compared at once
 QUERY_BLOCK = 4   # times as many queries has a cell: a row is sent once for each block of queries
 TILE = 1024       # rows that are estimated at once
-PAIRS = 1 << 16   # exact products made at once
+PAIRS = 1 << 17   # exact products made at once
 SEED = 11
 
 _CODED = "dim int, id long, vector array<double>, code binary, length double, agree double"
@@ -95,21 +95,39 @@ def search(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.nd
     spread = length * np.sqrt(np.maximum(1 - agree**2, 0)) / agree * (width / np.sqrt(max(dim - 1, 1)))
     best, exact = Best(len(queries), k), 0
 
+    order = np.argsort(query_ids, kind="stable")
+
+    def own_cells(asks: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``asks`` (rising) and ``part`` where a query meets a row of its own id."""
+        place = np.full(len(queries), -1)
+        place[asks] = np.arange(len(asks))
+        low, high = (np.searchsorted(query_ids[order], part, side=side) for side in ("left", "right"))
+        size = high - low
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        q, r = place[order[at]], np.repeat(np.arange(len(part)), size)
+        return q[q >= 0], r[q >= 0]
+
     def compare(asks: np.ndarray, first: np.ndarray | None) -> np.ndarray:
         """Rows for the queries ``asks``; returns the first floor, taken from estimates, which only chooses rows."""
         nonlocal exact
+        # the error of an estimate is a product of a query's length and a row's spread: one more coordinate
+        reach = np.column_stack([turned[asks], query_length[asks].astype(np.float32)])
         for a in range(0, len(x), TILE):
             part = slice(a, a + TILE)
             signs = np.unpackbits(bits[part], axis=1, count=dim).astype(np.float32) * 2 - 1
-            estimate = (turned[asks] @ signs.T) * (length[part] / agree[part]).astype(np.float32)
-            error = np.outer(query_length[asks], spread[part]).astype(np.float32) + np.float32(1e-6)
-            own = query_ids[asks, None] == ids[None, part]
+            codes = np.column_stack([signs * (length[part] / agree[part]).astype(np.float32)[:, None], spread[part].astype(np.float32)])
+            high = reach @ codes.T
+            own = own_cells(asks, ids[part])
+            high[own] = -np.inf
             if first is None:
                 first = np.full(len(asks), -np.inf)
-                if len(set(ids[part])) == own.shape[1] > k:  # from the lower bounds of k rows
-                    low = np.where(own, -np.inf, estimate - error)
+                if len(set(ids[part])) == high.shape[1] > k:  # from the lower bounds of k rows
+                    low = high - 2 * np.outer(reach[:, -1], codes[:, -1]) - np.float32(2e-6)
                     first = np.partition(low, -k, axis=1)[:, -k].astype(float)
-            qi, xi = np.nonzero((estimate + error >= np.maximum(first, best.floor[asks])[:, None]) & ~own)
+            floor = np.maximum(first, best.floor[asks]) - 1e-6
+            qi, xi = np.divmod(np.flatnonzero(high >= floor.astype(np.float32)[:, None]), high.shape[1])
+            free = high[qi, xi] > -np.inf
+            qi, xi = qi[free], xi[free]
             exact += len(qi)
             for b in range(0, len(qi), PAIRS):
                 q, r = asks[qi[b:b + PAIRS]], xi[b:b + PAIRS] + a
