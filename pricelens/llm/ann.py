@@ -3,8 +3,8 @@
 Each vector is rotated by a fixed random orthogonal matrix and kept as the signs of its coordinates, packed to
 bits, with two scalars: its length and how well the signs agree with it. Inner products are estimated
 from bits and scalars; each estimate has an error bound (``WIDTH`` standard deviations), and only vectors whose upper bound
-reaches the best ``k`` known so far are compared exactly. Until ``k`` are known exactly, estimated lower bounds choose the rows; a query whose
-exact scores end below these goes over the rows again without them, so that it has ``k`` rows if there are so many. The queries meet all rows in cells of one block
+reaches the best ``k`` known so far are compared exactly. The ``SEEDS * k`` rows of the highest estimates in a block are compared first, so that
+the others meet a high floor; fewer than ``k`` rows leave none out. The queries meet all rows in cells of one block
 of queries and one block of rows, both bounded, that Spark deals out; a cell returns its ``k`` best per query. Rows travel with their vectors: at 64
 dimensions the bounds of one-bit codes leave many rows to compare (22 % of 10,256 given ones), which are more bytes per query, if fetched
 one by one, than the block's vectors are.
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 NEIGHBOURS = 20
 QUERY_EVERY = 20
 WIDTH = 1.9       # standard deviations of an estimate that its bounds allow for
-BLOCK = 4096      # rows of a cell, and queries that are compared at once
-QUERY_BLOCK = 4   # times as many queries has a cell: a row is sent once for each block of queries
+BLOCK = 4096      # queries that are compared at once
+ROW_BLOCK = 32768  # rows of a cell: the more, the higher the floor that the others must reach; half as many queries has
+                   # a cell: a row is sent once for each block of queries
+SEEDS = 8         # times k rows are compared first
 TILE = 1024       # rows that are estimated at once
 PAIRS = 1 << 17   # exact products made at once
 SEED = 11
@@ -107,38 +109,44 @@ def search(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.nd
         q, r = place[order[at]], np.repeat(np.arange(len(part)), size)
         return q[q >= 0], r[q >= 0]
 
-    def compare(asks: np.ndarray, first: np.ndarray | None) -> np.ndarray:
-        """Rows for the queries ``asks``; returns the first floor, taken from estimates, which only chooses rows."""
-        nonlocal exact
-        # the error of an estimate is a product of a query's length and a row's spread: one more coordinate
-        reach = np.column_stack([turned[asks], query_length[asks].astype(np.float32)])
+    # the error of an estimate is a product of a query's length and a row's spread: one more coordinate
+    reach = np.column_stack([turned, query_length.astype(np.float32)])
+    asks = np.arange(len(queries))
+
+    def tiles() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """First row, upper bounds and the spreads in them, of a tile; a query's own rows have no bound."""
         for a in range(0, len(x), TILE):
             part = slice(a, a + TILE)
             signs = np.unpackbits(bits[part], axis=1, count=dim).astype(np.float32) * 2 - 1
             codes = np.column_stack([signs * (length[part] / agree[part]).astype(np.float32)[:, None], spread[part].astype(np.float32)])
             high = reach @ codes.T
-            own = own_cells(asks, ids[part])
-            high[own] = -np.inf
-            if first is None:
-                first = np.full(len(asks), -np.inf)
-                if len(set(ids[part])) == high.shape[1] > k:  # from the lower bounds of k rows
-                    low = high - 2 * np.outer(reach[:, -1], codes[:, -1]) - np.float32(2e-6)
-                    first = np.partition(low, -k, axis=1)[:, -k].astype(float)
-            floor = np.maximum(first, best.floor[asks]) - 1e-6
-            qi, xi = np.divmod(np.flatnonzero(high >= floor.astype(np.float32)[:, None]), high.shape[1])
-            free = high[qi, xi] > -np.inf
-            qi, xi = qi[free], xi[free]
-            exact += len(qi)
-            for b in range(0, len(qi), PAIRS):
-                q, r = asks[qi[b:b + PAIRS]], xi[b:b + PAIRS] + a
-                best.add(q, (queries[q] * x[r]).sum(axis=1), ids[r])
-        return first
+            high[own_cells(asks, ids[part])] = -np.inf
+            yield a, high, codes[:, -1]
 
-    asks = np.arange(len(queries))
-    first = compare(asks, None) if len(x) else np.full(len(queries), -np.inf)
-    high = asks[best.floor < first]  # k exact scores don't reach the estimates: rows were left out wrongly
-    if len(high):
-        compare(high, np.full(len(high), -np.inf))
+    def compare(qi: np.ndarray, xi: np.ndarray) -> None:
+        nonlocal exact
+        exact += len(qi)
+        for b in range(0, len(qi), PAIRS):
+            q, r = qi[b:b + PAIRS], xi[b:b + PAIRS]
+            best.add(q, (queries[q] * x[r]).sum(axis=1), ids[r])
+
+    # the rows of the highest estimates are compared first: the k-th of their scores is a floor for all rows
+    seeds = SEEDS * k
+    top, row = np.zeros((len(queries), 0), np.float32), np.zeros((len(queries), 0), np.int64)
+    for a, high, wide in tiles():
+        high -= reach[:, -1:] * wide
+        some = np.argpartition(high, -seeds, axis=1)[:, -seeds:] if high.shape[1] > seeds else np.broadcast_to(np.arange(high.shape[1]), high.shape)
+        top, row = np.column_stack([top, np.take_along_axis(high, some, axis=1)]), np.column_stack([row, some + a])
+        if top.shape[1] > seeds:
+            some = np.argpartition(top, -seeds, axis=1)[:, -seeds:]
+            top, row = np.take_along_axis(top, some, axis=1), np.take_along_axis(row, some, axis=1)
+    qi, place = np.nonzero(top > -np.inf)
+    compare(qi, row[qi, place])
+    for a, high, _ in tiles():
+        floor = (best.floor - 1e-6).astype(np.float32)
+        qi, xi = np.divmod(np.flatnonzero(high >= floor[:, None]), high.shape[1])
+        free = high[qi, xi] > -np.inf
+        compare(qi[free], xi[free] + a)
     return best, exact
 
 
@@ -164,14 +172,14 @@ def usable(vector: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS,
-            width: float = WIDTH, block: int = BLOCK) -> DataFrame:
+            width: float = WIDTH, block: int = ROW_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows that ``is_query`` marks."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"),
                           F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector"))).distinct().withColumn("dim", F.size("vector"))
     # a row per length of vectors
     blocks = rows.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("int").alias("row_blocks"),
-                                     F.ceil(F.count_if("asks") / (block * QUERY_BLOCK)).cast("int").alias("query_blocks"))
+                                     F.ceil(F.count_if("asks") / (block // 2)).cast("int").alias("query_blocks"))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     coded = rows.select("dim", "id", "vector").mapInPandas(_coded, _CODED).join(blocks, "dim")

@@ -180,3 +180,12 @@ def test_recall_of_fifty_thousand_rows():
         want = set(np.argsort(-score)[:20].tolist())
         hit += len(want & {j for _, j in sorted(found[int(i)])[:20]})
     assert hit / (20 * len(asks)) >= 0.95
+
+
+def test_the_best_rows_are_met_first():
+    """Rows in rising order of their scores: the floor is high before the rows below it are met."""
+    rng = np.random.default_rng(8)
+    x, query = rng.standard_normal((8000, 64)), rng.standard_normal((1, 64))
+    x = x[np.argsort(x @ query[0])]
+    best, exact = ann.search(query, np.array([-1]), x, np.arange(8000), *ann.encode(x), 20)
+    assert set(best.id) == set(range(7980, 8000)) and exact < 0.3 * len(x)
