@@ -3,7 +3,7 @@
 Each vector is rotated by a fixed random orthogonal matrix and kept as the signs of its coordinates, packed to
 bits, with two scalars: its length and how well the signs agree with it. Inner products are estimated
 from bits and scalars; each estimate has an error bound (``WIDTH`` standard deviations), and only vectors whose upper bound
-reaches the best ``k`` known so far are compared exactly. The ``SEEDS * k`` rows of the highest estimates in a block are compared first, so that
+reaches the best ``k`` known so far are compared exactly. The ``k`` rows of the highest estimates in a block are compared first, so that
 the others meet a high floor; fewer than ``k`` rows leave none out. The queries meet all rows in cells of one block
 of queries and one block of rows, both bounded, that Spark deals out; a cell returns its ``k`` best per query. Rows travel with their vectors: at 64
 dimensions the bounds of one-bit codes leave many rows to compare (22 % of 10,256 given ones), which are more bytes per query, if fetched
@@ -31,7 +31,6 @@ WIDTH = 1.9       # standard deviations of an estimate that its bounds allow for
 BLOCK = 4096      # queries that are compared at once
 ROW_BLOCK = 32768  # rows of a cell: the more, the higher the floor that the others must reach; half as many queries has
                    # a cell: a row is sent once for each block of queries
-SEEDS = 8         # times k rows are compared first
 TILE = 1024       # rows that are estimated at once
 PAIRS = 1 << 17   # exact products made at once
 SEED = 11
@@ -131,14 +130,13 @@ def search(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.nd
             best.add(q, (queries[q] * x[r]).sum(axis=1), ids[r])
 
     # the rows of the highest estimates are compared first: the k-th of their scores is a floor for all rows
-    seeds = SEEDS * k
     top, row = np.zeros((len(queries), 0), np.float32), np.zeros((len(queries), 0), np.int64)
     for a, high, wide in tiles():
         high -= reach[:, -1:] * wide
-        some = np.argpartition(high, -seeds, axis=1)[:, -seeds:] if high.shape[1] > seeds else np.broadcast_to(np.arange(high.shape[1]), high.shape)
+        some = np.argpartition(high, -k, axis=1)[:, -k:] if high.shape[1] > k else np.broadcast_to(np.arange(high.shape[1]), high.shape)
         top, row = np.column_stack([top, np.take_along_axis(high, some, axis=1)]), np.column_stack([row, some + a])
-        if top.shape[1] > seeds:
-            some = np.argpartition(top, -seeds, axis=1)[:, -seeds:]
+        if top.shape[1] > k:
+            some = np.argpartition(top, -k, axis=1)[:, -k:]
             top, row = np.take_along_axis(top, some, axis=1), np.take_along_axis(row, some, axis=1)
     qi, place = np.nonzero(top > -np.inf)
     compare(qi, row[qi, place])
