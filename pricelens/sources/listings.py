@@ -7,8 +7,14 @@ the schema is given, never inferred.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import suppress
+
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,32 +57,85 @@ def read_listing_json(spark: SparkSession, path: str, schema: T.StructType = RAW
     return with_file_keys(df.where(~bad).drop(CORRUPT)).drop("_file"), rejects
 
 
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder name for null and empty values
+_ESCAPED = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")  # as in names of Spark's partition folders
+
+
+def _write_files(folder: str):
+    """A task's rows, sorted by file, written as one stream per file. A file is named once it is whole, so a task that is run again does no harm."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, name, out, ends = f"{folder}/_part-{uuid.uuid4().hex}", None, None, set()
+
+        def close() -> None:
+            if False in ends and True not in ends:  # neither cut short nor without a mark
+                out.write(b"]\n")
+            out.close()
+            called = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", name) + ".json"
+            with suppress(FileNotFoundError):  # the checksum of an earlier file of that name
+                os.unlink(f"{folder}/.{called}.crc")
+            os.replace(part, f"{folder}/{called}")
+
+        files = 0
+        for rows in batches:
+            names, values, broken = (rows[c].to_numpy() for c in ("_file", "value", "_cut"))
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)] if len(names) else []
+            for i, j in zip(edges, edges[1:]):
+                if names[i] != name:
+                    if out:
+                        close()
+                    name, out, ends, files, before = names[i], open(part, "wb"), set(), files + 1, b"[\n"
+                else:
+                    before = b","
+                out.write(before + b"\n,".join(values[i:j]) + b"\n")
+                ends.update(broken[i:j])
+        if out:
+            close()
+        yield pd.DataFrame({"files": [files]})
+    return run
+
+
 def write_listing_json(rows: DataFrame, path: str, file_col: str, latin1: str | None = None, broken: str | None = None) -> None:
     """One JSON array per value of ``file_col``, in a file of that name with ``.json``. Rows are written in Latin-1 where
     the column ``latin1`` holds, and files with a row where the column ``broken`` holds lack their end.
 
-    A file's rows are written as lines by one task, as a stream: an opening bracket, the objects, a closing one.
+    A file's rows are written as lines by one task, as a stream: an opening bracket, the objects, a closing one. In a folder
+    that tasks reach by its path they write the named files themselves; in other stores Spark's text sink writes them, a folder
+    each, and the driver names them one by one.
     """
     spark = rows.sparkSession
-    line = F.to_json(F.struct(*[c for c in rows.columns if c not in (file_col, latin1, broken)]), {"ignoreNullFields": "false"})
-    if latin1:  # the text sink writes a string's bytes as they are
-        line = F.when(F.col(latin1), F.encode(line, "ISO-8859-1").cast("string")).otherwise(line)
-    lines = rows.select(file_col, F.lit(1).alias("_part"), line.alias("value"))
-    names = rows.groupBy(file_col).agg(F.bool_or(F.col(broken) if broken else F.lit(False)).alias("_cut"))
-    ends = [names.select(file_col, F.lit(0).alias("_part"), F.lit("[").alias("value")),
-            names.where(~F.col("_cut")).select(file_col, F.lit(2).alias("_part"), F.lit("]").alias("value"))]
-    after = F.lag("_part").over(Window.partitionBy(file_col).orderBy("_part"))
-    whole = lines.unionByName(ends[0]).unionByName(ends[1]).withColumn("_after", after)
+    line = F.to_json(F.struct(*[c for c in rows.columns if c not in (file_col, latin1, broken)]), {"ignoreNullFields": "false"}).cast("binary")
+    if latin1:
+        line = F.when(F.col(latin1), F.encode(line.cast("string"), "ISO-8859-1")).otherwise(line)
+    cut = F.col(broken) if broken else F.lit(False)
+    name = F.coalesce(F.nullif(F.col(file_col).cast("string"), F.lit("")), F.lit(_NO_NAME))
+    lines = rows.select(name.alias("_file"), line.alias("value"), cut.alias("_cut"))
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    where = fs.makeQualified(top).toUri()
+    if where.getScheme() != "file":
+        return _write_by_sink(lines, fs, path)
+    fs.mkdirs(top)
+    written = lines.repartition("_file").sortWithinPartitions("_file").mapInPandas(_write_files(where.getPath()), "files long")
+    written.write.format("noop").mode("overwrite").save()
+
+
+def _write_by_sink(lines: DataFrame, fs, path: str) -> None:
+    """The same files by Spark's text sink, for stores that only Spark reaches. The sink writes a string's bytes as they are."""
+    lines = lines.select("_file", F.lit(1).alias("_part"), F.col("value").cast("string").alias("value"), "_cut")
+    names = lines.groupBy("_file").agg(F.bool_or("_cut").alias("_cut"))
+    ends = [names.select("_file", F.lit(0).alias("_part"), F.lit("[").alias("value")),
+            names.where(~F.col("_cut")).select("_file", F.lit(2).alias("_part"), F.lit("]").alias("value"))]
+    after = F.lag("_part").over(Window.partitionBy("_file").orderBy("_part"))
+    whole = lines.drop("_cut").unionByName(ends[0]).unionByName(ends[1]).withColumn("_after", after)
     comma = F.when((F.col("_part") == 1) & (F.col("_after") == 1), F.lit(",")).otherwise(F.lit(""))
-    whole = whole.select(F.concat(comma, F.col("value")).alias("value"), F.col(file_col).alias("_file"))
+    whole = whole.select(F.concat(comma, F.col("value")).alias("value"), "_file")
     folder = f"{path.rstrip('/')}/_lines"  # not seen by readers, which skip names that begin with _
     whole.write.partitionBy("_file").text(folder)
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/_file=*/part-*")):
+    of = lines.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for status in fs.globStatus(of(f"{folder}/_file=*/part-*")):
         name = status.getPath().getParent().getName().split("=", 1)[1]
-        fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(path, f"{name}.json"))
+        fs.rename(status.getPath(), of(path, f"{name}.json"))
 
 
 # S3 ------------------------------------------------------------------------

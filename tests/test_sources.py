@@ -208,3 +208,23 @@ def test_written_json_arrays_are_read_back(spark, tmpdir_path):
     back, rejects = L.read_listing_json_any_encoding(spark, path)
     assert sorted((r["event_name"], r["section"] or "") for r in back.collect()) == [("A", ""), ("A", "é\"x"), ("B", "é"), ("D", "")]
     assert [(r["file"], r["reason"]) for r in rejects.collect()] == [("C230103.json", "unparsable")]
+
+
+def test_json_files_are_named_by_the_tasks_that_write_them(spark, tmpdir_path):
+    rows = spark.createDataFrame([("A230101", False, "x" * 9), ("A230101", None, None), ("B/é:230102", False, "é"), ("C230103", True, "c"), ("C230103", False, "d"),
+                                  ("N230104", None, "n"), (None, False, "1"), ("", False, "2")], "name string, b boolean, section string")
+    path, other = os.path.join(tmpdir_path, "json"), os.path.join(tmpdir_path, "sink")
+    for _ in range(2):  # files of a name that is there already are replaced
+        L.write_listing_json(rows.repartition(3), path, "name", None, "b")
+    assert sorted(os.listdir(path)) == ["A230101.json", "B%2Fé%3A230102.json", "C230103.json", "N230104.json", "__HIVE_DEFAULT_PARTITION__.json"]
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(other).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    lines = rows.select(F.coalesce(F.nullif("name", F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("_file"),
+                        F.to_json(F.struct("section"), {"ignoreNullFields": "false"}).cast("binary").alias("value"), F.col("b").alias("_cut"))
+    L._write_by_sink(lines, fs, other)  # the way of stores that tasks can't open
+    for name in os.listdir(path):
+        with open(os.path.join(path, name), "rb") as a, open(os.path.join(other, name), "rb") as b:
+            x, y = a.read().splitlines(), b.read().splitlines()
+        assert x[0] == y[0] == b"[" and sorted(r.strip(b",") for r in x) == sorted(r.strip(b",") for r in y)
+        assert (x[-1] == b"]") == (y[-1] == b"]") == (name[0] in "AB_")
+    spark.range(0).selectExpr("'x' AS name", "'y' AS section").transform(lambda d: L.write_listing_json(d, f"{path}-none", "name") or d)
+    assert os.listdir(f"{path}-none") == []
