@@ -71,6 +71,25 @@ def test_feature_selection_and_search(spark, table):
     assert model.transform(tr).where("prediction IS NULL").count() == 0
 
 
+def test_boosted_steps_take_no_task_for_each_small_partition(spark, monkeypatch):
+    df = spark.range(600).selectExpr("CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 11 AS DOUBLE) AS b", "CAST(id % 7 + id % 11 > 9 AS INT) AS y")
+    spec, seen = ML.ModelSpec("gbt", {"maxIter": 3, "maxDepth": 2}), []
+
+    class Seen(ML.Pipeline):
+        def fit(self, t):
+            seen.append((t.rdd.getNumPartitions(), t.count()))
+            return super().fit(t)
+
+    monkeypatch.setattr(ML, "Pipeline", Seen)
+    got = [ML.fit_model(df.repartition(n), ["a", "b"], spec, "y").stages[-1].featureImportances.toArray() for n in (60, 1)]
+    assert seen == [(1, 600), (1, 600)] and got[0] == pytest.approx(got[1])
+    monkeypatch.setattr(ML, "FEWEST_ROWS", 100)
+    ML.fit_model(df.repartition(60), ["a", "b"], spec, "y")
+    assert seen[-1] == (spark.sparkContext.defaultParallelism, 600)
+    monkeypatch.setattr(ML, "MOST_ROWS", 100)  # 600 rows on 4 cores: two rounds of tasks, none above the bound
+    assert ML._step_tasks(600, 4) == 8 and ML._step_tasks(0, 4) == 1
+
+
 def test_search_space_is_the_references():
     draws = ML._draws(ML.SEARCH_SPACE, 20, ML.SEED)
     assert len({tuple(sorted(d.items())) for d in draws}) == 20 and all(d[k] in v for d in draws for k, v in ML.SEARCH_SPACE.items())
