@@ -90,6 +90,24 @@ def test_boosted_steps_take_no_task_for_each_small_partition(spark, monkeypatch)
     assert ML._step_tasks(600, 4) == 8 and ML._step_tasks(0, 4) == 1
 
 
+def test_trials_take_no_task_for_each_partition_of_the_table(spark, monkeypatch):
+    df = spark.range(600).selectExpr("CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 11 AS DOUBLE) AS b", "CAST(id % 7 + id % 11 AS DOUBLE) AS y")
+    space, seen = {"maxDepth": [2], "maxIter": [2]}, []
+
+    class Seen(ML.GBTRegressor):
+        def fit(self, t):
+            seen.append((t.rdd.getNumPartitions(), t.count()))
+            return super().fit(t)
+
+    monkeypatch.setattr(ML, "GBTRegressor", Seen)
+    monkeypatch.setattr(ML, "ROWS_PER_PARTITION", 200)
+    ML.random_search(df.repartition(12), ["a", "b"], "y", folds=2, space=space)
+    assert [n for n, _ in seen] == [1, 1, 3] and sum(r for _, r in seen[:2]) == seen[2][1] == 600  # the last fit has the cores for itself
+    monkeypatch.setattr(ML, "ROWS_PER_TRIAL_TASK", 300)  # no task gets more rows than the bound
+    ML.search_trials(df.repartition(12), ["a", "b"], "y", folds=2, space=space)
+    assert [n for n, _ in seen[3:]] == [2, 2]
+
+
 def test_search_space_is_the_references():
     draws = ML._draws(ML.SEARCH_SPACE, 20, ML.SEED)
     assert len({tuple(sorted(d.items())) for d in draws}) == 20 and all(d[k] in v for d in draws for k, v in ML.SEARCH_SPACE.items())
